@@ -8,13 +8,12 @@ shingle; without words the set is empty and linked with nothing.
    128-bit digest of the set and the SuperMinHash signature (Ertl, 2017).
 2. Documents with equal sets are one class; only its smallest doc_id goes on, so
    a group of thousands of copies costs one row per copy and no pairs.
-3. Signatures are cut into bands; classes that agree in a band share a bucket.
-   Within a bucket no all-pairs product is made: a pivot is compared with the
-   members outside its component, links are confirmed on the full sets, and the
-   buckets whose members are not all in one component go on with more pivots (a
-   growing number per round) until every pair in a bucket was compared or is
-   connected. Pairs are sifted by set sizes, then by the share of equal signature
-   components with a margin of over five standard deviations.
+3. Signatures are cut into bands; nodes that agree in a band share a bucket.
+   Buckets are merged into candidate clusters by comparing signatures and set
+   sizes with pivots (no all-pairs product; the sift leaves a margin of over five
+   standard deviations). A cluster is cut into blocks of bounded size, and links
+   are confirmed on the full sets, block against block: the first block against
+   all others, then only what that left outside the cluster's largest component.
 4. Components of the confirmed links are found by distributed union-find.
 
 With ``bands`` bands of ``rows`` components a pair of similarity s is missed with
@@ -181,91 +180,116 @@ def _sift(threshold: int, min_equal: int):
     return run
 
 
-def _confirm(k: int, threshold: int):
-    """Rows a, b, text_a, text_b: keep a, b where 100 * intersection >= threshold * union."""
+def _confirm(threshold: int):
+    """Star links between similar sets of each block pair.
+
+    Rows come sorted by their key (cluster, left block, right block) and hold node,
+    side (0 left, 1 right, 2 both) and set. Intersections are counted for all left-right pairs of the
+    block pair with one matrix product over the shingles that more than one set has;
+    what goes out is a spanning forest of the links, not the pairs.
+    """
+
+    def links(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets])
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(counts > 1) - 1
+        shared = counts[inverse] > 1
+        row, col = np.repeat(np.arange(len(sets)), sizes)[shared], column[inverse[shared]]
+        left = np.array([i for i, x in enumerate(sides) if x != 1], int)
+        right = np.array([i for i, x in enumerate(sides) if x != 0], int)
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            i, j = np.searchsorted(col, [lo, lo + 4096])
+            bits = np.zeros((len(sets), 4096), np.float32)
+            bits[row[i:j], col[i:j] - lo] = 1
+            both += bits[left] @ bits[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        parent = list(range(len(sets)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(100 * both >= threshold * union), strict=True):
+            x, y = root(int(left[i])), root(int(right[j]))
+            if x != y:
+                parent[x] = y
+                out.append((nodes[left[i]], nodes[right[j]]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        key, rows = None, ([], [], [])
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            keep = np.zeros(len(ids), bool)
-            for first, sets in shingle_sets(batch.column(3), k):
-                for i, other in enumerate(sets, first):
-                    if last[0] != ids[i]:
-                        own = next(shingle_sets(batch.column(2).slice(i, 1), k))[1][0]
-                        last = (ids[i], own)
-                    own = last[1]
-                    short, long = (own, other) if len(own) < len(other) else (other, own)
-                    at = np.searchsorted(long, short)
-                    both = int((long[np.minimum(at, len(long) - 1)] == short).sum()) if len(short) else 0
-                    keep[i] = 100 * both >= threshold * (len(own) + len(other) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for *at, node, side, blob in zip(*columns, strict=True):
+                if at != key:
+                    if len(rows[0]) > 1:
+                        out += links(*rows)
+                    key, rows = at, ([], [], [])
+                rows[0].append(node)
+                rows[1].append(side)
+                rows[2].append(np.frombuffer(blob, "<u8"))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            out = []
+        if len(rows[0]) > 1:
+            out = links(*rows)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
-def _digests(k: int):
-    """Rows node, text with the digest of the text's set, for texts looked up by doc_id."""
+def _stored_sets(k: int):
+    """Rows text to (digest, set), for texts looked up by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(0), k):
+            for _, sets in shingle_sets(batch.column(0), k):
                 with np.errstate(over="ignore"):
                     n, d1, d2 = _digest(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), n, d1, d2], names=["text", "n_shingles", "d1", "d2"]
-                )
+                blobs = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([n, d1, d2, blobs], names=["n_shingles", "d1", "d2", "items"])
 
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 24, rows: int = 4, max_rounds: int = 40
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` is a percentage."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near-dedup")
-    m = bands * rows
-    share = threshold / 100
-    min_equal = int(m * share - 5.5 * (m * share * (1 - share)) ** 0.5)
-    node = F.xxhash64("n_shingles", "d1", "d2").alias("node")
-    signed = ws.keep(signatures(docs, k, bands, rows).withColumn("node", node), "signed")
+def candidate_clusters(ws: Workspace, heads: DataFrame, threshold: int, min_equal: int, max_rounds: int = 40) -> DataFrame:
+    """node, cluster: any two nodes that share a band and pass the sift are in one cluster.
 
-    # equal sets are one node from here on
-    heads = ws.keep(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bands"))),
-        "heads",
-    )
+    No bucket is multiplied out: a pivot is compared with the bucket's other members, on
+    signatures only. Buckets whose members are not all in one cluster by then go on, with
+    more pivots each round, until each pair was compared or shares a cluster.
+    """
     facts = heads.select("node", "n_shingles", "signature")
     exploded = heads.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket")
     )
     crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = ws.keep(exploded.join(crowded, "bucket").select("bucket", "node"), "members0")
-    no_pairs = spark.createDataFrame([], "a bigint, b bigint")
-    links, component = no_pairs, None
+    edges = ws.spark.createDataFrame([], "a bigint, b bigint")
+    cluster = edges.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
     for n in range(max_rounds):
-        if members.isEmpty():
-            break
-        if component is None:
-            placed = members.withColumn("c", F.col("node"))
-        else:
-            placed = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("c"))
-        # buckets that are one component have no pair left to compare
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-        placed = ws.keep(placed.join(mixed, "bucket"), f"placed{n}")
-        # pivots: one for each of 4**n parts of a bucket, from its smallest component (those have most pairs
-        # left), else by a hash of bucket and node, so that the bands of a group have different ones
+        placed = members.join(cluster, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("c"))
+        if n:
+            mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+            placed = ws.keep(placed.join(mixed, "bucket"), f"placed{n}")
+            if placed.isEmpty():
+                return cluster.withColumnRenamed("component_id", "cluster")
         crowd = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("in_c"))
-        pivots = ws.keep(
+        # one pivot for each of 8**n parts of a bucket, from its smallest cluster, else by a hash of
+        # bucket and node, so that the bands of a group have different ones
+        pivots = (
             placed.join(crowd, ["bucket", "c"])
-            .groupBy("bucket", F.pmod(F.xxhash64("node", "bucket", F.lit(n)), F.lit(4**n)).alias("part"))
+            .groupBy("bucket", F.pmod(F.xxhash64("node", "bucket", F.lit(n)), F.lit(8**n)).alias("part"))
             .agg(F.min(F.struct("in_c", F.xxhash64("bucket", "node").alias("turn"), "node", "c")).alias("p"))
-            .select("bucket", F.col("p.node").alias("p"), F.col("p.c").alias("pc")),
-            f"pivots{n}",
+            .select("bucket", F.col("p.node").alias("p"), F.col("p.c").alias("pc"))
         )
+        pivots = ws.keep(pivots, f"pivots{n}")
         pairs = (
             placed.join(pivots, "bucket")
             .where("c <> pc")
@@ -274,46 +298,105 @@ def near_duplicates(
         )
         fa = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
         fb = facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-        likely = ws.keep(
+        likely = (
             pairs.join(fa, "a")
             .join(fb, "b")
             .select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(_sift(threshold, min_equal), "a bigint, b bigint"),
-            f"likely{n}",
+            .mapInArrow(_sift(threshold, min_equal), "a bigint, b bigint")
         )
-        # texts of the nodes in question only, one for each
-        wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        reps = heads.join(wanted, "node").select(F.col("rep").alias("doc_id")).distinct()
-        chosen = (
-            pick(docs, "doc_id", "text")
-            .join(reps, "doc_id", "left_semi")
-            .select("text")
-            .mapInArrow(_digests(k), "text string, n_shingles bigint, d1 bigint, d2 bigint")
-            .select(node, "text")
-            .groupBy("node")
-            .agg(F.first("text").alias("text"))
-        )
-        chosen = ws.keep(chosen, f"chosen{n}")
-        ta = chosen.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        tb = chosen.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        found = ws.keep(
-            likely.join(tb, "b")
-            .join(ta, "a")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_confirm(k, threshold), "a bigint, b bigint"),
-            f"links{n}",
-        )
-        links = links.unionByName(found)
-        # a pivot has been compared with all others of its bucket
+        likely = ws.keep(likely, f"likely{n}")
         done = pivots.select("bucket", F.col("p").alias("node"))
         members = ws.keep(placed.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), f"members{n + 1}")
-        component = connected_components(links)
-        ws.drop(f"chosen{n}")
-        ws.drop(f"placed{n}")
-    else:
-        raise RuntimeError(f"buckets were not compared in {max_rounds} rounds")
-    if component is None:
-        component = no_pairs.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
+        if not likely.isEmpty():
+            edges = edges.unionByName(likely)
+            cluster = connected_components(edges)
+    raise RuntimeError(f"buckets were not compared in {max_rounds} rounds")
+
+
+def _links(ws: Workspace, sets: DataFrame, left: DataFrame, right: DataFrame, threshold: int, name: str) -> DataFrame:
+    """Confirmed links between left and right nodes of a cluster.
+
+    Both frames have cluster, node, block and blocks (their number in the cluster, for the
+    frame). Each left block meets each right block once, in a task that holds these two only.
+    """
+    spans = right.groupBy("cluster").agg(F.max("blocks").alias("other"))
+    l_rows = left.join(spans, "cluster").select(
+        "cluster", F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("rb"), "node", F.lit(0).alias("side")
+    )
+    spans = left.groupBy("cluster").agg(F.max("blocks").alias("other"))
+    r_rows = right.join(spans, "cluster").select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("lb"), F.col("block").alias("rb"), "node", F.lit(1).alias("side")
+    )
+    rows = (
+        l_rows.unionByName(r_rows)
+        .groupBy("cluster", "lb", "rb", "node")
+        # on both sides of its block pair: 2
+        .agg(F.when(F.count(F.lit(1)) > 1, F.lit(2)).otherwise(F.max("side")).alias("side"))
+        .join(sets, "node")
+        .select("cluster", "lb", "rb", "node", "side", "items")
+        .repartition("cluster", "lb", "rb")
+        .sortWithinPartitions("cluster", "lb", "rb", "node")
+    )
+    return ws.keep(rows.mapInArrow(_confirm(threshold), "a bigint, b bigint"), name)
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 24, rows: int = 4, block_items: int = 200_000
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` is a percentage.
+
+    ``block_items`` is the number of shingles, over all sets of a block, that a task aims to hold per block.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "near-dedup")
+    m = bands * rows
+    share = threshold / 100
+    min_equal = int(m * share - 5.5 * (m * share * (1 - share)) ** 0.5)
+    node = F.xxhash64("n_shingles", "d1", "d2").alias("node")
+    signed = ws.keep(signatures(docs, k, bands, rows).withColumn("node", node), "signed")
+    # equal sets are one node from here on
+    heads = ws.keep(
+        signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bands"))),
+        "heads",
+    )
+    clusters = candidate_clusters(ws, heads, threshold, min_equal)
+    placed = clusters.join(heads.select("node", "rep", "n_shingles"), "node")
+    size = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_items).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = ws.keep(placed.join(size, "cluster").withColumn("block", block), "clusters")
+    sets = ws.keep(
+        pick(docs, "doc_id", "text")
+        .join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .select("text")
+        .mapInArrow(_stored_sets(k), "n_shingles bigint, d1 bigint, d2 bigint, items binary")
+        .select(node, "items")
+        .groupBy("node")
+        .agg(F.first("items").alias("items")),
+        "sets",
+    )
+    layout = placed.select("cluster", "node", "block", "blocks")
+    # the first block of every cluster meets all of it; most clusters have no other
+    first = layout.where("block = 0").withColumn("blocks", F.lit(1))
+    links = _links(ws, sets, first, layout, threshold, "links0")
+    large = layout.where("blocks > 1")
+    if not large.isEmpty():
+        # then what is outside its cluster's largest component by now meets the rest
+        so_far = large.join(connected_components(links), "node", "left").select(
+            "cluster", "node", "block", "blocks", F.coalesce("component_id", "node").alias("c")
+        )
+        so_far = ws.keep(so_far, "so_far")
+        largest = (
+            so_far.groupBy("cluster", "c")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("cluster")
+            .agg(F.max(F.struct("n", "c")).alias("top"))
+            .select("cluster", F.col("top.c").alias("c"))
+        )
+        apart = so_far.where("block > 0").join(largest, ["cluster", "c"], "left_anti").select("cluster", "node", "block", "blocks")
+        links = links.unionByName(_links(ws, sets, apart, large.where("block > 0"), threshold, "links1"))
+    component = connected_components(links)
     reps = heads.select("node", "rep").join(component, "node", "left")
     tops = reps.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("rep").alias("top"))
     named = reps.join(tops, "component_id", "left").select("node", F.coalesce("top", "rep").alias("top"))

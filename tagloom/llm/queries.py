@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .line_dedup import MIN_SITES, remove_cross_site_lines
+from .near_dedup import near_duplicates
 from .sharding import shard_by_bytes
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=20, rows=4)
+
+
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_near_duplicates": op7_near_duplicates,
         "op9_balanced_shards": op9_balanced_shards,
         "op10_cross_site_lines": op10_cross_site_lines,
     }
