@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import overlaps
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
 from .sharding import shard_by_bytes
 
 
+def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=20, rows=4)
 
@@ -55,6 +60,7 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_benchmark_overlaps": op2_benchmark_overlaps,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_balanced_shards": op9_balanced_shards,
         "op10_cross_site_lines": op10_cross_site_lines,

@@ -21,8 +21,9 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_LOWER = _SAME.copy()
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -109,9 +110,13 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(chunk: Chunk, lower: bool) -> Pieces:
-    """Words ``[^\\x20\\x09-\\x0D]+``; ``lower`` folds A-Z (only) before hashing."""
-    data = (_LOWER if lower else _SAME)[chunk.data] if lower else chunk.data
+def words(chunk: Chunk, lower: bool, bare: bool = False) -> Pieces:
+    """Words ``[^\\x20\\x09-\\x0D]+``; ``lower`` folds A-Z (only) before hashing.
+
+    ``bare`` leaves ASCII punctuation at the ends of a word out of its hash and
+    span, unless there is nothing else in it.
+    """
+    data = _LOWER[chunk.data] if lower else chunk.data
     solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[chunk.starts] = True
@@ -123,6 +128,12 @@ def words(chunk: Chunk, lower: bool) -> Pieces:
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     bounds = np.searchsorted(starts, np.append(chunk.starts, len(data)))
     text = np.repeat(np.arange(len(chunk)), np.diff(bounds))
+    if bare and len(starts):
+        inner = np.append(np.flatnonzero(solid & ~_PUNCTUATION[data]), len(data))
+        left = inner[np.searchsorted(inner[:-1], starts)]
+        right = inner[np.searchsorted(inner[:-1], ends) - 1] + 1
+        some = left < ends
+        starts, ends = np.where(some, left, starts), np.where(some, right, ends)
     return Pieces(starts, ends, text, _hashed(data, starts, ends), bounds)
 
 
