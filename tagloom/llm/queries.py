@@ -10,9 +10,14 @@ from .common import table
 from .decontaminate import overlaps
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
+from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_overlaps": op2_benchmark_overlaps,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_balanced_shards": op9_balanced_shards,
