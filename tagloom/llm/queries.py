@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import overlaps
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
 
@@ -22,6 +23,10 @@ def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("k")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=20, rows=4)
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_overlaps": op2_benchmark_overlaps,
+        "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_balanced_shards": op9_balanced_shards,
         "op10_cross_site_lines": op10_cross_site_lines,
