@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import overlaps
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
@@ -31,6 +32,17 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=20, rows=4)
 
 
+def vocabulary_path() -> str:
+    """The tokenizer file of the registered packing query; a parameter of the operator."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -74,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_overlaps": op2_benchmark_overlaps,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_retrieval_packing": op8_retrieval_packing,
         "op9_balanced_shards": op9_balanced_shards,
         "op10_cross_site_lines": op10_cross_site_lines,
     }
