@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import overlaps
+from .html_text import extract_text
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -24,6 +25,10 @@ def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("k")
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_overlaps": op2_benchmark_overlaps,
+        "op3_main_text": op3_main_text,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_retrieval_packing": op8_retrieval_packing,
