@@ -17,7 +17,8 @@ shingle; without words the set is empty and linked with nothing.
 4. Components of the confirmed links are found by distributed union-find.
 
 With ``bands`` bands of ``rows`` components a pair of similarity s is missed with
-probability (1 - s**rows)**bands: 4e-7 at 0.85 with the defaults.
+probability (1 - s**rows)**bands: 6e-7 at 0.8 with the defaults. Longer bands keep
+pairs that share a common passage only out of the buckets.
 
 Edge cases: a null doc_id can't be named in a result, so such rows are linked with
 nothing, are their own component (null) and are kept. Every row comes back; rows
@@ -126,8 +127,8 @@ def _signature_batches(k: int, bands: int, rows: int):
         for batch in batches:
             ids = batch.column(0)
             for first, sets in shingle_sets(batch.column(1), k):
-                for lo in range(0, len(sets), 256):
-                    part = sets[lo : lo + 256]
+                for lo in range(0, len(sets), 128):
+                    part = sets[lo : lo + 128]
                     values = super_minhash(part, m)
                     with np.errstate(over="ignore"):
                         keys = mix((values * 2.0**40).astype(np.uint64)) if m else values
@@ -341,7 +342,7 @@ def _links(ws: Workspace, sets: DataFrame, left: DataFrame, right: DataFrame, th
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 24, rows: int = 4, block_items: int = 200_000
+    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 36, rows: int = 5, block_items: int = 200_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; ``threshold`` is a percentage.
 

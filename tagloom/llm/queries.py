@@ -34,7 +34,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=20, rows=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=30, rows=6)
 
 
 def vocabulary_path() -> str:
