@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import overlaps
 from .html_text import extract_text
+from .language_id import identify_languages
 from .line_dedup import MIN_SITES, remove_cross_site_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
+from .resampling import resample
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
 
@@ -29,6 +31,14 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("k")
 
@@ -90,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_overlaps": op2_benchmark_overlaps,
         "op3_main_text": op3_main_text,
+        "op4_importance_sample": op4_importance_sample,
+        "op5_language_id": op5_language_id,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_retrieval_packing": op8_retrieval_packing,
