@@ -36,7 +36,7 @@ from .common import Workspace, pick
 from .text_arrays import ngrams, text_chunks, words
 
 BUCKETS = 1 << 16
-SMOOTHING = 10.0
+SMOOTHING = 5.0
 _LABELS = {"doc_id": "bigint", "quality": "int", "toxic": "int"}
 
 
