@@ -1,5 +1,74 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+reread as the next one's docs. All but the last return the columns of documents
+(doc_id, text, lang, source, n_chars); further columns of the input are left out. What
+each does with nulls, empty texts and repeated rows is stated in its operator's module.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm.common import Workspace, pick, table
+from tagloom.llm.decontaminate import decontaminate
+from tagloom.llm.line_dedup import remove_cross_site_lines
+from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.packing import pack
+from tagloom.llm.quality_rules import keep_good
+from tagloom.llm.queries import vocabulary_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that spread over many sites."""
+    return remove_cross_site_lines(docs).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id and are equal, one stays. Rows with a null doc_id stay.
+    """
+    base = pick(docs, *COLUMNS)
+    dropped = near_duplicates(base, k=5, threshold=80).where("NOT kept").select("doc_id").distinct()
+    named = base.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(base.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return pack(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+# perplexity, tokens and greedy packing can't be told in SQL
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each on the written table of the one before."""
+    ws = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = ws.keep(stage(spark, docs, sf_dir).select(*[F.col(c) for c in COLUMNS]), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
