@@ -41,6 +41,8 @@ from .components import connected_components
 from .text_arrays import mix, ngrams, text_chunks, words
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+# buckets of more nodes are taken as one candidate cluster without comparing signatures
+CROWD = 64
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -262,25 +264,29 @@ def _stored_sets(k: int):
 def candidate_clusters(ws: Workspace, heads: DataFrame, threshold: int, min_equal: int, max_rounds: int = 40) -> DataFrame:
     """node, cluster: any two nodes that share a band and pass the sift are in one cluster.
 
-    No bucket is multiplied out: a pivot is compared with the bucket's other members, on
-    signatures only. Buckets whose members are not all in one cluster by then go on, with
-    more pivots each round, until each pair was compared or shares a cluster.
+    A bucket of more than ``CROWD`` nodes is in one cluster as it is. No smaller one is multiplied
+    out either: a pivot is compared with the bucket's other members, on signatures only. Buckets
+    whose members are not all in one cluster by then go on, with more pivots each round, until each
+    pair was compared or shares a cluster.
     """
     facts = heads.select("node", "n_shingles", "signature")
     exploded = heads.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket")
     )
-    crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = ws.keep(exploded.join(crowded, "bucket").select("bucket", "node"), "members0")
-    edges = ws.spark.createDataFrame([], "a bigint, b bigint")
-    cluster = edges.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
+    crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = ws.keep(exploded.join(crowded, "bucket"), "in_buckets")
+    crowds = placed.where(F.col("n") > CROWD)
+    centres = crowds.groupBy("bucket").agg(F.min("node").alias("a"))
+    edges = crowds.join(centres, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    edges = ws.keep(edges, "crowds")
+    cluster = connected_components(edges)
+    members = placed.where(F.col("n") <= CROWD).select("bucket", "node")
     for n in range(max_rounds):
         placed = members.join(cluster, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("c"))
-        if n:
-            mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-            placed = ws.keep(placed.join(mixed, "bucket"), f"placed{n}")
-            if placed.isEmpty():
-                return cluster.withColumnRenamed("component_id", "cluster")
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+        placed = ws.keep(placed.join(mixed, "bucket"), f"placed{n}")
+        if placed.isEmpty():
+            return cluster.withColumnRenamed("component_id", "cluster")
         crowd = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("in_c"))
         # one pivot for each of 8**n parts of a bucket, from its smallest cluster, else by a hash of
         # bucket and node, so that the bands of a group have different ones
