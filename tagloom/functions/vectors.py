@@ -10,16 +10,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes; a trailing partial number is left out."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
@@ -73,7 +74,18 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, known: DataFrame | N
     return todo.mapInPandas(run, "doc_id bigint, model_id string, vector array<float>")
 
 
-@udtf(returnType="n int, kind string, label string, start int, stop int")
+_BLOCK = T.StructType(
+    [
+        T.StructField("n", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("stop", T.IntegerType()),
+    ]
+)
+
+
+@udtf(returnType=_BLOCK)
 class DescriptionBlocks:
     """Blocks of one description, for LATERAL joins."""
 

@@ -1,2 +1,389 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the corpus side: imports, families, cascades, searches, text structure."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers, text, vectors
+from ..operators import corpus, labels, outline
+from ..sources import files
+from ..sources.tables import with_clause
+from .learning_queries import T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *tables: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = with_clause(sql, *tables)
+        return f
+
+    return add
+
+
+_PARSED = r"""
+p0 AS (SELECT line_no, input_raw, upper(regexp_extract(trim(input_raw), '^([A-Za-z]+)', 1)) AS c,
+         translate(regexp_extract(trim(input_raw), '^[A-Za-z]+(.*)$', 1), ' ./,', '') AS rest FROM a_number_lines),
+p1 AS (SELECT *, regexp_extract(rest, '^([0-9]+)([A-Za-z][0-9]*)?$', 1) AS n, upper(regexp_extract(rest, '^([0-9]+)([A-Za-z][0-9]*)?$', 2)) AS k FROM p0),
+parsed AS (SELECT line_no, input_raw, CASE WHEN c = '' OR n = '' THEN 'unparseable' WHEN c NOT IN ('EP', 'US', 'WO') THEN 'needs_normalisation' ELSE 'parsed' END AS outcome,
+  CASE WHEN c <> '' AND n <> '' THEN c END AS country, CASE WHEN c <> '' AND n <> '' THEN n END AS number, CASE WHEN c <> '' AND n <> '' THEN nullif(k, '') END AS kind,
+  CASE WHEN c <> '' AND n <> '' THEN concat(c, n) END AS pub_key FROM p1)"""
+_RESULT = (
+    _PARSED
+    + """,
+result AS (SELECT *, CASE WHEN outcome <> 'parsed' THEN outcome
+    WHEN row_number() OVER (PARTITION BY outcome, pub_key ORDER BY line_no) > 1 OR pub_key IN (SELECT pub_key FROM known) THEN 'duplicate' ELSE 'imported' END AS result FROM parsed)"""
+)
+_KNOWN = "known AS (SELECT DISTINCT pub_key FROM a_documents WHERE doc_id % 7 = 0)"
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    t = T(spark, sf_dir)
+    return corpus.dedupe_numbers(numbers.normalise_numbers(t.a_number_lines), t.a_documents.where("doc_id % 7 = 0"))
+
+
+@query(f"WITH {_PARSED} SELECT * FROM parsed", "a_number_lines")
+def normalised_numbers(spark, sf_dir):
+    return numbers.normalise_numbers(T(spark, sf_dir).a_number_lines)
+
+
+@query(f"WITH {_KNOWN}, {_RESULT} SELECT line_no, pub_key, result FROM result", "a_number_lines", "a_documents")
+def deduped_numbers(spark, sf_dir):
+    return _results(spark, sf_dir).select("line_no", "pub_key", "result")
+
+
+@query(f"WITH {_KNOWN}, {_RESULT} SELECT result, count(*) AS n, list(line_no ORDER BY line_no) AS lines FROM result GROUP BY result", "a_number_lines", "a_documents")
+def import_report(spark, sf_dir):
+    return corpus.import_report(_results(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PARSED} SELECT (SELECT max(doc_id) FROM a_documents WHERE doc_id % 7 = 0) + row_number() OVER (ORDER BY line_no) AS doc_id, pub_key, 'pending' AS fetch_status
+    FROM (SELECT pub_key, min(line_no) AS line_no FROM parsed WHERE outcome = 'parsed' AND pub_key NOT IN (SELECT pub_key FROM a_documents WHERE doc_id % 7 = 0) GROUP BY pub_key)""",
+    "a_number_lines", "a_documents",
+)
+def pending_documents(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return corpus.add_pending(t.a_documents.where("doc_id % 7 = 0"), numbers.normalise_numbers(t.a_number_lines).where("outcome = 'parsed'"))
+
+
+@query(
+    """SELECT doc_id, concat(country, number) AS pub_key, concat(country, '.', number, '.', kind) AS docdb_id, regexp_extract(pub_key, '^([A-Za-z]+)', 1) AS c,
+    regexp_extract(pub_key, '^[A-Za-z]+(.*)$', 1) AS n, concat('https://worldwide.espacenet.com/patent/search?q=pn%3D', pub_key, kind) AS url FROM a_documents""",
+    "a_documents",
+)
+def document_keys(spark, sf_dir):
+    c, n = numbers.split_pub_key(F.col("pub_key"))
+    return T(spark, sf_dir).a_documents.select(
+        "doc_id", numbers.pub_key(F.col("country"), F.col("number")).alias("pub_key"),
+        numbers.docdb_id(F.col("country"), F.col("number"), F.col("kind")).alias("docdb_id"), c.alias("c"), n.alias("n"),
+        numbers.publication_url(F.col("pub_key"), F.array("kind")).alias("url"),
+    )
+
+
+@query(
+    """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 404 ELSE 500 END AS code FROM documents WHERE doc_id % 7 = 0)
+    SELECT d.doc_id, CASE WHEN code = 404 THEN 'not_found' WHEN code IS NOT NULL THEN 'error' WHEN abstract IS NOT NULL AND language = 'en' THEN 'fetched' ELSE 'no_english_abstract' END AS fetch_status
+    FROM a_documents d LEFT JOIN f ON f.doc_id = d.doc_id""",
+    "a_documents",
+)
+def fetch_outcomes(spark, sf_dir):
+    d = T(spark, sf_dir).a_documents
+    selected = d.select("doc_id", F.when(F.col("language") == "en", F.col("abstract")).alias("abstract"))
+    failures = d.where("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 14 == 0, 404).otherwise(500).alias("code"))
+    return corpus.fetch_outcome(selected, failures)
+
+
+@query(
+    """SELECT doc_id, concat(title, '. ', abstract) AS input FROM a_documents WHERE title IS NOT NULL AND abstract IS NOT NULL""", "a_documents"
+)
+def embedding_inputs(spark, sf_dir):
+    d = T(spark, sf_dir).a_documents
+    return d.select("doc_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("input")).where("input IS NOT NULL")
+
+
+@query("SELECT tag_id, concat(name, ': ', definition) AS input FROM a_tags", "a_tags")
+def tag_inputs(spark, sf_dir):
+    return T(spark, sf_dir).a_tags.select("tag_id", vectors.tag_text(F.col("name"), F.col("definition")).alias("input"))
+
+
+@query()
+def embedded_documents(spark, sf_dir):
+    d = T(spark, sf_dir).a_documents.select("doc_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("input"))
+    return vectors.embed(d, "input", vectors.HashedTerms())
+
+
+@query(
+    """SELECT doc_id, related_id, list(DISTINCT via ORDER BY via) AS via FROM (
+      SELECT a.doc_id, b.doc_id AS related_id, 'application_number' AS via FROM a_documents a JOIN a_documents b ON a.application_number = b.application_number AND a.doc_id <> b.doc_id
+      UNION ALL SELECT a.doc_id, b.doc_id, 'family_id' FROM a_documents a JOIN a_documents b ON a.family_id = b.family_id AND a.doc_id <> b.doc_id) GROUP BY doc_id, related_id""",
+    "a_documents",
+)
+def related_documents(spark, sf_dir):
+    return corpus.related_documents(T(spark, sf_dir).a_documents)
+
+
+_HITS = "hits AS (SELECT doc_id AS pos, pub_key, family_id, publication_date, abstract IS NOT NULL AND language = 'en' AS english FROM a_documents)"
+_CHOSEN = (
+    _HITS
+    + """,
+chosen AS (SELECT coalesce('fam:' || family_id, 'pub:' || pub_key) AS family, min(pos) AS first_pos,
+  arg_min({'pos': pos, 'pub_key': pub_key, 'd': publication_date, 'f': family_id}, (NOT english, publication_date IS NULL, coalesce(publication_date, DATE '9999-12-31'), pos)) AS s FROM hits GROUP BY 1)"""
+)
+
+
+def _chosen(t: T) -> DataFrame:
+    hits = t.a_documents.select(
+        F.col("doc_id").alias("pos"), "pub_key", "family_id", "publication_date", (F.col("abstract").isNotNull() & (F.col("language") == "en")).alias("english")
+    )
+    return corpus.one_per_family(hits)
+
+
+@query(f"WITH {_CHOSEN} SELECT family, first_pos, s.pos AS pos, s.pub_key AS pub_key, s.d AS publication_date FROM chosen", "a_documents")
+def one_per_family(spark, sf_dir):
+    return _chosen(T(spark, sf_dir))
+
+
+_SPLIT = (
+    _CHOSEN
+    + """,
+known AS (SELECT * FROM a_documents WHERE doc_id % 9 = 0),
+split AS (SELECT s.pos AS pos, s.pub_key AS pub_key, CASE WHEN s.pub_key IN (SELECT pub_key FROM known) THEN 'duplicate'
+  WHEN s.f IN (SELECT family_id FROM known WHERE family_id IS NOT NULL) THEN 'family' ELSE 'new' END AS known_as FROM chosen)"""
+)
+
+
+def _split(t: T) -> DataFrame:
+    chosen = _chosen(t).join(t.a_documents.select(F.col("doc_id").alias("pos"), "family_id"), "pos")
+    return corpus.split_known(chosen, t.a_documents.where("doc_id % 9 = 0")).select("pos", "pub_key", "known_as")
+
+
+@query(f"WITH {_SPLIT} SELECT pos, pub_key, known_as FROM split", "a_documents")
+def split_known(spark, sf_dir):
+    return _split(T(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SPLIT} SELECT (SELECT count(*) FROM hits) AS scanned, count(*) AS families, count(*) FILTER (WHERE known_as = 'family') AS known_families,
+    count(*) FILTER (WHERE known_as = 'duplicate') AS duplicates, count(*) FILTER (WHERE known_as = 'new') AS imported FROM split""",
+    "a_documents",
+)
+def batch_report(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return corpus.batch_report(t.a_documents, _split(t))
+
+
+_TIER = "CASE WHEN requested THEN 1 WHEN application_number = request_app THEN 2 ELSE 3 END"
+_RANK = f"CASE WHEN {_TIER} < 3 THEN 0 ELSE CASE country WHEN 'WO' THEN 0 WHEN 'US' THEN 1 WHEN 'GB' THEN 2 WHEN 'EP' THEN 3 ELSE 4 END END"
+
+
+@query(
+    f"""SELECT request_id, arg_min(english, ({_TIER}, {_RANK}, pos)) AS text, arg_min(docdb_id, ({_TIER}, {_RANK}, pos)) AS source_docdb_id
+    FROM a_candidates WHERE english IS NOT NULL GROUP BY request_id""",
+    "a_candidates",
+)
+def selected_text(spark, sf_dir):
+    return corpus.select_text(T(spark, sf_dir).a_candidates)
+
+
+@query(
+    f"""SELECT request_id, arg_min(docdb_id, (lower(language) <> 'en', {_TIER}, {_RANK}, pos)) AS source, arg_min(language, (lower(language) <> 'en', {_TIER}, {_RANK}, pos)) AS lang,
+    bool_and(lower(language) <> 'en') AS non_english_only FROM a_candidates WHERE language IS NOT NULL GROUP BY request_id""",
+    "a_candidates",
+)
+def selected_fulltext(spark, sf_dir):
+    return corpus.select_fulltext(T(spark, sf_dir).a_candidates)
+
+
+@query(f"SELECT request_id, arg_min(docdb_id, ({_TIER}, {_RANK}, pos)) AS source FROM a_candidates WHERE has_drawings GROUP BY request_id", "a_candidates")
+def selected_drawings(spark, sf_dir):
+    return corpus.select_drawings(T(spark, sf_dir).a_candidates)
+
+
+@query(
+    f"""SELECT request_id, docdb_id, min({_TIER}) AS tier, min(pos) AS pos FROM a_candidates WHERE NOT requested GROUP BY request_id, docdb_id""", "a_candidates"
+)
+def candidate_set(spark, sf_dir):
+    c = T(spark, sf_dir).a_candidates.select("request_id", "docdb_id", "pos", "requested", "application_number", "request_app")
+    return corpus.candidate_set(c.where("application_number = request_app").drop("application_number", "request_app"), c.drop("application_number", "request_app"))
+
+
+@query(
+    f"SELECT DISTINCT request_id FROM a_candidates WHERE request_id NOT IN (SELECT request_id FROM a_candidates WHERE english IS NOT NULL AND {_TIER} < 3)", "a_candidates"
+)
+def requests_for_family(spark, sf_dir):
+    return corpus.needs_family(T(spark, sf_dir).a_candidates)
+
+
+@query("SELECT request_id, list(DISTINCT split_part(docdb_id, '.', 3) ORDER BY split_part(docdb_id, '.', 3)) AS kinds FROM a_candidates GROUP BY request_id", "a_candidates")
+def kind_codes(spark, sf_dir):
+    return corpus.kind_codes(T(spark, sf_dir).a_candidates)
+
+
+@query(
+    """SELECT doc_id, pub_key FROM a_documents WHERE (contains(upper(applicant), 'SRC1') OR contains(upper(applicant), 'SRC7')) AND country = 'EP'
+    AND publication_date BETWEEN DATE '2012-01-01' AND DATE '2018-12-31'""",
+    "a_documents",
+)
+def applicant_search(spark, sf_dir):
+    return corpus.applicant_search(T(spark, sf_dir).a_documents, 'src1; "src7"', "ep", 2012, 2018).select("doc_id", "pub_key")
+
+
+_RANKED = """r AS (SELECT applicant AS search, doc_id, docdb_id, publication_date, row_number() OVER (PARTITION BY applicant ORDER BY publication_date DESC NULLS LAST, docdb_id) AS rank
+  FROM (SELECT *, concat(country, '.', number, '.', kind) AS docdb_id FROM a_documents))"""
+
+
+def _batch(t: T):
+    hits = t.a_documents.select(F.col("applicant").alias("search"), "publication_date", numbers.docdb_id(F.col("country"), F.col("number"), F.col("kind")).alias("docdb_id"))
+    state = hits.select("search").distinct().withColumn("next_start", F.lit(11).cast("bigint"))
+    return corpus.search_batch(hits, state, page=10, cap=40)
+
+
+@query(f"WITH {_RANKED} SELECT search, docdb_id, publication_date, rank FROM r WHERE rank BETWEEN 11 AND 20 AND rank <= 40", "a_documents")
+def search_batch(spark, sf_dir):
+    return _batch(T(spark, sf_dir))[0].select("search", "docdb_id", "publication_date", "rank")
+
+
+@query(
+    f"""WITH {_RANKED}, n AS (SELECT search, count(*) AS total FROM r GROUP BY search), s AS (SELECT search, total, greatest(11, least(21, least(total, 40) + 1)) AS next_start FROM n)
+    SELECT search, next_start, total, next_start > least(total, 40) AS exhausted, least(next_start - 1, total) AS results_read, total > 40 AS capped FROM s""",
+    "a_documents",
+)
+def search_progress(spark, sf_dir):
+    return _batch(T(spark, sf_dir))[1]
+
+
+_LINES = r"""
+l0 AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS n, unnest(string_split(t, chr(10))) AS line FROM src),
+l1 AS (SELECT *, coalesce(sum(length(line) + length(regexp_replace(line, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM l0),
+lines AS (SELECT *, (start + length(line) + length(regexp_replace(line, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INT AS stop, regexp_replace(line, '^\s+|\s+$', '', 'g') AS body FROM l1 WHERE regexp_replace(line, '\s', '', 'g') <> '')"""
+# even lines get a paragraph number
+_NUMBERED = """src AS (SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 THEN '[000' || (i % 10) || '] ' || x ELSE x END, chr(10) ORDER BY i) AS t
+  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL) GROUP BY doc_id)"""
+_CLAIMS = """src AS (SELECT doc_id, concat('1. A device.', chr(10), '2. The device of claim 1.', chr(10), '3. The device as claimed in claims 1 or 2,', chr(10), 'with a part.', chr(10),
+  '4) The device of any one of claims 1 to ', CAST(2 + doc_id % 2 AS VARCHAR), '.', chr(10), '5. Use of a device of the preceding claims.', chr(10), '6. A method.') AS t FROM documents)"""
+
+
+def _numbered(t: T) -> DataFrame:
+    parts = F.transform(
+        F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("[000"), (i % 10).cast("string"), F.lit("] "), x)).otherwise(x)
+    )
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.array_join(parts, "\n").alias("description"))
+
+
+def _claims(t: T) -> DataFrame:
+    return t.documents.select(
+        "doc_id",
+        F.concat(
+            F.lit("1. A device.\n2. The device of claim 1.\n3. The device as claimed in claims 1 or 2,\nwith a part.\n4) The device of any one of claims 1 to "),
+            (2 + F.col("doc_id") % 2).cast("string"), F.lit(".\n5. Use of a device of the preceding claims.\n6. A method."),
+        ).alias("claims"),
+    )
+
+
+@query(
+    rf"""WITH {_NUMBERED}, {_LINES} SELECT doc_id, n::INT AS n, CASE WHEN regexp_matches(line, '^\s*\[[0-9]+\]') THEN 'paragraph'
+    WHEN length(body) <= 120 AND NOT regexp_matches(body, '[.,;]$') AND regexp_matches(regexp_extract(body, '\p{{L}}'), '^\p{{Lu}}') THEN 'heading' ELSE 'paragraph' END AS kind,
+    nullif(regexp_extract(line, '^\s*\[([0-9]+)\]', 1), '') AS label, start, stop FROM lines"""
+)
+def description_blocks(spark, sf_dir):
+    return outline.description_blocks(_numbered(T(spark, sf_dir)))
+
+
+@query(
+    rf"""WITH {_CLAIMS}, {_LINES}, b AS (SELECT *, nullif(regexp_extract(line, '^\s*([0-9]+)[.)]', 1), '') AS label,
+    count(nullif(regexp_extract(line, '^\s*([0-9]+)[.)]', 1), '')) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM lines)
+    SELECT doc_id, block, max(label) AS label, min(start) AS start, max(stop) AS stop FROM b GROUP BY doc_id, block"""
+)
+def claim_blocks(spark, sf_dir):
+    return outline.claim_blocks(_claims(T(spark, sf_dir)))
+
+
+@query()
+def claim_references(spark, sf_dir):
+    return outline.claim_refs(_claims(T(spark, sf_dir)))
+
+
+@query(
+    """SELECT doc_id, claim, claim IN (1, 6) AS is_independent, CASE claim WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 2 END
+    WHEN 5 THEN CASE WHEN doc_id % 2 = 1 THEN 4 ELSE 3 END ELSE 0 END AS depth FROM documents CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6])::INT AS claim)"""
+)
+def claim_tree(spark, sf_dir):
+    d = _claims(T(spark, sf_dir))
+    claims = outline.claim_blocks(d).where("label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("claim"))
+    return outline.claim_tree(claims, outline.claim_dependencies(outline.claim_refs(d)))
+
+
+@query(
+    """SELECT id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 10 WHEN strpos(text, quote) > 0 THEN (SELECT arg_min(p, (abs(p - 10), p)) FROM (SELECT unnest(list_transform(range(1, len(string_split(text, quote))),
+      lambda i: CAST(list_sum(list_transform(string_split(text, quote)[1:i], lambda x: length(x))) + (i - 1) * length(quote) AS INT))) AS p)) ELSE 10 END::INT AS new_start,
+      CASE WHEN doc_id % 3 = 0 THEN false ELSE strpos(text, quote) = 0 END AS detached FROM a_highlights""",
+    "a_highlights",
+)
+def resolved_highlights(spark, sf_dir):
+    return outline.resolve_highlights(T(spark, sf_dir).a_highlights).select("id", "doc_id", "new_start", "detached")
+
+
+@query(
+    r"""SELECT doc_id, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units, substring(text, 6, 10) AS slice,
+    trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, nullif(trim(lang), '') AS lang FROM documents WHERE length(text) >= 15"""
+)
+def text_functions(spark, sf_dir):
+    d = T(spark, sf_dir).documents.where("length(text) >= 15")
+    return d.select(
+        "doc_id", text.utf16_len(F.col("text")).cast("bigint").alias("units"), text.utf16_slice(F.col("text"), F.lit(5), F.lit(15)).alias("slice"),
+        text.norm_ws(F.col("text")).alias("flat"), text.blank_to_null(F.col("lang")).alias("lang"),
+    )
+
+
+@query(
+    """SELECT doc_id, strftime(publication_date, '%Y-%m-%d') AS day, strftime(to_timestamp(doc_id * 86400)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS at FROM a_documents""", "a_documents"
+)
+def date_functions(spark, sf_dir):
+    d = T(spark, sf_dir).a_documents
+    return d.select("doc_id", text.ops_date(F.date_format("publication_date", "yyyyMMdd")).alias("day"), text.iso_utc(F.col("doc_id") * 86400).alias("at"))
+
+
+@query("SELECT doc_id, [lang, source] AS items FROM documents")
+def json_lists(spark, sf_dir):
+    d = T(spark, sf_dir).documents
+    return d.select("doc_id", text.json_list(F.to_json(F.array("lang", "source"))).alias("items"))
+
+
+def _xml(t: T) -> DataFrame:
+    def esc(c: str):
+        c = F.coalesce(c, F.lit(""))
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    d = t.a_documents
+    body = F.concat(
+        F.lit('<exchange-document country="'), F.col("country"), F.lit('" doc-number="'), F.col("number"), F.lit('" kind="'), F.col("kind"), F.lit('" family-id="'),
+        F.coalesce(F.col("family_id").cast("string"), F.lit("")), F.lit('"><bibliographic-data><application-reference><document-id document-id-type="epodoc"><doc-number>'),
+        F.col("application_number"), F.lit('</doc-number></document-id></application-reference><invention-title lang="en">'), esc("title"),
+        F.lit('</invention-title></bibliographic-data><abstract lang="en"><p>'), esc("abstract"), F.lit("</p></abstract></exchange-document>"),
+    )
+    return d.select(F.col("doc_id").alias("id"), body.alias("xml"))
+
+
+@query(
+    r"""SELECT doc_id AS id, concat(country, '.', number, '.', kind) AS docdb_id, application_number, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title,
+    regexp_replace(coalesce(abstract, ''), '^\s+|\s+$', '', 'g') AS abstract FROM a_documents""",
+    "a_documents",
+)
+def parsed_publications(spark, sf_dir):
+    p = files.parse_publications(_xml(T(spark, sf_dir)))
+    return p.select("id", "docdb_id", "application_number", F.col("titles")["en"].alias("title"), F.col("abstracts")["en"].alias("abstract"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'skipped' ELSE review_state END AS review_state FROM a_documents""", "a_documents"
+)
+def updated_documents(spark, sf_dir):
+    d = T(spark, sf_dir).a_documents
+    return labels.apply_document_updates(d, d.where("doc_id % 5 = 0").select("doc_id", F.lit("skipped").alias("review_state"))).select("doc_id", "review_state")
