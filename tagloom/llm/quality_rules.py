@@ -39,7 +39,7 @@ ORDER = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
 WIDTH = 10.0
-MAX_MODEL = 8_000_000
+MAX_MODEL = 4_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

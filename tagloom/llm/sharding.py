@@ -27,7 +27,7 @@ from .common import Workspace, pick, utf8_length
 ROW_OVERHEAD = 16
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, whole_group: float = 0.01) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, whole_group: float = 0.02) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; see the module."""
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
