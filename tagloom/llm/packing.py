@@ -42,15 +42,22 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 _CACHE_WORDS = 500_000
+_PART_BYTES = 8 << 20
 
 
 class WordTokenizer:
     """Ids of texts, encoding each different word once.
 
-    The tokenizer drops white space and never merges over it, so a text's ids are those
-    of its white-space separated parts in order.
+    The tokenizer drops white space and never merges over it, nor over the border between
+    letters and the punctuation behind them, so a text's ids are those of its words in order, and a
+    word's are those of its letters and of its trailing punctuation. Words of letters only are one unit
+    each, whose last id is marked as a word end in the vocabulary: many are encoded in one call
+    and told apart by these marks.
     """
 
+    # punctuation that may be cut off; the apostrophe has rules of its own and is not in it
+    TAIL = ".,;:!?*#%$&"
+
     def __init__(self, path: str):
         import os
 
@@ -59,34 +66,73 @@ class WordTokenizer:
 
         self._encoder = Tokenizer.from_file(path)
         self._encoder.encode_special_tokens = True
-        self._known: dict[str, np.ndarray] = {}
+        self._is_end = np.zeros(self.vocabulary(), bool)
+        self._is_end[[i for t, i in self._encoder.get_vocab().items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known: dict[str, int] = {"": 0}
+        self._pairs: dict[str, int] = {}
+        self._pools: list[np.ndarray] = [np.zeros(0, np.uint16)]
+        self._sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
 
     def vocabulary(self) -> int:
         return self._encoder.get_vocab_size()
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > _CACHE_WORDS:
-            self._known.clear()
-            new = words
-        for w, e in zip(new, self._encoder.encode_batch(new, add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, np.uint16)
-        return [self._known[w] for w in words]
+    def _add(self, units: list[str], ids: list[np.ndarray]) -> None:
+        for u in units:
+            self._known[u] = len(self._known)
+        self._pools += ids
+        self._sizes.append(np.array([len(x) for x in ids], np.int64))
+
+    def _learn(self, units: set[str]) -> None:
+        """Encode units that are not known yet."""
+        units -= self._known.keys()
+        plain = [u for u in units if u.isalpha()]
+        odd = [u for u in units if not u.isalpha()]
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for part, e in zip(groups, self._encoder.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self._is_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._known.update(zip(part, range(len(self._known), len(self._known) + len(part)), strict=True))
+                self._pools.append(ids.astype(np.uint16))
+                self._sizes.append(np.diff(ends, prepend=0))
+            else:  # a letter that lower case or normalisation takes apart
+                odd += part
+        for i in range(0, len(odd), 1000):
+            part = odd[i : i + 1000]
+            self._add(part, [np.array(e.ids, np.uint16) for e in self._encoder.encode_batch_fast(part, add_special_tokens=False)])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        parts = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\n\r]+")
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
         flat = parts.flatten().dictionary_encode()
-        per_word = self._ids(flat.dictionary.to_pylist())
-        code = np.asarray(flat.indices)
-        size = np.array([len(x) for x in per_word], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
-        pool = np.concatenate(per_word) if per_word else np.zeros(0, np.uint16)
-        lengths = size[code]
+        words = flat.dictionary.to_pylist()
+        if len(self._known) > _CACHE_WORDS:
+            self._clear()
+        pairs = self._pairs
+        new = [w for w in words if w not in pairs]
+        cores = [w.rstrip(self.TAIL) for w in new]
+        # only letters may lose their punctuation; anything else is a unit as a whole
+        cores = [(c.lower() if c.isascii() else c) if c.isalpha() else w for c, w in zip(cores, new, strict=True)]
+        tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
+        self._learn({*cores, *tails})
+        known = self._known
+        # two units a word
+        pairs.update(zip(new, [known[c] << 32 | known[t] for c, t in zip(cores, tails, strict=True)], strict=True))
+        both = np.array([pairs[w] for w in words], np.int64)
+        unit = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
+        pool, size = np.concatenate(self._pools), np.concatenate(self._sizes)
+        self._pools, self._sizes = [pool], [size]
+        start = np.cumsum(size) - size
+        code = np.asarray(flat.indices).astype(np.int64)
+        units = unit[code].ravel()
+        lengths = size[units]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(start[code] - total[:-1], lengths) + np.arange(total[-1])
+        at = np.repeat(start[units] - total[:-1], lengths) + np.arange(total[-1])
         ids = pool[at]
-        ends = total[offsets]
+        ends = total[2 * offsets]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -99,16 +145,32 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, window: int):
+    """Rows of ids, and at the end of a task one row with its document frequencies, number of tails and of their tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(path)
+        names = ["doc_id", "h", "ids", "counts"]
+        df = np.zeros(encoder.vocabulary() + 2, np.int64)
         end = np.array([end_id], np.uint16)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + _PART_BYTES, "right")))
+                part = batch.slice(i, j - i)
+                i = j
                 ids = encoder.encode(part.column(1))
-                blobs = pa.array([np.concatenate([x, end]).astype("<u2").tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), blobs], names=["doc_id", "h", "ids"])
+                ids = [np.concatenate([x, end]).astype("<u2") for x in ids]
+                for x in ids:
+                    t = _tail(x, window)
+                    df[np.unique(t)] += 1
+                    df[-2:] += (len(t) > 0, len(t))
+                blobs = pa.array([x.tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), blobs, pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names=names
+        )
 
     return run
 
@@ -117,23 +179,15 @@ def _tail(ids: np.ndarray, window: int) -> np.ndarray:
     return ids[len(ids) // window * window :]
 
 
-def _frequencies(window: int, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(vocabulary, np.int64)
-        tails = tokens = 0
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                t = _tail(np.frombuffer(blob, "<u2"), window)
-                df[np.unique(t)] += 1
-                tails += len(t) > 0
-                tokens += len(t)
-        some = np.flatnonzero(df)
-        # -1 and -2: number of tails, of their tokens
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [tails, tokens]]))], names=["id", "n"]
-        )
-
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n: sums of the tasks' counts, of what is not zero."""
+    total = None
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            one = np.frombuffer(blob, np.int64)
+            total = one.copy() if total is None else total + one
+    some = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some] if len(some) else some)], names=["id", "n"])
 
 
 def _keys(idf: np.ndarray, mean: float, window: int):
@@ -311,11 +365,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     rows = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
-    ids = ws.keep(rows.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id bigint, h bigint, ids binary"), "ids")
+    stored = ws.keep(rows.mapInArrow(_tokenise(tokenizer_path, end_id, window), "doc_id bigint, h bigint, ids binary, counts binary"), "ids")
+    ids = stored.where("ids IS NOT NULL").select("doc_id", "h", "ids")
     vocabulary = _tokenizer(tokenizer_path).vocabulary()
-    counts = ids.select("ids").mapInArrow(_frequencies(window, vocabulary), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = (
+        stored.where("counts IS NOT NULL").select("counts").mapInArrow(_frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    )
     counts = dict(zip(counts["id"].tolist(), counts["n"].tolist(), strict=True))  # a row per id of the vocabulary
-    n_tails, n_tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+    n_tails, n_tokens = counts.pop(vocabulary, 0), counts.pop(vocabulary + 1, 0)
     df = np.zeros(vocabulary)
     df[list(counts)] = list(counts.values())
     idf = np.log1p((n_tails - df + 0.5) / (df + 0.5)).astype(np.float32)
