@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
 
+# fixed values: the folder of untagged documents, and the wording of the document text below
 UNTAGGED = "_untagged"
 
 
