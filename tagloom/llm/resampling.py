@@ -2,7 +2,7 @@
 
 Words and word pairs of a text are hashed into ``BUCKETS`` buckets. Two bags of hashed
 n-grams are summed over the corpus in Spark: of the target (documents labelled as of
-good quality and not toxic) and of all texts. A document's log weight is the sum over
+good quality and not toxic, at most ``max_target`` of them, the first by a hash) and of all texts. A document's log weight is the sum over
 its n-grams of the log ratio of the two models, each a unigram model over buckets.
 ``smoothing`` counts are added to a bucket's target count and to what the raw model expects
 there, so that what is rare in the target tells little (else the labelled documents would
@@ -37,6 +37,7 @@ from .text_arrays import ngrams, text_chunks, words
 
 BUCKETS = 1 << 16
 SMOOTHING = 5.0
+MAX_TARGET = 200_000
 _LABELS = {"doc_id": "bigint", "quality": "int", "toxic": "int"}
 
 
@@ -105,14 +106,18 @@ def kth_greatest(keys: DataFrame, k: int, column: str = "key") -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, smoothing: float = SMOOTHING) -> DataFrame:
+def resample(
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, smoothing: float = SMOOTHING, max_target: int = MAX_TARGET
+) -> DataFrame:
     """doc_id, log_weight, key, kept for every row; see the module."""
     ws = Workspace(docs.sparkSession, "resampling")
     rows = pick(docs, "doc_id", "text")
     marks = pick(labels, "doc_id", "quality", "toxic", types=_LABELS).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     good = marks.groupBy("doc_id").agg(F.bool_and((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     good = ws.keep(good, "good")
-    flagged = rows.join(good.where("good").select("doc_id", F.lit(True).alias("target")), "doc_id", "left")
+    # a bounded number of ids: texts meet them where they are read
+    chosen = good.where("good").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
+    flagged = rows.join(F.broadcast(chosen.withColumn("target", F.lit(True))), "doc_id", "left")
     bags = (
         flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
         .mapInArrow(_bags, "bucket bigint, n_target bigint, n_raw bigint")
