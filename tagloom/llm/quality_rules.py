@@ -4,14 +4,16 @@ The language model is an interpolated modified Kneser-Ney model (Chen and Goodma
 1999) over the UTF-8 bytes of the texts, of order 5, one per language. White
 space is one blank byte and A-Z are lower-cased for the model. All n-grams of all
 texts are counted in Spark: tasks send the distinct n-grams of their texts
-with counts, so what is gathered grows with the corpus. Lower orders, their
+with counts. Lower orders, their
 continuation counts, discounts and back-off weights are derived from the counted
 table by joins and groupings on n-grams, which are integers of at most 5 bytes.
 
-Scoring looks up each 5-gram of a text (all were counted, so no back-off is left
-at this point) in sorted arrays of 64-bit hashes, shared with the tasks while the
-model has at most ``max_model`` rows; a larger model is joined instead, on the
-(document, n-gram) counts, with the same result.
+A text is scored by the counts of all other texts: its own n-grams, and those of its exact
+copies, are subtracted at every order, and what is then unseen backs off; so a text that
+only repeats itself is not expected. The discounts are those of the whole language. The
+sorted 5-grams are shared with the tasks, which derive the lower orders, while they have at most
+``max_model`` rows; a larger table is joined instead, on the (document, n-gram) counts,
+with the same result.
 
 A document's verdict compares its log perplexity with a lower and an upper bound
 of its language, the quartiles ``width`` quartile distances out, from the exact
@@ -38,8 +40,9 @@ from .text_arrays import SPACE, Chunk, lines, mix, ngrams, text_chunks, words
 ORDER = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
-WIDTH = 10.0
+WIDTH = 6.0
 MAX_MODEL = 4_000_000
+MAX_COPIED = 500_000  # copied texts whose numbers are broadcast
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -159,9 +162,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kneser_ney(ws: Workspace, counts: DataFrame) -> DataFrame:
-    """lang, gram, logp: log probability of the last byte of each counted n-gram given the others.
+    """lang, gram, logp, stats: log probability of the last byte of each counted n-gram given the others.
 
-    ``counts`` has lang, gram, n for the highest order. A gram of order k is the low k bytes.
+    ``counts`` has lang, gram, n for the highest order. A gram of order k is the low k bytes. ``stats`` has
+    for each order from the highest the count, its context's total and numbers of grams counted
+    once, twice and more often, and the three discounts.
     """
     level = counts.select("lang", F.col("gram").alias("g"), "n")
     levels = {ORDER: level}
@@ -185,70 +190,143 @@ def kneser_ney(ws: Workspace, counts: DataFrame) -> DataFrame:
         discounts = seen.select(F.col("lang").alias("dl"), *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
         on_lang = F.col("lang").eqNullSafe(F.col("dl"))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = here.join(discounts, on_lang).select("lang", "g", "ctx", "n", d.alias("d"))
-        sums = rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        sums = sums.select(F.col("lang").alias("sl"), F.col("ctx").alias("sc"), "total", "mass")
+        rows = here.join(discounts, on_lang).select("lang", "g", "ctx", "n", d.alias("d"), "d1", "d2", "d3")
+        sums = rows.groupBy("lang", "ctx").agg(
+            F.sum("n").alias("total"), F.sum("d").alias("mass"),
+            F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"),
+        )
+        sums = sums.select(F.col("lang").alias("sl"), F.col("ctx").alias("sc"), "total", "mass", "c1", "c2", "c3")
         rows = rows.join(sums, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("ctx") == F.col("sc")))
         own = (F.col("n") - F.col("d")) / F.col("total")
         rest = F.col("mass") / F.col("total")
+        stats = F.array(*(F.col(c).cast("double") for c in ("n", "total", "c1", "c2", "c3", "d1", "d2", "d3")))
         if lower is None:
             p = own + rest / 256.0
-            scored = rows.select("lang", "g", p.alias("p"))
+            scored = rows.select("lang", "g", p.alias("p"), stats.alias("stats"))
         else:
             mask = (1 << (8 * (k - 1))) - 1
-            low = lower.select(F.col("lang").alias("ll"), F.col("g").alias("lg"), F.col("p").alias("lp"))
+            low = lower.select(F.col("lang").alias("ll"), F.col("g").alias("lg"), F.col("p").alias("lp"), F.col("stats").alias("ls"))
             scored = rows.join(
                 low, F.col("lang").eqNullSafe(F.col("ll")) & (F.col("g").bitwiseAND(F.lit(mask)) == F.col("lg"))
-            ).select("lang", "g", (own + rest * F.col("lp")).alias("p"))
+            ).select("lang", "g", (own + rest * F.col("lp")).alias("p"), F.concat(stats, "ls").alias("stats"))
         lower = ws.keep(scored, f"p{k}")
-    return lower.select("lang", F.col("g").alias("gram"), F.log("p").alias("logp"))
+    return lower.select("lang", F.col("g").alias("gram"), F.log("p").alias("logp"), "stats")
+
+
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0 to 3 and more, from the numbers of grams counted once to four times."""
+    n1, n2, n3, n4 = (float(np.count_nonzero(n == i)) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
+    seen = (n1, n2, n3, n4)
+    out = [0.0]
+    for i in (1, 2, 3):
+        d = i - (i + 1) * y * seen[i] / seen[i - 1] if seen[i - 1] else i * 0.5
+        out.append(max(0.05, min(i - 0.05, d)) if seen[i - 1] else d)
+    return np.array(out)
+
+
+class Counts:
+    """Counts of a language at every order, derived from the sorted n-grams of the highest one."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.levels = {}
+        for k in range(ORDER, 0, -1):
+            context = grams >> 8
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            sums = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
+            self.levels[k] = (grams, n, context[first], sums, _discounts(n))
+            grams, n = np.unique(grams & ((1 << (8 * (k - 1))) - 1), return_counts=True)
+
+    def of(self, k: int, grams: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Counts of grams; total and numbers of grams counted once, twice, more often of contexts; discounts. All were counted."""
+        keys, n, context_keys, sums, discounts = self.levels[k]
+        at = np.searchsorted(context_keys, contexts)
+        return n[np.searchsorted(keys, grams)], [x[at] for x in sums], discounts
+
+
+def left_out(text: np.ndarray, gram: np.ndarray, own: np.ndarray, copies: np.ndarray, of) -> np.ndarray:
+    """Log probability of every (text, n-gram), under the counts without those of the text and its copies.
+
+    The pairs are different ones, sorted by text and gram; ``own`` is how often a gram is in
+    its text, ``copies`` how many rows have the text. ``of(k, rows, grams, row of each context, contexts)``
+    gives the counts of level k, where a row is a pair that has the gram. A gram that only the text had is
+    gone, and no longer counts for its ending in the next lower order.
+    """
+    keys = (text << (8 * ORDER)) | gram
+    rows = np.arange(len(keys))
+    gone = own * copies
+    steps = []
+    for k in range(ORDER, 0, -1):
+        mask = (1 << (8 * k)) - 1
+        context = keys >> 8 if k > 1 else keys >> 8 << 8
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        group = np.cumsum(np.append(False, context[1:] != context[:-1]))
+        n, sums, discounts = of(k, rows, keys & mask, rows[first], (keys[first] & mask) >> 8)
+        left = n - gone
+        total = sums[0] - np.add.reduceat(gone, first)
+        before, after = np.minimum(n, 3), np.minimum(left, 3)
+        mass = np.zeros(len(first))
+        for i in (1, 2, 3):
+            mass += discounts[i] * (sums[i] + np.add.reduceat((after == i).astype(np.int64) - (before == i), first))
+        some = np.maximum(total, 1)
+        steps.append(((left - discounts[after]) / some[group], np.where(total > 0, mass / some, 1.0)[group]))
+        if k > 1:
+            # to the grams without their first byte
+            short = ((keys >> (8 * k)) << (8 * (k - 1))) | (keys & ((1 << (8 * (k - 1))) - 1))
+            keys, at, back = np.unique(short, return_index=True, return_inverse=True)
+            rows = rows[at]
+            gone = np.bincount(back, left == 0, minlength=len(keys)).astype(np.int64)
+            steps[-1] += (back,)
+    p = steps[-1][0] + steps[-1][1] / 256.0
+    for seen, rest, back in reversed(steps[:-1]):
+        p = seen + rest * p[back]
+    return np.log(p)
+
+
+def _pairs(gram: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (text, gram) in order, and how often each occurs."""
+    keys = np.sort((text.astype(np.int64) << (8 * ORDER)) | gram)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys, n = keys[first], np.diff(np.append(first, len(keys)))
+    return keys >> (8 * ORDER), keys & ((1 << (8 * ORDER)) - 1), n
 
 
-def _hash_arrays(model: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Per language the sorted hashes of the n-grams and their log probabilities; the caller has checked the size."""
-    table = model.toArrow()
-    out = {}
-    langs = table.column("lang").combine_chunks()
-    grams = np.asarray(table.column("gram").combine_chunks())
-    logp = np.asarray(table.column("logp").combine_chunks(), np.float32)
-    codes = langs.dictionary_encode()
+def _arrays(counts: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """Per language the sorted n-grams and their counts; the caller has checked the size."""
+    table = counts.select("lang", "gram", "n").toArrow()
+    grams, n = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("gram", "n"))
+    codes = table.column("lang").combine_chunks().dictionary_encode()
     index = np.asarray(codes.indices.fill_null(-1))
+    out = {}
     for code in np.unique(index):
         own = np.flatnonzero(index == code)
-        h = mix(grams[own].astype(np.uint64))
-        order = np.argsort(h)
-        out[None if code < 0 else codes.dictionary[int(code)].as_py()] = (h[order], logp[own][order])
+        own = own[np.argsort(grams[own])]
+        out[None if code < 0 else codes.dictionary[int(code)].as_py()] = (grams[own], n[own])
     return out
 
 
-def look_up(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Indexes of ``wanted`` in the sorted, evenly spread ``hashes``; all must be there."""
-    bits = max(1, int(len(hashes)).bit_length())
-    shift = np.uint64(64 - bits)
-    starts = np.searchsorted(hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-    at = starts[(wanted >> shift).astype(np.int64)]
-    left = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] != wanted)
-    while len(left):
-        at[left] += 1
-        left = left[hashes[np.minimum(at[left], len(hashes) - 1)] != wanted[left]]
-    return at
+_SCORES = "doc_id bigint, lang string, log_ppl double, k bigint"
 
 
-def _score(model):
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = model.value
+        tables: dict[str | None, Counts] = {}
         for batch in batches:
             total = np.zeros(batch.num_rows)
             size = np.zeros(batch.num_rows, np.int64)
+            copies = np.asarray(batch.column(4), np.int64)
             for lang, rows, texts in _by_language(batch, 1, 2):
                 for chunk in text_chunks(texts):
-                    gram, text = _grams(chunk)
                     own = rows[chunk.first : chunk.first + len(chunk)]
-                    if len(gram):
-                        hashes, logp = arrays[lang]
-                        at = look_up(hashes, mix(gram.astype(np.uint64)))
-                        total[own] = np.bincount(text, logp[at], minlength=len(chunk))
-                        size[own] = chunk.ends - chunk.starts
+                    gram, text = _grams(chunk)
+                    if not len(gram):
+                        continue
+                    if lang not in tables:
+                        tables[lang] = Counts(*shared.value[lang])
+                    text, gram, n = _pairs(gram, text)
+                    logp = left_out(text, gram, n, copies[own][text], lambda k, r, g, c, h, t=tables[lang]: t.of(k, g, h))
+                    total[own] = np.bincount(text, logp * n, minlength=len(chunk))
+                    size[own] = chunk.ends - chunk.starts
             with np.errstate(invalid="ignore", divide="ignore"):
                 value = np.where(size > 0, -total / size, np.nan)
             yield pa.RecordBatch.from_arrays(
@@ -260,22 +338,65 @@ def _score(model):
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, lang, gram, n of every document, for a model that is joined."""
+    """k, lang, copies, gram, own of every document, for counts that are joined."""
     for batch in batches:
         for lang, rows, texts in _by_language(batch, 1, 2):
             for chunk in text_chunks(texts):
                 gram, text = _grams(chunk)
-                keys = batch.column(3).take(pa.array(rows[chunk.first : chunk.first + len(chunk)]))
-                for i in range(len(chunk)):
-                    g, n = np.unique(gram[text == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[i].as_py()] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)],
-                        names=["k", "lang", "gram", "n"],
-                    )
+                if not len(gram):
+                    continue
+                text, gram, n = _pairs(gram, text)
+                at = pa.array(rows[chunk.first : chunk.first + len(chunk)][text])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(3).take(at), pa.array([lang] * len(n), pa.string()), batch.column(4).take(at), pa.array(gram), pa.array(n)],
+                    names=["k", "lang", "copies", "gram", "own"],
+                )
+
+
+_STATS = 8  # numbers that the joined counts have for each order
+
+
+def _score_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, log_ppl from rows k, copies, gram, own, stats in the order of k: only the last document of a batch is held back."""
+    held: list[pa.RecordBatch] = []
+
+    def score(table: pa.Table) -> pa.RecordBatch:
+        k, copies, gram, own = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("k", "copies", "gram", "own"))
+        _, text = np.unique(k, return_inverse=True)
+        order = np.lexsort((gram, text))
+        k, copies, gram, own, text = k[order], copies[order], gram[order], own[order], text[order]
+        stats = np.asarray(table.column("stats").combine_chunks().flatten()).reshape(len(k), ORDER, _STATS)[order]
+        out, sizes = [], np.bincount(text, own)
+        for one in np.split(np.arange(len(k)), np.flatnonzero(np.diff(text)) + 1):  # discounts are those of a document's language
+
+            def of(level, rows, grams, context_rows, contexts, s=stats[one]):
+                x, c = s[rows, ORDER - level], s[context_rows, ORDER - level]
+                return x[:, 0].astype(np.int64), [c[:, i].astype(np.int64) for i in range(1, 5)], np.append(0.0, x[0, 5:])
+
+            logp = left_out(np.zeros(len(one), np.int64), gram[one], own[one], copies[one], of)
+            out.append(-np.sum(logp * own[one]) / sizes[text[one[0]]])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(k)), pa.array(out, pa.float64())], names=["k", "log_ppl"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.asarray(batch.column(0), np.int64)
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut or held and held[-1].column(0)[0].as_py() != k[-1]:
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield score(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield score(pa.Table.from_batches(held))
 
 
 def log_perplexity(ws: Workspace, docs: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
-    """doc_id, lang, log_ppl (per byte, natural log; null without bytes), k (key of the row) for every row."""
+    """doc_id, lang, log_ppl (per byte, natural log; null without bytes), k (key of the row) for every row.
+
+    A text is scored by the counts of the others: its own are left out, with those of its exact copies.
+    """
     rows = pick(docs, "doc_id", "text", "lang").withColumn("k", F.xxhash64("doc_id", "text", "lang"))
     counts = (
         rows.select("text", "lang")
@@ -284,16 +405,26 @@ def log_perplexity(ws: Workspace, docs: DataFrame, max_model: int = MAX_MODEL) -
         .agg(F.sum("n").alias("n"))
     )
     counts = ws.keep(counts, "counts")
-    model = ws.keep(kneser_ney(ws, counts), "model")
-    if model.count() <= max_model:
-        shared = docs.sparkSession.sparkContext.broadcast(_hash_arrays(model))
-        return rows.mapInArrow(_score(shared), "doc_id bigint, lang string, log_ppl double, k bigint")
-    grams = rows.dropDuplicates(["k"]).mapInArrow(_document_grams, "k bigint, lang string, gram bigint, n bigint")
-    m = model.select(F.col("lang").alias("ml"), F.col("gram").alias("mg"), F.col("logp").cast("float").cast("double").alias("logp"))
+    same = F.xxhash64("text", "lang")
+    copied = rows.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = ws.keep(copied, "copied")
+    few = copied.count() <= min(max_model, MAX_COPIED)
+    rows = (
+        rows.withColumn("same", same)
+        .join(F.broadcast(copied) if few else copied, "same", "left")
+        .select("doc_id", "text", "lang", "k", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+    )
+    if counts.count() <= max_model:
+        shared = docs.sparkSession.sparkContext.broadcast(_arrays(counts))
+        return rows.mapInArrow(_score(shared), _SCORES)
+    model = kneser_ney(ws, counts).select(F.col("lang").alias("ml"), F.col("gram").alias("mg"), "stats")
+    grams = rows.dropDuplicates(["k"]).mapInArrow(_document_grams, "k bigint, lang string, copies bigint, gram bigint, own bigint")
     scores = (
-        grams.join(m, (F.col("gram") == F.col("mg")) & F.col("lang").eqNullSafe(F.col("ml")))
-        .groupBy("k")
-        .agg((-F.sum(F.col("logp") * F.col("n")) / F.sum("n")).alias("log_ppl"))
+        grams.join(model, (F.col("gram") == F.col("mg")) & F.col("lang").eqNullSafe(F.col("ml")))
+        .select("k", "copies", "gram", "own", "stats")
+        .repartition("k")
+        .sortWithinPartitions("k")
+        .mapInArrow(_score_joined, "k bigint, log_ppl double")
     )
     return rows.join(scores, "k", "left").select("doc_id", "lang", "log_ppl", "k")
 
