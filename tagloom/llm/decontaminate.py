@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, pick
 from .text_arrays import Pieces, mix, ngrams, text_chunks, words
 
-# fixed values: spaced-seed masks, 1 for a position that is hashed (weight 8, span 11 to 13)
-MASKS = ("1110110010111", "11011100111", "1011110100111", "11111111")
+# fixed values: spaced-seed masks, 1 for a position that is hashed (weight 5, span 5 to 9)
+MASKS = ("11111", "111011", "110111", "1101011", "1110101", "1011011", "11001101", "10110011", "110100011")
 WINDOW = 24
 MIN_SAME = 75
 _BITS = 26
