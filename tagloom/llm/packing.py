@@ -11,16 +11,17 @@
    the place that its hash picks, so a key with a third of all tokens spreads over many
    shards, and no shard depends on anything but counts per key.
 4. Each shard builds its inverted index in memory and packs: the first unused
-   tail is the seed, its highest weighted terms query the index, unused
+   tail is the seed, its ``QUERY_TERMS`` terms of the greatest weight query the index (the others where
+   these find nothing), unused
    neighbours follow by BM25 score until the window is full, and the rest of the last
    one is the next seed. All windows but a shard's last are full; the last is cut
    into powers of two, so nothing is padded.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows and null ids are
 documents of their own and packed like any other. Ties in scores go to the earlier
-tail of the shard (order of doc_id, then text). Texts have no special tokens: their
-strings are ordinary text. Empty tables give empty results. Columns other than doc_id and
-text are not read.
+tail of the shard (order of doc_id, then text). The strings of special tokens in a text are
+these tokens, or plain text without ``special``. A very long text is cut into full windows, so only its tail
+is indexed; its ids are one row. Empty tables give empty results. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, pick
+from .text_arrays import _hashed, text_chunks
 
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-_CACHE_WORDS = 500_000
-_PART_BYTES = 8 << 20
+_CACHE_UNITS = 1_500_000
+_PART_BYTES = 4 << 20
 
 
 class WordTokenizer:
@@ -50,109 +52,159 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges over it, nor over the border between
     letters and the punctuation behind them, so a text's ids are those of its words in order, and a
-    word's are those of its letters and of its trailing punctuation. Words of letters only are one unit
-    each, whose last id is marked as a word end in the vocabulary: many are encoded in one call
-    and told apart by these marks.
+    word's are those of its letters and of its trailing punctuation: its two units. Units of letters only
+    end with one id that is marked as a word end in the vocabulary: many are encoded in one call and told
+    apart by these marks.
+
+    Known units are kept in the order of a hash of their bytes, each with its place in the pool of ids; a
+    unit that is looked up is compared with the one found, so a clash of hashes only costs its encoding.
     """
 
     # punctuation that may be cut off; the apostrophe has rules of its own and is not in it
     TAIL = ".,;:!?*#%$&"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._encoder = Tokenizer.from_file(path)
-        self._encoder.encode_special_tokens = True
+        # as the file has it, the strings of special tokens in a text are these tokens; else they are plain text
+        self._encoder.encode_special_tokens = not special
+        if self.vocabulary() > 1 << 16:
+            raise ValueError(f"ids are stored in 16 bits; {path} has {self.vocabulary()} of them")
         self._is_end = np.zeros(self.vocabulary(), bool)
         self._is_end[[i for t, i in self._encoder.get_vocab().items() if t.endswith("</w>")]] = True
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
-        self._known: dict[str, int] = {"": 0}
-        self._pairs: dict[str, int] = {}
-        self._pools: list[np.ndarray] = [np.zeros(0, np.uint16)]
-        self._sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
+    def forget(self) -> None:
+        """Drop all known units."""
+        self._hashes = np.zeros(0, np.uint64)
+        self._numbers = np.zeros(0, np.int64)  # of the units in the order of their hashes
+        self._units = pa.array([], pa.string())
+        self._pool = np.zeros(0, np.uint16)
+        self._starts = np.zeros(0, np.int64)
+        self._sizes = np.zeros(0, np.int64)
 
     def vocabulary(self) -> int:
-        return self._encoder.get_vocab_size()
-
-    def _add(self, units: list[str], ids: list[np.ndarray]) -> None:
-        for u in units:
-            self._known[u] = len(self._known)
-        self._pools += ids
-        self._sizes.append(np.array([len(x) for x in ids], np.int64))
-
-    def _learn(self, units: set[str]) -> None:
-        """Encode units that are not known yet."""
-        units -= self._known.keys()
-        plain = [u for u in units if u.isalpha()]
-        odd = [u for u in units if not u.isalpha()]
+        return self._encoder.get_vocab_size(with_added_tokens=True)
+
+    def _encode_units(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The order in which the units were encoded, their ids in that order, and how many each has."""
+        plain = [i for i, u in enumerate(units) if u.isalpha()]
+        odd = [i for i, u in enumerate(units) if not u.isalpha()]
+        order: list[int] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for part, e in zip(groups, self._encoder.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int64)
-            ends = np.flatnonzero(self._is_end[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                self._known.update(zip(part, range(len(self._known), len(self._known) + len(part)), strict=True))
-                self._pools.append(ids.astype(np.uint16))
-                self._sizes.append(np.diff(ends, prepend=0))
+        for part, e in zip(groups, self._encoder.encode_batch_fast([" ".join([units[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, np.uint16)
+            ends = np.flatnonzero(self._is_end[own]) + 1
+            if len(ends) == len(part) and ends[-1] == len(own):
+                order += part
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=0))
             else:  # a letter that lower case or normalisation takes apart
                 odd += part
         for i in range(0, len(odd), 1000):
             part = odd[i : i + 1000]
-            self._add(part, [np.array(e.ids, np.uint16) for e in self._encoder.encode_batch_fast(part, add_special_tokens=False)])
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+            lists = [e.ids for e in self._encoder.encode_batch_fast([units[k] for k in part], add_special_tokens=False)]
+            order += part
+            ids += [np.array(x, np.uint16) for x in lists]
+            sizes.append(np.array([len(x) for x in lists], np.int64))
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def _look_up(self, units: pa.Array) -> np.ndarray:
+        """Number of each of the different units; new ones are encoded and kept."""
+        whole = next(text_chunks(units, limit=1 << 40), None)
+        if whole is None:
+            return np.zeros(0, np.int64)
+        h = _hashed(whole.data, whole.starts, whole.ends)
+        order = np.argsort(h, kind="stable")
+        at = np.minimum(np.searchsorted(self._hashes, h[order]), max(0, len(self._hashes) - 1))
+        numbers = np.full(len(h), -1, np.int64)
+        if len(self._hashes):
+            numbers[order] = self._numbers[at]
+            same = pc.equal(units, self._units.take(pa.array(numbers)))
+            numbers[~np.asarray(same)] = -1
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            order, ids, sizes = self._encode_units(units.take(pa.array(new)).to_pylist())
+            new = new[order]
+            numbers[new] = len(self._units) + np.arange(len(new))
+            self._starts = np.append(self._starts, len(self._pool) + np.cumsum(sizes) - sizes)
+            self._sizes = np.append(self._sizes, sizes)
+            self._pool = np.concatenate([self._pool, ids])
+            self._units = pa.concat_arrays([self._units, units.take(pa.array(new))])
+            new = new[np.argsort(h[new], kind="stable")]
+            place = np.searchsorted(self._hashes, h[new])
+            self._hashes = np.insert(self._hashes, place, h[new])
+            self._numbers = np.insert(self._numbers, place, numbers[new])
+        return numbers
+
+    def _two_units(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Letters (or the whole word, if it is not of letters only) and cut off punctuation of each word."""
+        core = pc.utf8_rtrim(words, characters=self.TAIL)
+        letters = pc.utf8_is_alpha(core)
+        whole = next(text_chunks(words, limit=1 << 40), None)
+        if whole is None:
+            return words, words
+        # the bytes behind the core, of words whose core is letters
+        size = whole.ends - whole.starts - np.asarray(pc.binary_length(core))
+        size = np.where(np.asarray(letters), size, 0)
+        total = np.cumsum(size)
+        data = whole.data[np.repeat(whole.ends - total, size) + np.arange(total[-1])]
+        tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.append(0, total).astype(np.int32)), pa.py_buffer(data)])
+        return pc.if_else(letters, pc.ascii_lower(core), words), tails
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by ``end_id``, one after the other, and where each text ends."""
+        if len(self._units) > _CACHE_UNITS:
+            self.forget()
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
         flat = parts.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        if len(self._known) > _CACHE_WORDS:
-            self._clear()
-        pairs = self._pairs
-        new = [w for w in words if w not in pairs]
-        cores = [w.rstrip(self.TAIL) for w in new]
-        # only letters may lose their punctuation; anything else is a unit as a whole
-        cores = [(c.lower() if c.isascii() else c) if c.isalpha() else w for c, w in zip(cores, new, strict=True)]
-        tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
-        self._learn({*cores, *tails})
-        known = self._known
+        cores, tails = (c.dictionary_encode() for c in self._two_units(flat.dictionary))
+        units = pa.concat_arrays([cores.dictionary, tails.dictionary]).dictionary_encode()
+        numbers = self._look_up(units.dictionary)[np.asarray(units.indices)]
         # two units a word
-        pairs.update(zip(new, [known[c] << 32 | known[t] for c, t in zip(cores, tails, strict=True)], strict=True))
-        both = np.array([pairs[w] for w in words], np.int64)
-        unit = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
-        pool, size = np.concatenate(self._pools), np.concatenate(self._sizes)
-        self._pools, self._sizes = [pool], [size]
-        start = np.cumsum(size) - size
-        code = np.asarray(flat.indices).astype(np.int64)
-        units = unit[code].ravel()
-        lengths = size[units]
+        pair = np.stack([numbers[np.asarray(cores.indices)], numbers[len(cores.dictionary) + np.asarray(tails.indices)]], axis=1)
+        unit = pair[np.asarray(flat.indices)].ravel()
+        lengths = self._sizes[unit]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(start[units] - total[:-1], lengths) + np.arange(total[-1])
-        ids = pool[at]
-        ends = total[2 * offsets]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ids = self._pool[np.repeat(self._starts[unit] - total[:-1], lengths) + np.arange(total[-1])]
+        ends = total[2 * offsets[1:]]
+        return np.insert(ids, ends, np.uint16(end_id)), ends + np.arange(1, len(ends) + 1)
+
 
+_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
 
-_tokenizers: dict[str, WordTokenizer] = {}
 
+def _tokenizer(path: str, special: bool) -> WordTokenizer:
+    if (path, special) not in _tokenizers:
+        _tokenizers[path, special] = WordTokenizer(path, special)
+    return _tokenizers[path, special]
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
 
+def _terms(ids: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tail length of each text; text, id and number of its different (text, id) pairs in the tails, in order."""
+    sizes = np.diff(ends, prepend=0)
+    tail = sizes % window
+    text = np.repeat(np.arange(len(ends)), tail)
+    at = np.arange(len(text)) + np.repeat(ends - np.cumsum(tail), tail)
+    pairs = np.sort((text.astype(np.uint32) << 16) | ids[at]) if len(ends) <= 1 << 16 else np.sort((text << 16) | ids[at])
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    return tail, (pairs[first] >> 16).astype(np.int64), (pairs[first] & 0xFFFF).astype(np.int64), np.diff(np.append(first, len(pairs)))
 
-def _tokenise(path: str, end_id: int, window: int):
+
+def _tokenise(path: str, special: bool, end_id: int, window: int):
     """Rows of ids, and at the end of a task one row with its document frequencies, number of tails and of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(path)
+        encoder = _tokenizer(path, special)
         names = ["doc_id", "h", "ids", "counts"]
         df = np.zeros(encoder.vocabulary() + 2, np.int64)
-        end = np.array([end_id], np.uint16)
         for batch in batches:
             size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
             i = 0
@@ -160,14 +212,15 @@ def _tokenise(path: str, end_id: int, window: int):
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + _PART_BYTES, "right")))
                 part = batch.slice(i, j - i)
                 i = j
-                ids = encoder.encode(part.column(1))
-                ids = [np.concatenate([x, end]).astype("<u2") for x in ids]
-                for x in ids:
-                    t = _tail(x, window)
-                    df[np.unique(t)] += 1
-                    df[-2:] += (len(t) > 0, len(t))
-                blobs = pa.array([x.tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), blobs, pa.nulls(len(ids), pa.binary())], names=names)
+                ids, ends = encoder.encode(part.column(1), end_id)
+                tail, _, term, _ = _terms(ids, ends, window)
+                df[:-2] += np.bincount(term, minlength=len(df) - 2)
+                df[-2:] += (np.count_nonzero(tail), tail.sum())
+                data = ids.astype("<u2")
+                blobs = pa.Array.from_buffers(
+                    pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(data)]
+                )
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), blobs, pa.nulls(len(ends), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names=names
         )
@@ -175,10 +228,6 @@ def _tokenise(path: str, end_id: int, window: int):
     return run
 
 
-def _tail(ids: np.ndarray, window: int) -> np.ndarray:
-    return ids[len(ids) // window * window :]
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, n: sums of the tasks' counts, of what is not zero."""
     total = None
@@ -191,20 +240,23 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(idf: np.ndarray, mean: float, window: int):
+    """Each text's key, its tail's id of the greatest weight (the smallest of equal ones; -1 without a tail), and tail length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lengths = [], []
-            for blob in batch.column(2).to_pylist():
-                t = _tail(np.frombuffer(blob, "<u2"), window)
-                lengths.append(len(t))
-                if len(t):
-                    terms, tf = np.unique(t, return_counts=True)
-                    keys.append(int(terms[np.argmax(_weights(tf, idf[terms], len(t), mean))]))
-                else:
-                    keys.append(-1)
+            sizes = np.asarray(pc.binary_length(batch.column(2)), np.int64) // 2
+            ids = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2")
+            tail, text, term, tf = _terms(ids, np.cumsum(sizes), window)
+            keys = np.full(batch.num_rows, -1, np.int64)
+            if len(text):
+                weight = _weights(tf, idf[term], tail[text], mean)
+                first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+                top = np.repeat(np.maximum.reduceat(weight, first), np.diff(np.append(first, len(text))))
+                best = np.flatnonzero(weight == top)
+                own, at = np.unique(text[best], return_index=True)
+                keys[own] = term[best[at]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64())],
-                names=["doc_id", "h", "ids", "key", "tail"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys), pa.array(tail)], names=["doc_id", "h", "ids", "key", "tail"]
             )
 
     return run
@@ -225,16 +277,22 @@ class ShardIndex:
         term, self.doc = pair // self.n, (pair % self.n).astype(np.int32)
         self.weight = _weights(tf, idf[term], sizes[self.doc], mean)
         self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
-        # the query of a document: its terms of the greatest weight
+        # the terms of a document, those of the greatest weight first
         by_doc = np.lexsort((term, -self.weight, self.doc))
-        rank = np.arange(len(by_doc)) - np.searchsorted(self.doc[by_doc], self.doc[by_doc])
-        top = rank < QUERY_TERMS
-        self.query_terms = term[by_doc][top]
-        self.query_starts = np.searchsorted(self.doc[by_doc][top], np.arange(self.n + 1))
+        self.doc_terms = term[by_doc]
+        self.doc_starts = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a score, the best first; ties in index order."""
-        terms = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]]
+        """Unused documents with a score, the best first; ties in index order.
+
+        The query is the ``QUERY_TERMS`` terms of the seed with the greatest weights, or, where no unused
+        document has one of these, the others.
+        """
+        a, b = self.doc_starts[seed], self.doc_starts[seed + 1]
+        found = self._ranked(self.doc_terms[a : min(b, a + QUERY_TERMS)], unused)
+        return found if len(found) or b - a <= QUERY_TERMS else self._ranked(self.doc_terms[a + QUERY_TERMS : b], unused)
+
+    def _ranked(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
         a, b = self.starts[terms], self.starts[terms + 1]
         lengths = b - a
         total = np.cumsum(lengths)
@@ -360,14 +418,20 @@ def _pack(idf: np.ndarray, mean: float, window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; see the module."""
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, special: bool = True
+) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; see the module.
+
+    With ``special`` the strings of special tokens in a text are these tokens, as the tokenizer file
+    has it; without, they are plain text.
+    """
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     rows = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
-    stored = ws.keep(rows.mapInArrow(_tokenise(tokenizer_path, end_id, window), "doc_id bigint, h bigint, ids binary, counts binary"), "ids")
+    stored = ws.keep(rows.mapInArrow(_tokenise(tokenizer_path, special, end_id, window), "doc_id bigint, h bigint, ids binary, counts binary"), "ids")
     ids = stored.where("ids IS NOT NULL").select("doc_id", "h", "ids")
-    vocabulary = _tokenizer(tokenizer_path).vocabulary()
+    vocabulary = _tokenizer(tokenizer_path, special).vocabulary()
     counts = (
         stored.where("counts IS NOT NULL").select("counts").mapInArrow(_frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     )
