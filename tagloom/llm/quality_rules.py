@@ -5,15 +5,16 @@ The language model is an interpolated modified Kneser-Ney model (Chen and Goodma
 space is one blank byte and A-Z are lower-cased for the model. All n-grams of all
 texts are counted in Spark: tasks send the distinct n-grams of their texts
 with counts. Lower orders, their
-continuation counts, discounts and back-off weights are derived from the counted
-table by joins and groupings on n-grams, which are integers of at most 5 bytes.
+continuation counts and discounts are derived from the counted
+table by groupings on n-grams, which are integers of at most 5 bytes.
 
 A text is scored by the counts of all other texts: its own n-grams, and those of its exact
 copies, are subtracted at every order, and what is then unseen backs off; so a text that
-only repeats itself is not expected. The discounts are those of the whole language. The
-sorted 5-grams are shared with the tasks, which derive the lower orders, while they have at most
-``max_model`` rows; a larger table is joined instead, on the (document, n-gram) counts,
-with the same result.
+only repeats itself is not expected. The discounts are those of the whole language.
+
+The counts of every order lie in sorted arrays, whatever their size: Spark sorts them into files in the
+shared folder and hands the files to the executors; the tasks of an executor map one copy of the
+arrays from its disk into memory and look n-grams up by bisection, so a task holds no table of its own.
 
 A document's verdict compares its log perplexity with a lower and an upper bound
 of its language, the quartiles ``width`` quartile distances out, from the exact
@@ -21,17 +22,21 @@ histogram of all documents of the language in steps of a thousandth.
 
 Edge cases: a null text has no words and fails the base rules; its lang does not
 matter. A null lang is a language of its own. Every row comes back, repeated rows and null ids too.
-Ties don't matter: equal texts of a language get equal scores. Empty tables give
-empty results. Columns other than doc_id, text and lang are not read.
+Ties don't matter: equal texts of a language get equal scores. A very long text is read whole, as a chunk
+of its own. Empty tables give empty results. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
+import fcntl
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import Workspace, pick
@@ -41,8 +46,7 @@ ORDER = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
 WIDTH = 6.0
-MAX_MODEL = 4_000_000
-MAX_COPIED = 500_000  # copied texts whose numbers are broadcast
+_FILE_ROWS = 4_000_000  # of the sorted counts in one file
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -161,63 +165,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(lang)
 
 
-def kneser_ney(ws: Workspace, counts: DataFrame) -> DataFrame:
-    """lang, gram, logp, stats: log probability of the last byte of each counted n-gram given the others.
-
-    ``counts`` has lang, gram, n for the highest order. A gram of order k is the low k bytes. ``stats`` has
-    for each order from the highest the count, its context's total and numbers of grams counted
-    once, twice and more often, and the three discounts.
-    """
+def _orders(ws: Workspace, counts: DataFrame) -> DataFrame:
+    """k, lang, g, n of the n-grams of every order: below the highest, n is the number of different bytes before the gram."""
     level = counts.select("lang", F.col("gram").alias("g"), "n")
-    levels = {ORDER: level}
+    every = level.select(F.lit(ORDER).alias("k"), "lang", "g", "n")
     for k in range(ORDER - 1, 0, -1):
-        # continuation counts: number of different bytes before the gram
         mask = (1 << (8 * k)) - 1
-        level = level.groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        levels[k] = ws.keep(level, f"order{k}")
-        level = levels[k]
-    lower = None
-    for k in range(1, ORDER + 1):
-        here = levels[k].withColumn("ctx", F.shiftright("g", 8))
-        # discounts from the numbers of grams seen once to four times: one row per language
-        seen = here.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
-
-        def discount(i: int, y=y):
-            d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            return F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), d))).otherwise(F.lit(i * 0.5))
-
-        discounts = seen.select(F.col("lang").alias("dl"), *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
-        on_lang = F.col("lang").eqNullSafe(F.col("dl"))
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = here.join(discounts, on_lang).select("lang", "g", "ctx", "n", d.alias("d"), "d1", "d2", "d3")
-        sums = rows.groupBy("lang", "ctx").agg(
-            F.sum("n").alias("total"), F.sum("d").alias("mass"),
-            F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"),
-        )
-        sums = sums.select(F.col("lang").alias("sl"), F.col("ctx").alias("sc"), "total", "mass", "c1", "c2", "c3")
-        rows = rows.join(sums, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("ctx") == F.col("sc")))
-        own = (F.col("n") - F.col("d")) / F.col("total")
-        rest = F.col("mass") / F.col("total")
-        stats = F.array(*(F.col(c).cast("double") for c in ("n", "total", "c1", "c2", "c3", "d1", "d2", "d3")))
-        if lower is None:
-            p = own + rest / 256.0
-            scored = rows.select("lang", "g", p.alias("p"), stats.alias("stats"))
-        else:
-            mask = (1 << (8 * (k - 1))) - 1
-            low = lower.select(F.col("lang").alias("ll"), F.col("g").alias("lg"), F.col("p").alias("lp"), F.col("stats").alias("ls"))
-            scored = rows.join(
-                low, F.col("lang").eqNullSafe(F.col("ll")) & (F.col("g").bitwiseAND(F.lit(mask)) == F.col("lg"))
-            ).select("lang", "g", (own + rest * F.col("lp")).alias("p"), F.concat(stats, "ls").alias("stats"))
-        lower = ws.keep(scored, f"p{k}")
-    return lower.select("lang", F.col("g").alias("gram"), F.log("p").alias("logp"), "stats")
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
+        level = ws.keep(level.groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n")), f"order{k}")
+        every = every.unionByName(level.select(F.lit(k).alias("k"), "lang", "g", "n"))
+    return every
+
+
+def _discounts(seen: list[int]) -> np.ndarray:
     """Discounts of counts 0 to 3 and more, from the numbers of grams counted once to four times."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(n == i)) for i in (1, 2, 3, 4))
+    n1, n2 = seen[:2]
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-    seen = (n1, n2, n3, n4)
     out = [0.0]
     for i in (1, 2, 3):
         d = i - (i + 1) * y * seen[i] / seen[i - 1] if seen[i - 1] else i * 0.5
@@ -225,35 +187,82 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-class Counts:
-    """Counts of a language at every order, derived from the sorted n-grams of the highest one."""
+class Model:
+    """Sorted n-grams with counts, and sorted contexts with sums, of every order and language.
+
+    ``grams`` has the columns g, n and ``contexts`` ctx, total, c1, c2, c3 (numbers of its grams counted once, twice,
+    more often); ``places`` tells for an order and a language where its grams and contexts begin and end, and
+    its discounts.
+    """
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        self.levels = {}
-        for k in range(ORDER, 0, -1):
-            context = grams >> 8
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            sums = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
-            self.levels[k] = (grams, n, context[first], sums, _discounts(n))
-            grams, n = np.unique(grams & ((1 << (8 * (k - 1))) - 1), return_counts=True)
+    def __init__(self, grams: dict[str, np.ndarray], contexts: dict[str, np.ndarray], places: dict):
+        self.grams, self.contexts, self.places = grams, contexts, places
 
-    def of(self, k: int, grams: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def of(self, k: int, lang: str | None, grams: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Counts of grams; total and numbers of grams counted once, twice, more often of contexts; discounts. All were counted."""
-        keys, n, context_keys, sums, discounts = self.levels[k]
-        at = np.searchsorted(context_keys, contexts)
-        return n[np.searchsorted(keys, grams)], [x[at] for x in sums], discounts
+        (a, b), (c, d), discounts = self.places[k, lang]
+        own = a + np.searchsorted(self.grams["g"][a:b], grams)
+        at = c + np.searchsorted(self.contexts["ctx"][c:d], contexts)
+        return self.grams["n"][own], [self.contexts[x][at] for x in ("total", "c1", "c2", "c3")], discounts
+
+
+_GRAMS = ("g", "n")
+_CONTEXTS = ("ctx", "total", "c1", "c2", "c3")
+
+
+def _mapped(names: list[str], columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The columns of the files that Spark gave this executor, one after the other, mapped from a copy that its tasks share."""
+    folder = os.path.join(SparkFiles.getRootDirectory(), "arrays-" + (names[0] if names else "none"))
+    with open(f"{folder}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(folder):
+            os.makedirs(f"{folder}.part", exist_ok=True)
+            for column in columns:
+                with open(f"{folder}.part/{column}", "wb") as out:
+                    for name in names:
+                        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(columns=[column]):
+                            out.write(np.ascontiguousarray(batch.column(0), np.int64))
+            os.rename(f"{folder}.part", folder)
+    return {c: np.memmap(f"{folder}/{c}", np.int64, "r") if os.path.getsize(f"{folder}/{c}") else np.zeros(0, np.int64) for c in columns}
+
+
+def _hand_out(ws: Workspace, rows: DataFrame, key: str, name: str) -> tuple[list[str], list[Row]]:
+    """Sort rows (k, lang, a key and numbers) into files for the executors: their names in order, and the rows of every order and language."""
+    rows = ws.keep(rows, f"{name}-rows")
+    sizes = rows.groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(rows.columns[3]) == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    sizes = sizes.orderBy("k", "lang").collect()  # a row per order and language
+    files = -(-sum(r.n for r in sizes) // _FILE_ROWS)
+    order = ("k", "lang", key)
+    ordered = ws.keep(rows.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order), name)
+    paths = sorted(ordered.inputFiles(), key=lambda path: path.rsplit("/", 1)[1])
+    for path in paths:
+        ws.spark.sparkContext.addFile(path)
+    return [path.rsplit("/", 1)[1] for path in paths], sizes
+
+
+def _model(ws: Workspace, counts: DataFrame) -> tuple[list[str], list[str], dict]:
+    """Names of the files of n-grams and of contexts, and the places of orders and languages in them."""
+    orders = ws.keep(_orders(ws, counts), "orders")
+    grams, sizes = _hand_out(ws, orders.select("k", "lang", "g", "n"), "g", "grams")
+    sums = orders.groupBy("k", "lang", F.shiftright("g", 8).alias("ctx")).agg(
+        F.sum("n").alias("total"), *(F.count_if(c).alias(x) for c, x in ((F.col("n") == 1, "c1"), (F.col("n") == 2, "c2"), (F.col("n") > 2, "c3")))
+    )
+    contexts, spans = _hand_out(ws, sums, "ctx", "contexts")
+    places, a, c = {}, 0, 0
+    for own, span in zip(sizes, spans, strict=True):
+        places[own.k, own.lang] = ((a, a + own.n), (c, c + span.n), _discounts([own.n1, own.n2, own.n3, own.n4]))
+        a, c = a + own.n, c + span.n
+    return grams, contexts, places
 
 
 def left_out(text: np.ndarray, gram: np.ndarray, own: np.ndarray, copies: np.ndarray, of) -> np.ndarray:
     """Log probability of every (text, n-gram), under the counts without those of the text and its copies.
 
     The pairs are different ones, sorted by text and gram; ``own`` is how often a gram is in
-    its text, ``copies`` how many rows have the text. ``of(k, rows, grams, row of each context, contexts)``
-    gives the counts of level k, where a row is a pair that has the gram. A gram that only the text had is
-    gone, and no longer counts for its ending in the next lower order.
+    its text, ``copies`` how many rows have the text. ``of(k, grams, contexts)`` gives the counts of order k.
+    A gram that only the text had is gone, and no longer counts for its ending in the next lower order.
     """
     keys = (text << (8 * ORDER)) | gram
-    rows = np.arange(len(keys))
     gone = own * copies
     steps = []
     for k in range(ORDER, 0, -1):
@@ -261,7 +270,7 @@ def left_out(text: np.ndarray, gram: np.ndarray, own: np.ndarray, copies: np.nda
         context = keys >> 8 if k > 1 else keys >> 8 << 8
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         group = np.cumsum(np.append(False, context[1:] != context[:-1]))
-        n, sums, discounts = of(k, rows, keys & mask, rows[first], (keys[first] & mask) >> 8)
+        n, sums, discounts = of(k, keys & mask, (keys[first] & mask) >> 8)
         left = n - gone
         total = sums[0] - np.add.reduceat(gone, first)
         before, after = np.minimum(n, 3), np.minimum(left, 3)
@@ -273,8 +282,12 @@ def left_out(text: np.ndarray, gram: np.ndarray, own: np.ndarray, copies: np.nda
         if k > 1:
             # to the grams without their first byte
             short = ((keys >> (8 * k)) << (8 * (k - 1))) | (keys & ((1 << (8 * (k - 1))) - 1))
-            keys, at, back = np.unique(short, return_index=True, return_inverse=True)
-            rows = rows[at]
+            order = np.argsort(short)
+            ordered = short[order]
+            fresh = np.append(True, ordered[1:] != ordered[:-1])
+            back = np.empty(len(short), np.int64)
+            back[order] = np.cumsum(fresh) - 1
+            keys = ordered[fresh]
             gone = np.bincount(back, left == 0, minlength=len(keys)).astype(np.int64)
             steps[-1] += (back,)
     p = steps[-1][0] + steps[-1][1] / 256.0
@@ -291,26 +304,12 @@ def _pairs(gram: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys >> (8 * ORDER), keys & ((1 << (8 * ORDER)) - 1), n
 
 
-def _arrays(counts: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Per language the sorted n-grams and their counts; the caller has checked the size."""
-    table = counts.select("lang", "gram", "n").toArrow()
-    grams, n = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("gram", "n"))
-    codes = table.column("lang").combine_chunks().dictionary_encode()
-    index = np.asarray(codes.indices.fill_null(-1))
-    out = {}
-    for code in np.unique(index):
-        own = np.flatnonzero(index == code)
-        own = own[np.argsort(grams[own])]
-        out[None if code < 0 else codes.dictionary[int(code)].as_py()] = (grams[own], n[own])
-    return out
-
-
 _SCORES = "doc_id bigint, lang string, log_ppl double, k bigint"
 
 
-def _score(shared):
+def _score(grams: list[str], contexts: list[str], places: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str | None, Counts] = {}
+        model = Model(_mapped(grams, _GRAMS), _mapped(contexts, _CONTEXTS), places)
         for batch in batches:
             total = np.zeros(batch.num_rows)
             size = np.zeros(batch.num_rows, np.int64)
@@ -321,10 +320,8 @@ def _score(shared):
                     gram, text = _grams(chunk)
                     if not len(gram):
                         continue
-                    if lang not in tables:
-                        tables[lang] = Counts(*shared.value[lang])
                     text, gram, n = _pairs(gram, text)
-                    logp = left_out(text, gram, n, copies[own][text], lambda k, r, g, c, h, t=tables[lang]: t.of(k, g, h))
+                    logp = left_out(text, gram, n, copies[own][text], lambda k, g, c, lang=lang: model.of(k, lang, g, c))
                     total[own] = np.bincount(text, logp * n, minlength=len(chunk))
                     size[own] = chunk.ends - chunk.starts
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -337,62 +334,7 @@ def _score(shared):
     return run
 
 
-def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, lang, copies, gram, own of every document, for counts that are joined."""
-    for batch in batches:
-        for lang, rows, texts in _by_language(batch, 1, 2):
-            for chunk in text_chunks(texts):
-                gram, text = _grams(chunk)
-                if not len(gram):
-                    continue
-                text, gram, n = _pairs(gram, text)
-                at = pa.array(rows[chunk.first : chunk.first + len(chunk)][text])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(3).take(at), pa.array([lang] * len(n), pa.string()), batch.column(4).take(at), pa.array(gram), pa.array(n)],
-                    names=["k", "lang", "copies", "gram", "own"],
-                )
-
-
-_STATS = 8  # numbers that the joined counts have for each order
-
-
-def _score_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, log_ppl from rows k, copies, gram, own, stats in the order of k: only the last document of a batch is held back."""
-    held: list[pa.RecordBatch] = []
-
-    def score(table: pa.Table) -> pa.RecordBatch:
-        k, copies, gram, own = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("k", "copies", "gram", "own"))
-        _, text = np.unique(k, return_inverse=True)
-        order = np.lexsort((gram, text))
-        k, copies, gram, own, text = k[order], copies[order], gram[order], own[order], text[order]
-        stats = np.asarray(table.column("stats").combine_chunks().flatten()).reshape(len(k), ORDER, _STATS)[order]
-        out, sizes = [], np.bincount(text, own)
-        for one in np.split(np.arange(len(k)), np.flatnonzero(np.diff(text)) + 1):  # discounts are those of a document's language
-
-            def of(level, rows, grams, context_rows, contexts, s=stats[one]):
-                x, c = s[rows, ORDER - level], s[context_rows, ORDER - level]
-                return x[:, 0].astype(np.int64), [c[:, i].astype(np.int64) for i in range(1, 5)], np.append(0.0, x[0, 5:])
-
-            logp = left_out(np.zeros(len(one), np.int64), gram[one], own[one], copies[one], of)
-            out.append(-np.sum(logp * own[one]) / sizes[text[one[0]]])
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(k)), pa.array(out, pa.float64())], names=["k", "log_ppl"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.asarray(batch.column(0), np.int64)
-        cut = int(np.searchsorted(k, k[-1]))
-        if cut or held and held[-1].column(0)[0].as_py() != k[-1]:
-            if cut:
-                held.append(batch.slice(0, cut))
-            yield score(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield score(pa.Table.from_batches(held))
-
-
-def log_perplexity(ws: Workspace, docs: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
+def log_perplexity(ws: Workspace, docs: DataFrame) -> DataFrame:
     """doc_id, lang, log_ppl (per byte, natural log; null without bytes), k (key of the row) for every row.
 
     A text is scored by the counts of the others: its own are left out, with those of its exact copies.
@@ -404,29 +346,15 @@ def log_perplexity(ws: Workspace, docs: DataFrame, max_model: int = MAX_MODEL) -
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    counts = ws.keep(counts, "counts")
+    grams, contexts, places = _model(ws, ws.keep(counts, "counts"))
     same = F.xxhash64("text", "lang")
     copied = rows.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copied = ws.keep(copied, "copied")
-    few = copied.count() <= min(max_model, MAX_COPIED)
     rows = (
         rows.withColumn("same", same)
-        .join(F.broadcast(copied) if few else copied, "same", "left")
+        .join(ws.keep(copied, "copied"), "same", "left")
         .select("doc_id", "text", "lang", "k", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
     )
-    if counts.count() <= max_model:
-        shared = docs.sparkSession.sparkContext.broadcast(_arrays(counts))
-        return rows.mapInArrow(_score(shared), _SCORES)
-    model = kneser_ney(ws, counts).select(F.col("lang").alias("ml"), F.col("gram").alias("mg"), "stats")
-    grams = rows.dropDuplicates(["k"]).mapInArrow(_document_grams, "k bigint, lang string, copies bigint, gram bigint, own bigint")
-    scores = (
-        grams.join(model, (F.col("gram") == F.col("mg")) & F.col("lang").eqNullSafe(F.col("ml")))
-        .select("k", "copies", "gram", "own", "stats")
-        .repartition("k")
-        .sortWithinPartitions("k")
-        .mapInArrow(_score_joined, "k bigint, log_ppl double")
-    )
-    return rows.join(scores, "k", "left").select("doc_id", "lang", "log_ppl", "k")
+    return rows.mapInArrow(_score(grams, contexts, places), _SCORES)
 
 
 def perplexity_bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -443,10 +371,10 @@ def perplexity_bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, width: float = WIDTH, max_model: int = MAX_MODEL) -> DataFrame:
+def quality_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, log_ppl, k."""
     ws = Workspace(docs.sparkSession, "quality")
-    scores = ws.keep(log_perplexity(ws, docs, max_model), "scores")
+    scores = ws.keep(log_perplexity(ws, docs), "scores")
     bands = perplexity_bands(scores, width)
     verdict = scores.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("bl")), "left").select(  # a row per language
         "k", "lang", "log_ppl", F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True)).alias("in_band")
