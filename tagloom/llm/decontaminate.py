@@ -20,7 +20,8 @@ has exactly their words at a run.
 Edge cases: null or empty texts hit nothing. Null ids stay null in the result. A
 repeated row gives its hits again only if its text differs (rows of the same doc_id
 and text count once). Equal items are each reported. Empty tables give an empty
-result. Columns other than the ids and texts are not read.
+result. A very long text is read whole, and each of its runs goes on by itself. Of stretches that are equally equal, the one in
+the most words and then at the earliest place is told. Columns other than the ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from .text_arrays import Pieces, mix, ngrams, text_chunks, words
 MASKS = ("11111", "111011", "110111", "1101011", "1110101", "1011011", "11001101", "10110011", "110100011")
 WINDOW = 24
 MIN_SAME = 75
+MIN_WORDS = 8  # of an item whose overlap removes a document
 _BITS = 26
 
 
@@ -65,7 +67,7 @@ def _short_seeds(w: Pieces, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 _SHORTEST = min(len(m) for m in MASKS)
 _LONGEST = max(len(m) for m in MASKS)
 _ITEM_SCHEMA = "rid bigint, id bigint, pos array<int>, seed array<bigint>, words binary"
-_RUN_SCHEMA = "run bigint, id bigint, start bigint, before int, pos array<int>, seed array<bigint>, words binary"
+_RUN_SCHEMA = "run bigint, k bigint, id bigint, start bigint, before int, pos array<int>, seed array<bigint>, words binary"
 
 
 def _by_text(texts: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,13 +156,14 @@ def _document_runs(table, short_lengths: list[int], window: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys.view(np.int64)),
+                        batch.column(2).take(pa.array(own + chunk.first)),
                         batch.column(0).take(pa.array(own + chunk.first)),
                         pa.array(first),
                         pa.array((first - lo).astype(np.int32)),
                         *_lists(starts, inside, seeds),
                         pa.array(blobs, pa.binary()),
                     ],
-                    names=["run", "id", "start", "before", "pos", "seed", "words"],
+                    names=["run", "k", "id", "start", "before", "pos", "seed", "words"],
                 )
 
     return run
@@ -180,7 +183,7 @@ def _verify(window: int, min_same: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for id_, item, start, before, shifts, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, id_, item, start, before, shifts, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, test = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 need = min(len(test), window)
                 best = None
@@ -193,10 +196,10 @@ def _verify(window: int, min_same: int):
                     if 100 * n >= min_same * need and (best is None or n > best[3]):
                         best = (start - before + lo + at + shift, lo + at, need, n)
                 if best:
-                    out.append((id_, item, *best))
+                    out.append((key, id_, item, *best))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)],
-                names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"],
+                [pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)],
+                names=["k", "doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"],
             )
 
     return run
@@ -207,8 +210,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_sa
 
     It tells the pair's best run: the word positions where it starts, its words, and how many of them are equal.
     """
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    best = F.max(F.struct("n_same", "n_words", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
+    return ws.result(
+        _pairs(ws, docs, benchmark, window, min_same)
+        .groupBy("doc_id", "item_id")
+        .agg(best)
+        .select(
+            "doc_id", "item_id", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"), "b.n_words", "b.n_same"
+        )
+    )
+
+
+def _pairs(ws: Workspace, docs: DataFrame, benchmark: DataFrame, window: int, min_same: int) -> DataFrame:
+    """k (hash of doc_id and text) and the columns of ``overlaps``, for every verified run and item."""
     spark = docs.sparkSession
-    ws = Workspace(spark, "decontaminate")
     types = {"doc_id": "bigint", "item_id": "bigint", "text": "string"}
     items = pick(benchmark, "item_id", "text", types=types).select(
         F.xxhash64("item_id", "text").alias("rid"), F.col("item_id").alias("id"), "text"
@@ -227,9 +243,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_sa
     lengths = sorted(r.n for r in short.collect())  # fewer than the length of the shortest mask
     table = spark.sparkContext.broadcast(bits)
     found = ws.keep(
-        pick(docs, "doc_id", "text", types=types).mapInArrow(_document_runs(table, lengths, window), _RUN_SCHEMA), "found"
+        pick(docs, "doc_id", "text", types=types)
+        .select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+        .mapInArrow(_document_runs(table, lengths, window), _RUN_SCHEMA),
+        "found",
     )
-    table.unpersist()
+    table.destroy()
     # each different run meets the items once, however many documents have it
     runs = found.groupBy("run").agg(F.first("pos").alias("pos"), F.first("seed").alias("seed"))
 
@@ -246,28 +265,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_sa
     )
     hits = ws.keep(hits, "hits")
     item_words = items.select("rid", F.col("id").alias("item"), F.col("words").alias("item_words"))
-    pairs = (
-        found.select("run", "id", "start", "before", "words")
+    return (
+        found.select("run", "k", "id", "start", "before", "words")
         .join(hits, "run")
         .join(item_words, "rid")
-        .select("id", "item", "start", "before", "shifts", "words", "item_words")
+        .select("k", "id", "item", "start", "before", "shifts", "words", "item_words")
         .mapInArrow(
             _verify(window, min_same),
-            "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_same bigint",
-        )
-    )
-    best = F.max(F.struct("n_same", "n_words", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
-    return ws.result(
-        pairs.groupBy("doc_id", "item_id")
-        .agg(best)
-        .select(
-            "doc_id", "item_id", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"), "b.n_words", "b.n_same"
+            "k bigint, doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_same bigint",
         )
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_same: int = MIN_SAME) -> DataFrame:
-    """The columns of documents, without the documents that overlap an item (rows with a null doc_id stay)."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_same: int = MIN_SAME, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """The columns of documents, without the documents that overlap an item of ``min_words`` words or more.
+
+    A document is a doc_id, null or not, with a text. Shorter items are everyday phrases: ``overlaps`` reports
+    them, but they remove nothing.
+    """
+    ws = Workspace(docs.sparkSession, "decontaminated")
     base = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    bad = overlaps(base, benchmark, window, min_same).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return base.join(bad, "doc_id", "left_anti")
+    bad = _pairs(ws, base, benchmark, window, min_same).where(F.col("n_words") >= min_words).select("k").distinct()
+    return ws.result(base.withColumn("k", F.xxhash64("doc_id", "text")).join(bad, "k", "left_anti").drop("k"))
