@@ -42,8 +42,9 @@ _local: dict[str, str] = {}  # the folder of this process where the session name
 class Workspace:
     """Intermediate tables of one operator call, in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir`` of the session; where it is unset (as
-    in tests) it is set to a local one. ``keep`` writes a table and reads it back,
+    The folder is ``spark.checkpoint.dir`` of the session; where it is unset, a session in
+    local mode gets a folder of this machine, and any other an error, as its executors would
+    not share one. ``keep`` writes a table and reads it back,
     which cuts the lineage with data that outlives any executor; ``result`` does
     so for the last table and deletes the others.
     """
@@ -51,6 +52,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not root:
             _local.setdefault("root", tempfile.mkdtemp(prefix="tagloom-"))
             root = _local["root"]

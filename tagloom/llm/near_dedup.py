@@ -23,7 +23,8 @@ pairs that share a common passage only out of the buckets.
 Edge cases: a null doc_id can't be named in a result, so such rows are linked with
 nothing, are their own component (null) and are kept. Every row comes back; rows
 that repeat a doc_id with another text are documents of their own. A null text is
-an empty one. Empty tables give empty results. Columns other
+an empty one. A very long text is one row of numbers like any other; where it has candidates, a task holds its
+whole set. Ties between equal ids don't matter: they name the same component. Empty tables give empty results. Columns other
 than doc_id and text are not read.
 """
 
@@ -124,6 +125,7 @@ def _digest(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
 
 def _signature_batches(k: int, bands: int, rows: int):
     m = bands * rows
+    names = [c.split()[0] for c in _SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,6 +146,7 @@ def _signature_batches(k: int, bands: int, rows: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.slice(first + lo, len(part)),
+                            batch.column(2).slice(first + lo, len(part)),
                             n,
                             d1,
                             d2,
@@ -152,18 +155,19 @@ def _signature_batches(k: int, bands: int, rows: int):
                                 pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(folded.view(np.int64).ravel())
                             ),
                         ],
-                        names=["doc_id", "n_shingles", "d1", "d2", "signature", "bands"],
+                        names=names,
                     )
 
     return run
 
 
+_SIGNED = "doc_id bigint, h bigint, n_shingles bigint, d1 bigint, d2 bigint, signature binary, bands array<bigint>"
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (d1, d2), 16 bits of each signature component, band keys."""
-    return pick(docs, "doc_id", "text").mapInArrow(
-        _signature_batches(k, bands, rows),
-        "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, signature binary, bands array<bigint>",
-    )
+    """doc_id, h (of the text), n_shingles, digest (d1, d2), 16 bits of each signature component, band keys."""
+    rows_of = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows_of.mapInArrow(_signature_batches(k, bands, rows), _SIGNED)
 
 
 def _sift(threshold: int, min_equal: int):
@@ -183,66 +187,88 @@ def _sift(threshold: int, min_equal: int):
     return run
 
 
+_COLUMNS = 1024  # shingles that are multiplied out at a time
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which left and right sets are similar, as a table of flags.
+
+    Only shingles that both sides have are multiplied out, ``_COLUMNS`` at a time, so memory goes with
+    the number of sets on the sides.
+    """
+    sizes = [np.array([len(x) for x in part], np.int64) for part in (left, right)]
+    values = [np.concatenate(part) for part in (left, right)]
+    common = np.intersect1d(*(np.unique(v) for v in values), assume_unique=True)
+    cells = []
+    for v, size in zip(values, sizes, strict=True):
+        at = np.minimum(np.searchsorted(common, v), max(0, len(common) - 1))
+        hit = common[at] == v if len(common) else np.zeros(len(v), bool)
+        row, col = np.repeat(np.arange(len(size)), size)[hit], at[hit]
+        order = np.argsort(col, kind="stable")
+        cells.append((row[order], col[order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    bits = [np.zeros((len(part), _COLUMNS), np.float32) for part in (left, right)]
+    for lo in range(0, len(common), _COLUMNS):
+        for (row, col), flags in zip(cells, bits, strict=True):
+            flags[:] = 0
+            i, j = np.searchsorted(col, [lo, lo + _COLUMNS])
+            flags[row[i:j], col[i:j] - lo] = 1
+        both += bits[0] @ bits[1].T
+    # 100 * both >= threshold * (left + right - both); sizes and counts are exact in these types
+    return (100 + threshold) * both.astype(np.float64) >= threshold * (sizes[0][:, None] + sizes[1][None, :])
+
+
 def _confirm(threshold: int):
-    """Star links between similar sets of each block pair.
+    """Links of the components that the similar sets of each block pair make.
 
     Rows come sorted by their key (cluster, left block, right block) and hold node,
-    side (0 left, 1 right, 2 both) and set. Intersections are counted for all left-right pairs of the
-    block pair with one matrix product over the shingles that more than one set has;
-    what goes out is a spanning forest of the links, not the pairs.
+    side (0 left, 1 right, 2 both) and set. What goes out is a star for each component of the block pair's
+    links, one row a node, and not the pairs.
     """
 
     def links(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        sizes = np.array([len(s) for s in sets])
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.cumsum(counts > 1) - 1
-        shared = counts[inverse] > 1
-        row, col = np.repeat(np.arange(len(sets)), sizes)[shared], column[inverse[shared]]
         left = np.array([i for i, x in enumerate(sides) if x != 1], int)
         right = np.array([i for i, x in enumerate(sides) if x != 0], int)
-        both = np.zeros((len(left), len(right)), np.float32)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            i, j = np.searchsorted(col, [lo, lo + 4096])
-            bits = np.zeros((len(sets), 4096), np.float32)
-            bits[row[i:j], col[i:j] - lo] = 1
-            both += bits[left] @ bits[right].T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        parent = list(range(len(sets)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        if not len(left) or not len(right):
+            return []
+        similar = _similar([sets[i] for i in left], [sets[i] for i in right], threshold)
+        new = np.ones(len(nodes), bool)
         out = []
-        for i, j in zip(*np.nonzero(100 * both >= threshold * union), strict=True):
-            x, y = root(int(left[i])), root(int(right[j]))
-            if x != y:
-                parent[x] = y
-                out.append((nodes[left[i]], nodes[right[j]]))
+        for seed in left[similar.any(axis=1)]:
+            if not new[seed]:
+                continue
+            new[seed] = False
+            front = np.zeros(len(nodes), bool)
+            front[seed] = True
+            while front.any():
+                reached = np.zeros(len(nodes), bool)
+                reached[right] |= similar[front[left]].any(axis=0)
+                reached[left] |= similar[:, front[right]].any(axis=1)
+                front = reached & new
+                new &= ~front
+                out += [(nodes[seed], nodes[i]) for i in np.flatnonzero(front)]
         return out
 
+    def table(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, ([], [], [])
-        out: list[tuple[int, int]] = []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for *at, node, side, blob in zip(*columns, strict=True):
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for (*at, node, side), blob in zip(zip(*columns, strict=True), batch.column(5), strict=True):
                 if at != key:
                     if len(rows[0]) > 1:
                         out += links(*rows)
                     key, rows = at, ([], [], [])
                 rows[0].append(node)
                 rows[1].append(side)
-                rows[2].append(np.frombuffer(blob, "<u8"))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-            out = []
+                rows[2].append(np.frombuffer(blob.as_py(), "<u8"))
+            yield table(out)
         if len(rows[0]) > 1:
-            out = links(*rows)
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield table(links(*rows))
 
     return run
 
@@ -347,15 +373,8 @@ def _links(ws: Workspace, sets: DataFrame, left: DataFrame, right: DataFrame, th
     return ws.keep(rows.mapInArrow(_confirm(threshold), "a bigint, b bigint"), name)
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 36, rows: int = 5, block_items: int = 200_000
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` is a percentage.
-
-    ``block_items`` is the number of shingles, over all sets of a block, that a task aims to hold per block.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near-dedup")
+def _grouped(ws: Workspace, docs: DataFrame, k: int, threshold: int, bands: int, rows: int, block_items: int, block_nodes: int) -> DataFrame:
+    """doc_id, h, n_shingles of every row, with its set's group (null if alone) and the smallest doc_id there."""
     m = bands * rows
     share = threshold / 100
     min_equal = int(m * share - 5.5 * (m * share * (1 - share)) ** 0.5)
@@ -370,7 +389,9 @@ def near_duplicates(
     )
     clusters = candidate_clusters(ws, heads, threshold, min_equal)
     placed = clusters.join(heads.select("node", "rep", "n_shingles"), "node")
-    size = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_items).cast("int").alias("blocks"))
+    size = placed.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n_shingles") / block_items), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks")
+    )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = ws.keep(placed.join(size, "cluster").withColumn("block", block), "clusters")
     sets = ws.keep(
@@ -406,10 +427,45 @@ def near_duplicates(
     component = connected_components(links)
     reps = heads.select("node", "rep").join(component, "node", "left")
     tops = reps.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("rep").alias("top"))
-    named = reps.join(tops, "component_id", "left").select("node", F.coalesce("top", "rep").alias("top"))
-    top = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
-    return ws.result(
-        signed.select("doc_id", "n_shingles", "node")
-        .join(named, "node", "left")
-        .select("doc_id", "n_shingles", top.alias("component_id"), F.col("doc_id").eqNullSafe(top).alias("kept"))
+    named = reps.join(tops, "component_id", "left").select("node", F.coalesce("component_id", "node").alias("g"), F.coalesce("top", "rep").alias("top"))
+    named_row = F.col("doc_id").isNotNull()
+    return signed.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left").select(
+        "doc_id", "h", "n_shingles", F.when(named_row, F.col("g")).alias("g"), F.when(named_row, F.coalesce("top", "doc_id")).alias("top")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 36, rows: int = 5, block_items: int = 200_000, block_nodes: int = 2_000
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` is a percentage.
+
+    A task holds two blocks at a time, each of about ``block_items`` shingles over all its sets and
+    of about ``block_nodes`` sets at most.
+    """
+    ws = Workspace(docs.sparkSession, "near-dedup")
+    grouped = _grouped(ws, docs, k, threshold, bands, rows, block_items, block_nodes)
+    return ws.result(grouped.select("doc_id", "n_shingles", F.col("top").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("top")).alias("kept")))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 36, rows: int = 5, block_items: int = 200_000, block_nodes: int = 2_000
+) -> DataFrame:
+    """The columns of documents, one document of each group: that of the smallest doc_id, then of the smallest hash of its text.
+
+    A document is a doc_id with a text: of rows that are equal in both one stays, and rows with one doc_id and
+    unlike texts all stay. Rows with a null doc_id or without words all stay.
+    """
+    ws = Workspace(docs.sparkSession, "drop-near")
+    base = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
+    grouped = ws.keep(_grouped(ws, base, k, threshold, bands, rows, block_items, block_nodes).where("g IS NOT NULL").select("doc_id", "h", "g"), "grouped")
+    first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    # what is to go, and rows that repeat: few next to the documents, and without their texts
+    odd = (
+        grouped.join(first, "g")
+        .groupBy(F.xxhash64("doc_id", "h").alias("k"))
+        .agg(F.bool_or(F.expr("first <> struct(doc_id, h)")).alias("gone"), F.count(F.lit(1)).alias("n"))
+        .where("gone OR n > 1")
     )
+    marked = base.withColumn("k", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text")))).join(odd, "k", "left")
+    once = marked.where("n IS NULL").unionByName(marked.where("n > 1 AND NOT gone").dropDuplicates(["k"]))
+    return ws.result(once.select("doc_id", "text", "lang", "source", "n_chars"))
