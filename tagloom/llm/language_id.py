@@ -6,20 +6,21 @@ filter of width w is a table of 256 rows per offset, so a convolution is w table
 look-ups and sums, and training only touches the bytes under each maximum.
 
 Training is one small fit on a bounded sample of labelled rows: for each language the
-``train_per_language`` rows that come first by a hash, in Spark; from them
-``WINDOWS_PER_TEXT`` windows out of a stretch of ``STRETCH`` characters each. Scoring cuts every whole text into windows of
+``train_per_language`` rows that come first by a hash. Counts of hash ranges tell how far these reach, so only
+rows in reach are ranked; from each the tasks cut ``WINDOWS_PER_TEXT`` windows at random places
+of its whole text. Scoring cuts every whole text into windows of
 ``WINDOW`` bytes (overlapping by the widest filter) in the tasks; a text's prediction is
 the language of the greatest mean log probability, weighted by window length.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0. Rows
+Edge cases: a null text or one without a letter (any character of a letter category; digits, number forms and
+signs are none) is ``und`` with score 0. Rows
 with a null lang or doc_id are scored but not learned from. Every row comes back, repeated
 rows too. Without any row to learn from everything is ``und``. Ties go to the first
-language in order. Columns other than doc_id, text and lang are not read.
+language in order. A very long text is scored whole, in chunks of windows. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 TRAIN_PER_LANGUAGE = 600
 WINDOWS_PER_TEXT = 3
-STRETCH = 2_000
 
-_LETTER = re.compile(r"[^\W\d_]")
 # A-Z lower-cased, white space and digits made blank: they tell nothing about a language
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -102,24 +101,35 @@ class ByteNet:
         return [*tables, *biases, hidden.T @ p, p.sum(axis=0)]
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteNet:
-    """Fit with Adam on windows of the texts."""
+def cut_windows(text: bytes, rng: np.random.Generator) -> np.ndarray:
+    """Folded windows at random places of a text, filled up with blanks."""
+    data = _FOLD[np.frombuffer(text, np.uint8)]
+    out = np.full((WINDOWS_PER_TEXT, WINDOW), 32, np.uint8)
+    for row in out:
+        # shorter windows too, as short texts have nothing else
+        size = int(rng.choice((WINDOW, WINDOW, WINDOW // 2, WINDOW // 4)))
+        start = int(rng.integers(0, max(1, len(data) - size + 1)))
+        part = data[start : start + size]
+        row[: len(part)] = part
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, turn, windows of labelled rows."""
+    for batch in batches:
+        cut = [
+            cut_windows(text.as_py().encode("utf-8"), np.random.default_rng(turn.as_py() & 0xFFFFFFFF)).tobytes()
+            for turn, text in zip(batch.column(1), batch.column(2), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["lang", "turn", "windows"])
+
+
+def train(windows: np.ndarray, labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteNet:
+    """Fit with Adam on labelled windows."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     net = ByteNet(languages, rng)
-    rows, targets = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = _FOLD[np.frombuffer(text, np.uint8)]
-        for _ in range(WINDOWS_PER_TEXT):
-            # shorter windows too, as short texts have nothing else
-            size = int(rng.choice((WINDOW, WINDOW, WINDOW // 2, WINDOW // 4)))
-            start = int(rng.integers(0, max(1, len(data) - size + 1)))
-            row = np.full(WINDOW, 32, np.uint8)
-            part = data[start : start + size]
-            row[: len(part)] = part
-            rows.append(row)
-            targets.append(languages.index(label))
-    windows, y = np.stack(rows), np.array(targets)
+    y = np.array([languages.index(label) for label in labels])
     parameters = net.parameters()
     m = [np.zeros_like(p) for p in parameters]
     v = [np.zeros_like(p) for p in parameters]
@@ -167,7 +177,7 @@ def _predict(shared):
                     best = mean.argmax(axis=1)
                     for j in np.flatnonzero(sizes):
                         row = chunk.first + int(j)
-                        if _LETTER.search(batch.column(1)[row].as_py()):
+                        if any(map(str.isalpha, batch.column(1)[row].as_py())):
                             names[row], scores[row] = net.languages[best[j]], p[j, best[j]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"]
@@ -182,25 +192,38 @@ def identify_languages(docs: DataFrame, train_per_language: int = TRAIN_PER_LANG
     ws = Workspace(spark, "language")
     rows = pick(docs, "doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    # the first rows of each language by a hash; only hashes are ranked, and a language is a small set of names
     turn = F.xxhash64("doc_id", F.lit("language id"))
-    labelled = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy(turn, "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_per_language)
-    # a stretch from a place that the hash picks: what comes to the driver is bounded
-    begin = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.lit(1), F.length("text") - STRETCH)) + 1
-    stretch = F.substring("text", begin.cast("int"), F.lit(STRETCH))
+    labelled = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select("lang", turn.alias("turn"), F.shiftright(turn, 48).alias("slot"), "text")
+    # ranges of the hash that hold the first rows of each language, from at most 2**16 counts a language
+    before = Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = labelled.groupBy("lang", "slot").agg(F.count(F.lit(1)).alias("n"))
+    reach = (
+        counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where(F.col("before") < train_per_language)
+        .groupBy("lang")
+        .agg(F.max("slot").alias("reach"))
+    )
+    order = Window.partitionBy("lang").orderBy("turn", "windows")
     sample = (
-        labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-        .where(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", stretch.alias("text"))
-        .orderBy("lang", "doc_id", "text")
-        .collect()
+        labelled.join(F.broadcast(ws.keep(reach, "reach")), "lang")  # a row per language
+        .where(F.col("slot") <= F.col("reach"))
+        .select("lang", "turn", "text")
+        .mapInArrow(_cut, "lang string, turn bigint, windows binary")
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= train_per_language)
+        .orderBy("lang", "rank")
+        .collect()  # train_per_language rows a language
     )
-    net = train([r.text.encode("utf-8") for r in sample], [r.lang for r in sample]) if sample else None
+    net = None
+    if sample:
+        windows = np.frombuffer(b"".join(bytes(r.windows) for r in sample), np.uint8).reshape(-1, WINDOW)
+        net = train(windows, [r.lang for r in sample for _ in range(WINDOWS_PER_TEXT)])
     shared = spark.sparkContext.broadcast(net)
-    return ws.result(
+    out = ws.result(
         rows.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
             _predict(shared), "doc_id bigint, held_out boolean, lang_pred string, score double"
         )
     )
+    shared.destroy()
+    return out

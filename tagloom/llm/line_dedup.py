@@ -16,7 +16,8 @@ Edge cases: blank lines are never counted or removed. A null source is no site.
 A null text stays null and an empty one empty. A document may lose all its lines
 and is then empty. Rows are told apart by doc_id and text together, so repeated
 rows lose the same lines each and rows with a null doc_id are handled like all
-others. A threshold is compared with "or more". Empty tables give empty results.
+others. A threshold is compared with "or more", so ties stay out. A very
+long text is exploded into its lines like any other, and its cuts are one row. Empty tables give empty results.
 Columns other than doc_id, text and source are not read.
 """
 

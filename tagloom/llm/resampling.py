@@ -2,7 +2,7 @@
 
 Words and word pairs of a text are hashed into ``BUCKETS`` buckets. Two bags of hashed
 n-grams are summed over the corpus in Spark: of the target (documents labelled as of
-good quality and not toxic, at most ``max_target`` of them, the first by a hash) and of all texts. A document's log weight is the sum over
+good quality and not toxic, about ``max_target`` of them at most, chosen by a hash) and of all texts. A document's log weight is the sum over
 its n-grams of the log ratio of the two models, each a unigram model over buckets.
 ``smoothing`` counts are added to a bucket's target count and to what the raw model expects
 there, so that what is rare in the target tells little (else the labelled documents would
@@ -19,7 +19,7 @@ documents among the labelled ones.
 
 Edge cases: a null or empty text has log weight 0. Rows with the same key (repeated
 rows) are taken or left together, and kept where they straddle the limit, so ties may
-make the sample a little larger. Null ids are never labelled; without target documents all weights are 0 and noise
+make the sample a little larger. A very long text is read whole. Null ids are never labelled; without target documents all weights are 0 and noise
 alone draws. Empty tables give empty results. Other columns are not read.
 """
 
@@ -116,8 +116,12 @@ def resample(
     good = marks.groupBy("doc_id").agg(F.bool_and((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     good = ws.keep(good, "good")
     # a bounded number of ids: texts meet them where they are read
-    chosen = good.where("good").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
-    flagged = rows.join(F.broadcast(chosen.withColumn("target", F.lit(True))), "doc_id", "left")
+    turn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double")
+    chosen = good.where("good").select("doc_id", turn.alias("turn"))
+    least = kth_greatest(chosen, max_target, "turn")
+    if least is not None:
+        chosen = chosen.where(F.col("turn") >= least)
+    flagged = rows.join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("target"))), "doc_id", "left")
     bags = (
         flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
         .mapInArrow(_bags, "bucket bigint, n_target bigint, n_raw bigint")

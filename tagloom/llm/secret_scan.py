@@ -23,7 +23,8 @@ the least score at which the expected share of false discoveries is at most
 bound that share finds nothing.
 
 Edge cases: a null text is an empty one; without findings ``spans`` is empty. Every
-row comes back, repeated rows and null ids too. Empty tables give empty results.
+row comes back, repeated rows and null ids too. A very long text is scanned whole, and gives one decoy like any other. Spans
+that start at the same place are told in the order of the kinds; equal scores share a bin and are taken or left together. Empty tables give empty results.
 Columns other than doc_id and text are not read.
 """
 

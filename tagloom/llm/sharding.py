@@ -14,7 +14,8 @@ Edge cases: a null text has 16 bytes of overhead only, and the CRC of an empty
 text; nulls form a group of their own with empty texts. A null doc_id sorts
 first. Repeated rows are rows like any other, each with its own slot (the order
 between identical rows is immaterial, as they are equal in all columns). An empty
-table gives an empty result. Columns other than doc_id and text are not read.
+table gives an empty result. A very long text is one row and never cut, so a shard can exceed the target by half a
+row. Ties in the order are told by the texts' hashes. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -164,27 +165,6 @@ def test_quality_base_columns(docs, empty):
     assert quality_rules(empty).count() == 0
 
 
-def test_perplexity_of_a_joined_model_is_the_same(docs):
-    a = sorted((r.doc_id or -1, round(r.log_ppl or 0, 9), r.kept) for r in quality_rules(docs).collect())
-    assert a == sorted((r.doc_id or -1, round(r.log_ppl or 0, 9), r.kept) for r in quality_rules(docs, max_model=0).collect())
-
-
-def test_kneser_ney_sums_to_one(spark):
-    """Probabilities after a context, with the lower orders' share for unseen bytes, sum to one."""
-    import math
-
-    from tagloom.llm.common import Workspace
-    from tagloom.llm.quality_rules import _count, kneser_ney
-
-    df = spark.createDataFrame([("abracadabra abba", "en"), ("cab aba", "en")], "text string, lang string")
-    counts = df.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").sum("n").withColumnRenamed("sum(n)", "n")
-    model = kneser_ney(Workspace(spark, "t"), counts).collect()
-    by = defaultdict(float)
-    for r in model:
-        by[r.gram >> 8] += math.exp(r.logp)
-    assert model and all(0 < p <= 1 + 1e-9 for p in by.values())
-
-
 def test_secrets(docs, empty):
     got = {r.doc_id: r for r in scan_secrets(docs).collect() if r.doc_id is not None}
     assert scan_secrets(docs).count() == len(rows())
@@ -238,13 +218,14 @@ def test_languages(spark, docs, empty):
     r = random.Random(2)
     kinds = {"aa": ("the", "ing", "on"), "bb": ("zu", "sch", "ß"), "cc": ("qué", "ñ", "ción")}
     data = [(i, " ".join("".join(r.choice(kinds[k]) for _ in range(3)) for _ in range(r.randint(3, 200))), k) for i, k in ((i, list(kinds)[i % 3]) for i in range(300))]
-    data += [(900, None, "aa"), (901, "", "aa"), (902, "123 !!", "aa"), (903, "theing onthe", None)]
+    data += [(900, None, "aa"), (901, "", "aa"), (902, "123 !!", "aa"), (903, "theing onthe", None), (904, "½ ² Ⅷ _", "aa"), (905, "語", "aa")]
     got = identify_languages(spark.createDataFrame(data, "doc_id bigint, text string, lang string")).collect()
     want = {i: k for i, _, k in data[:300]}
     for x in got:
         assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) and 0 <= x.score <= 1
     assert sum(x.lang_pred == want[x.doc_id] for x in got if x.doc_id in want) >= 295
-    assert {x.lang_pred for x in got if x.doc_id in (900, 901, 902)} == {"und"}
+    assert {x.lang_pred for x in got if x.doc_id in (900, 901, 902, 904)} == {"und"}
+    assert all(x.lang_pred in kinds for x in got if x.doc_id in (903, 905))
     assert identify_languages(docs).count() == len(rows())
     assert identify_languages(empty).count() == 0
 
@@ -262,13 +243,38 @@ def test_resampling(spark, docs, empty):
     assert resample(empty, marks).count() == 0
 
 
+def test_resampling_equals_plain_models(spark):
+    """Log weights, noise and the sample against dictionaries, with ties, nulls and a bounded target."""
+    import pyarrow as pa
+
+    from tagloom.llm.resampling import BUCKETS, SMOOTHING, _buckets
+
+    data = [(i, words_of(20 + i, i)) for i in range(60)] + [(60, None), (61, ""), (5, words_of(25, 5)), (None, "null id")]
+    data += [(7, words_of(27, 7))]  # an equal row
+    labels = [(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 1, 0)]
+    grams = {t: next(_buckets(pa.array([t])))[3].tolist() if t else [] for _, t in data}
+    good = {i for i, q, _ in labels if i is not None and q == 1}
+    raw = Counter(b for _, t in data for b in grams[t])
+    target = Counter(b for i, t in data if i in good for b in grams[t])
+    share = sum(target.values()) / sum(raw.values())
+    weight = {t: sum(math.log((target[b] + SMOOTHING) / (raw[b] * share + SMOOTHING)) for b in grams[t]) for t in grams}
+    assert max(raw) < BUCKETS
+    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = resample(d, marks, 0.25).collect()
+    assert sorted((r.doc_id or -1, round(r.log_weight, 6)) for r in got) == sorted((i or -1, round(weight[t], 6)) for i, t in data)
+    keys = sorted((r.key for r in got), reverse=True)
+    limit = keys[round(0.25 * len(data)) - 1]
+    assert all(r.kept == (r.key >= limit) for r in got)
+    assert sum(r.kept for r in resample(d, marks, max_target=3).collect()) > 0
+
+
 def test_packing(docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
     encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows():
         ids = [*encoder.encode(t or "", add_special_tokens=False).ids, 2]
@@ -285,9 +291,68 @@ def test_packing(docs, empty):
             assert offset == at
             at += n
         assert at == 4096 or at & (at - 1) == 0
-    one = {i: [*encoder.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows() if i == 50}
+    # every id of every row in one piece, repeated rows as often as they come
+    ids = {(i, t): [*encoder.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows()}
+    covered = Counter()
     for r in got:
-        if r.doc_id == 50:
-            own = one[50][r.start : r.start + r.length]
-            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
+        same = [k for k in ids if k[0] == r.doc_id and len(ids[k]) == r.doc_tokens]
+        crcs = {k: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[k][r.start : r.start + r.length])) for k in same}
+        fits = [k for k in same if crcs[k] == r.ids_crc32]
+        assert fits
+        for at in range(r.start, r.start + r.length):
+            covered[(fits[0], at)] += 1
+    often = Counter((i, t) for i, t, *_ in rows())
+    assert covered == Counter({(k, at): often[k] for k in ids for at in range(len(ids[k]))})
     assert pack(empty, path).count() == 0
+
+
+def test_ids_equal_the_tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tagloom.llm.packing import WordTokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(3)
+    odd = ["a <|endoftext|> b", "x<|endoftext|>y.", "", None, "  ", "İstanbul'S don't, we'll...", "é\u0301a ñ.", "ﬁn ǅ Ⅷ½² 12,5.", "a\u00a0b\u2003c", "日本語。日本語, x", "ΣΑΣ ΣΑΣ."]
+    odd += ["".join(r.choice("aAbZéÑßſ.,'\"!?*#<|>endoftext 19\u0301 \t") for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    for special in (True, False):
+        plain, ours = Tokenizer.from_file(path), WordTokenizer(path, special)
+        plain.encode_special_tokens = not special
+        for _ in range(2):  # the second time all units are known
+            ids, ends = ours.encode(pa.array(odd, pa.string()), 2)
+            parts = [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert parts == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in odd]
+
+
+def test_packing_chooses_the_best_neighbours():
+    """Greedy choice in a shard against BM25 told plainly, over all terms where the best ones find nothing."""
+    import numpy as np
+
+    from tagloom.llm import packing as P
+
+    r = np.random.default_rng(4)
+    tails = [r.zipf(1.3, r.integers(5, 60)).clip(0, 199).astype(np.uint16) for _ in range(80)]
+    df = Counter(int(x) for t in tails for x in set(t.tolist()))
+    idf = np.array([math.log1p((80 - df[i] + 0.5) / (df[i] + 0.5)) for i in range(200)], np.float32)
+    mean = sum(map(len, tails)) / 80
+
+    def weight(term, doc):
+        tf = (tails[doc] == term).sum()
+        return float(idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tails[doc]) / mean)))
+
+    index = P.ShardIndex(tails, idf, mean)
+    unused = np.ones(80, bool)
+    for seed in range(0, 60, 7):
+        unused[seed] = False
+        terms = sorted(set(tails[seed].tolist()), key=lambda t: (-weight(t, seed), t))[: P.QUERY_TERMS]
+        scores = {d: sum(weight(t, d) for t in terms) for d in range(80) if unused[d]}
+        got = index.neighbours(seed, unused).tolist()
+        assert all(unused[d] and scores[d] > 0 for d in got)
+        best = sorted((s for s in scores.values() if s > 0), reverse=True)[: len(got)]
+        assert np.allclose([scores[d] for d in got], best, rtol=1e-4)
+    packed = P.pack_shard(tails, idf, mean, 64)
+    covered = Counter((d, a) for s in packed for d, begin, n in s for a in range(begin, begin + n))
+    assert covered == Counter((d, a) for d in range(80) for a in range(len(tails[d])))
+    assert all(sum(n for *_, n in s) == 64 for s in packed[:-6])
