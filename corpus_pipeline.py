@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 reread as the next one's docs. All but the last return the columns of documents
-(doc_id, text, lang, source, n_chars); further columns of the input are left out. What
-each does with nulls, empty texts and repeated rows is stated in its operator's module.
+(doc_id, text, lang, source, n_chars); further columns of the input are left out. In all of
+them a document is a doc_id (null or not) with a text, so rows that share a doc_id but not the text are
+judged apart. Null and empty texts are rejected by the quality rules; texts that become empty by line dedup go on and are
+packed as an end id. Repeated rows: one stays after near dedup. Rows with a null doc_id are near duplicates of nothing.
+Very long texts are read whole. Ties are told in the operators' modules. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import Workspace, pick, table
+from tagloom.llm.common import Workspace, table
 from tagloom.llm.decontaminate import decontaminate
 from tagloom.llm.line_dedup import remove_cross_site_lines
-from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.near_dedup import drop_near_duplicates
 from tagloom.llm.packing import pack
 from tagloom.llm.quality_rules import keep_good
 from tagloom.llm.queries import vocabulary_path
@@ -33,19 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id and are equal, one stays. Rows with a null doc_id stay.
-    """
-    base = pick(docs, *COLUMNS)
-    dropped = near_duplicates(base, k=5, threshold=80).where("NOT kept").select("doc_id").distinct()
-    named = base.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(base.where("doc_id IS NULL"))
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return drop_near_duplicates(docs, k=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents that hold no benchmark item of eight words or more."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
