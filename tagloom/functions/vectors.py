@@ -92,23 +92,61 @@ class DescriptionBlocks:
     def eval(self, text: str):
         import re
 
-        at = 0
-        for n, line in enumerate((text or "").split("\n")):
-            size = len(line.encode("utf-16-be")) // 2
+        for n, line, at, stop in _text_lines(text):
             body = line.strip()
-            if body:
-                m = re.match(r"\s*\[([0-9]+)\]", line)
-                letter = next((c for c in body if c.isalpha()), "")
-                heading = not m and len(body) <= 120 and not body.endswith((".", ",", ";")) and letter.isupper()
-                yield n, "heading" if heading else "paragraph", m.group(1) if m else None, at, at + size
-            at += size + 1
+            m = re.match(r"\s*\[([0-9]+)\]", line)
+            letter = next((c for c in body if c.isalpha()), "")
+            heading = not m and len(body) <= 120 and not body.endswith((".", ",", ";")) and letter.isupper()
+            yield n, "heading" if heading else "paragraph", m.group(1) if m else None, at, stop
+
+
+@udtf(returnType=_BLOCK)
+class ClaimBlocks:
+    """Claims of one text, for LATERAL joins; n counts the blocks, those before the first number are block 0."""
+
+    def eval(self, text: str):
+        import re
+
+        number, label, start, end = 0, None, None, 0
+        for _, line, at, stop in _text_lines(text):
+            m = re.match(r"\s*([0-9]+)[.)]", line)
+            if m:
+                if start is not None:
+                    yield number, "claim", label, start, end
+                number, label, start = number + 1, m.group(1), at
+            elif start is None:
+                start = at
+            end = stop
+        if start is not None:
+            yield number, "claim", label, start, end
+
+
+def _text_lines(text: str | None) -> Iterator[tuple[int, str, int, int]]:
+    """Number, line, start and stop in UTF-16 units of the lines that aren't blank."""
+    at = 0
+    for n, line in enumerate((text or "").split("\n")):
+        size = len(line.encode("utf-16-le", "surrogatepass")) // 2
+        if line.strip():
+            yield n, line, at, at + size
+        at += size + 1
 
 
 def register(spark: SparkSession) -> None:
     """SQL names of the engine's functions."""
     spark.udtf.register("description_blocks", DescriptionBlocks)
+    spark.udtf.register("claim_blocks", ClaimBlocks)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pub_key(c STRING, n STRING) RETURNS STRING RETURN concat(c, n)")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION vector_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE "
         "RETURN aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION l2_normalise(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN "
+        "transform(v, x -> x / if(aggregate(v, CAST(0 AS DOUBLE), (s, y) -> s + y * y) > 0, sqrt(aggregate(v, CAST(0 AS DOUBLE), (s, y) -> s + y * y)), 1))"
+    )
+    parts = r"upper(regexp_extract(trim(raw), '^([A-Za-z]+)', 1))", r"translate(regexp_extract(trim(raw), '^[A-Za-z]+([\\s\\S]*)$', 1), ' ./,', '')"
+    number = rf"regexp_extract({parts[1]}, '^(\\d+)([A-Za-z]\\d*)?$', 1)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION publication_key(raw STRING) RETURNS STRING "
+        f"RETURN CASE WHEN {parts[0]} <> '' AND {number} <> '' THEN concat({parts[0]}, {number}) END"
+    )

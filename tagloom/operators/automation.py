@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled
-from .scoring import doc_tag_grid
-
 RECENT = 300
 
 
@@ -54,6 +52,11 @@ def review_flags(decided: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def doc_tag_grid(docs: DataFrame, tags: DataFrame) -> DataFrame:
+    """Every document with every active tag: the tags are the small side of this deliberate product."""
+    return docs.select("doc_id").join(tags.where("NOT archived").select("tag_id"))
+
+
 def auto_completable(decisions: DataFrame) -> DataFrame:
     """doc_id of documents all of whose tags are decided; a document without rows has no active tag."""
     return decisions.groupBy("doc_id").agg(F.bool_and(F.col("decision").isin("pos", "neg")).alias("ok")).where("ok").select("doc_id")
@@ -92,26 +95,43 @@ def apply_auto_labels(labels: DataFrame, decisions: DataFrame) -> tuple[DataFram
 
 
 def full_automation(
-    documents: DataFrame, scores: DataFrame, tags: DataFrame, labels: DataFrame, audit_rate: float = 0.05
+    documents: DataFrame, scores: DataFrame, tags: DataFrame, labels: DataFrame, audit_rate: float = 0.05, enabled: bool = True
 ) -> dict[str, DataFrame]:
     """One pass over the queue: automatic labels, and documents that need no review.
 
-    Labels that exist count as decisions. Confident absences are written also for documents that stay
-    queued. A sampled share of the decided documents stays queued for a full review.
+    Confident positives are always written. If ``enabled``, confident absences are written too, also for documents that
+    stay queued, and labels that exist count as decisions; a document all of whose tags are decided is completed,
+    but a sampled share stays queued for a full review. The result has labels (after), written, completed, audited,
+    documents (after), predictions (doc_id, tag_id, score, suggested: logged for completed documents, from new
+    labels and from old ones with a confidence) and positives (doc_id, tags of completed documents, for retrieval).
     """
     queue = documents.where("review_state = 'queued' AND fetch_status = 'fetched'").select("doc_id")
     own = scores.select("doc_id", "tag_id", "score")
     grid = doc_tag_grid(queue, tags).join(own, ["doc_id", "tag_id"], "left")
-    have = labels.select("doc_id", "tag_id", F.col("state").alias("have"))
+    confidence = F.col("confidence").cast("double") if "confidence" in labels.columns else F.lit(None).cast("double")
+    have = labels.select("doc_id", "tag_id", F.col("state").alias("have"), confidence.alias("confidence"))
     decided = (
         with_decision(grid, tags)
         .join(have, ["doc_id", "tag_id"], "left")
         .withColumn("decision", F.coalesce("have", "decision"))
     )
-    new = decided.where("have IS NULL AND decision IN ('pos', 'neg')").select("doc_id", "tag_id", F.col("decision").alias("state"))
-    complete = auto_completable(decided).withColumn("audited", audit_sampled(F.col("doc_id"), audit_rate))
+    states = ("pos", "neg") if enabled else ("pos",)
+    new = decided.where(F.col("have").isNull() & F.col("decision").isin(*states)).select("doc_id", "tag_id", F.col("decision").alias("state"))
     after, written = apply_auto_labels(labels, new)
-    return {"labels": after, "written": written, "completed": complete.where("NOT audited").select("doc_id"), "audited": complete.where("audited").select("doc_id")}
+    complete = auto_completable(decided if enabled else decided.limit(0)).withColumn("audited", audit_sampled(F.col("doc_id"), audit_rate))
+    done = complete.where("NOT audited").select("doc_id")
+    gone = decided.join(done, "doc_id", "left_semi")
+    logged = F.when(F.col("have").isNull(), F.col("score").cast("double")).otherwise(F.col("confidence"))
+    now = done.withColumn("now", F.lit("auto_completed"))
+    return {
+        "labels": after,
+        "written": written,
+        "completed": done,
+        "audited": complete.where("audited").select("doc_id"),
+        "documents": documents.join(now, "doc_id", "left").withColumn("review_state", F.coalesce("now", "review_state")).drop("now"),
+        "predictions": gone.select("doc_id", "tag_id", logged.alias("score"), F.lit(True).alias("suggested")).where("score IS NOT NULL"),
+        "positives": gone.groupBy("doc_id").agg(F.collect_set(F.when(F.col("decision") == "pos", F.col("tag_id"))).alias("tags")),
+    }
 
 
 def automation_state_counts(documents: DataFrame, labels: DataFrame, tags: DataFrame) -> DataFrame:
@@ -142,3 +162,11 @@ def retrieval_candidates(
         own = F.array(*[F.lit(int(t)) for t in policy_tags]).cast("array<bigint>")
         wanted = wanted.join(pos_tags.where(F.arrays_overlap(F.col("tags").cast("array<bigint>"), own)).select("doc_id"), "doc_id", "left_semi")
     return wanted.join(done.select("doc_id"), "doc_id", "left_anti")
+
+
+def retrieval_jobs(docs: DataFrame, pos_tags: DataFrame, fulltext: DataFrame, drawings: DataFrame, config: EngineConfig) -> DataFrame:
+    """doc_id, kind (fulltext, drawings) to retrieve under the two policies, less what is there."""
+    have = {"fulltext": fulltext.where("status IN ('fetched', 'non_english_only')"), "drawings": drawings.where("status = 'fetched'")}
+    policies = {"fulltext": config.fulltext_policy, "drawings": config.drawings_policy}
+    parts = [retrieval_candidates(docs, pos_tags, have[kind], policies[kind], config.policy_tags).withColumn("kind", F.lit(kind)) for kind in have]
+    return parts[0].unionByName(parts[1])

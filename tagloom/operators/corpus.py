@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
 
 def dedupe_numbers(parsed: DataFrame, documents: DataFrame) -> DataFrame:
     """Add result: imported, duplicate (of an earlier line or a known document), or the parse outcome."""
@@ -17,17 +19,18 @@ def dedupe_numbers(parsed: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def import_report(results: DataFrame) -> DataFrame:
-    """result, n, lines: counts and sorted line numbers per outcome."""
-    return results.groupBy("result").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("line_no")).alias("lines"))
+    """result, n: counts per outcome; the lines themselves are the rows of ``results``."""
+    return results.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
 
 
 def add_pending(documents: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, pub_key of documents to insert: unknown keys, ids after the greatest one by (batch, line) order.
 
-    Ids come from offsets per range of the order, so no task numbers all rows.
+    Ids come from offsets per range of the order, so no task numbers all rows; the ranges are written first, as
+    both the offsets and the numbers within them depend on them.
     """
     fresh = new.join(documents.select("pub_key"), "pub_key", "left_anti").groupBy("pub_key").agg(F.min("line_no").alias("line_no"))
-    ranged = fresh.repartitionByRange("line_no", "pub_key").withColumn("part", F.spark_partition_id())
+    ranged = kept(fresh.repartitionByRange("line_no", "pub_key").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
     bases = sizes.select("part", before.alias("base"))
@@ -199,3 +202,13 @@ def search_batch(hits: DataFrame, state: DataFrame, page: int = 100, cap: int =
 def restart_search(state: DataFrame, searches: DataFrame) -> DataFrame:
     again = searches.select("search", F.lit(1).cast("bigint").alias("one"))
     return state.join(again, "search", "left").withColumn("next_start", F.coalesce("one", "next_start")).drop("one")
+
+
+def delete_searches(state: DataFrame, searches: DataFrame) -> DataFrame:
+    """The saved searches without the given ones; what they imported stays."""
+    return state.join(searches.select("search"), "search", "left_anti")
+
+
+def list_searches(state: DataFrame) -> DataFrame:
+    """Saved searches by name, case ignored."""
+    return state.orderBy(F.lower("search"), "search")

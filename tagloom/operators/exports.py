@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
+from .outline import SECTIONS
 
 # fixed values: the folder of untagged documents, and the wording of the document text below
 UNTAGGED = "_untagged"
 
 
-def export_rows(documents: DataFrame, labels: DataFrame, tags: DataFrame) -> DataFrame:
-    """doc_id, publication_number, title, tags (sorted names of positive labels), sources of fetched documents."""
+_HIGHLIGHTS = "array<struct<place:int,start:int,id:bigint,section:string,quote:string,comment:string,color:string>>"
+
+
+def export_rows(documents: DataFrame, labels: DataFrame, tags: DataFrame, highlights: DataFrame | None = None) -> DataFrame:
+    """doc_id, publication_number, title, tags (sorted names of positive labels), sources, highlights of fetched documents.
+
+    ``highlights`` has id, doc_id, section, start, quote, comment, color; they come in the order of the text.
+    """
     pos = labels.where("state = 'pos'").join(tags.select("tag_id", "name"), "tag_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
-    source = F.when(F.col("abstract").isNotNull(), F.array(F.concat(F.lit("abstract "), F.col("pub_key")))).otherwise(F.array().cast("array<string>"))
-    return (
-        documents.where("fetch_status = 'fetched'")
-        .join(pos, "doc_id", "left")
-        .select("doc_id", F.col("pub_key").alias("publication_number"), "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), source.alias("sources"))
+    source = F.when(F.col("abstract_source").isNotNull(), F.array(F.concat(F.lit("abstract "), F.col("abstract_source")))).otherwise(F.array().cast("array<string>"))
+    rows = documents.where("fetch_status = 'fetched'").join(pos, "doc_id", "left")
+    none = F.array().cast(_HIGHLIGHTS)
+    if highlights is None:
+        rows = rows.withColumn("marks", none)
+    else:
+        place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int").alias("place")
+        each = F.struct(place, "start", F.col("id").cast("bigint").alias("id"), "section", "quote", "comment", "color")
+        rows = rows.join(highlights.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).cast(_HIGHLIGHTS).alias("marks")), "doc_id", "left")
+    return rows.select(
+        "doc_id", F.col("pub_key").alias("publication_number"), "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), source.alias("sources"),
+        F.transform(F.coalesce("marks", none), lambda m: F.struct(m["section"].alias("section"), m["quote"].alias("quote"), m["comment"].alias("comment"), m["color"].alias("color"))).alias("highlights"),
     )
 
 
@@ -132,20 +147,26 @@ def render_documents(docs: DataFrame, fulltext: DataFrame, drawings: DataFrame,
     return rows.select("doc_id", "pub_key", text.alias("text"))
 
 
-def tag_folder_names(tags: DataFrame) -> DataFrame:
-    """tag_id, folder: names unique without regard to case, in the order of ids; a tag dimension's loop.
-
-    Bases that clash are numbered (2), (3)…; the few generated names that meet another base go on counting.
-    """
-    rows = sorted((r.tag_id, r.base) for r in tags.select("tag_id", safe_folder_name(F.col("name")).alias("base")).collect())  # the tag dimension
+def _numbered_names(key, pdf: pd.DataFrame) -> pd.DataFrame:
     taken, out = {UNTAGGED}, []
-    for tag, base in rows:
+    for tag, base in sorted(zip(pdf["tag_id"], pdf["base"], strict=True)):
         n, name = 2, base
         while name.lower() in taken:
             name, n = f"{base} ({n})", n + 1
         taken.add(name.lower())
         out.append((tag, name))
-    return tags.sparkSession.createDataFrame(out, "tag_id bigint, folder string")
+    return pd.DataFrame(out, columns=["tag_id", "folder"])
+
+
+def tag_folder_names(tags: DataFrame) -> DataFrame:
+    """tag_id, folder: names unique without regard to case, in the order of ids; those that clash are numbered (2), (3)…
+
+    Only names that are equal but for case and such numbers at their ends can clash: each group of these is a task's.
+    """
+    base = safe_folder_name(F.col("name"))
+    stem = F.regexp_replace(F.lower(base), r"( \(\d+\))+$", "")
+    named = tags.select(F.col("tag_id").cast("bigint").alias("tag_id"), base.alias("base"), stem.alias("stem"))
+    return named.groupBy("stem").applyInPandas(_numbered_names, "tag_id bigint, folder string")
 
 
 def document_layout(docs: DataFrame, labels: DataFrame, tags: DataFrame) -> DataFrame:
@@ -178,12 +199,19 @@ def export_tag_scheme(tags: DataFrame) -> DataFrame:
     """name, definition, parent (name of an active one) of active tags, without learned state."""
     active = tags.where("NOT archived")
     parent = active.select(F.col("tag_id").alias("pid"), F.col("name").alias("parent"))
-    return active.join(parent, F.col("parent_id") == F.col("pid"), "left").select("name", "definition", "parent").orderBy("name")
+    return active.join(parent, F.col("parent_id") == F.col("pid"), "left").select("name", "definition", "parent", "color", "hotkey").orderBy("name")
+
+
+JOB_KINDS = ("import", "fulltext", "drawings")
 
 
-def job_counts(jobs: DataFrame) -> DataFrame:
-    """kind, pending, running, failed with a total row (kind null)."""
-    return jobs.rollup("kind").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("pending", "running", "failed")))
+def job_counts(jobs: DataFrame, kinds: tuple[str, ...] = JOB_KINDS) -> DataFrame:
+    """kind, pending, running, failed of each of the kinds, zeros kept, with a total row (kind null)."""
+    states = ("pending", "running", "failed")
+    asked = jobs.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    counts = jobs.where(F.col("kind").isin(*kinds)).groupBy("kind").agg(*(F.count_if(F.col("state") == s).alias(s) for s in states))
+    rows = asked.join(counts, "kind", "left").select("kind", *(F.coalesce(s, F.lit(0)).alias(s) for s in states))
+    return rows.rollup("kind").agg(*(F.sum(s).alias(s) for s in states))
 
 
 def jobs_in(jobs: DataFrame, kind: str, states: tuple[str, ...] = ("pending", "running")) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
 REVIEWED = ("validated", "auto_completed")
 
 
@@ -50,11 +52,21 @@ def tag_review_candidates(documents: DataFrame, labels: DataFrame, tags: DataFra
 
 
 def tag_review_queue(candidates: DataFrame, scores: DataFrame) -> DataFrame:
-    """Candidates with their score and rank in the tag: best first, unscored last."""
-    from pyspark.sql import Window
+    """Candidates with their score and rank in the tag: best first, unscored last.
 
-    rank = F.row_number().over(Window.partitionBy("tag_id").orderBy(F.desc_nulls_last("score"), "doc_id"))
-    return candidates.join(scores.select("doc_id", "tag_id", "score"), ["doc_id", "tag_id"], "left").withColumn("rank", rank)
+    Ranks come from ranges of the order and the numbers of rows before them, so no task ranks a whole tag.
+    """
+    order = [F.col("tag_id"), F.desc_nulls_last("score"), F.col("doc_id")]
+    scored = candidates.join(scores.select("doc_id", "tag_id", "score"), ["doc_id", "tag_id"], "left")
+    ranged = kept(scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("tag_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each tag in each range
+    before = Window.partitionBy("tag_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("tag_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("tag_id", "part").orderBy(*order[1:]))
+    return ranged.withColumn("rn", inside).join(bases, ["tag_id", "part"]).select(
+        *candidates.columns, "score", (F.col("base") + F.col("rn")).alias("rank")
+    )
 
 
 def label_sets(labels: DataFrame) -> DataFrame:
@@ -74,10 +86,13 @@ def labels_from_history(history: DataFrame) -> DataFrame:
     return history.groupBy("doc_id", "tag_id").agg(F.max_by(F.struct("state", "source"), "id").alias("s")).select("doc_id", "tag_id", "s.state", "s.source")
 
 
-def validate(decisions: DataFrame, tags: DataFrame, labels: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+def validate(
+    decisions: DataFrame, tags: DataFrame, labels: DataFrame, documents: DataFrame, scores: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Full reviews: every active tag of a decided document gets a human state.
 
-    ``decisions`` has doc_id and checked (tag ids). Scores of the moment are logged by the caller first.
+    ``decisions`` has doc_id and checked (tag ids); ``scores`` (doc_id, tag_id, score, suggested) are those of the moment, from
+    before the labels: the decided documents' ones come back as predictions to be logged.
     """
     docs = decisions.select("doc_id", "checked")
     active = tags.where("NOT archived").select("tag_id", F.col("version").alias("tag_version"))
@@ -85,10 +100,15 @@ def validate(decisions: DataFrame, tags: DataFrame, labels: DataFrame, documents
         "doc_id", "tag_id", F.when(F.array_contains("checked", F.col("tag_id")), "pos").otherwise("neg").alias("state"),
         F.lit("human").alias("source"), "tag_version",
     )
-    kept = labels.join(new.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
+    old = labels.join(new.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
     done = docs.select("doc_id").withColumn("now", F.lit("validated"))
     after = documents.join(done, "doc_id", "left").withColumn("review_state", F.coalesce("now", "review_state")).drop("now")
-    return {"labels": kept.unionByName(new), "history": new, "documents": after}
+    out = {"labels": old.unionByName(new), "history": new, "documents": after}
+    if scores is not None:
+        out["predictions"] = scores.where("score IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").join(active.select("tag_id"), "tag_id", "left_semi").select(
+            "doc_id", "tag_id", "score", "suggested"
+        )
+    return out
 
 
 def label_pairs(decisions: DataFrame, labels: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
@@ -96,8 +116,8 @@ def label_pairs(decisions: DataFrame, labels: DataFrame, scores: DataFrame) -> d
     known = labels.select("doc_id", "tag_id")
     logged = decisions.join(known, ["doc_id", "tag_id"], "left_anti").join(scores, ["doc_id", "tag_id"]).select("doc_id", "tag_id", "score")
     new = decisions.select("doc_id", "tag_id", "state", F.lit("human").alias("source"), "tag_version")
-    kept = labels.join(decisions.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
-    return {"labels": kept.unionByName(new), "predictions": logged}
+    old = labels.join(decisions.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
+    return {"labels": old.unionByName(new), "predictions": logged}
 
 
 def discard_stale(labels: DataFrame, tags: DataFrame) -> DataFrame:
@@ -108,9 +128,7 @@ def discard_stale(labels: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def queue_by_uncertainty(queue: DataFrame, scores: DataFrame, tags: DataFrame) -> DataFrame:
-    """doc_id, uncertainty, rank: least distance of a score to its threshold; documents without scores last."""
-    from pyspark.sql import Window
-
+    """doc_id, uncertainty in this order: least distance of a score to its threshold; documents without scores last."""
     own = scores.where("score IS NOT NULL").join(tags.where("NOT archived").select("tag_id", "threshold"), "tag_id")
     gap = F.abs(F.col("score").cast("double") - F.coalesce(F.col("threshold").cast("double"), F.lit(0.5)))
     least = own.groupBy("doc_id").agg(F.min(gap).alias("uncertainty"))
@@ -134,12 +152,17 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str | Non
     return current.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*current.columns))
 
 
-def apply_document_updates(documents: DataFrame, updates: DataFrame) -> DataFrame:
-    """Columns of ``updates`` (doc_id and others) put in where they are not null."""
+def apply_document_updates(documents: DataFrame, updates: DataFrame, nullable: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``updates`` (doc_id and others) put in where they are not null, those in ``nullable`` also where they are."""
     others = [c for c in updates.columns if c != "doc_id"]
-    new = updates.select("doc_id", *[F.col(c).alias(f"new_{c}") for c in others])
-    out = documents.join(new, "doc_id", "left")
-    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in others else F.col(c) for c in documents.columns])
+    new = updates.select("doc_id", F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in others])
+
+    def value(c: str):
+        if c not in others:
+            return F.col(c)
+        return (F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) if c in nullable else F.coalesce(f"new_{c}", c)).alias(c)
+
+    return documents.join(new, "doc_id", "left").select(*[value(c) for c in documents.columns])
 
 
 def upsert_pages(pages: DataFrame, new: DataFrame) -> DataFrame:

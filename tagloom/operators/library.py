@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from .kept import kept
 
 AVAILABLE = ("fetched", "non_english_only")
 
@@ -22,32 +31,85 @@ class LibraryFilters:
     sections: tuple[str, ...] = field(default=("title", "abstract"))
 
 
-# fixed values: letters with diacritics and their plain forms
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that decompose into a letter and marks, their plain forms, and then all combining marks."""
+    accented, plain, marks = [], [], []
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif len(parts) > 1 and c == c.lower() and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
+            accented.append(c)
+            plain.append(parts[0])
+    return "".join(accented + marks), "".join(plain)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
+    """Lower case without diacritics: marks are dropped, from letters that are one with theirs too."""
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, section, doc_id, positions from doc_id, section, tokens of a text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens = batch.column(2)
+        flat = tokens.flatten().dictionary_encode()
+        sizes = np.diff(np.asarray(tokens.offsets))
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = np.asarray(flat.indices).astype(np.int64)
+        order = np.lexsort((pos, code, row))
+        row, code, pos = row[order], code[order], pos[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.zeros(0, np.int64)
+        at = pa.array(row[first])
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(pos.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [flat.dictionary.take(pa.array(code[first])), batch.column(1).take(at), batch.column(0).take(at), places], names=["token", "section", "doc_id", "positions"]
+        )
+
+
 def build_term_index(docs: DataFrame, sections: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
-    """token, section, doc_id, positions."""
+    """token, section, doc_id, positions. A text's positions are grouped where it is read: nothing is shuffled."""
     rows = None
     for s in sections:
-        part = docs.where(F.col(s).isNotNull()).select(
-            "doc_id", F.lit(s).alias("section"), F.posexplode(F.filter(F.split(fold(F.col(s)), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("pos", "token")
-        )
+        words = F.filter(F.split(fold(F.col(s)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+        part = docs.where(F.col(s).isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(s).alias("section"), words.alias("tokens"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("token", "section", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return rows.mapInArrow(_positions, "token string, section string, doc_id bigint, positions array<int>")
+
+
+def write_term_index(index: DataFrame, path: str, parts: int = 64) -> None:
+    """The index as files by a hash of the token, sorted by it, so that a look-up reads one part and few of its row groups."""
+    part = F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int")
+    index.withColumn("part", part).repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(path)
 
 
 def text_match(
-    index: DataFrame, all_of: tuple[str, ...] = (), any_of: tuple[str, ...] = (), none_of: tuple[str, ...] = (), phrase: tuple[str, ...] = (), prefix: str | None = None
+    index: DataFrame,
+    all_of: tuple[str, ...] = (),
+    any_of: tuple[str, ...] = (),
+    none_of: tuple[str, ...] = (),
+    phrases: tuple[tuple[str, ...], ...] = (),
+    prefixes: tuple[str, ...] = (),
+    sections: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """doc_id of documents that match all given conditions; the terms filter the index scan."""
+    """doc_id of documents that match all given conditions, in the given sections.
+
+    The index is read once, for the terms that are asked for; what it has of them is kept for all conditions.
+    """
     hits = None
+    if sections is not None:
+        index = index.where(F.col("section").isin(*sections))
+    if all_of or any_of or phrases or prefixes:
+        asked = F.col("token").isin(*all_of, *any_of, *none_of, *(w for p in phrases for w in p))
+        for prefix in prefixes:
+            asked = asked | F.col("token").startswith(prefix)
+        index = kept(index.where(asked))
 
     def meet(found: DataFrame) -> None:
         nonlocal hits
@@ -58,9 +120,9 @@ def text_match(
         meet(own.where(F.col("n") == len(set(all_of))).select("doc_id"))
     if any_of:
         meet(index.where(F.col("token").isin(*any_of)).select("doc_id").distinct())
-    if prefix:
+    for prefix in prefixes:
         meet(index.where(F.col("token").startswith(prefix)).select("doc_id").distinct())
-    if phrase:
+    for phrase in phrases:
         places = None
         for i, word in enumerate(phrase):
             here = index.where(F.col("token") == word).select("doc_id", "section", F.explode("positions").alias("p")).select("doc_id", "section", (F.col("p") - i).alias("p"))
@@ -123,11 +185,10 @@ def find_in_documents(sections: DataFrame, query: str) -> DataFrame:
     if len(query) < 2:
         raise ValueError("the query is too short")
     q = query.lower()
-    parts = F.split(F.lower("text"), r"\Q" + q.replace(r"\E", r"\E\\E\Q") + r"\E")
-    sizes = F.transform(parts, lambda p: F.length(p))
-    hits = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x) + (i - 1) * len(q),
-    )
-    found = sections.where(F.contains(F.lower("text"), F.lit(q))).select("doc_id", "section", F.posexplode(hits).alias("n", "start"))
+
+    @pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [m.start() for m in re.finditer(re.escape(q), t)])
+
+    found = sections.where(F.contains(F.lower("text"), F.lit(q))).select("doc_id", "section", F.posexplode(places(F.lower("text"))).alias("n", "start"))
     return found.select("doc_id", "section", (F.col("n") + 1).alias("n"), "start", (F.col("start") + len(q)).alias("stop"))

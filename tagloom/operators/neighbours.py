@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+# a block of vectors in a task, and the table of products that it fills at a time
+BLOCK_BYTES = 64 << 20
+LEAST_ROWS = 1024
+TILE = (512, 16_384)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -21,23 +24,31 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def _top(k: int, earlier: bool, skip_self: bool):
     def block(qid, qt, q, nid, nt, v) -> pa.RecordBatch:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for i in range(0, len(qid) if len(nid) else 0, 512):
-            sims = q[i : i + 512] @ v.T
-            if skip_self:
-                sims[qid[i : i + 512, None] == nid[None, :]] = -np.inf
-            if earlier:
-                sims[nt[None, :] >= qt[i : i + 512, None]] = -np.inf
-            # ties go to the lower id: the columns are sorted by it
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(sims, order, axis=1)
-            rows, cols = np.nonzero(np.isfinite(top))
-            out = [
-                np.concatenate([out[0], qid[i : i + 512][rows]]),
-                np.concatenate([out[1], nid[order[rows, cols]]]),
-                np.concatenate([out[2], top[rows, cols]]),
-            ]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["q_id", "n_id", "sim"])
+        out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        for i in range(0, len(qid) if len(nid) else 0, TILE[0]):
+            ids, turns = qid[i : i + TILE[0], None], qt[i : i + TILE[0], None]
+            rows, near, sims = [], [], []
+            for j in range(0, len(nid), TILE[1]):
+                own, own_turns = nid[None, j : j + TILE[1]], nt[None, j : j + TILE[1]]
+                s = q[i : i + TILE[0]] @ v[j : j + TILE[1]].T
+                if skip_self:
+                    s[ids == own] = -np.inf
+                if earlier:
+                    s[own_turns >= turns] = -np.inf
+                # all that tie with the k-th stay for now
+                floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf
+                r, c = np.nonzero((s >= floor) & (s > -np.inf))
+                rows.append(r)
+                near.append(own[0, c])
+                sims.append(s[r, c])
+            r, n, s = np.concatenate(rows), np.concatenate(near), np.concatenate(sims)
+            # ties go to the lower id
+            order = np.lexsort((n, -s, r))
+            r, n, s = r[order], n[order], s[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            for column, x in zip(out, (ids[r[first], 0], n[first], s[first]), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q_id", "n_id", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -71,30 +82,46 @@ def _top(k: int, earlier: bool, skip_self: bool):
 
 
 def nearest_neighbours(
-    queries: DataFrame, pool: DataFrame, k: int = 10, order_col: str | None = None, skip_self: bool = False, block: int = BLOCK
+    queries: DataFrame, pool: DataFrame, k: int = 10, order_col: str | None = None, skip_self: bool = False, block: int | None = None
 ) -> DataFrame:
     """q_id, n_id, sim, rank: the ``k`` most similar pool vectors of each query; ties to the lower id.
 
-    Both frames have doc_id and vector. Each side is cut into hash blocks of about ``block`` rows; a task
-    multiplies one query block with one pool block and sends ``k`` rows a query on. With ``order_col``
-    only neighbours with a smaller value count (prequential replay).
+    Both frames have doc_id and vector. Each side is cut into blocks as large as ``BLOCK_BYTES`` allow (or of
+    about ``block`` rows), so a vector is copied once for each block of the other side, and their number goes with the
+    data over the block size; a side of less is cut for the session's cores. A task multiplies one query block
+    with one pool block and sends ``k`` rows a query on. With ``order_col`` only neighbours with a smaller value count
+    (prequential replay): blocks are ranges of it then, and later pool blocks never meet earlier queries.
     """
+    spark = queries.sparkSession
     turn = F.col(order_col).cast("bigint") if order_col else F.lit(0).cast("bigint")
     q = queries.select(F.col("doc_id").alias("id"), turn.alias("turn"), "vector").where("vector IS NOT NULL")
     n = pool.select(F.col("doc_id").alias("id"), turn.alias("turn"), "vector").where("vector IS NOT NULL")
-    # one row of counts
-    blocks = q.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("qn")).crossJoin(
-        n.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("nn"))
-    )
-
-    def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1))
-        qb, nb = (mine, theirs) if side == 0 else (theirs, mine)
-        return df.join(F.broadcast(blocks)).select(qb.alias("qb"), nb.alias("nb"), F.lit(side).alias("side"), "id", "turn", "vector")
-
-    rows = dealt(q, "qn", "nn", 0).unionByName(dealt(n, "nn", "qn", 1))
-    pairs = rows.repartition("qb", "nb").sortWithinPartitions("qb", "nb").mapInArrow(
+    cores = spark.sparkContext.defaultParallelism
+    # one row each: how many vectors there are, and how many fit into a block
+    rows = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.coalesce(F.max(F.size("vector")), F.lit(1)))))
+    count = F.count(F.lit(1))
+    whole = F.greatest(F.lit(1), F.ceil(count / rows)).cast("int")
+    spread = whole if block else F.greatest(whole, F.least(F.lit(cores), F.ceil(count / LEAST_ROWS))).cast("int")
+    if order_col:
+        parts = n.agg(spread.alias("parts")).first().parts
+        cuts = sorted(set(n.approxQuantile("turn", [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
+        own = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("turn")))
+        left = q.select(own.alias("qb"), "id", "turn", "vector").select("qb", F.explode(F.sequence(F.lit(0), F.col("qb"))).alias("nb"), F.lit(0).alias("side"), "id", "turn", "vector")
+        right = n.select(own.alias("nb"), "id", "turn", "vector").select(
+            F.explode(F.sequence(F.col("nb"), F.lit(len(cuts)))).alias("qb"), "nb", F.lit(1).alias("side"), "id", "turn", "vector"
+        )
+        dealt = left.unionByName(right)
+    else:
+        blocks = q.agg(spread.alias("qn")).crossJoin(n.agg(whole.alias("nn")))
+
+        def deal(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+            theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            qb, nb = (mine, theirs) if side == 0 else (theirs, mine)
+            return df.join(F.broadcast(blocks)).select(qb.alias("qb"), nb.alias("nb"), F.lit(side).alias("side"), "id", "turn", "vector")
+
+        dealt = deal(q, "qn", "nn", 0).unionByName(deal(n, "nn", "qn", 1))
+    pairs = dealt.repartition("qb", "nb").sortWithinPartitions("qb", "nb").mapInArrow(
         _top(k, order_col is not None, skip_self), "q_id bigint, n_id bigint, sim double"
     )
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "n_id"))

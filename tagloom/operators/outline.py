@@ -8,26 +8,36 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import utf16_len, utf16_slice
+from ..functions.text import utf16_slice
 
 MAX_HEADING = 120
 
 
+def _units(text: str) -> int:
+    """UTF-16 code units."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        out = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            at = 0
+            for n, line in enumerate((text or "").split("\n")):
+                stop = at + _units(line)
+                out.append((doc, n, line, at, stop))
+                at = stop + 1
+        yield pd.DataFrame(out, columns=["doc_id", "n", "line", "start", "stop"])
+
+
 def _lines(docs: DataFrame, col: str) -> DataFrame:
-    """doc_id, n, line, start, stop in UTF-16 units, blank lines left out."""
-    parts = F.split(F.col(col), "\n")
-    # running offsets: one pass over the lines of a document
-    ends = F.aggregate(
-        parts,
-        F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<line:string,start:int,stop:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + 1 + utf16_len(x)).cast("int").alias("at"),
-            F.concat(s["out"], F.array(F.struct(x.alias("line"), (s["at"] + 1).cast("int").alias("start"), (s["at"] + 1 + utf16_len(x)).cast("int").alias("stop")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return docs.select("doc_id", F.posexplode(ends).alias("n", "l")).select("doc_id", "n", "l.*").where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+    """doc_id, n, line, start, stop in UTF-16 units, blank lines left out; one pass over each text, no shuffle."""
+    some = docs.where(F.col(col).isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(col).alias("text"))
+    lines = some.mapInPandas(_line_rows, "doc_id bigint, n int, line string, start int, stop int")
+    return lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
 
 
 def description_blocks(docs: DataFrame, col: str = "description") -> DataFrame:
@@ -61,10 +71,6 @@ _JOINT = re.compile(r"\s*(to|-|–|,|or|and)")
 _OPENS = re.compile(r"\s*(\d+)[.)]", re.ASCII)
 
 
-def _units(text: str) -> int:
-    return len(text) + sum(ord(c) > 0xFFFF for c in text)
-
-
 def references(line: str, own: int | None) -> tuple[list[tuple[int, int, int]], set[int]]:
     """((start, stop, claim) links in UTF-16 units, claims it depends on) of one line of claim ``own``."""
     low = "".join(c.lower() if c.isascii() else c for c in line)
@@ -119,37 +125,47 @@ def claim_dependencies(refs: DataFrame) -> DataFrame:
     return refs.where("depends").select("doc_id", "claim", F.col("ref").alias("depends_on")).distinct()
 
 
-def claim_tree(claims: DataFrame, deps: DataFrame, max_depth: int = 64) -> DataFrame:
-    """doc_id, claim, is_independent, depth: depth is the longest way down to an independent claim.
+def _tree(key, claims: pd.DataFrame, deps: pd.DataFrame) -> pd.DataFrame:
+    """Depths of one document's claims, in their order: dependencies point to earlier ones."""
+    needs: dict[int, list[int]] = {}
+    for claim, on in zip(deps["claim"], deps["depends_on"], strict=True):
+        needs.setdefault(int(claim), []).append(int(on))
+    place: dict[int, tuple[int, int]] = {}
+    for claim in sorted({int(c) for c in claims["claim"]}):
+        above = [(place[on], on) for on in needs.get(claim, ()) if on in place]
+        # the base is that of the deepest claim it depends on, of equal ones the first
+        (depth, base), _ = max(above, key=lambda x: (x[0][0], -x[1])) if above else ((-1, claim), claim)
+        place[claim] = (depth + 1, base)
+    rows = [(key[0], c, d == 0, d, b) for c, (d, b) in place.items()]
+    return pd.DataFrame(rows, columns=["doc_id", "claim", "is_independent", "depth", "base"])
+
 
-    ``claims`` has doc_id, claim. Dependencies point to earlier claims, so the loop ends; a round per level.
+def claim_tree(claims: DataFrame, deps: DataFrame) -> DataFrame:
+    """doc_id, claim, is_independent, depth, base: the longest way down to an independent claim, and that claim.
+
+    ``claims`` has doc_id, claim; ``deps`` doc_id, claim, depends_on. A group is one document's claims.
     """
-    known = claims.select("doc_id", "claim").distinct()
-    deps = deps.join(known.withColumnRenamed("claim", "depends_on"), ["doc_id", "depends_on"], "left_semi").persist()
-    level = known.withColumn("depth", F.lit(0))
-    reached = level
-    for depth in range(1, max_depth + 1):
-        level = (
-            deps.join(level.select("doc_id", F.col("claim").alias("depends_on")), ["doc_id", "depends_on"])
-            .select("doc_id", "claim").distinct().withColumn("depth", F.lit(depth))
-        )
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-    out = reached.groupBy("doc_id", "claim").agg(F.max("depth").alias("depth"))
-    return out.select("doc_id", "claim", (F.col("depth") == 0).alias("is_independent"), "depth")
+    own = claims.select(F.col("doc_id").cast("bigint").alias("doc_id"), "claim").groupBy("doc_id")
+    edges = deps.select(F.col("doc_id").cast("bigint").alias("doc_id"), "claim", "depends_on").groupBy("doc_id")
+    return own.cogroup(edges).applyInPandas(_tree, "doc_id bigint, claim int, is_independent boolean, depth int, base int")
+
 
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def occurrences(texts: pd.Series, quotes: pd.Series) -> pd.Series:
+    """Start positions (UTF-16 units, from 0) of the non-overlapping occurrences of a quote, in one pass."""
 
-def occurrences(text, quote):
-    """Start positions (characters, from 0) of the non-overlapping occurrences of a quote."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), quote, F.lit(r"\E")), -1)
-    return F.when(
-        F.contains(text, quote) & (F.length(quote) > 0),
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * F.length(quote),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
+    def places(text: str | None, quote: str | None) -> list[int]:
+        out: list[int] = []
+        if not text or not quote:
+            return out
+        units, seen, at = 0, 0, text.find(quote)
+        while at >= 0:
+            units += _units(text[seen:at])
+            out.append(units)
+            seen, at = at, text.find(quote, at + len(quote))
+        return out
+
+    return pd.Series([places(t, q) for t, q in zip(texts, quotes, strict=True)])
 
 
 def resolve_highlights(highlights: DataFrame) -> DataFrame:
@@ -159,22 +175,29 @@ def resolve_highlights(highlights: DataFrame) -> DataFrame:
     Offsets are UTF-16 units.
     """
     here = utf16_slice(F.col("text"), F.col("start"), F.col("stop")) == F.col("quote")
-    units = F.transform(occurrences(F.col("text"), F.col("quote")), lambda p: utf16_len(F.substring(F.col("text"), F.lit(1), p)))
-    nearest = F.array_min(F.transform(units, lambda p: F.struct(F.abs(p - F.col("start")).alias("d"), p.alias("p"))))["p"]
+    nearest = F.array_min(F.transform("places", lambda p: F.struct(F.abs(p - F.col("start")).alias("d"), p.alias("p"))))["p"]
     start = F.when(F.coalesce(here, F.lit(False)), F.col("start")).otherwise(F.coalesce(nearest, F.col("start")))
     detached = ~F.coalesce(here, F.lit(False)) & nearest.isNull()
-    return highlights.withColumn("new_start", start.cast("int")).withColumn("new_stop", (start + F.col("stop") - F.col("start")).cast("int")).withColumn("detached", detached)
+    placed = highlights.withColumn("places", occurrences(F.col("text"), F.col("quote")))
+    return placed.select(
+        *highlights.columns, start.cast("int").alias("new_start"), (start + F.col("stop") - F.col("start")).cast("int").alias("new_stop"), detached.alias("detached")
+    )
 
 
 def highlight_locations(highlights: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add location: the block around the start, by a range join within (doc_id, section).
 
-    ``blocks`` has doc_id, section, kind, label, start, stop.
+    ``blocks`` has doc_id, section, kind, label, start, stop. A highlight outside all blocks, as on a blank line, or
+    a detached one is told by its section alone.
     """
-    b = blocks.select("doc_id", "section", "kind", "label", F.col("start").alias("b0"), F.col("stop").alias("b1"))
-    joined = highlights.join(b, ["doc_id", "section"], "left").where(
-        "b0 IS NULL OR detached OR (b0 <= new_start AND new_start < b1)"
-    ).dropDuplicates(["id"])
+    b = blocks.select(
+        F.col("doc_id").alias("b_doc"), F.col("section").alias("b_section"), "kind", "label", F.col("start").alias("b0"), F.col("stop").alias("b1")
+    )
+    around = (
+        (F.col("doc_id") == F.col("b_doc")) & (F.col("section") == F.col("b_section")) & ~F.col("detached")
+        & (F.col("b0") <= F.col("new_start")) & (F.col("new_start") < F.col("b1"))
+    )
+    joined = highlights.join(b, around, "left")
     name = F.initcap("section")
     where = (
         F.when(F.col("detached"), name)
@@ -183,7 +206,7 @@ def highlight_locations(highlights: DataFrame, blocks: DataFrame) -> DataFrame:
         .when(F.col("label").isNotNull(), F.concat(name, F.lit(" ["), F.col("label"), F.lit("]")))
         .otherwise(name)
     )
-    return joined.withColumn("location", where).drop("kind", "label", "b0", "b1")
+    return joined.withColumn("location", where).drop("b_doc", "b_section", "kind", "label", "b0", "b1")
 
 
 # fixed values: order of the sections of a document
@@ -206,3 +229,20 @@ def add_highlights(highlights: DataFrame, new: DataFrame, sections: DataFrame) -
     ok = F.coalesce(F.col("section").isin(*SECTIONS) & F.col("color").isin(*COLORS) & (F.trim("quote") != ""), F.lit(False))
     good = cut.where(ok).select(*highlights.columns)
     return highlights.unionByName(good), cut.where(~ok).drop("text", "quote")
+
+
+def edit_highlights(highlights: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(highlights, rejected edits): comment and colour by id; a blank comment is none, the passage stays as it is."""
+    known = highlights.select("id")
+    ok = edits.where(F.col("color").isin(*COLORS)).join(known, "id", "left_semi")
+    comment = F.nullif(F.trim("comment"), F.lit(""))
+    new = ok.select("id", comment.alias("new_comment"), F.col("color").alias("new_color"), F.lit(True).alias("hit"))
+    after = highlights.join(new, "id", "left").select(
+        *[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in ("comment", "color") else F.col(c) for c in highlights.columns]
+    )
+    return after, edits.join(ok.select("id"), "id", "left_anti")
+
+
+def delete_highlights(highlights: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(highlights, unknown ids)."""
+    return highlights.join(ids.select("id"), "id", "left_anti"), ids.select("id").join(highlights.select("id"), "id", "left_anti")

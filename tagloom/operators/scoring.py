@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import nearest_neighbours
+from .automation import doc_tag_grid, review_flags, with_decision
+from .neighbours import _vectors, nearest_neighbours
 
 MIN_PER_CLASS = 5
 ITERATIONS = 500
@@ -17,6 +19,7 @@ RATE = 0.5
 L2 = 1e-3
 ZERO_SHOT_BELOW = 3
 BLEND_HALF = 20
+MAX_WEIGHTS = 4_000_000  # numbers of all tags' vectors that every task may hold
 
 
 def validated_pool(vectors: DataFrame, documents: DataFrame, model_id: str = "m1") -> DataFrame:
@@ -71,16 +74,40 @@ def tag_centroids(samples: DataFrame) -> DataFrame:
     )
 
 
-def zero_shot_scores(vectors: DataFrame, tag_vectors: DataFrame, n_pos: DataFrame | None = None) -> DataFrame:
-    """doc_id, tag_id, zero_shot: (cosine + 1) / 2 for tags with fewer than three human positives.
+def products(vectors: DataFrame, tags: DataFrame, weights: str, bias: str | None = None) -> DataFrame:
+    """doc_id, tag_id, z: dot product of every vector with every tag's weights, plus the tag's bias.
 
-    Tags are a small dimension and broadcast by their own size limit (the session's threshold decides).
+    One matrix product a batch, with the tags' weights in every task while they are at most ``MAX_WEIGHTS``
+    numbers; more tags are joined.
     """
+    own = tags.select("tag_id", F.col(weights).cast("array<double>").alias("w"), (F.col(bias) if bias else F.lit(0.0)).cast("double").alias("b"))
+    some = vectors.where("vector IS NOT NULL").select("doc_id", "vector")
+    first = own.select(F.size("w").alias("d")).first()
+    most = MAX_WEIGHTS // max(1, first.d) if first else 0
+    rows = own.limit(most + 1).collect() if first else []
+    if len(rows) > most:
+        return some.join(own).select("doc_id", "tag_id", (dot(F.col("vector"), F.col("w")) + F.col("b")).alias("z"))
+    ids = np.array([r.tag_id for r in rows], np.int64)
+    w, b = np.array([r.w for r in rows]), np.array([r.b for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = _vectors(batch.column(1)) @ w.T + b if batch.num_rows and len(ids) else np.zeros((batch.num_rows, 0))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), len(ids)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), pa.array(np.tile(ids, batch.num_rows)), pa.array(z.ravel())], names=["doc_id", "tag_id", "z"]
+            )
+
+    return some.select(F.col("doc_id").cast("bigint").alias("doc_id"), "vector").mapInArrow(run, "doc_id bigint, tag_id bigint, z double")
+
+
+def zero_shot_scores(vectors: DataFrame, tag_vectors: DataFrame, n_pos: DataFrame | None = None) -> DataFrame:
+    """doc_id, tag_id, zero_shot: (cosine + 1) / 2 for tags with fewer than three human positives."""
     tags = tag_vectors.select("tag_id", F.col("vector").alias("tv"))
     if n_pos is not None:
         tags = tags.join(n_pos, "tag_id", "left").where(F.coalesce("n_pos", F.lit(0)) < ZERO_SHOT_BELOW).select("tag_id", "tv")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(F.col("vector"), F.col("tv")) + 1) / 2))
-    return vectors.join(tags).select("doc_id", "tag_id", score.alias("zero_shot"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("z") + 1) / 2))
+    return products(vectors, tags, "tv").select("doc_id", "tag_id", score.alias("zero_shot"))
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = L2, iterations: int = ITERATIONS, rate: float = RATE) -> tuple[np.ndarray, float] | None:
@@ -124,7 +151,8 @@ def train_classifiers(samples: DataFrame, l2: float = L2, iterations: int = ITER
 
 
 def train_large(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS, rate: float = RATE) -> DataFrame:
-    """Full-batch steps for tags of any size: partial gradients of each task, summed per tag. A row per tag is collected."""
+    """Full-batch steps for tags of any size: each task sums its samples' gradients to one row a tag, and these are
+    summed per tag before one row of each is collected."""
     spark = samples.sparkSession
     counts = {r.tag_id: (int(r.p), int(r.n - r.p)) for r in samples.groupBy("tag_id").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
     counts = {t: c for t, c in counts.items() if min(c) >= MIN_PER_CLASS}
@@ -136,6 +164,7 @@ def train_large(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS
         shared = spark.sparkContext.broadcast(state)
 
         def partial(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
             for pdf in frames:
                 for tag, own in pdf.groupby("tag_id"):
                     if tag in shared.value:
@@ -143,13 +172,19 @@ def train_large(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS
                         x, y = np.stack(own["vector"].to_numpy()).astype(float), own["y"].to_numpy(float)
                         pos, neg = counts[tag]
                         e = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y > 0, 0.5 / pos, 0.5 / neg)
-                        yield pd.DataFrame({"tag_id": [tag] * (dim + 1), "i": range(dim + 1), "g": np.append(e @ x, e.sum())})
+                        sums[tag] = sums.get(tag, 0.0) + np.append(e @ x, e.sum())
+            yield pd.DataFrame({"tag_id": list(sums), "g": list(sums.values())})
 
-        grads = cached.mapInPandas(partial, "tag_id bigint, i int, g double").groupBy("tag_id", "i").agg(F.sum("g").alias("g")).collect()
-        total = {t: np.zeros(dim + 1) for t in counts}
-        for r in grads:
-            total[r.tag_id][r.i] = r.g
-        state = {t: (w - rate * (total[t][:dim] + 2 * l2 * w), b - rate * total[t][dim]) for t, (w, b) in state.items()}
+        def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for pdf in frames:
+                for tag, g in zip(pdf["tag_id"], pdf["g"], strict=True):
+                    sums[tag] = sums.get(tag, 0.0) + g
+            yield pd.DataFrame({"tag_id": list(sums), "g": list(sums.values())})
+
+        packed = "tag_id bigint, g array<double>"
+        grads = {r.tag_id: np.array(r.g) for r in cached.mapInPandas(partial, packed).repartition("tag_id").mapInPandas(total, packed).collect()}
+        state = {t: (w - rate * (grads[t][:dim] + 2 * l2 * w), b - rate * grads[t][dim]) for t, (w, b) in state.items()}
         shared.unpersist()
     cached.unpersist()
     rows = [(int(t), w.tolist(), float(b), *counts[t]) for t, (w, b) in state.items()]
@@ -158,8 +193,7 @@ def train_large(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS
 
 def lr_scores(vectors: DataFrame, classifiers: DataFrame) -> DataFrame:
     """doc_id, tag_id, lr: sigmoid of the weighted sum."""
-    z = dot(F.col("vector"), F.col("weights")) + F.col("bias")
-    return vectors.join(classifiers.select("tag_id", "weights", "bias")).select("doc_id", "tag_id", (1 / (1 + F.exp(-z))).alias("lr"))
+    return products(vectors, classifiers, "weights", "bias").select("doc_id", "tag_id", (1 / (1 + F.exp(-F.col("z")))).alias("lr"))
 
 
 def blend(lr: Column, knn: Column, zero_shot: Column, n_pos: Column) -> tuple[Column, Column]:
@@ -190,11 +224,6 @@ def with_suggested(scores: DataFrame, tags: DataFrame, labels: DataFrame) -> Dat
     )
 
 
-def doc_tag_grid(docs: DataFrame, tags: DataFrame) -> DataFrame:
-    """Every document with every active tag: the tags are the small side of this deliberate product."""
-    return docs.select("doc_id").join(tags.where("NOT archived").select("tag_id"))
-
-
 def score_documents(
     queue: DataFrame, pool: DataFrame, tags: DataFrame, labels: DataFrame, classifiers: DataFrame, tag_vectors: DataFrame, k: int = 10
 ) -> DataFrame:
@@ -210,3 +239,33 @@ def score_documents(
     )
     score, source = blend(F.col("lr"), F.col("knn"), F.col("zero_shot"), F.coalesce("n_pos", F.lit(0)))
     return parts.select("doc_id", "tag_id", score.alias("score"), source.alias("source"))
+
+
+def score_rows(
+    queue: DataFrame, pool: DataFrame, tags: DataFrame, labels: DataFrame, classifiers: DataFrame, tag_vectors: DataFrame, model_id: str = "m1", k: int = 10
+) -> DataFrame:
+    """doc_id, tag_id, score, source, model_version, suggested, automatic, uncertain of the queue and all active tags.
+
+    ``tags`` has threshold, neg_threshold and auto_enabled; ``classifiers`` trained_at. A document without a vector has no
+    score and the bare model as version.
+    """
+    scores = with_suggested(score_documents(queue, pool, tags, labels, classifiers, tag_vectors, k), tags, labels)
+    trained = classifiers.select("tag_id", "trained_at")
+    there = queue.where("vector IS NOT NULL").select("doc_id", F.lit(True).alias("there"))
+    version = model_version(F.lit(model_id), F.when(F.col("there"), F.col("trained_at")))
+    rows = scores.join(trained, "tag_id", "left").join(there, "doc_id", "left").withColumn("model_version", version)
+    return review_flags(with_decision(rows, tags), labels).select(
+        "doc_id", "tag_id", "score", "source", "model_version", "suggested", "automatic", "uncertain"
+    )
+
+
+def prequential_replay(vectors: DataFrame, labels: DataFrame, order_col: str, k: int = 10) -> DataFrame:
+    """doc_id, tag_id, score: what the neighbours validated before each document said about it."""
+    return knn_scores(nearest_neighbours(vectors, vectors, k, order_col), labels).select("doc_id", "tag_id", F.col("knn").alias("score"))
+
+
+def tag_vectors_current(tags: DataFrame, tag_vectors: DataFrame, model_id: str) -> tuple[DataFrame, DataFrame]:
+    """(found, missing): tag_id and vector of the tags' present versions, and tag_id of those to be computed."""
+    own = tag_vectors.where(F.col("model_id") == model_id).select("tag_id", F.col("tag_version").alias("version"), "vector")
+    found = tags.select("tag_id", "version").join(own, ["tag_id", "version"]).select("tag_id", "vector")
+    return found, tags.select("tag_id").join(found, "tag_id", "left_anti")

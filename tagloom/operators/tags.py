@@ -40,7 +40,9 @@ def ancestors(tags: DataFrame, max_depth: int = 64) -> DataFrame:
 def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tags, rejected with reason, tag_id that need a new vector).
 
-    ``edits`` has tag_id, name, definition, parent_id, color, hotkey, bump; each is judged against the tags as they are.
+    ``edits`` has tag_id, name, definition, parent_id, color, hotkey, bump. Each is judged against the tags as they are, and then
+    against the others of the batch: of several that take one name or hotkey the one of the smallest tag_id stands, and
+    those whose new parents close a cycle together all fall.
     """
     e = edits.select("tag_id", F.trim("name").alias("name"), F.trim("definition").alias("definition"), "parent_id", "color", F.nullif(F.trim("hotkey"), F.lit("")).alias("hotkey"), "bump")
     own = tags.select("tag_id", F.col("archived").alias("own_archived"), F.col("name").alias("old_name"), F.col("definition").alias("old_definition"))
@@ -64,6 +66,16 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
         .when(F.col("hotkey").isNotNull() & others, "hotkey_in_use").when(bad_parent, "invalid_parent")
     )
     judged = j.withColumn("reason", reason)
+    alone = F.col("reason").isNull()
+    turn = {c: F.row_number().over(Window.partitionBy(alone, F.lower(c) if c == "hotkey" else F.col(c)).orderBy("tag_id")) for c in ("name", "hotkey")}
+    judged = judged.withColumns({"name_turn": turn["name"], "hotkey_turn": turn["hotkey"]}).withColumn(
+        "reason",
+        F.when(~alone, F.col("reason")).when(F.col("name_turn") > 1, "duplicate_name").when(F.col("hotkey").isNotNull() & (F.col("hotkey_turn") > 1), "hotkey_in_use"),
+    )
+    moved = judged.where("reason IS NULL").select("tag_id", F.col("parent_id").alias("to"), F.lit(True).alias("moved"))
+    tree = tags.join(moved, "tag_id", "left").select("tag_id", F.when(F.col("moved"), F.col("to")).otherwise(F.col("parent_id")).alias("parent_id"))
+    closed = ancestors(tree).where("tag_id = ancestor").select("tag_id", F.lit(True).alias("closed"))
+    judged = judged.join(closed, "tag_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("closed"), "invalid_parent").otherwise(F.col("reason")))
     good = judged.where("reason IS NULL")
     changed = good.where(F.col("bump") | (F.col("name") != F.col("old_name")) | (F.col("definition") != F.col("old_definition"))).select("tag_id")
     new = good.select("tag_id", *[F.col(c).alias(f"new_{c}") for c in ("name", "definition", "parent_id", "color", "hotkey")], F.col("bump").cast("int").alias("b"), F.lit(True).alias("hit"))

@@ -58,7 +58,7 @@ def deduped_numbers(spark, sf_dir):
     return _results(spark, sf_dir).select("line_no", "pub_key", "result")
 
 
-@query(f"WITH {_KNOWN}, {_RESULT} SELECT result, count(*) AS n, list(line_no ORDER BY line_no) AS lines FROM result GROUP BY result", "a_number_lines", "a_documents")
+@query(f"WITH {_KNOWN}, {_RESULT} SELECT result, count(*) AS n FROM result GROUP BY result", "a_number_lines", "a_documents")
 def import_report(spark, sf_dir):
     return corpus.import_report(_results(spark, sf_dir))
 
@@ -192,6 +192,18 @@ def selected_text(spark, sf_dir):
     return corpus.select_text(T(spark, sf_dir).a_candidates)
 
 
+@query(
+    f"""SELECT request_id, arg_min(t.title, ({_TIER}, {_RANK}, pos)) AS text, arg_min(docdb_id, ({_TIER}, {_RANK}, pos)) AS source_docdb_id
+    FROM a_candidates c JOIN (SELECT doc_id, CASE WHEN language = 'en' THEN title END AS title FROM a_documents) t ON t.doc_id = c.pos WHERE t.title IS NOT NULL GROUP BY request_id""",
+    "a_candidates", "a_documents",
+)
+def selected_title(spark, sf_dir):
+    """The same cascade for the title."""
+    t = T(spark, sf_dir)
+    titles = t.a_documents.select(F.col("doc_id").alias("pos"), F.when(F.col("language") == "en", F.col("title")).alias("title"))
+    return corpus.select_text(t.a_candidates.join(titles, "pos"), "title")
+
+
 @query(
     f"""SELECT request_id, arg_min(docdb_id, (lower(language) <> 'en', {_TIER}, {_RANK}, pos)) AS source, arg_min(language, (lower(language) <> 'en', {_TIER}, {_RANK}, pos)) AS lang,
     bool_and(lower(language) <> 'en') AS non_english_only FROM a_candidates WHERE language IS NOT NULL GROUP BY request_id""",
@@ -242,17 +254,17 @@ _RANKED = """r AS (SELECT applicant AS search, doc_id, docdb_id, publication_dat
 def _batch(t: T):
     hits = t.a_documents.select(F.col("applicant").alias("search"), "publication_date", numbers.docdb_id(F.col("country"), F.col("number"), F.col("kind")).alias("docdb_id"))
     state = hits.select("search").distinct().withColumn("next_start", F.lit(11).cast("bigint"))
-    return corpus.search_batch(hits, state, page=10, cap=40)
+    return corpus.search_batch(hits, state)
 
 
-@query(f"WITH {_RANKED} SELECT search, docdb_id, publication_date, rank FROM r WHERE rank BETWEEN 11 AND 20 AND rank <= 40", "a_documents")
+@query(f"WITH {_RANKED} SELECT search, docdb_id, publication_date, rank FROM r WHERE rank BETWEEN 11 AND 110", "a_documents")
 def search_batch(spark, sf_dir):
     return _batch(T(spark, sf_dir))[0].select("search", "docdb_id", "publication_date", "rank")
 
 
 @query(
-    f"""WITH {_RANKED}, n AS (SELECT search, count(*) AS total FROM r GROUP BY search), s AS (SELECT search, total, greatest(11, least(21, least(total, 40) + 1)) AS next_start FROM n)
-    SELECT search, next_start, total, next_start > least(total, 40) AS exhausted, least(next_start - 1, total) AS results_read, total > 40 AS capped FROM s""",
+    f"""WITH {_RANKED}, n AS (SELECT search, count(*) AS total FROM r GROUP BY search), s AS (SELECT search, total, greatest(11, least(111, least(total, 2000) + 1)) AS next_start FROM n)
+    SELECT search, next_start, total, next_start > least(total, 2000) AS exhausted, least(next_start - 1, total) AS results_read, total > 2000 AS capped FROM s""",
     "a_documents",
 )
 def search_progress(spark, sf_dir):
@@ -266,8 +278,11 @@ lines AS (SELECT *, (start + length(line) + length(regexp_replace(line, '[^\x{10
 # even lines get a paragraph number
 _NUMBERED = """src AS (SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 THEN '[000' || (i % 10) || '] ' || x ELSE x END, chr(10) ORDER BY i) AS t
   FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL) GROUP BY doc_id)"""
-_CLAIMS = """src AS (SELECT doc_id, concat('1. A device.', chr(10), '2. The device of claim 1.', chr(10), '3. The device as claimed in claims 1 or 2,', chr(10), 'with a part.', chr(10),
-  '4) The device of any one of claims 1 to ', CAST(2 + doc_id % 2 AS VARCHAR), '.', chr(10), '5. Use of a device of the preceding claims.', chr(10), '6. A method.') AS t FROM documents)"""
+# every line is a claim; of four claims the first depends on none, the others on one or more before them
+_CLAIMS = """cl AS (SELECT doc_id, i, concat(CAST(i AS VARCHAR), CASE WHEN i % 2 = 0 THEN ') ' ELSE '. ' END, x, CASE i % 4 WHEN 1 THEN '' WHEN 2 THEN ' of claim ' || (i - 1)
+    WHEN 3 THEN ' as in claims ' || (i - 2) || ' or ' || (i - 1) ELSE ' of claims ' || (i - 3) || ' to ' || (i - 1) END) AS line
+  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL)),
+src AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM cl GROUP BY doc_id)"""
 
 
 def _numbered(t: T) -> DataFrame:
@@ -278,13 +293,16 @@ def _numbered(t: T) -> DataFrame:
 
 
 def _claims(t: T) -> DataFrame:
-    return t.documents.select(
-        "doc_id",
-        F.concat(
-            F.lit("1. A device.\n2. The device of claim 1.\n3. The device as claimed in claims 1 or 2,\nwith a part.\n4) The device of any one of claims 1 to "),
-            (2 + F.col("doc_id") % 2).cast("string"), F.lit(".\n5. Use of a device of the preceding claims.\n6. A method."),
-        ).alias("claims"),
-    )
+    def claim(x, at):
+        i = at + 1
+        n = [(i - k).cast("string") for k in range(4)]
+        ends = (
+            F.when(i % 4 == 1, "").when(i % 4 == 2, F.concat(F.lit(" of claim "), n[1])).when(i % 4 == 3, F.concat(F.lit(" as in claims "), n[2], F.lit(" or "), n[1]))
+            .otherwise(F.concat(F.lit(" of claims "), n[3], F.lit(" to "), n[1]))
+        )
+        return F.concat(n[0], F.when(i % 2 == 0, ") ").otherwise(". "), x, ends)
+
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), claim), "\n").alias("claims"))
 
 
 @query(
@@ -305,14 +323,21 @@ def claim_blocks(spark, sf_dir):
     return outline.claim_blocks(_claims(T(spark, sf_dir)))
 
 
-@query()
+@query(
+    rf"""WITH {_CLAIMS}, {_LINES}, c AS (SELECT doc_id, (n + 1)::INT AS claim, stop FROM lines),
+    d AS (SELECT *, length(CAST(claim - 1 AS VARCHAR)) AS w1, length(CAST(claim - 2 AS VARCHAR)) AS w2, length(CAST(claim - 3 AS VARCHAR)) AS w3 FROM c)
+    SELECT doc_id, claim, (stop - 6 - w1)::INT AS start, stop::INT AS stop, claim - 1 AS ref, true AS depends FROM d WHERE claim % 4 = 2
+    UNION ALL SELECT doc_id, claim, (stop - w1)::INT, stop::INT, claim - 1, true FROM d WHERE claim % 4 IN (3, 0)
+    UNION ALL SELECT doc_id, claim, (stop - 11 - w1 - w2)::INT, (stop - 4 - w1)::INT, claim - 2, true FROM d WHERE claim % 4 = 3
+    UNION ALL SELECT doc_id, claim, (stop - 11 - w1 - w3)::INT, (stop - 4 - w1)::INT, claim - 3, true FROM d WHERE claim % 4 = 0
+    UNION ALL SELECT doc_id, claim, NULL, NULL, claim - 2, true FROM d WHERE claim % 4 = 0"""
+)
 def claim_references(spark, sf_dir):
     return outline.claim_refs(_claims(T(spark, sf_dir)))
 
 
 @query(
-    """SELECT doc_id, claim, claim IN (1, 6) AS is_independent, CASE claim WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 2 END
-    WHEN 5 THEN CASE WHEN doc_id % 2 = 1 THEN 4 ELSE 3 END ELSE 0 END AS depth FROM documents CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6])::INT AS claim)"""
+    f"""WITH {_CLAIMS} SELECT doc_id, i::INT AS claim, i % 4 = 1 AS is_independent, ((i - 1) % 4)::INT AS depth, (i - (i - 1) % 4)::INT AS base FROM cl"""
 )
 def claim_tree(spark, sf_dir):
     d = _claims(T(spark, sf_dir))
@@ -320,22 +345,37 @@ def claim_tree(spark, sf_dir):
     return outline.claim_tree(claims, outline.claim_dependencies(outline.claim_refs(d)))
 
 
-@query(
-    """SELECT id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 10 WHEN strpos(text, quote) > 0 THEN (SELECT arg_min(p, (abs(p - 10), p)) FROM (SELECT unnest(list_transform(range(1, len(string_split(text, quote))),
+_RESOLVED = """SELECT id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 10 WHEN strpos(text, quote) > 0 THEN (SELECT arg_min(p, (abs(p - 10), p)) FROM (SELECT unnest(list_transform(range(1, len(string_split(text, quote))),
       lambda i: CAST(list_sum(list_transform(string_split(text, quote)[1:i], lambda x: length(x))) + (i - 1) * length(quote) AS INT))) AS p)) ELSE 10 END::INT AS new_start,
-      CASE WHEN doc_id % 3 = 0 THEN false ELSE strpos(text, quote) = 0 END AS detached FROM a_highlights""",
-    "a_highlights",
-)
+      CASE WHEN doc_id % 3 = 0 THEN false ELSE strpos(text, quote) = 0 END AS detached FROM a_highlights"""
+
+
+@query(_RESOLVED, "a_highlights")
 def resolved_highlights(spark, sf_dir):
     return outline.resolve_highlights(T(spark, sf_dir).a_highlights).select("id", "doc_id", "new_start", "detached")
 
 
 @query(
-    r"""SELECT doc_id, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units, substring(text, 6, 10) AS slice,
-    trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, nullif(trim(lang), '') AS lang FROM documents WHERE length(text) >= 15"""
+    rf"""WITH src AS (SELECT doc_id, text AS t FROM a_highlights), {_LINES}, h AS ({_RESOLVED}),
+    b AS (SELECT doc_id, start, stop, nullif(regexp_extract(line, '^\s*\[([0-9]+)\]', 1), '') AS label, length(body) <= 120 AND NOT regexp_matches(body, '[.,;]$')
+      AND regexp_matches(regexp_extract(body, '\p{{L}}'), '^\p{{Lu}}') AND NOT regexp_matches(line, '^\s*\[[0-9]+\]') AS heading FROM lines)
+    SELECT h.id, CASE WHEN detached OR b.doc_id IS NULL THEN 'Description' WHEN heading THEN 'Description, heading' WHEN label IS NOT NULL THEN concat('Description [', label, ']') ELSE 'Description' END AS location
+    FROM h LEFT JOIN b ON b.doc_id = h.doc_id AND NOT detached AND b.start <= new_start AND new_start < b.stop""",
+    "a_highlights",
+)
+def highlight_places(spark, sf_dir):
+    """Where in its description every highlight lies; one in no block, or without its passage, is told by the section."""
+    t = T(spark, sf_dir)
+    blocks = outline.description_blocks(t.a_highlights, "text").withColumn("section", F.lit("description"))
+    return outline.highlight_locations(outline.resolve_highlights(t.a_highlights), blocks).select("id", "location")
+
+
+@query(
+    r"""SELECT doc_id, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units, CASE WHEN length(text) >= 15 THEN substring(text, 6, 10) END AS slice,
+    trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, nullif(trim(lang), '') AS lang FROM documents"""
 )
 def text_functions(spark, sf_dir):
-    d = T(spark, sf_dir).documents.where("length(text) >= 15")
+    d = T(spark, sf_dir).documents
     return d.select(
         "doc_id", text.utf16_len(F.col("text")).cast("bigint").alias("units"), text.utf16_slice(F.col("text"), F.lit(5), F.lit(15)).alias("slice"),
         text.norm_ws(F.col("text")).alias("flat"), text.blank_to_null(F.col("lang")).alias("lang"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled, audit_unit
-from ..operators import audit, automation, evaluation, labels, neighbours, scoring
+from ..operators import audit, automation, evaluation, labels, neighbours, retraining, scoring
 from ..sources.tables import spark_table, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,68 @@ def score_documents(spark, sf_dir):
     return scoring.score_documents(t.queue(), t.pool(), t.a_tags, t.a_labels, scoring.train_classifiers(samples), scoring.tag_centroids(samples))
 
 
+@query(
+    f"""WITH {_KNN}, n AS (SELECT tag_id, count(*) FILTER (WHERE source = 'human' AND state = 'pos') AS n_pos FROM a_labels GROUP BY tag_id),
+    w AS (SELECT doc_id AS tag_id, CAST(vector AS DOUBLE[]) AS weights FROM a_vectors WHERE doc_id < 8),
+    g AS (SELECT q.doc_id, t.tag_id, t.auto_enabled, t.threshold, t.neg_threshold, n_pos, knn.knn, 1 / (1 + exp(-(list_dot_product(CAST(q.vector AS DOUBLE[]), weights) + 0.1))) AS lr
+      FROM a_vectors q CROSS JOIN a_tags t LEFT JOIN w ON w.tag_id = t.tag_id LEFT JOIN knn ON knn.doc_id = q.doc_id AND knn.tag_id = t.tag_id LEFT JOIN n ON n.tag_id = t.tag_id
+      WHERE q.doc_id % 2 = 1 AND NOT t.archived),
+    s AS (SELECT *, CASE WHEN lr IS NOT NULL AND knn IS NOT NULL THEN n_pos / (n_pos + 20) * lr + (1 - n_pos / (n_pos + 20)) * knn ELSE coalesce(lr, knn) END AS blended FROM g),
+    f AS (SELECT *, CAST(blended AS FLOAT) AS score FROM s)
+    SELECT f.doc_id, f.tag_id, round(blended, 6) AS score, CASE WHEN lr IS NOT NULL AND knn IS NOT NULL THEN 'blended' WHEN lr IS NOT NULL THEN 'lr' WHEN knn IS NOT NULL THEN 'knn' END AS source,
+      CASE WHEN lr IS NULL THEN 'm1' ELSE 'm1+lr@2026-01-02T03:04:05Z' END AS model_version,
+      coalesce(l.state = 'pos', false) OR coalesce(score >= threshold, false) AS suggested, coalesce(l.source = 'auto', false) AS automatic,
+      NOT coalesce(l.source = 'auto', false) AND CASE WHEN NOT auto_enabled THEN 'not_automatic' WHEN score IS NULL THEN 'uncertain' WHEN score >= threshold THEN 'pos' WHEN score < neg_threshold THEN 'neg' ELSE 'uncertain' END = 'uncertain' AS uncertain
+    FROM f LEFT JOIN a_labels l ON l.doc_id = f.doc_id AND l.tag_id = f.tag_id""",
+    "a_vectors", "a_labels", "a_tags",
+)
+def scored_rows(spark, sf_dir):
+    """All columns of the scoring row, with given weights: the first vectors stand for the trained ones of the first tags."""
+    t = T(spark, sf_dir)
+    given = t.a_vectors.where("doc_id < 8").select(
+        F.col("doc_id").alias("tag_id"), F.col("vector").alias("weights"), F.lit(0.1).alias("bias"), F.lit("2026-01-02T03:04:05Z").alias("trained_at")
+    )
+    centroids = scoring.tag_centroids(scoring.training_samples(t.a_labels, t.a_vectors))
+    return scoring.score_rows(t.queue(), t.pool(), t.a_tags, t.a_labels, given, centroids).withColumn("score", r6("score"))
+
+
+@query(
+    f"""WITH {_CENTROID}, n AS (SELECT tag_id, count(*) FILTER (WHERE source = 'human' AND state = 'pos') AS n_pos FROM a_history GROUP BY tag_id)
+    SELECT v.doc_id, c.tag_id, round(greatest(0, least(1, (list_dot_product(CAST(v.vector AS DOUBLE[]), tv) / sqrt(list_dot_product(tv, tv)) + 1) / 2)), 6) AS zero_shot
+    FROM a_vectors v CROSS JOIN c LEFT JOIN n ON n.tag_id = c.tag_id WHERE coalesce(n_pos, 0) < 3""",
+    "a_vectors", "a_labels", "a_history",
+)
+def zero_shot_of_new_tags(spark, sf_dir):
+    """Zero-shot scores of the tags for which the history has fewer than three human positives."""
+    t = T(spark, sf_dir)
+    tags = scoring.tag_centroids(scoring.training_samples(t.a_labels, t.a_vectors))
+    return scoring.zero_shot_scores(t.a_vectors, tags, scoring.human_positives(t.a_history)).withColumn("zero_shot", r6("zero_shot"))
+
+
+@query("SELECT tag_id, version = 1 AS found FROM a_tags WHERE tag_id IN (SELECT doc_id FROM a_vectors) OR version <> 1", "a_tags", "a_vectors")
+def current_tag_vectors(spark, sf_dir):
+    """Which tags have a vector of their present version, where vectors of version 1 are there?"""
+    t = T(spark, sf_dir)
+    there = t.a_vectors.select(F.col("doc_id").alias("tag_id"), "model_id", F.lit(1).alias("tag_version"), "vector")
+    found, missing = scoring.tag_vectors_current(t.a_tags, there, "m1")
+    return found.select("tag_id", F.lit(True).alias("found")).unionByName(missing.withColumn("found", F.lit(False)))
+
+
+@query(
+    """WITH near AS (SELECT q_id, n_id, sim FROM (
+      SELECT q.doc_id AS q_id, n.doc_id AS n_id, list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(n.vector AS DOUBLE[])) AS sim,
+        row_number() OVER (PARTITION BY q.doc_id ORDER BY list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(n.vector AS DOUBLE[])) DESC, n.doc_id) AS rank
+      FROM a_vectors q JOIN a_vectors n ON n.doc_id < q.doc_id) WHERE rank <= 10)
+    SELECT q_id AS doc_id, tag_id, round(sum(CASE WHEN state = 'pos' THEN greatest(sim, 0) ELSE 0 END) / nullif(sum(greatest(sim, 0)), 0), 6) AS score
+    FROM near JOIN a_labels l ON l.doc_id = n_id AND source = 'human' GROUP BY q_id, tag_id""",
+    "a_vectors", "a_labels",
+)
+def prequential_predictions(spark, sf_dir):
+    """What the neighbours validated before each document (by id) said about its tags."""
+    t = T(spark, sf_dir)
+    return scoring.prequential_replay(t.a_vectors.withColumn("turn", F.col("doc_id")), t.a_labels, "turn").withColumn("score", r6("score"))
+
+
 _SCORED = """
 scored AS (SELECT p.id, p.doc_id, p.tag_id, p.score, l.state = 'pos' AS is_pos
            FROM a_predictions p JOIN a_labels l ON l.doc_id = p.doc_id AND l.tag_id = p.tag_id AND l.source = 'human'),
@@ -243,6 +305,40 @@ def eligibility(spark, sf_dir):
     return evaluation.eligibility(_window(spark, sf_dir), 0.6).withColumn("threshold", r6(F.col("threshold").cast("double")))
 
 
+_OLD = "SELECT tag_id, 1 AS n_pos, 1 AS n_neg, 'before' AS trained_at FROM a_tags WHERE tag_id IN (3, 9)"
+
+
+def _retrained(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = T(spark, sf_dir)
+    old = t.a_tags.where("tag_id IN (3, 9)").select(
+        "tag_id", F.array().cast("array<double>").alias("weights"), F.lit(0.0).alias("bias"), F.lit(1).cast("bigint").alias("n_pos"), F.lit(1).cast("bigint").alias("n_neg"),
+        F.lit("before").alias("trained_at"),
+    )
+    return retraining.retrain(t.a_tags, t.a_labels, t.a_vectors, t.a_predictions, old, "now", automation.EngineConfig(target_precision=0.6))
+
+
+@query(
+    f"""WITH {_GRID} SELECT t.tag_id, CASE WHEN archived THEN round(CAST(t.threshold AS DOUBLE), 6) ELSE round(lo * 0.01, 6)::DOUBLE END AS threshold,
+    CASE WHEN archived THEN round(CAST(t.neg_threshold AS DOUBLE), 6) ELSE round(hi * 0.01, 6)::DOUBLE END AS neg_threshold FROM a_tags t LEFT JOIN thr ON thr.tag_id = t.tag_id""",
+    *_PRED, "a_tags",
+)
+def retrained_tags(spark, sf_dir):
+    """Thresholds after retraining: of active tags new or none, of archived ones as they were."""
+    return _retrained(spark, sf_dir)[1].select("tag_id", *(r6(F.col(c).cast("double")).alias(c) for c in ("threshold", "neg_threshold")))
+
+
+@query(
+    f"""WITH old AS ({_OLD}), n AS (SELECT l.tag_id, count(*) FILTER (WHERE state = 'pos') AS n_pos, count(*) FILTER (WHERE state = 'neg') AS n_neg FROM a_labels l
+      JOIN a_tags t ON t.tag_id = l.tag_id AND NOT archived JOIN a_vectors v ON v.doc_id = l.doc_id WHERE source = 'human' GROUP BY l.tag_id),
+    new AS (SELECT tag_id, n_pos, n_neg, 'now' AS trained_at FROM n WHERE n_pos >= 5 AND n_neg >= 5)
+    SELECT * FROM new UNION ALL SELECT * FROM old WHERE tag_id NOT IN (SELECT tag_id FROM new)""",
+    "a_labels", "a_tags", "a_vectors",
+)
+def retrained_classifiers(spark, sf_dir):
+    """Which classifiers are new after retraining, and from how many samples; tags that don't train keep theirs."""
+    return _retrained(spark, sf_dir)[0].select("tag_id", "n_pos", "n_neg", "trained_at")
+
+
 _PAIRS = """
 pairs AS (SELECT * FROM (SELECT id, doc_id, tag_id, state AS auto_state, source,
   first_value(CASE WHEN source = 'human' THEN state END IGNORE NULLS) OVER (PARTITION BY doc_id, tag_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS human_state
@@ -352,20 +448,57 @@ def applied_auto_labels(spark, sf_dir):
 
 
 
-@query(
-    """WITH a AS (SELECT doc_id, ((CAST(doc_id AS UHUGEINT) * 2654435761) % 18446744073709551616 + 11400714819323198485) % 18446744073709551616 AS h1 FROM documents),
+_SAMPLED = """a AS (SELECT doc_id, ((CAST(doc_id AS UHUGEINT) * 2654435761) % 18446744073709551616 + 11400714819323198485) % 18446744073709551616 AS h1 FROM documents),
     b AS (SELECT doc_id, xor(CAST(h1 AS UBIGINT), CAST(h1 // 32768 AS UBIGINT)) AS h2 FROM a)
     SELECT doc_id, CAST(CAST(((CAST(h2 AS UHUGEINT) % 4294967296 * 2685821657736338717 + (CAST(h2 AS UHUGEINT) // 4294967296 * 2685821657736338717 % 4294967296) * 4294967296) % 18446744073709551616) // 4294967296 AS FLOAT) / CAST(4294967295 AS FLOAT) < CAST(0.05 AS FLOAT) AS BOOLEAN) AS sampled FROM b"""
-)
+
+
+@query(f"WITH {_SAMPLED}")
 def audit_sampling(spark, sf_dir):
     return T(spark, sf_dir).documents.select("doc_id", audit_sampled(F.col("doc_id"), 0.05).alias("sampled"))
 
 
-@query()
-def full_automation(spark, sf_dir):
+def _decided(enabled: str) -> str:
+    """Every queued document with every active tag: its label's state, else the decision."""
+    return f"""{_LATEST}, decided AS (SELECT d.doc_id, t.tag_id, s.score, h.state AS have, coalesce(h.state, {_DECISION.replace('auto_enabled', enabled)}) AS decision
+    FROM a_documents d CROSS JOIN a_tags t LEFT JOIN latest s ON s.doc_id = d.doc_id AND s.tag_id = t.tag_id LEFT JOIN a_labels h ON h.doc_id = d.doc_id AND h.tag_id = t.tag_id
+    WHERE review_state = 'queued' AND fetch_status = 'fetched' AND NOT archived)"""
+
+
+def _automated(spark, sf_dir, everything: bool = False) -> dict[str, DataFrame]:
     t = T(spark, sf_dir)
-    out = automation.full_automation(t.a_documents, automation.latest_scores(t.a_predictions), t.a_tags, t.a_labels)
-    return out["written"].select("doc_id", "tag_id", "state", "source")
+    tags = t.a_tags.withColumn("auto_enabled", F.lit(True)) if everything else t.a_tags
+    return automation.full_automation(t.a_documents, automation.latest_scores(t.a_predictions), tags, t.a_labels)
+
+
+_AUTOMATED = ("a_documents", "a_tags", "a_labels", "a_predictions")
+
+
+@query(f"WITH {_decided('auto_enabled')} SELECT doc_id, tag_id, decision AS state, 'auto' AS source FROM decided WHERE have IS NULL AND decision IN ('pos', 'neg')", *_AUTOMATED)
+def full_automation(spark, sf_dir):
+    return _automated(spark, sf_dir)["written"].select("doc_id", "tag_id", "state", "source")
+
+
+@query(
+    f"""WITH {_decided('true')}, sampling AS (WITH {_SAMPLED}), done AS (SELECT doc_id FROM decided GROUP BY doc_id HAVING bool_and(decision IN ('pos', 'neg')))
+    SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM done) AND NOT sampled THEN 'auto_completed' ELSE review_state END AS review_state
+    FROM a_documents d JOIN sampling s ON s.doc_id = d.doc_id""",
+    *_AUTOMATED,
+)
+def automated_documents(spark, sf_dir):
+    """Review states after a pass with all tags automatic: documents decided as a whole are done, but for the audited share."""
+    return _automated(spark, sf_dir, True)["documents"].select("doc_id", "review_state")
+
+
+@query(
+    f"""WITH {_decided('true')}, sampling AS (WITH {_SAMPLED}), done AS (SELECT doc_id FROM decided GROUP BY doc_id HAVING bool_and(decision IN ('pos', 'neg')))
+    SELECT d.doc_id, d.tag_id, round(CAST(d.score AS DOUBLE), 6) AS score, true AS suggested FROM decided d JOIN sampling s ON s.doc_id = d.doc_id AND NOT sampled
+    WHERE d.doc_id IN (SELECT doc_id FROM done) AND d.have IS NULL AND d.score IS NOT NULL""",
+    *_AUTOMATED,
+)
+def automated_predictions(spark, sf_dir):
+    """Scores that the pass logs for the documents it completes."""
+    return _automated(spark, sf_dir, True)["predictions"].withColumn("score", r6("score"))
 
 
 @query(

@@ -40,7 +40,7 @@ def found_documents(spark, sf_dir):
     return library.find_documents(T(spark, sf_dir).a_documents, "ep 1,0001", 20)
 
 
-_FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_FOLD = "strip_accents(lower({}))"
 _TOKENS = f"""
 t0 AS (SELECT doc_id, 'title' AS section, list_filter(regexp_split_to_array({_FOLD.format('title')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM a_documents WHERE title IS NOT NULL
   UNION ALL SELECT doc_id, 'abstract', list_filter(regexp_split_to_array({_FOLD.format('abstract')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') FROM a_documents WHERE abstract IS NOT NULL),
@@ -59,7 +59,7 @@ def term_index(spark, sf_dir):
 )
 def text_matches(spark, sf_dir):
     index = library.build_term_index(T(spark, sf_dir).a_documents)
-    return library.text_match(index, all_of=("the", "of"), none_of=("license",), phrase=("of", "the"), prefix="th")
+    return library.text_match(index, all_of=("the", "of"), none_of=("license",), phrases=(("of", "the"),), prefixes=("th",))
 
 
 @query(
@@ -82,22 +82,41 @@ def library_search(spark, sf_dir):
 @query(
     """WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS p FROM documents WHERE contains(lower(text), 'tion')),
     h AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p)
-    SELECT doc_id, 'text' AS section, i::INT AS n, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 4)::INT AS start, (list_sum(list_transform(p[1:i], lambda x: length(x))) + i * 4)::INT AS stop FROM h WHERE i <= 5"""
+    SELECT doc_id, 'text' AS section, i::INT AS n, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 4)::INT AS start, (list_sum(list_transform(p[1:i], lambda x: length(x))) + i * 4)::INT AS stop FROM h"""
 )
 def places_in_documents(spark, sf_dir):
     d = T(spark, sf_dir).documents.select("doc_id", F.lit("text").alias("section"), "text")
-    return library.find_in_documents(d, "TION").where("n <= 5")
+    return library.find_in_documents(d, "TION")
 
 
 _ROWS = """
 rows AS (SELECT d.doc_id, d.pub_key AS publication_number, d.title,
   coalesce((SELECT list(DISTINCT t.name ORDER BY t.name) FROM a_doc_labels l JOIN a_tags t ON t.tag_id = l.tag_id WHERE l.doc_id = d.doc_id AND state = 'pos'), []) AS tags,
-  CASE WHEN abstract IS NOT NULL THEN [concat('abstract ', pub_key)] ELSE [] END AS sources FROM a_documents d WHERE fetch_status = 'fetched')"""
+  CASE WHEN abstract_source IS NOT NULL THEN [concat('abstract ', abstract_source)] ELSE [] END AS sources FROM a_documents d WHERE fetch_status = 'fetched')"""
 _EXPORT = ("a_documents", "a_doc_labels", "a_tags")
 
 
 def _rows(t: T) -> DataFrame:
-    return exports.export_rows(t.a_documents, t.a_doc_labels, t.a_tags)
+    return exports.export_rows(t.a_documents, t.a_doc_labels, t.a_tags).drop("highlights")
+
+
+def _marks(t: T) -> DataFrame:
+    """Two highlights of each marked text, the second one told first."""
+    own = t.a_highlights.select("id", "doc_id", "section", "start", "quote", F.lit(None).cast("string").alias("comment"), F.lit("green").alias("color"))
+    later = own.select("id", "doc_id", F.lit("claims").alias("section"), F.lit(0).alias("start"), F.upper("quote").alias("quote"), F.lit("a note").alias("comment"), F.lit("blue").alias("color"))
+    return later.unionByName(own)
+
+
+@query(
+    f"""WITH {_ROWS} SELECT r.doc_id, CASE WHEN h.doc_id IS NULL THEN [] ELSE [h.quote, upper(h.quote)] END AS quotes, CASE WHEN h.doc_id IS NULL THEN [] ELSE ['description', 'claims'] END AS sections,
+    CASE WHEN h.doc_id IS NULL THEN [] ELSE [NULL, 'a note'] END AS comments FROM rows r LEFT JOIN a_highlights h ON h.doc_id = r.doc_id""",
+    *_EXPORT, "a_highlights",
+)
+def export_highlights(spark, sf_dir):
+    """Highlights of the exported rows, in the order of the text."""
+    t = T(spark, sf_dir)
+    rows = exports.export_rows(t.a_documents, t.a_doc_labels, t.a_tags, _marks(t))
+    return rows.select("doc_id", F.col("highlights.quote").alias("quotes"), F.col("highlights.section").alias("sections"), F.col("highlights.comment").alias("comments"))
 
 
 @query(f"WITH {_ROWS} SELECT * FROM rows", *_EXPORT)
@@ -166,19 +185,34 @@ def document_layout(spark, sf_dir):
 
 
 @query(
-    r"""WITH a AS (SELECT doc_id, regexp_replace(trim(regexp_replace(substring(text, 1, 30), '[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', '_', 'g')), '[. ]+$', '') AS c FROM documents),
+    r"""WITH a AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', '_', 'g')), '[. ]+$', '') AS c FROM documents),
     b AS (SELECT *, upper(rtrim(split_part(c, '.', 1))) AS stem FROM a)
     SELECT doc_id, CASE WHEN c = '' THEN '_' WHEN stem IN ('CON', 'PRN', 'AUX', 'NUL') OR regexp_matches(stem, '^(COM|LPT)[1-9]$') THEN concat(c, '_') ELSE c END AS folder FROM b"""
 )
 def safe_folder_names(spark, sf_dir):
-    return T(spark, sf_dir).documents.select("doc_id", safe_folder_name(F.substring("text", 1, 30)).alias("folder"))
+    return T(spark, sf_dir).documents.select("doc_id", safe_folder_name(F.col("text")).alias("folder"))
 
 
 @query(
-    """SELECT t.name, t.definition, p.name AS parent FROM a_tags t LEFT JOIN a_tags p ON p.tag_id = t.parent_id AND NOT p.archived WHERE NOT t.archived""", "a_tags"
+    """SELECT t.name, t.definition, p.name AS parent, CASE WHEN t.version = 2 THEN 'red' END AS color, CASE WHEN t.auto_enabled THEN chr(CAST(97 + t.tag_id AS INT)) END AS hotkey
+    FROM a_tags t LEFT JOIN a_tags p ON p.tag_id = t.parent_id AND NOT p.archived WHERE NOT t.archived""",
+    "a_tags",
 )
 def tag_scheme(spark, sf_dir):
-    return exports.export_tag_scheme(T(spark, sf_dir).a_tags)
+    tags = T(spark, sf_dir).a_tags
+    return exports.export_tag_scheme(
+        tags.withColumn("color", F.when(F.col("version") == 2, "red")).withColumn("hotkey", F.when(F.col("auto_enabled"), F.char(97 + F.col("tag_id"))))
+    )
+
+
+@query(
+    """WITH b AS (SELECT doc_id AS tag_id, concat('Tag: ', source) AS name, concat('Tag_ ', source) AS base FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY tag_id) AS k FROM b)
+    SELECT tag_id, CASE WHEN k = 1 THEN base ELSE concat(base, ' (', k, ')') END AS folder FROM n"""
+)
+def tag_folders(spark, sf_dir):
+    """Folder names of tags of which many clash: the documents' sources stand for names."""
+    return exports.tag_folder_names(T(spark, sf_dir).documents.select(F.col("doc_id").alias("tag_id"), F.concat(F.lit("Tag: "), F.col("source")).alias("name")))
 
 
 @query(
@@ -253,10 +287,10 @@ def status_summary(spark, sf_dir):
 
 
 @query(
-    f"""SELECT kind, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'running') AS running, {_FAILED} AS failed FROM a_jobs GROUP BY ROLLUP (kind)""", "a_jobs"
+    f"""SELECT kind, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'running') AS running, {_FAILED} AS failed FROM a_jobs GROUP BY ROLLUP (kind) UNION ALL SELECT 'search', 0, 0, 0""", "a_jobs"
 )
 def job_counts(spark, sf_dir):
-    return exports.job_counts(T(spark, sf_dir).a_jobs)
+    return exports.job_counts(T(spark, sf_dir).a_jobs, ("import", "fulltext", "drawings", "search"))
 
 
 @query("SELECT id, kind, state FROM a_jobs WHERE kind = 'import' AND state IN ('pending', 'running')", "a_jobs")
@@ -286,6 +320,20 @@ def retrieval_candidates(spark, sf_dir):
     return automation.retrieval_candidates(t.a_documents.where("fetch_status = 'fetched'"), pos, done, "after_tagging_selected_tags", (1, 2))
 
 
+@query(
+    """SELECT doc_id, 'fulltext' AS kind FROM a_documents d WHERE fetch_status = 'fetched' AND EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos' AND tag_id IN (1, 2))
+      AND NOT EXISTS (SELECT 1 FROM a_fulltext f WHERE f.doc_id = d.doc_id AND status IN ('fetched', 'non_english_only'))
+    UNION ALL SELECT doc_id, 'drawings' FROM a_documents d WHERE fetch_status = 'fetched' AND NOT EXISTS (SELECT 1 FROM a_drawings r WHERE r.doc_id = d.doc_id AND status = 'fetched')""",
+    "a_documents", "a_doc_labels", "a_fulltext", "a_drawings",
+)
+def retrieval_jobs(spark, sf_dir):
+    """Full text of documents of chosen tags, drawings of all."""
+    t = T(spark, sf_dir)
+    pos = labels.label_sets(t.a_doc_labels).select("doc_id", F.col("pos").alias("tags"))
+    config = automation.EngineConfig(fulltext_policy="after_tagging_selected_tags", drawings_policy="after_tagging_all", policy_tags=(1, 2))
+    return automation.retrieval_jobs(t.a_documents.where("fetch_status = 'fetched'"), pos, t.a_fulltext, t.a_drawings, config)
+
+
 @query(
     """WITH n AS (SELECT doc_id, 'fetched' AS status, 'en' AS lang FROM documents WHERE doc_id % 4 = 0)
     SELECT doc_id, status, lang FROM a_fulltext f WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""",

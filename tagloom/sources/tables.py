@@ -50,7 +50,8 @@ TABLES: dict[str, str] = {
                CASE WHEN g % 7 <> 0 THEN CAST(floor(g / 3) AS BIGINT) END AS family_id,
                CASE WHEN doc_id % 11 <> 0 THEN CAST(DATE '2010-01-01' + CAST((37 * doc_id) % 4000 AS INT) AS DATE) END AS publication_date,
                split_part(text, chr(10), 1) AS title,
-               CASE WHEN doc_id % 6 <> 5 THEN text END AS abstract, lang AS language, source AS applicant,
+               CASE WHEN doc_id % 6 <> 5 THEN text END AS abstract,
+               CASE WHEN doc_id % 6 <> 5 THEN concat(country, '.', CAST(1000000 + g AS STRING), '.A1') END AS abstract_source, lang AS language, source AS applicant,
                CASE WHEN doc_id % 50 = 49 THEN 'not_found' WHEN lang = 'en' THEN 'fetched' ELSE 'no_english_abstract' END AS fetch_status,
                CASE WHEN doc_id % 10 < 4 THEN 'queued' WHEN doc_id % 10 < 8 THEN 'validated'
                     WHEN doc_id % 10 = 8 THEN 'auto_completed' ELSE 'skipped' END AS review_state
@@ -96,10 +97,11 @@ TABLES: dict[str, str] = {
         FROM {orders} WHERE substring(o_orderpriority, 1, 1) IN ('1', '2', '3')""",
     "a_highlights": """
         SELECT doc_id AS id, doc_id, 'description' AS section, 10 AS start, 30 AS stop,
+               -- the 20 characters of the text that are marked: a shorter text has none
                substring(text, 11, 20) AS quote,
                CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('A new first line.', chr(10), text)
                     ELSE replace(text, substring(text, 11, 20), '') END AS text
-        FROM {documents} WHERE length(text) > 40""",
+        FROM {documents} WHERE length(text) >= 30""",
 }
 
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
