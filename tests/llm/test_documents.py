@@ -89,9 +89,36 @@ def test_near_duplicates_equal_brute_force(docs, empty, k, threshold):
     assert near_duplicates(empty, k, threshold).count() == 0
 
 
-def test_near_duplicates_in_large_blocks(docs):
+@pytest.mark.parametrize("crowd", [2, 10**9])
+def test_near_duplicates_in_many_blocks(docs, crowd, monkeypatch):
+    """Block sizes, and which buckets are compared by signatures first, are plans only: the result is the same."""
+    from tagloom.llm import near_dedup
+
     whole = {(r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 85).collect()}
-    assert {(r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 85, block_items=100).collect()} == whole
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "_COLUMNS", 16)
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 85, block_items=100, block_nodes=2).collect()} == whole
+
+
+def test_links_of_many_short_texts_take_little_memory():
+    """A full block of 2,000 texts of six to eight words, half of them in chains of near copies."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tagloom.llm.near_dedup import _similar
+
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 2**63, r.integers(4, 7)).astype(np.uint64)) for _ in range(1000)]
+    sets += [np.append(s[:-1], s[-1] + np.uint64(1)) if i % 2 else s for i, s in enumerate(sets)]
+    tracemalloc.start()
+    got = _similar(sets, sets, 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for i in range(0, 2000, 97):
+        want = [100 * len(np.intersect1d(sets[i], s)) >= 60 * len(np.union1d(sets[i], s)) for s in sets]
+        assert got[i].tolist() == want
 
 
 def test_super_minhash_estimates_similarity():

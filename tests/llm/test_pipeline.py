@@ -77,3 +77,26 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_documents_are_told_apart_by_id_and_text(spark):
+    """Repeated ids with unlike texts, equal rows, null ids and empty tables, in the stages that drop documents."""
+    from tagloom.llm.decontaminate import decontaminate
+    from tagloom.llm.near_dedup import drop_near_duplicates
+
+    a, b, passage = words_of(60, 41), words_of(60, 42), words_of(30, 777)
+    near = a.replace(a.split()[30], "other", 1)
+    bad = words_of(20, 43) + " " + passage
+    data = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, "one"), (None, a), (None, a), (7, near), (7, near), (8, bad), (8, b + " x"), (None, bad), (9, None), (10, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = Counter((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect())
+    # b + " x" is near b; of a and its near copies the one of the smallest id stays; rows without words and null ids all stay
+    want = Counter([(1, a), (1, b), (4, "one"), (None, a), (None, a), (8, bad), (None, bad), (9, None), (10, ""), (10, "")])
+    assert got == want
+    twice = docs.where("doc_id IN (1, 4) AND doc_id IS NOT NULL").unionByName(docs.where("doc_id = 1"))
+    assert Counter((r.doc_id, r.text) for r in drop_near_duplicates(twice).collect()) == Counter([(1, a), (1, b), (4, "one")])
+    items = spark.createDataFrame([(1, passage), (2, "one"), (None, None)], "item_id bigint, text string")
+    clean = Counter((r.doc_id, r.text) for r in decontaminate(docs, items).collect())
+    assert clean == Counter((i, t) for i, t in data if t is None or passage not in t)
+    for stage in (drop_near_duplicates, lambda d: decontaminate(d, items)):
+        assert stage(docs.limit(0)).count() == 0
