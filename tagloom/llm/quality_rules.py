@@ -13,8 +13,9 @@ copies, are subtracted at every order, and what is then unseen backs off; so a t
 only repeats itself is not expected. The discounts are those of the whole language.
 
 The counts of every order lie in sorted arrays, whatever their size: Spark sorts them into files in the
-shared folder and hands the files to the executors; the tasks of an executor map one copy of the
-arrays from its disk into memory and look n-grams up by bisection, so a task holds no table of its own.
+shared folder, and an executor copies them from there once, into its own Spark folder; its tasks map this copy
+into memory and look n-grams up by bisection, so a task holds no table of its own and a new executor makes
+a new copy. The tasks read the shared folder as Arrow does (file, hdfs, s3 and gs addresses).
 
 A document's verdict compares its log perplexity with a lower and an upper bound
 of its language, the quartiles ``width`` quartile distances out, from the exact
@@ -28,18 +29,21 @@ of its own. Empty tables give empty results. Columns other than doc_id, text and
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
+import hashlib
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick
+from .common import Workspace, lean, pick
 from .text_arrays import SPACE, Chunk, lines, mix, ngrams, text_chunks, words
 
 ORDER = 5
@@ -210,38 +214,39 @@ _GRAMS = ("g", "n")
 _CONTEXTS = ("ctx", "total", "c1", "c2", "c3")
 
 
-def _mapped(names: list[str], columns: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """The columns of the files that Spark gave this executor, one after the other, mapped from a copy that its tasks share."""
-    folder = os.path.join(SparkFiles.getRootDirectory(), "arrays-" + (names[0] if names else "none"))
+def _mapped(paths: list[str], columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The columns of files in the shared folder, one after the other, mapped from a copy that this executor's tasks share."""
+    name = hashlib.sha256(" ".join(paths).encode()).hexdigest()[:32]
+    folder = os.path.join(SparkFiles.getRootDirectory(), f"arrays-{name}")
     with open(f"{folder}.lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(folder):
             os.makedirs(f"{folder}.part", exist_ok=True)
-            for column in columns:
-                with open(f"{folder}.part/{column}", "wb") as out:
-                    for name in names:
-                        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(columns=[column]):
-                            out.write(np.ascontiguousarray(batch.column(0), np.int64))
+            with contextlib.ExitStack() as opened:
+                outs = [opened.enter_context(open(f"{folder}.part/{c}", "wb")) for c in columns]
+                for path in paths:
+                    system, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
+                    with system.open_input_file(place) as source:
+                        for batch in pq.ParquetFile(source).iter_batches(columns=list(columns)):
+                            for c, out in zip(columns, outs, strict=True):
+                                out.write(np.ascontiguousarray(batch.column(c), np.int64))
             os.rename(f"{folder}.part", folder)
     return {c: np.memmap(f"{folder}/{c}", np.int64, "r") if os.path.getsize(f"{folder}/{c}") else np.zeros(0, np.int64) for c in columns}
 
 
 def _hand_out(ws: Workspace, rows: DataFrame, key: str, name: str) -> tuple[list[str], list[Row]]:
-    """Sort rows (k, lang, a key and numbers) into files for the executors: their names in order, and the rows of every order and language."""
+    """Sort rows (k, lang, a key and numbers) into shared files: their addresses in order, and the rows of every order and language."""
     rows = ws.keep(rows, f"{name}-rows")
     sizes = rows.groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(rows.columns[3]) == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
     sizes = sizes.orderBy("k", "lang").collect()  # a row per order and language
     files = -(-sum(r.n for r in sizes) // _FILE_ROWS)
     order = ("k", "lang", key)
     ordered = ws.keep(rows.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order), name)
-    paths = sorted(ordered.inputFiles(), key=lambda path: path.rsplit("/", 1)[1])
-    for path in paths:
-        ws.spark.sparkContext.addFile(path)
-    return [path.rsplit("/", 1)[1] for path in paths], sizes
+    return sorted(ordered.inputFiles(), key=lambda path: path.rsplit("/", 1)[1]), sizes
 
 
 def _model(ws: Workspace, counts: DataFrame) -> tuple[list[str], list[str], dict]:
-    """Names of the files of n-grams and of contexts, and the places of orders and languages in them."""
+    """Addresses of the files of n-grams and of contexts, and the places of orders and languages in them."""
     orders = ws.keep(_orders(ws, counts), "orders")
     grams, sizes = _hand_out(ws, orders.select("k", "lang", "g", "n"), "g", "grams")
     sums = orders.groupBy("k", "lang", F.shiftright("g", 8).alias("ctx")).agg(
@@ -342,7 +347,7 @@ def log_perplexity(ws: Workspace, docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text", "lang").withColumn("k", F.xxhash64("doc_id", "text", "lang"))
     counts = (
         rows.select("text", "lang")
-        .mapInArrow(_count, "lang string, gram bigint, n bigint")
+        .mapInArrow(lean(_count), "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -354,7 +359,7 @@ def log_perplexity(ws: Workspace, docs: DataFrame) -> DataFrame:
         .join(ws.keep(copied, "copied"), "same", "left")
         .select("doc_id", "text", "lang", "k", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
     )
-    return rows.mapInArrow(_score(grams, contexts, places), _SCORES)
+    return rows.mapInArrow(lean(_score(grams, contexts, places)), _SCORES)
 
 
 def perplexity_bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -408,5 +413,7 @@ def _base_with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def keep_good(docs: DataFrame) -> DataFrame:
     """The columns of documents, of the documents that the rules keep."""
     base = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    bad = quality_rules(base).where("NOT kept").select("k").distinct()
+    ws = Workspace(docs.sparkSession, "quality-kept")
+    # written, so that texts are only shuffled where these are too many to be broadcast
+    bad = ws.keep(quality_rules(base).where("NOT kept").select("k").distinct(), "bad")
     return base.join(bad, F.xxhash64(base["doc_id"], base["text"], base["lang"]) == bad["k"], "left_anti")
