@@ -288,4 +288,5 @@ def decontaminate(
     ws = Workspace(docs.sparkSession, "decontaminated")
     base = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     bad = _pairs(ws, base, benchmark, window, min_same).where(F.col("n_words") >= min_words).select("k").distinct()
+    bad = ws.keep(bad, "bad")  # its size is known then, and texts are only shuffled where it is large
     return ws.result(base.withColumn("k", F.xxhash64("doc_id", "text")).join(bad, "k", "left_anti").drop("k"))

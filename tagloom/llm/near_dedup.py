@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick
+from .common import Workspace, lean, pick
 from .components import connected_components
 from .text_arrays import mix, ngrams, text_chunks, words
 
@@ -167,7 +167,7 @@ _SIGNED = "doc_id bigint, h bigint, n_shingles bigint, d1 bigint, d2 bigint, sig
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, h (of the text), n_shingles, digest (d1, d2), 16 bits of each signature component, band keys."""
     rows_of = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return rows_of.mapInArrow(_signature_batches(k, bands, rows), _SIGNED)
+    return rows_of.mapInArrow(lean(_signature_batches(k, bands, rows)), _SIGNED)
 
 
 def _sift(threshold: int, min_equal: int):
@@ -370,7 +370,7 @@ def _links(ws: Workspace, sets: DataFrame, left: DataFrame, right: DataFrame, th
         .repartition("cluster", "lb", "rb")
         .sortWithinPartitions("cluster", "lb", "rb", "node")
     )
-    return ws.keep(rows.mapInArrow(_confirm(threshold), "a bigint, b bigint"), name)
+    return ws.keep(rows.mapInArrow(lean(_confirm(threshold)), "a bigint, b bigint"), name)
 
 
 def _grouped(ws: Workspace, docs: DataFrame, k: int, threshold: int, bands: int, rows: int, block_items: int, block_nodes: int) -> DataFrame:
@@ -459,13 +459,13 @@ def drop_near_duplicates(
     base = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     grouped = ws.keep(_grouped(ws, base, k, threshold, bands, rows, block_items, block_nodes).where("g IS NOT NULL").select("doc_id", "h", "g"), "grouped")
     first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    # what is to go, and rows that repeat: few next to the documents, and without their texts
+    # what is to go, and rows that repeat, without their texts; written, so that texts are only shuffled where these are too many to be broadcast
     odd = (
         grouped.join(first, "g")
         .groupBy(F.xxhash64("doc_id", "h").alias("k"))
         .agg(F.bool_or(F.expr("first <> struct(doc_id, h)")).alias("gone"), F.count(F.lit(1)).alias("n"))
         .where("gone OR n > 1")
     )
-    marked = base.withColumn("k", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text")))).join(odd, "k", "left")
+    marked = base.withColumn("k", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text")))).join(ws.keep(odd, "odd"), "k", "left")
     once = marked.where("n IS NULL").unionByName(marked.where("n > 1 AND NOT gone").dropDuplicates(["k"]))
     return ws.result(once.select("doc_id", "text", "lang", "source", "n_chars"))
