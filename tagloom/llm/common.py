@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,28 @@ def pick(df: DataFrame, *names: str, types: dict[str, str] = DOCUMENT_COLUMNS) -
     )
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The function of a task, which gives freed memory back to the system at its end.
+
+    Python workers wait for their next task with all they ever took, next to those of other stages.
+    """
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
+
+
 def utf8_length(text: str | Column) -> Column:
     """UTF-8 bytes of a text, 0 if null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick
+from .common import Workspace, lean, pick
 from .text_arrays import _hashed, text_chunks
 
 WINDOW = 4096
@@ -43,8 +43,8 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-_CACHE_UNITS = 1_500_000
-_PART_BYTES = 4 << 20
+_CACHE_UNITS = 1_000_000
+_PART_BYTES = 2 << 20
 
 
 class WordTokenizer:
@@ -429,7 +429,7 @@ def pack(
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     rows = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
-    stored = ws.keep(rows.mapInArrow(_tokenise(tokenizer_path, special, end_id, window), "doc_id bigint, h bigint, ids binary, counts binary"), "ids")
+    stored = ws.keep(rows.mapInArrow(lean(_tokenise(tokenizer_path, special, end_id, window)), "doc_id bigint, h bigint, ids binary, counts binary"), "ids")
     ids = stored.where("ids IS NOT NULL").select("doc_id", "h", "ids")
     vocabulary = _tokenizer(tokenizer_path, special).vocabulary()
     counts = (
@@ -463,5 +463,5 @@ def pack(
         placed.repartition(max(1, shards), "shard")
         .sortWithinPartitions("shard", "doc_id", "h")
         .select("shard", "doc_id", "ids")
-        .mapInArrow(_pack(idf, mean, window), _SCHEMA)
+        .mapInArrow(lean(_pack(idf, mean, window)), _SCHEMA)
     )
