@@ -61,6 +61,21 @@ def utf8_length(text: str | Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+HOT_SHARE = 1_000
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], members: str, total: int, how: str = "inner") -> DataFrame:
+    """Rows joined ("inner" or "left") with facts, which has one row a key and in ``members`` how many rows have that key.
+
+    Keys with more than a thousandth of the ``total`` rows, of which there are under a thousand, are
+    broadcast, so that their rows stay where they are and no task meets all rows of one; the others are joined as usual. Facts
+    should be a written table, as it is read more than once.
+    """
+    hot = F.broadcast(facts.where(F.col(members) * HOT_SHARE > total))
+    cold = facts.where(F.col(members) * HOT_SHARE <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 _local: dict[str, str] = {}  # the folder of this process where the session names none
 
 

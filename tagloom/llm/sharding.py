@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick, utf8_length
+from .common import Workspace, join_spread, pick, utf8_length
 
 ROW_OVERHEAD = 16
 
@@ -39,13 +39,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, whole_group: float = 0.02)
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
+    rows = ws.keep(rows, "rows")
     group = ["size", "text_crc32", "h"]
     firsts = rows.groupBy(*group).agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members"), F.sum("size").alias("group_bytes")
     )
     # only groups of two and more need the join; it is the small side, of a few numbers a group
-    repeated = firsts.where("members > 1").select(*group, "first_id", "group_bytes")
-    placed = rows.join(repeated, group, "left").select(
+    repeated = ws.keep(firsts.where("members > 1"), "repeated")
+    placed = join_spread(rows, repeated, group, "members", rows.count(), "left").select(
         "doc_id",
         "size",
         "text_crc32",
