@@ -4,7 +4,8 @@ Each partition first joins its own edges with a union-find, which leaves a star
 per local component and so at most one row per node of the partition. Then
 alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014) run until nothing changes: each is a
-grouped minimum, which aggregates before it shuffles, and a join back.
+grouped minimum, which aggregates before it shuffles, and a join back, in which
+the rows of a centre with very many neighbours stay in their own tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, join_spread
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,11 +49,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     # u > v in every row: v is the smaller node
     current = ws.keep(stars, "stars0")
     for n in range(1, max_rounds):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: larger neighbours move to the smallest one
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = ws.keep(large, f"large{n}")
+        # large star: the larger neighbours of a centre that has smaller ones move to the smallest
+        low = current.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        centres = ws.keep(current.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(low, "v"), f"centres{n}")
+        # a centre may have any share of all edges
+        moved = join_spread(current, centres, ["v"], "n", current.count(), "left")
+        large = ws.keep(moved.select("u", F.coalesce("m", "v").alias("v")).distinct(), f"large{n}")
         # small star: the node and its smaller neighbours move to the smallest
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -68,6 +70,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         tangled = ends.where("n > 1").select("u").unionByName(ends.join(after.select(F.col("v").alias("u")).distinct(), "u").select("u"))
         ws.drop(f"stars{n - 1}")
         ws.drop(f"large{n}")
+        ws.drop(f"centres{n}")
         current = after
         if tangled.isEmpty():
             break

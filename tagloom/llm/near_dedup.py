@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lean, pick
+from .common import Workspace, join_spread, lean, pick
 from .components import connected_components
 from .text_arrays import mix, ngrams, text_chunks, words
 
@@ -299,11 +299,10 @@ def candidate_clusters(ws: Workspace, heads: DataFrame, threshold: int, min_equa
     exploded = heads.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket")
     )
-    crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = ws.keep(exploded.join(crowded, "bucket"), "in_buckets")
-    crowds = placed.where(F.col("n") > CROWD)
-    centres = crowds.groupBy("bucket").agg(F.min("node").alias("a"))
-    edges = crowds.join(centres, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
+    shared = ws.keep(shared, "shared")
+    placed = ws.keep(join_spread(exploded, shared, ["bucket"], "n", exploded.count()), "in_buckets")
+    edges = placed.where((F.col("n") > CROWD) & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     edges = ws.keep(edges, "crowds")
     cluster = connected_components(edges)
     members = placed.where(F.col("n") <= CROWD).select("bucket", "node")
