@@ -106,6 +106,10 @@ class Workspace:
         self._tables.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def adopt(self, name: str) -> None:
+        """Count a table that the caller wrote into the folder among the intermediate ones."""
+        self._tables.append(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         """Delete an intermediate table that nothing reads any more."""
         path = f"{self.root}/{name}"
