@@ -11,12 +11,14 @@ from .decontaminate import overlaps
 from .html_text import extract_text
 from .language_id import identify_languages
 from .line_dedup import MIN_SITES, remove_cross_site_lines
+from .merkle import manifest
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .resampling import resample
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
+from .whitening import whiten
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,14 @@ def op10_cross_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents")).drop("size")
+
+
 OP10_SQL = rf"""
 WITH parts AS (
   SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
@@ -95,6 +105,61 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+# crc32 a bit at a time: -1 stands for a shift
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+
+def _encoded(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SIDES = """
+  SELECT a.g, a.lvl, a.rank, coalesce(string_agg(b.h, '' ORDER BY b.rank) FILTER (b.rank < a.rank), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.rank) FILTER (b.rank > a.rank), '') AS r
+  FROM {0} a JOIN {0} b ON a.g = b.g AND a.lvl = b.lvl AND a.rank // 8 = b.rank // 8
+  WHERE a.n > 1 GROUP BY a.g, a.lvl, a.rank"""
+_NODES = """
+  SELECT g, 0 AS lvl, rank, h, n FROM {0}
+  UNION ALL
+  SELECT g, lvl + 1, rank // 8, sha256(string_agg(h, '' ORDER BY rank)), (n + 7) // 8 FROM {1} WHERE n > 1 GROUP BY g, lvl, rank // 8, n"""
+_FOLDED = """
+  SELECT doc_id, leaf, g, 0 AS lvl, rank, h, proof FROM {0}
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.g, f.lvl + 1, f.rank // 8, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+  FROM {1} f JOIN {2} s ON f.g = s.g AND f.lvl = s.lvl AND f.rank = s.rank"""
+OP12_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+         CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0
+              THEN sha256({_encoded("doc_id", "source", "lang", "n_chars")} || coalesce(strlen({_LOWERED}) || ':' || {_LOWERED}, '-')) END AS other,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+  FROM documents
+), leaves AS (
+  SELECT *, coalesce(other, leaf) AS changed, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         count(*) OVER (PARTITION BY g) AS n
+  FROM hashed
+), low AS ({_NODES.format("leaves", "low")}
+), low_sides AS ({_SIDES.format("low")}
+), subroots AS (
+  SELECT 0 AS g, g AS rank, h, count(*) OVER () AS n FROM low WHERE n = 1
+), top AS ({_NODES.format("subroots", "top")}
+), top_sides AS ({_SIDES.format("top")}
+), started AS (SELECT doc_id, leaf, g, rank, changed AS h, '' AS proof FROM leaves
+), folded AS ({_FOLDED.format("started", "folded", "low_sides")}
+), arrived AS (
+  SELECT f.doc_id, f.leaf, 0 AS g, f.g AS rank, f.h, f.proof, f.g AS lang_rank
+  FROM folded f JOIN (SELECT g, max(lvl) AS height FROM low GROUP BY g) t ON f.g = t.g AND f.lvl = t.height
+), finished AS ({_FOLDED.format("arrived", "finished", "top_sides")}
+), root AS (SELECT h AS root, lvl AS height FROM top WHERE n = 1)
+SELECT f.doc_id, f.leaf, s.h AS subroot, root.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+FROM finished f JOIN root ON f.lvl = root.height
+JOIN arrived a ON a.doc_id IS NOT DISTINCT FROM f.doc_id AND a.leaf = f.leaf
+JOIN subroots s ON s.rank = a.lang_rank
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -107,8 +172,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_retrieval_packing": op8_retrieval_packing,
         "op9_balanced_shards": op9_balanced_shards,
         "op10_cross_site_lines": op10_cross_site_lines,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_cross_site_lines": OP10_SQL}
+    return {"op10_cross_site_lines": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
