@@ -18,6 +18,7 @@ from .quality_rules import quality_rules
 from .resampling import resample
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
+from .warc import MIN_BYTES, archive_pages
 from .whitening import whiten
 
 
@@ -78,6 +79,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("size")
 
 
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 OP10_SQL = rf"""
 WITH parts AS (
   SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
@@ -159,6 +164,14 @@ JOIN arrived a ON a.doc_id IS NOT DISTINCT FROM f.doc_id AND a.leaf = f.leaf
 JOIN subroots s ON s.rank = a.lang_rank
 """
 
+OP13_SQL = f"""
+WITH payload AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), grouped AS (SELECT *, CASE WHEN n >= {MIN_BYTES} THEN min(page_id) OVER (PARTITION BY digest) END AS f FROM payload)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to
+FROM grouped
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -174,8 +187,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_cross_site_lines": op10_cross_site_lines,
         "op11_embedding_whitening": op11_embedding_whitening,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_warc_archives": op13_warc_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_cross_site_lines": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op10_cross_site_lines": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc_archives": OP13_SQL}
