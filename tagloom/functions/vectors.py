@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
+from . import structure
+
 
 @pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
@@ -90,14 +92,7 @@ class DescriptionBlocks:
     """Blocks of one description, for LATERAL joins."""
 
     def eval(self, text: str):
-        import re
-
-        for n, line, at, stop in _text_lines(text):
-            body = line.strip()
-            m = re.match(r"\s*\[([0-9]+)\]", line)
-            letter = next((c for c in body if c.isalpha()), "")
-            heading = not m and len(body) <= 120 and not body.endswith((".", ",", ";")) and letter.isupper()
-            yield n, "heading" if heading else "paragraph", m.group(1) if m else None, at, stop
+        yield from structure.description_rows(text)
 
 
 @udtf(returnType=_BLOCK)
@@ -105,36 +100,32 @@ class ClaimBlocks:
     """Claims of one text, for LATERAL joins; n counts the blocks, those before the first number are block 0."""
 
     def eval(self, text: str):
-        import re
-
-        number, label, start, end = 0, None, None, 0
-        for _, line, at, stop in _text_lines(text):
-            m = re.match(r"\s*([0-9]+)[.)]", line)
-            if m:
-                if start is not None:
-                    yield number, "claim", label, start, end
-                number, label, start = number + 1, m.group(1), at
-            elif start is None:
-                start = at
-            end = stop
-        if start is not None:
-            yield number, "claim", label, start, end
-
-
-def _text_lines(text: str | None) -> Iterator[tuple[int, str, int, int]]:
-    """Number, line, start and stop in UTF-16 units of the lines that aren't blank."""
-    at = 0
-    for n, line in enumerate((text or "").split("\n")):
-        size = len(line.encode("utf-16-le", "surrogatepass")) // 2
-        if line.strip():
-            yield n, line, at, at + size
-        at += size + 1
+        for c in structure.claims(text):
+            yield c.block, "claim", c.label, c.start, c.stop
+
+
+@udtf(returnType="claim bigint, start int, stop int, ref bigint, depends boolean")
+class ClaimReferences:
+    """Links between the claims of one text, for LATERAL joins."""
+
+    def eval(self, text: str):
+        yield from structure.reference_rows(text)
+
+
+@udtf(returnType="claim bigint, is_independent boolean, depth int, base bigint")
+class ClaimTree:
+    """Depths of the claims of one text, for LATERAL joins."""
+
+    def eval(self, text: str):
+        yield from structure.tree_rows(text)
 
 
 def register(spark: SparkSession) -> None:
     """SQL names of the engine's functions."""
     spark.udtf.register("description_blocks", DescriptionBlocks)
     spark.udtf.register("claim_blocks", ClaimBlocks)
+    spark.udtf.register("claim_references", ClaimReferences)
+    spark.udtf.register("claim_tree", ClaimTree)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pub_key(c STRING, n STRING) RETURNS STRING RETURN concat(c, n)")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION vector_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE "

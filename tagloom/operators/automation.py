@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled
+from .labels import label_rows, moment, replace_labels
+
 RECENT = 300
 
 
@@ -86,50 +88,64 @@ def pending_auto_labels(scores: DataFrame, tags: DataFrame, labels: DataFrame, q
     return open_pairs.join(auto, "tag_id").where(F.col("score").cast("float") >= F.col("threshold")).select("doc_id", "tag_id", "score")
 
 
-def apply_auto_labels(labels: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, rows written): automatic states, never over a human label."""
+def apply_auto_labels(labels: DataFrame, decisions: DataFrame, tags: DataFrame, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels, rows written): automatic states, never over a human label.
+
+    ``decisions`` has doc_id, tag_id, state, and score and model_version where known: the label's confidence and model. The
+    written rows, which are also the history's, have all columns of the label table and the tag's present version.
+    """
     human = labels.where("source = 'human'").select("doc_id", "tag_id")
-    written = decisions.join(human, ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", F.lit("auto").alias("source"))
-    kept = labels.select("doc_id", "tag_id", "state", "source").join(written.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti")
-    return kept.unionByName(written), written
+    versions = tags.select("tag_id", (F.col("version") if "version" in tags.columns else F.lit(None)).cast("int").alias("tag_version"))
+    known = decisions.columns
+    written = label_rows(
+        decisions.join(human, ["doc_id", "tag_id"], "left_anti")
+        .join(versions, "tag_id", "left")
+        .select(
+            "doc_id", "tag_id", "state", F.lit("auto").alias("source"), "tag_version", moment(now).alias("created_at"),
+            *[F.col(c).alias(as_) for c, as_ in (("score", "confidence"), ("model_version", "model_version")) if c in known],
+        )
+    )
+    return replace_labels(labels, written), written
 
 
 def full_automation(
-    documents: DataFrame, scores: DataFrame, tags: DataFrame, labels: DataFrame, audit_rate: float = 0.05, enabled: bool = True
+    documents: DataFrame, scores: DataFrame, tags: DataFrame, labels: DataFrame, audit_rate: float = 0.05, enabled: bool = True, now: str | None = None
 ) -> dict[str, DataFrame]:
     """One pass over the queue: automatic labels, and documents that need no review.
 
     Confident positives are always written. If ``enabled``, confident absences are written too, also for documents that
     stay queued, and labels that exist count as decisions; a document all of whose tags are decided is completed,
-    but a sampled share stays queued for a full review. The result has labels (after), written, completed, audited,
-    documents (after), predictions (doc_id, tag_id, score, suggested: logged for completed documents, from new
+    but a sampled share stays queued for a full review. ``scores`` has doc_id, tag_id, score and, where known,
+    model_version. The result has labels (after) and written (the history's rows), both with all columns of the label
+    table, completed, audited, documents (after), predictions (doc_id, tag_id, model_version, score, suggested: logged for completed documents, from new
     labels and from old ones with a confidence) and positives (doc_id, tags of completed documents, for retrieval).
     """
     queue = documents.where("review_state = 'queued' AND fetch_status = 'fetched'").select("doc_id")
-    own = scores.select("doc_id", "tag_id", "score")
+    version = (F.col("model_version") if "model_version" in scores.columns else F.lit(None)).cast("string")
+    own = scores.select("doc_id", "tag_id", "score", version.alias("model_version"))
     grid = doc_tag_grid(queue, tags).join(own, ["doc_id", "tag_id"], "left")
-    confidence = F.col("confidence").cast("double") if "confidence" in labels.columns else F.lit(None).cast("double")
-    have = labels.select("doc_id", "tag_id", F.col("state").alias("have"), confidence.alias("confidence"))
+    have = label_rows(labels).select("doc_id", "tag_id", F.col("state").alias("have"), "confidence", F.col("model_version").alias("had_version"))
     decided = (
         with_decision(grid, tags)
         .join(have, ["doc_id", "tag_id"], "left")
         .withColumn("decision", F.coalesce("have", "decision"))
     )
     states = ("pos", "neg") if enabled else ("pos",)
-    new = decided.where(F.col("have").isNull() & F.col("decision").isin(*states)).select("doc_id", "tag_id", F.col("decision").alias("state"))
-    after, written = apply_auto_labels(labels, new)
+    new = decided.where(F.col("have").isNull() & F.col("decision").isin(*states)).select("doc_id", "tag_id", F.col("decision").alias("state"), "score", "model_version")
+    after, written = apply_auto_labels(labels, new, tags, now)
     complete = auto_completable(decided if enabled else decided.limit(0)).withColumn("audited", audit_sampled(F.col("doc_id"), audit_rate))
     done = complete.where("NOT audited").select("doc_id")
     gone = decided.join(done, "doc_id", "left_semi")
     logged = F.when(F.col("have").isNull(), F.col("score").cast("double")).otherwise(F.col("confidence"))
-    now = done.withColumn("now", F.lit("auto_completed"))
+    by = F.when(F.col("have").isNull(), F.col("model_version")).otherwise(F.coalesce("had_version", F.lit("")))
+    state = done.withColumn("now", F.lit("auto_completed"))
     return {
         "labels": after,
         "written": written,
         "completed": done,
         "audited": complete.where("audited").select("doc_id"),
-        "documents": documents.join(now, "doc_id", "left").withColumn("review_state", F.coalesce("now", "review_state")).drop("now"),
-        "predictions": gone.select("doc_id", "tag_id", logged.alias("score"), F.lit(True).alias("suggested")).where("score IS NOT NULL"),
+        "documents": documents.join(state, "doc_id", "left").withColumn("review_state", F.coalesce("now", "review_state")).drop("now"),
+        "predictions": gone.select("doc_id", "tag_id", by.alias("model_version"), logged.alias("score"), F.lit(True).alias("suggested")).where("score IS NOT NULL"),
         "positives": gone.groupBy("doc_id").agg(F.collect_set(F.when(F.col("decision") == "pos", F.col("tag_id"))).alias("tags")),
     }
 

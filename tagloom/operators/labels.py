@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from .kept import kept
 
 REVIEWED = ("validated", "auto_completed")
+LABEL = {
+    "doc_id": "bigint", "tag_id": "bigint", "state": "string", "source": "string", "confidence": "double", "model_version": "string",
+    "tag_version": "int", "created_at": "timestamp",
+}
+
+
+def label_rows(labels: DataFrame) -> DataFrame:
+    """The columns of the label table; what the frame lacks is null."""
+    return labels.select(*[(F.col(c) if c in labels.columns else F.lit(None)).cast(t).alias(c) for c, t in LABEL.items()])
+
+
+def moment(now: str | None):
+    return (F.lit(now) if now else F.current_timestamp()).cast("timestamp")
+
+
+def replace_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """The label table with the rows of ``new`` in place of those of the same pairs, all columns kept."""
+    rest = label_rows(labels).join(new.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti")
+    return rest.unionByName(label_rows(new))
 
 
 def tag_stats(tags: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
@@ -87,37 +106,42 @@ def labels_from_history(history: DataFrame) -> DataFrame:
 
 
 def validate(
-    decisions: DataFrame, tags: DataFrame, labels: DataFrame, documents: DataFrame, scores: DataFrame | None = None
+    decisions: DataFrame, tags: DataFrame, labels: DataFrame, documents: DataFrame, scores: DataFrame | None = None, now: str | None = None
 ) -> dict[str, DataFrame]:
     """Full reviews: every active tag of a decided document gets a human state.
 
     ``decisions`` has doc_id and checked (tag ids); ``scores`` (doc_id, tag_id, score, suggested) are those of the moment, from
-    before the labels: the decided documents' ones come back as predictions to be logged.
+    before the labels: the decided documents' ones come back as predictions to be logged, with their model_version if they
+    have one. ``labels`` and ``history`` (the rows written) have all columns of the label table; a human label has no
+    confidence and no model.
     """
     docs = decisions.select("doc_id", "checked")
     active = tags.where("NOT archived").select("tag_id", F.col("version").alias("tag_version"))
     new = docs.join(active).select(
         "doc_id", "tag_id", F.when(F.array_contains("checked", F.col("tag_id")), "pos").otherwise("neg").alias("state"),
-        F.lit("human").alias("source"), "tag_version",
+        F.lit("human").alias("source"), "tag_version", moment(now).alias("created_at"),
     )
-    old = labels.join(new.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
     done = docs.select("doc_id").withColumn("now", F.lit("validated"))
     after = documents.join(done, "doc_id", "left").withColumn("review_state", F.coalesce("now", "review_state")).drop("now")
-    out = {"labels": old.unionByName(new), "history": new, "documents": after}
+    out = {"labels": replace_labels(labels, new), "history": label_rows(new), "documents": after}
     if scores is not None:
+        version = ["model_version"] if "model_version" in scores.columns else []
         out["predictions"] = scores.where("score IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").join(active.select("tag_id"), "tag_id", "left_semi").select(
-            "doc_id", "tag_id", "score", "suggested"
+            "doc_id", "tag_id", "score", "suggested", *version
         )
     return out
 
 
-def label_pairs(decisions: DataFrame, labels: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
-    """Labels of single pairs: the score is logged only if the pair was unknown; review_state stays."""
+def label_pairs(decisions: DataFrame, labels: DataFrame, scores: DataFrame, now: str | None = None) -> dict[str, DataFrame]:
+    """Labels of single pairs: the score is logged only if the pair was unknown; review_state stays.
+
+    ``labels`` and ``history`` have all columns of the label table.
+    """
     known = labels.select("doc_id", "tag_id")
-    logged = decisions.join(known, ["doc_id", "tag_id"], "left_anti").join(scores, ["doc_id", "tag_id"]).select("doc_id", "tag_id", "score")
-    new = decisions.select("doc_id", "tag_id", "state", F.lit("human").alias("source"), "tag_version")
-    old = labels.join(decisions.select("doc_id", "tag_id"), ["doc_id", "tag_id"], "left_anti").select("doc_id", "tag_id", "state", "source", "tag_version")
-    return {"labels": old.unionByName(new), "predictions": logged}
+    logged = decisions.join(known, ["doc_id", "tag_id"], "left_anti").join(scores, ["doc_id", "tag_id"])
+    logged = logged.select("doc_id", "tag_id", "score", *(["model_version"] if "model_version" in scores.columns else []))
+    new = decisions.select("doc_id", "tag_id", "state", F.lit("human").alias("source"), "tag_version", moment(now).alias("created_at"))
+    return {"labels": replace_labels(labels, new), "history": label_rows(new), "predictions": logged}
 
 
 def discard_stale(labels: DataFrame, tags: DataFrame) -> DataFrame:

@@ -2,152 +2,75 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import structure
 from ..functions.text import utf16_slice
 
-MAX_HEADING = 120
 
+def _rows_of(read: Callable[[str | None], Iterable[tuple]], schema: str):
+    """A pass over (doc_id, text) that gives the rows of each text, one text at a time: no shuffle, no group a document."""
+    fields = T.StructType.fromDDL(f"doc_id bigint, {schema}")
+    arrow = to_arrow_schema(fields)
 
-def _units(text: str) -> int:
-    """UTF-16 code units."""
-    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held += [(doc, *row) for row in read(text.as_py())]
+                if len(held) >= BATCH_ROWS:
+                    yield _batch(held, arrow)
+                    held = []
+            yield _batch(held, arrow)
 
+    def frame(docs: DataFrame, col: str) -> DataFrame:
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(col).cast("string").alias("text")).mapInArrow(run, fields)
 
-def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        out = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            at = 0
-            for n, line in enumerate((text or "").split("\n")):
-                stop = at + _units(line)
-                out.append((doc, n, line, at, stop))
-                at = stop + 1
-        yield pd.DataFrame(out, columns=["doc_id", "n", "line", "start", "stop"])
+    return frame
 
 
-def _lines(docs: DataFrame, col: str) -> DataFrame:
-    """doc_id, n, line, start, stop in UTF-16 units, blank lines left out; one pass over each text, no shuffle."""
-    some = docs.where(F.col(col).isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(col).alias("text"))
-    lines = some.mapInPandas(_line_rows, "doc_id bigint, n int, line string, start int, stop int")
-    return lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+BATCH_ROWS = 10_000
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def description_blocks(docs: DataFrame, col: str = "description") -> DataFrame:
     """doc_id, n (line), kind, label, start, stop: numbered paragraphs, headings, paragraphs."""
-    lines = _lines(docs, col)
-    label = F.nullif(F.regexp_extract("line", r"^\s*\[(\d+)\]", 1), F.lit(""))
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    heading = (F.length(trimmed) <= MAX_HEADING) & ~trimmed.rlike(r"[.,;]$") & F.regexp_extract(trimmed, r"\p{L}", 0).rlike(r"^\p{Lu}")
-    kind = F.when(label.isNotNull() | ~heading, "paragraph").otherwise("heading")
-    return lines.select("doc_id", "n", kind.alias("kind"), label.alias("label"), "start", "stop")
+    return _rows_of(structure.description_rows, "n int, kind string, label string, start int, stop int")(docs, col)
 
 
 def claim_blocks(docs: DataFrame, col: str = "claims") -> DataFrame:
     """doc_id, block, label, start, stop: a numbered line opens a claim, others go on with it."""
-    from pyspark.sql import Window
-
-    number = F.nullif(F.regexp_extract("line", r"^\s*(\d+)[.)]", 1), F.lit(""))
-    lines = _lines(docs, col).withColumn("label", number)
-    block = F.count("label").over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        lines.withColumn("block", block)
-        .groupBy("doc_id", "block")
-        .agg(F.max("label").alias("label"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-    )
+    return _rows_of(_claim_rows, "block bigint, label string, start int, stop int")(docs, col)
 
 
-_EARLIER = re.compile(r"(?:preceding|foregoing|previous|above)\s*$")
-_CLAIM = re.compile(r"(?<![a-z])claims?(?![a-z])")
-_NUMBER = re.compile(r"\s*(\d+)", re.ASCII)
-_JOINT = re.compile(r"\s*(to|-|–|,|or|and)")
-_OPENS = re.compile(r"\s*(\d+)[.)]", re.ASCII)
-
-
-def references(line: str, own: int | None) -> tuple[list[tuple[int, int, int]], set[int]]:
-    """((start, stop, claim) links in UTF-16 units, claims it depends on) of one line of claim ``own``."""
-    low = "".join(c.lower() if c.isascii() else c for c in line)
-    links: list[tuple[int, int, int]] = []
-    needs: set[int] = set()
-    for m in _CLAIM.finditer(low):
-        if _EARLIER.search(low[: m.start()]):
-            needs.update(range(1, own or 1))
-            continue
-        at, begin, low_end = m.end(), m.start(), None
-        while (num := _NUMBER.match(low, at)) is not None:
-            value = int(num.group(1))
-            links.append((_units(line[:begin]), _units(line[: num.end()]), value))
-            needs.update(range(low_end, value + 1) if low_end is not None and low_end < value else (value,))
-            joint = _JOINT.match(low, num.end())
-            if joint is None:
-                break
-            low_end = value if joint.group(1) in ("to", "-", "–") else None
-            at = joint.end()
-            ahead = _NUMBER.match(low, at)
-            begin = ahead.start(1) if ahead else at
-    return links, {n for n in needs if own is not None and n < own}
-
-
-def _reference_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        out = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            at, own = 0, None
-            for line in (text or "").split("\n"):
-                if line.strip():
-                    opens = _OPENS.match(line)
-                    own = int(opens.group(1)) if opens else own
-                    links, needs = references(line, own)
-                    out += [(doc, own, at + a, at + b, c, c in needs) for a, b, c in links]
-                    linked = {c for _, _, c in links}
-                    out += [(doc, own, None, None, c, True) for c in sorted(needs - linked)]
-                at += _units(line) + 1
-        yield pd.DataFrame(out, columns=["doc_id", "claim", "start", "stop", "ref", "depends"]).astype(
-            {"claim": "Int32", "start": "Int32", "stop": "Int32", "ref": "Int32"}
-        )
+def _claim_rows(text: str | None) -> Iterator[tuple]:
+    return ((c.block, c.label, c.start, c.stop) for c in structure.claims(text))
 
 
 def claim_refs(docs: DataFrame, col: str = "claims") -> DataFrame:
     """doc_id, claim, start, stop, ref, depends: links to claims, and dependencies without a link (null span)."""
-    return docs.select("doc_id", F.col(col).alias("text")).mapInPandas(
-        _reference_rows, "doc_id bigint, claim int, start int, stop int, ref int, depends boolean"
-    )
+    return _rows_of(structure.reference_rows, "claim bigint, start int, stop int, ref bigint, depends boolean")(docs, col)
 
 
 def claim_dependencies(refs: DataFrame) -> DataFrame:
     return refs.where("depends").select("doc_id", "claim", F.col("ref").alias("depends_on")).distinct()
 
 
-def _tree(key, claims: pd.DataFrame, deps: pd.DataFrame) -> pd.DataFrame:
-    """Depths of one document's claims, in their order: dependencies point to earlier ones."""
-    needs: dict[int, list[int]] = {}
-    for claim, on in zip(deps["claim"], deps["depends_on"], strict=True):
-        needs.setdefault(int(claim), []).append(int(on))
-    place: dict[int, tuple[int, int]] = {}
-    for claim in sorted({int(c) for c in claims["claim"]}):
-        above = [(place[on], on) for on in needs.get(claim, ()) if on in place]
-        # the base is that of the deepest claim it depends on, of equal ones the first
-        (depth, base), _ = max(above, key=lambda x: (x[0][0], -x[1])) if above else ((-1, claim), claim)
-        place[claim] = (depth + 1, base)
-    rows = [(key[0], c, d == 0, d, b) for c, (d, b) in place.items()]
-    return pd.DataFrame(rows, columns=["doc_id", "claim", "is_independent", "depth", "base"])
-
-
-def claim_tree(claims: DataFrame, deps: DataFrame) -> DataFrame:
-    """doc_id, claim, is_independent, depth, base: the longest way down to an independent claim, and that claim.
-
-    ``claims`` has doc_id, claim; ``deps`` doc_id, claim, depends_on. A group is one document's claims.
-    """
-    own = claims.select(F.col("doc_id").cast("bigint").alias("doc_id"), "claim").groupBy("doc_id")
-    edges = deps.select(F.col("doc_id").cast("bigint").alias("doc_id"), "claim", "depends_on").groupBy("doc_id")
-    return own.cogroup(edges).applyInPandas(_tree, "doc_id bigint, claim int, is_independent boolean, depth int, base int")
+def claim_tree(docs: DataFrame, col: str = "claims") -> DataFrame:
+    """doc_id, claim, is_independent, depth, base: the longest way down to an independent claim, and that claim."""
+    return _rows_of(structure.tree_rows, "claim bigint, is_independent boolean, depth int, base bigint")(docs, col)
 
 
 @pandas_udf(T.ArrayType(T.IntegerType()))
@@ -160,7 +83,7 @@ def occurrences(texts: pd.Series, quotes: pd.Series) -> pd.Series:
             return out
         units, seen, at = 0, 0, text.find(quote)
         while at >= 0:
-            units += _units(text[seen:at])
+            units += structure.units(text[seen:at])
             out.append(units)
             seen, at = at, text.find(quote, at + len(quote))
         return out

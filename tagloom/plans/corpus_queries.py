@@ -326,23 +326,21 @@ def claim_blocks(spark, sf_dir):
 @query(
     rf"""WITH {_CLAIMS}, {_LINES}, c AS (SELECT doc_id, (n + 1)::INT AS claim, stop FROM lines),
     d AS (SELECT *, length(CAST(claim - 1 AS VARCHAR)) AS w1, length(CAST(claim - 2 AS VARCHAR)) AS w2, length(CAST(claim - 3 AS VARCHAR)) AS w3 FROM c)
-    SELECT doc_id, claim, (stop - 6 - w1)::INT AS start, stop::INT AS stop, claim - 1 AS ref, true AS depends FROM d WHERE claim % 4 = 2
-    UNION ALL SELECT doc_id, claim, (stop - w1)::INT, stop::INT, claim - 1, true FROM d WHERE claim % 4 IN (3, 0)
-    UNION ALL SELECT doc_id, claim, (stop - 11 - w1 - w2)::INT, (stop - 4 - w1)::INT, claim - 2, true FROM d WHERE claim % 4 = 3
-    UNION ALL SELECT doc_id, claim, (stop - 11 - w1 - w3)::INT, (stop - 4 - w1)::INT, claim - 3, true FROM d WHERE claim % 4 = 0
-    UNION ALL SELECT doc_id, claim, NULL, NULL, claim - 2, true FROM d WHERE claim % 4 = 0"""
+    SELECT doc_id, claim::BIGINT AS claim, (stop - 6 - w1)::INT AS start, stop::INT AS stop, (claim - 1)::BIGINT AS ref, true AS depends FROM d WHERE claim % 4 = 2
+    UNION ALL SELECT doc_id, claim::BIGINT AS claim, (stop - w1)::INT, stop::INT, claim - 1, true FROM d WHERE claim % 4 IN (3, 0)
+    UNION ALL SELECT doc_id, claim::BIGINT AS claim, (stop - 11 - w1 - w2)::INT, (stop - 4 - w1)::INT, claim - 2, true FROM d WHERE claim % 4 = 3
+    UNION ALL SELECT doc_id, claim::BIGINT AS claim, (stop - 11 - w1 - w3)::INT, (stop - 4 - w1)::INT, claim - 3, true FROM d WHERE claim % 4 = 0
+    UNION ALL SELECT doc_id, claim::BIGINT AS claim, NULL, NULL, claim - 2, true FROM d WHERE claim % 4 = 0"""
 )
 def claim_references(spark, sf_dir):
     return outline.claim_refs(_claims(T(spark, sf_dir)))
 
 
 @query(
-    f"""WITH {_CLAIMS} SELECT doc_id, i::INT AS claim, i % 4 = 1 AS is_independent, ((i - 1) % 4)::INT AS depth, (i - (i - 1) % 4)::INT AS base FROM cl"""
+    f"""WITH {_CLAIMS} SELECT doc_id, i::BIGINT AS claim, i % 4 = 1 AS is_independent, ((i - 1) % 4)::INT AS depth, (i - (i - 1) % 4)::BIGINT AS base FROM cl"""
 )
 def claim_tree(spark, sf_dir):
-    d = _claims(T(spark, sf_dir))
-    claims = outline.claim_blocks(d).where("label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("claim"))
-    return outline.claim_tree(claims, outline.claim_dependencies(outline.claim_refs(d)))
+    return outline.claim_tree(_claims(T(spark, sf_dir)))
 
 
 _RESOLVED = """SELECT id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 10 WHEN strpos(text, quote) > 0 THEN (SELECT arg_min(p, (abs(p - 10), p)) FROM (SELECT unnest(list_transform(range(1, len(string_split(text, quote))),

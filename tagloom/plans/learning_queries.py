@@ -432,20 +432,36 @@ def pending_auto_labels(spark, sf_dir):
     return automation.pending_auto_labels(scores, t.a_tags, t.a_labels, scores.select("doc_id").distinct())
 
 
+_VERSION = "'m1+lr@' || CAST({0}.tag_id AS VARCHAR)"
+_LAB = """lab AS (SELECT doc_id, tag_id, state, source, CASE WHEN source = 'auto' THEN (tag_id + 1) / 16.0 END::DOUBLE AS confidence,
+      CASE WHEN source = 'auto' AND tag_id % 2 = 0 THEN 'm0' END AS model_version, tag_version FROM a_labels)"""
+LABEL_COLUMNS = ("doc_id", "tag_id", "state", "source", "confidence", "model_version", "tag_version")
+
+
+def _versioned(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("model_version", F.concat(F.lit("m1+lr@"), F.col("tag_id").cast("string")))
+
+
+def _known(t: T) -> DataFrame:
+    """The labels, the automatic ones with the confidence and the model that they were written with."""
+    auto = F.col("source") == "auto"
+    return t.a_labels.withColumn("confidence", F.when(auto, (F.col("tag_id") + 1) / F.lit(16.0))).withColumn(
+        "model_version", F.when(auto & (F.col("tag_id") % 2 == 0), "m0")
+    )
+
+
 @query(
-    f"""WITH {_LATEST}, w AS (SELECT l.doc_id, l.tag_id, CASE WHEN score >= threshold THEN 'pos' ELSE 'neg' END AS state FROM latest l JOIN a_tags t ON t.tag_id = l.tag_id
+    f"""WITH {_LATEST}, {_LAB}, w AS (SELECT l.doc_id, l.tag_id, CASE WHEN score >= threshold THEN 'pos' ELSE 'neg' END AS state, score, version FROM latest l JOIN a_tags t ON t.tag_id = l.tag_id
       WHERE auto_enabled AND (score >= threshold OR score < neg_threshold)
       AND NOT EXISTS (SELECT 1 FROM a_labels x WHERE x.doc_id = l.doc_id AND x.tag_id = l.tag_id AND x.source = 'human'))
-    SELECT doc_id, tag_id, state, source FROM a_labels a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = a.doc_id AND w.tag_id = a.tag_id)
-    UNION ALL SELECT doc_id, tag_id, state, 'auto' FROM w""",
+    SELECT * FROM lab a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = a.doc_id AND w.tag_id = a.tag_id)
+    UNION ALL SELECT doc_id, tag_id, state, 'auto', CAST(score AS DOUBLE), {_VERSION.format('w')}, version FROM w""",
     "a_predictions", "a_tags", "a_labels",
 )
 def applied_auto_labels(spark, sf_dir):
     t = T(spark, sf_dir)
-    decided = automation.with_decision(automation.latest_scores(t.a_predictions), t.a_tags).where("decision IN ('pos', 'neg')")
-    return automation.apply_auto_labels(t.a_labels, decided.select("doc_id", "tag_id", F.col("decision").alias("state")))[0]
-
-
+    decided = _versioned(automation.with_decision(automation.latest_scores(t.a_predictions), t.a_tags)).where("decision IN ('pos', 'neg')")
+    return automation.apply_auto_labels(_known(t), decided.withColumnRenamed("decision", "state"), t.a_tags)[0].select(*LABEL_COLUMNS)
 
 
 _SAMPLED = """a AS (SELECT doc_id, ((CAST(doc_id AS UHUGEINT) * 2654435761) % 18446744073709551616 + 11400714819323198485) % 18446744073709551616 AS h1 FROM documents),
@@ -460,23 +476,38 @@ def audit_sampling(spark, sf_dir):
 
 def _decided(enabled: str) -> str:
     """Every queued document with every active tag: its label's state, else the decision."""
-    return f"""{_LATEST}, decided AS (SELECT d.doc_id, t.tag_id, s.score, h.state AS have, coalesce(h.state, {_DECISION.replace('auto_enabled', enabled)}) AS decision
-    FROM a_documents d CROSS JOIN a_tags t LEFT JOIN latest s ON s.doc_id = d.doc_id AND s.tag_id = t.tag_id LEFT JOIN a_labels h ON h.doc_id = d.doc_id AND h.tag_id = t.tag_id
+    return f"""{_LATEST}, {_LAB}, decided AS (SELECT d.doc_id, t.tag_id, s.score, t.version, h.state AS have, h.confidence, h.model_version AS had, coalesce(h.state, {_DECISION.replace('auto_enabled', enabled)}) AS decision
+    FROM a_documents d CROSS JOIN a_tags t LEFT JOIN latest s ON s.doc_id = d.doc_id AND s.tag_id = t.tag_id LEFT JOIN lab h ON h.doc_id = d.doc_id AND h.tag_id = t.tag_id
     WHERE review_state = 'queued' AND fetch_status = 'fetched' AND NOT archived)"""
 
 
 def _automated(spark, sf_dir, everything: bool = False) -> dict[str, DataFrame]:
     t = T(spark, sf_dir)
     tags = t.a_tags.withColumn("auto_enabled", F.lit(True)) if everything else t.a_tags
-    return automation.full_automation(t.a_documents, automation.latest_scores(t.a_predictions), tags, t.a_labels)
+    return automation.full_automation(t.a_documents, _versioned(automation.latest_scores(t.a_predictions)), tags, _known(t))
 
 
 _AUTOMATED = ("a_documents", "a_tags", "a_labels", "a_predictions")
 
 
-@query(f"WITH {_decided('auto_enabled')} SELECT doc_id, tag_id, decision AS state, 'auto' AS source FROM decided WHERE have IS NULL AND decision IN ('pos', 'neg')", *_AUTOMATED)
+@query(
+    f"""WITH {_decided('auto_enabled')} SELECT doc_id, tag_id, decision AS state, 'auto' AS source, CAST(score AS DOUBLE) AS confidence, {_VERSION.format('decided')} AS model_version, version AS tag_version
+    FROM decided WHERE have IS NULL AND decision IN ('pos', 'neg')""",
+    *_AUTOMATED,
+)
 def full_automation(spark, sf_dir):
-    return _automated(spark, sf_dir)["written"].select("doc_id", "tag_id", "state", "source")
+    return _automated(spark, sf_dir)["written"].select(*LABEL_COLUMNS)
+
+
+@query(
+    f"""WITH {_decided('auto_enabled')}, w AS (SELECT doc_id, tag_id, decision AS state, 'auto' AS source, CAST(score AS DOUBLE) AS confidence, {_VERSION.format('decided')} AS model_version, version AS tag_version
+      FROM decided WHERE have IS NULL AND decision IN ('pos', 'neg'))
+    SELECT * FROM lab UNION ALL SELECT * FROM w""",
+    *_AUTOMATED,
+)
+def automated_labels(spark, sf_dir):
+    """The whole label table after a pass."""
+    return _automated(spark, sf_dir)["labels"].select(*LABEL_COLUMNS)
 
 
 @query(
@@ -492,8 +523,9 @@ def automated_documents(spark, sf_dir):
 
 @query(
     f"""WITH {_decided('true')}, sampling AS (WITH {_SAMPLED}), done AS (SELECT doc_id FROM decided GROUP BY doc_id HAVING bool_and(decision IN ('pos', 'neg')))
-    SELECT d.doc_id, d.tag_id, round(CAST(d.score AS DOUBLE), 6) AS score, true AS suggested FROM decided d JOIN sampling s ON s.doc_id = d.doc_id AND NOT sampled
-    WHERE d.doc_id IN (SELECT doc_id FROM done) AND d.have IS NULL AND d.score IS NOT NULL""",
+    SELECT d.doc_id, d.tag_id, CASE WHEN have IS NULL THEN {_VERSION.format('d')} ELSE coalesce(had, '') END AS model_version,
+      round(CASE WHEN have IS NULL THEN CAST(d.score AS DOUBLE) ELSE confidence END, 6) AS score, true AS suggested FROM decided d JOIN sampling s ON s.doc_id = d.doc_id AND NOT sampled
+    WHERE d.doc_id IN (SELECT doc_id FROM done) AND CASE WHEN have IS NULL THEN CAST(d.score AS DOUBLE) ELSE confidence END IS NOT NULL""",
     *_AUTOMATED,
 )
 def automated_predictions(spark, sf_dir):
@@ -570,15 +602,16 @@ def labels_from_history(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT d.doc_id, t.tag_id, CASE WHEN t.tag_id IN (d.doc_id % 10, (d.doc_id + 3) % 10) THEN 'pos' ELSE 'neg' END AS state, 'human' AS source, t.version AS tag_version
+    f"""WITH {_LAB}, n AS (SELECT d.doc_id, t.tag_id, CASE WHEN t.tag_id IN (d.doc_id % 10, (d.doc_id + 3) % 10) THEN 'pos' ELSE 'neg' END AS state, 'human' AS source, t.version AS tag_version
       FROM (SELECT doc_id FROM a_vectors WHERE doc_id % 5 = 1) d CROSS JOIN a_tags t WHERE NOT archived)
-    SELECT doc_id, tag_id, state, source, tag_version FROM a_labels l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = l.doc_id AND n.tag_id = l.tag_id) UNION ALL SELECT * FROM n""",
+    SELECT * FROM lab l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = l.doc_id AND n.tag_id = l.tag_id)
+    UNION ALL SELECT doc_id, tag_id, state, source, NULL, NULL, tag_version FROM n""",
     "a_vectors", "a_tags", "a_labels",
 )
 def validated_labels(spark, sf_dir):
     t = T(spark, sf_dir)
     decisions = t.a_vectors.where("doc_id % 5 = 1").select("doc_id", F.array(F.col("doc_id") % 10, (F.col("doc_id") + 3) % 10).alias("checked"))
-    return labels.validate(decisions, t.a_tags, t.a_labels, t.a_documents)["labels"]
+    return labels.validate(decisions, t.a_tags, _known(t), t.a_documents)["labels"].select(*LABEL_COLUMNS)
 
 
 @query(

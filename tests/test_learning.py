@@ -98,6 +98,34 @@ def test_automation_outputs(spark):
     assert off["completed"].isEmpty() and off["predictions"].isEmpty() and off["documents"].where("review_state <> 'queued'").isEmpty()
 
 
+def test_labels_survive_passes(spark):
+    """The label table that a pass gives is one that the next pass, a review and the statistics can start from."""
+    docs = spark.createDataFrame([(i, "queued", "fetched") for i in range(3)], "doc_id bigint, review_state string, fetch_status string")
+    t = spark.createDataFrame([(1, True, 0.5, 0.2, False, 4), (2, True, 0.5, 0.2, False, 1)], "tag_id bigint, auto_enabled boolean, threshold float, neg_threshold float, archived boolean, version int")
+    scores = spark.createDataFrame([(0, 1, 0.9, "v1"), (0, 2, 0.3, "v1"), (1, 1, 0.05, "v1"), (1, 2, 0.8, "v1")], "doc_id bigint, tag_id bigint, score double, model_version string")
+    have = spark.createDataFrame([(2, 1, "pos", "human", 3), (2, 2, "neg", "auto", 1)], "doc_id bigint, tag_id bigint, state string, source string, tag_version int")
+    first = automation.full_automation(docs, scores, t, have, 0.0, now="2024-05-01")
+    rows = {(r.doc_id, r.tag_id): (r.state, r.source, r.confidence, r.model_version, r.tag_version, str(r.created_at)[:10]) for r in first["labels"].collect()}
+    assert rows == {
+        (0, 1): ("pos", "auto", 0.9, "v1", 4, "2024-05-01"), (1, 1): ("neg", "auto", 0.05, "v1", 4, "2024-05-01"), (1, 2): ("pos", "auto", 0.8, "v1", 1, "2024-05-01"),
+        (2, 1): ("pos", "human", None, None, 3, "None"), (2, 2): ("neg", "auto", None, None, 1, "None"),
+    }
+    assert {(r.doc_id, r.tag_id, r.model_version, r.score) for r in first["predictions"].collect()} == {(1, 1, "v1", 0.05), (1, 2, "v1", 0.8)}
+    # the next model decides the open pair; what the first pass wrote is logged with its own confidence and model
+    later = spark.createDataFrame([(0, 1, 0.1, "v2"), (0, 2, 0.7, "v2")], "doc_id bigint, tag_id bigint, score double, model_version string")
+    second = automation.full_automation(docs, later, t, first["labels"], 0.0, now="2024-06-01")
+    assert [(r.doc_id, r.tag_id, r.confidence, r.model_version, r.tag_version) for r in second["written"].collect()] == [(0, 2, 0.7, "v2", 1)]
+    assert {(r.doc_id, r.tag_id, r.model_version, r.score) for r in second["predictions"].collect()} >= {(0, 1, "v1", 0.9), (0, 2, "v2", 0.7)}
+    stats = {r.tag_id: r for r in labels.tag_stats(t, second["labels"], second["documents"]).collect()}
+    assert (stats[1].human_pos, stats[1].auto_pos, stats[1].auto_neg, stats[1].stale) == (1, 1, 1, 1)
+    review = labels.validate(spark.createDataFrame([(0, [2])], "doc_id bigint, checked array<bigint>"), t, second["labels"], docs, now="2024-07-01")
+    rows = {(r.doc_id, r.tag_id): (r.state, r.source, r.confidence, r.model_version, r.tag_version) for r in review["labels"].collect()}
+    assert rows[0, 1] == ("neg", "human", None, None, 4) and rows[0, 2] == ("pos", "human", None, None, 1) and rows[1, 2] == ("pos", "auto", 0.8, "v1", 1)
+    assert review["history"].columns == second["written"].columns == review["labels"].columns
+    pairs = labels.label_pairs(spark.createDataFrame([(1, 1, "pos", 4)], "doc_id bigint, tag_id bigint, state string, tag_version int"), review["labels"], scores)
+    assert pairs["labels"].count() == 6 and pairs["predictions"].isEmpty()
+
+
 def test_highlights(spark):
     text = "Heading\n\n[0007] first words here.\nplain text."
     marks = spark.createDataFrame(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import numbers, sampling, text, vectors
+from tagloom.functions import numbers, sampling, structure, text, vectors
 from tagloom.operators import audit, evaluation, exports, outline, scoring, tags
 from tagloom.sources import files
 
@@ -85,22 +85,57 @@ def test_classifier_against_numpy(spark):
 
 
 def test_claim_references():
-    def told(line, own):
-        links, needs = outline.references(line, own)
-        return [(line[a:b], c) for a, b, c in links], needs
-
-    assert told("12. The lamp of claim 7, further having a lens.", 12) == ([("claim 7", 7)], {7})
-    assert told("11. A kit for Claims 3, 5 and 8 to 10 alike", 11) == ([("Claims 3", 3), ("5", 5), ("8", 8), ("10", 10)], {3, 5, 8, 9, 10})
-    assert told("4. Use after any previous claim", 4) == ([], {1, 2, 3})
-    assert told("3. Like claim 9 and disclaims 1", 3) == ([("claim 9", 9)], set())
-    assert told("no claim is meant here", None) == ([], set())
+    def told(text, at=-1):
+        found = structure.claims(text)
+        return [(text[a:b], c) for a, b, c in found[at].links], found[at].needs(structure.claim_numbers(found))
+
+    many = "\n".join(f"{i}. A lamp." for i in range(1, 11)) + "\n"
+    assert told("12. The lamp of claim 7, further having a lens.") == ([("claim 7", 7)], {7})
+    assert told(many + "11. A kit for Claims 3, 5 and 8 to 10 alike") == ([("Claims 3", 3), ("5", 5), ("8", 8), ("10", 10)], {3, 5, 8, 9, 10})
+    assert told("1. A\n2. B\n4. Use after any Previous claim") == ([], {1, 2})
+    assert told("3. Like claim 9 and disclaims 1") == ([("claim 9", 9)], set())
+    assert told("no claim is meant here") == ([], set())
+    assert told("2. Of claim 1\nas well as claim 7") == ([("claim 1", 1), ("claim 7", 7)], {1})
+
+
+def test_no_number_is_too_large(spark):
+    """Numbers beyond 32 bits are no claims, and ranges cost what the text holds."""
+    texts = [
+        "99999999999. The lamp of claim 99999999999 or 1",
+        "1. A\n2. Of claims 1 to 2000000000",
+        "1. A\n4294967295. Any of the preceding claims\n4294967296. of claim 1",
+        "7. " + "claim " * 50_000 + "9" * 100_000,
+        "5. " + "any preceding claim, " * 20_000,
+        "".join(f"{i}. Any of the above claims\n" for i in range(1, 400)),
+        "1. 𝛼 of claim 2",
+        None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, claims string")
+    rows: dict = {}
+    for r in outline.claim_refs(docs).collect():
+        rows.setdefault(r.doc_id, []).append((r.claim, r.start, r.stop, r.ref, r.depends))
+    assert set(rows) == {1, 2, 5, 6}
+    assert rows[1] == [(2, 11, 19, 1, True), (2, 23, 33, 2000000000, False)]
+    at = texts[2].index("claim 1")
+    assert rows[2] == [(4294967295, at, at + 7, 1, True)]
+    assert len(rows[5]) == 399 * 398 // 2
+    assert rows[6] == [(1, 9, 16, 2, False)]  # the letter is two units
+    tree = {(r.doc_id, r.claim): (r.is_independent, r.depth, r.base) for r in outline.claim_tree(docs).collect()}
+    assert tree[1, 2] == (False, 1, 1) and tree[2, 4294967295] == (False, 1, 1) and tree[5, 399] == (False, 398, 1)
+    vectors.register(spark)
+    docs.createOrReplaceTempView("claim_texts")
+    for name, whole in (("claim_references", outline.claim_refs), ("claim_tree", outline.claim_tree), ("claim_blocks", outline.claim_blocks)):
+        got = spark.sql(f"SELECT doc_id, b.* FROM claim_texts, LATERAL {name}(claims) b")
+        if name == "claim_blocks":
+            got = got.select("doc_id", F.col("n").cast("bigint"), "label", "start", "stop")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, whole(docs).collect())))
 
 
 def test_claim_tree(spark):
-    edges = {2: [1], 3: [1, 2], 5: [4], 6: [3, 5], 7: [6, 99]}
-    claims = spark.createDataFrame([(d, c) for d in (1, 2) for c in range(1, 8)], "doc_id bigint, claim int")
-    deps = spark.createDataFrame([(1, c, on) for c, v in edges.items() for on in v], "doc_id bigint, claim int, depends_on int")
-    rows = {(r.doc_id, r.claim): (r.is_independent, r.depth, r.base) for r in outline.claim_tree(claims, deps).collect()}
+    needs = {2: "claim 1", 3: "claims 1 or 2", 5: "claim 4", 6: "claims 3 and 5", 7: "claims 6 and 99"}
+    text = "\n".join(f"{c}. A lamp of {needs[c]}" if c in needs else f"{c}. A lamp" for c in range(1, 8))
+    docs = spark.createDataFrame([(1, text), (2, "\n".join(f"{c}) A lamp" for c in range(1, 8)))], "doc_id bigint, claims string")
+    rows = {(r.doc_id, r.claim): (r.is_independent, r.depth, r.base) for r in outline.claim_tree(docs).collect()}
     assert [rows[1, c] for c in range(1, 8)] == [(True, 0, 1), (False, 1, 1), (False, 2, 1), (True, 0, 4), (False, 1, 4), (False, 3, 1), (False, 4, 1)]
     assert all(rows[2, c] == (True, 0, c) for c in range(1, 8))
 
