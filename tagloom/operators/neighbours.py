@@ -128,7 +128,14 @@ def nearest_neighbours(
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_to(doc_ids: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """q_id, n_id, sim, rank: documents similar to the given ones, themselves left out; no vector, no rows."""
+def similar_to(doc_ids: DataFrame, vectors: DataFrame, limit: int = 10, index=None, probes: int | None = None) -> DataFrame:
+    """q_id, n_id, sim, rank: documents similar to the given ones, themselves left out; no vector, no rows.
+
+    With an ``index`` of the vectors (``cells.cell_index``) only the cells that can matter are searched, or ``probes`` of them.
+    """
     queries = vectors.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    if index is not None:
+        from .cells import cell_neighbours
+
+        return cell_neighbours(queries, index, limit, skip_self=True, probes=probes)
     return nearest_neighbours(queries, vectors, limit, skip_self=True)

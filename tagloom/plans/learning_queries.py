@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled, audit_unit
-from ..operators import audit, automation, evaluation, labels, neighbours, retraining, scoring
+from ..operators import audit, automation, cells, evaluation, labels, neighbours, retraining, scoring
 from ..sources.tables import spark_table, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,20 @@ def nearest_neighbours(spark, sf_dir):
     return neighbours.nearest_neighbours(t.queue(), t.pool()).withColumn("sim", r6("sim"))
 
 
+@query(f"WITH {_NEIGHBOURS} SELECT q_id, n_id, round(sim, 6) AS sim, rank FROM near", "a_vectors")
+def pruned_neighbours(spark, sf_dir):
+    """The same over cells: only those whose bound reaches the k-th similarity are searched."""
+    t = T(spark, sf_dir)
+    return cells.cell_neighbours(t.queue(), cells.cell_index(t.pool())).withColumn("sim", r6("sim"))
+
+
+@query()
+def probed_neighbours(spark, sf_dir):
+    """Approximate: eight cells a query."""
+    t = T(spark, sf_dir)
+    return cells.cell_neighbours(t.queue(), cells.cell_index(t.pool()), probes=8).withColumn("sim", r6("sim"))
+
+
 @query(
     f"""WITH {_KNN} SELECT knn.doc_id, knn.tag_id, round(knn, 6) AS knn,
     coalesce(CAST(knn AS FLOAT) >= t.threshold, false) OR coalesce(l.state = 'pos', false) AS suggested
@@ -107,6 +121,19 @@ def prequential_neighbours(spark, sf_dir):
     return neighbours.nearest_neighbours(v, v, order_col="turn").withColumn("sim", r6("sim"))
 
 
+@query(
+    """SELECT q_id, n_id, sim, rank FROM (
+      SELECT q.doc_id AS q_id, n.doc_id AS n_id, round(list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(n.vector AS DOUBLE[])), 6) AS sim,
+        row_number() OVER (PARTITION BY q.doc_id ORDER BY list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(n.vector AS DOUBLE[])) DESC, n.doc_id) AS rank
+      FROM a_vectors q JOIN a_vectors n ON n.doc_id < q.doc_id) WHERE rank <= 10""",
+    "a_vectors",
+)
+def pruned_replay(spark, sf_dir):
+    """The replay over cells."""
+    v = T(spark, sf_dir).a_vectors.withColumn("turn", F.col("doc_id"))
+    return cells.cell_neighbours(v, cells.cell_index(v, order_col="turn"), order_col="turn").withColumn("sim", r6("sim"))
+
+
 @query(
     """SELECT v.doc_id, v.model_id FROM a_vectors v JOIN a_documents d ON d.doc_id = v.doc_id WHERE d.review_state = 'validated'""",
     "a_vectors", "a_documents",
