@@ -5,7 +5,9 @@ differs from a benchmark item at ignored positions still has the item's hash. Se
 hashes of the test items and of the training texts are joined; around each hit the
 aligned words are compared, and the pair counts as overlap if, along that
 alignment, a run of at least ``min(item words, window)`` words has at least
-``min_same`` percent of equal words.
+``min_same`` percent of equal words. Items of seven and eight words may differ in one word only and
+shorter ones in none, as further substitutions there leave too often no place for any mask (tests hold the masks to
+nine of ten for every length).
 
 Training texts are read once. Their seeds are sifted in the reading tasks by a
 bit table of the test seeds, two bits per seed in 2**26 bits: its size (8 MB) does not
@@ -41,6 +43,8 @@ MASKS = ("11111", "111011", "110111", "1101011", "1110101", "1011011", "11001101
 WINDOW = 24
 MIN_SAME = 75
 MIN_WORDS = 8  # of an item whose overlap removes a document
+EXACT_BELOW = 7  # words of an item that has to be met in all of them
+ONE_BELOW = 9  # words of an item that may differ in one
 _BITS = 26
 
 
@@ -169,6 +173,12 @@ def _document_runs(table, short_lengths: list[int], window: int):
     return run
 
 
+def least_same(length: int, min_same: int = MIN_SAME) -> int:
+    """How many words of a stretch of ``length`` have to be equal."""
+    least = -(-min_same * length // 100)
+    return max(least, length - (0 if length < EXACT_BELOW else 1)) if length < ONE_BELOW else least
+
+
 def best_run(same: np.ndarray, length: int) -> tuple[int, int]:
     """Start of the window of ``length`` flags with the most set, and their number."""
     total = np.concatenate([[0], np.cumsum(same)])
@@ -193,7 +203,7 @@ def _verify(window: int, min_same: int):
                     if hi - lo < need:
                         continue
                     at, n = best_run(test[lo:hi] == doc[lo + shift : hi + shift], need)
-                    if 100 * n >= min_same * need and (best is None or n > best[3]):
+                    if n >= least_same(need, min_same) and (best is None or n > best[3]):
                         best = (start - before + lo + at + shift, lo + at, need, n)
                 if best:
                     out.append((key, id_, item, *best))
