@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, vectors
-from ..operators import corpus, labels, outline
+from ..operators import corpus, families, labels, outline
 from ..sources import files
 from ..sources.tables import with_clause
 from .learning_queries import T
@@ -129,6 +129,33 @@ def related_documents(spark, sf_dir):
     return corpus.related_documents(T(spark, sf_dir).a_documents)
 
 
+_MEMBERS = """m AS (SELECT doc_id, 'a' || application_number AS key FROM a_documents WHERE application_number IS NOT NULL
+    UNION ALL SELECT doc_id, 'f' || family_id FROM a_documents WHERE family_id IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MEMBERS}, r AS (SELECT doc_id AS root, doc_id FROM a_documents UNION SELECT r.root, b.doc_id FROM r JOIN m a ON a.doc_id = r.doc_id JOIN m b ON b.key = a.key)
+    SELECT doc_id, min(root) AS class_id, count(DISTINCT root) AS n_members FROM r GROUP BY doc_id""",
+    "a_documents",
+)
+def related_classes(spark, sf_dir):
+    """Which documents hang together through applications and families, over any number of steps?"""
+    return families.related_classes(T(spark, sf_dir).a_documents)
+
+
+@query(
+    """SELECT d.doc_id, o.doc_id AS related_id, list_sort(list_filter([CASE WHEN d.application_number = o.application_number THEN 'application_number' END,
+      CASE WHEN d.family_id = o.family_id THEN 'family_id' END], lambda x: x IS NOT NULL)) AS via
+    FROM a_documents d JOIN a_documents o ON d.doc_id <> o.doc_id AND (d.application_number = o.application_number OR d.family_id = o.family_id) WHERE d.review_state = 'skipped'""",
+    "a_documents",
+)
+def related_to_skipped(spark, sf_dir):
+    """What is related to the documents that reviewers skipped?"""
+    d = T(spark, sf_dir).a_documents
+    return families.related_to(d.where("review_state = 'skipped'"), d)
+
+
+
 _HITS = "hits AS (SELECT doc_id AS pos, pub_key, family_id, publication_date, abstract IS NOT NULL AND language = 'en' AS english FROM a_documents)"
 _CHOSEN = (
     _HITS
