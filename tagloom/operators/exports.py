@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
+from ..sources.formats import write_text_files
 from .outline import SECTIONS
 
 # fixed values: the folder of untagged documents, and the wording of the document text below
@@ -176,8 +177,15 @@ def document_layout(docs: DataFrame, labels: DataFrame, tags: DataFrame) -> Data
     return docs.select("doc_id", "pub_key").join(own, "doc_id", "left").select(F.coalesce("folder", F.lit(UNTAGGED)).alias("folder"), "doc_id", "pub_key")
 
 
-def write_layout(layout: DataFrame, texts: DataFrame, path: str) -> None:
-    layout.join(texts.select("doc_id", "text"), "doc_id").select("folder", "pub_key", "text").write.partitionBy("folder", "pub_key").option("lineSep", "\n").text(path)
+def layout_files(layout: DataFrame, texts: DataFrame) -> DataFrame:
+    """path (folder/pub_key/pub_key.txt), text of every document in every folder that it is in."""
+    path = F.concat_ws("/", "folder", "pub_key", F.concat("pub_key", F.lit(".txt")))
+    return layout.join(texts.select("doc_id", "text"), "doc_id").select(path.alias("path"), "text")
+
+
+def write_layout(layout: DataFrame, texts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write the tree of documents, all of it or nothing."""
+    write_text_files(layout_files(layout, texts), path, overwrite)
 
 
 def status_summary(documents: DataFrame, jobs: DataFrame) -> DataFrame:

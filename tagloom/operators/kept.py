@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder that all executors share and read back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, which all executors share.
 
     Where the session names none (``spark.checkpoint.dir``), a session in local mode gets a folder of this machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
-    path = f"{context.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = shared_path(spark, "kept")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

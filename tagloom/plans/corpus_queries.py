@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, vectors
 from ..operators import corpus, families, labels, outline
-from ..sources import files
+from ..operators.kept import shared_path
+from ..sources import files, formats
 from ..sources.tables import with_clause
 from .learning_queries import T
 
@@ -421,17 +422,19 @@ def json_lists(spark, sf_dir):
     return d.select("doc_id", text.json_list(F.to_json(F.array("lang", "source"))).alias("items"))
 
 
-def _xml(t: T) -> DataFrame:
-    def esc(c: str):
-        c = F.coalesce(c, F.lit(""))
-        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def escaped(c: str) -> F.Column:
+    """A text as XML has it."""
+    c = F.coalesce(c, F.lit(""))
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
 
+def _xml(t: T) -> DataFrame:
     d = t.a_documents
     body = F.concat(
         F.lit('<exchange-document country="'), F.col("country"), F.lit('" doc-number="'), F.col("number"), F.lit('" kind="'), F.col("kind"), F.lit('" family-id="'),
         F.coalesce(F.col("family_id").cast("string"), F.lit("")), F.lit('"><bibliographic-data><application-reference><document-id document-id-type="epodoc"><doc-number>'),
-        F.col("application_number"), F.lit('</doc-number></document-id></application-reference><invention-title lang="en">'), esc("title"),
-        F.lit('</invention-title></bibliographic-data><abstract lang="en"><p>'), esc("abstract"), F.lit("</p></abstract></exchange-document>"),
+        F.col("application_number"), F.lit('</doc-number></document-id></application-reference><invention-title lang="en">'), escaped("title"),
+        F.lit('</invention-title></bibliographic-data><abstract lang="en"><p>'), escaped("abstract"), F.lit("</p></abstract></exchange-document>"),
     )
     return d.select(F.col("doc_id").alias("id"), body.alias("xml"))
 
@@ -446,6 +449,95 @@ def parsed_publications(spark, sf_dir):
     return p.select("id", "docdb_id", "application_number", F.col("titles")["en"].alias("title"), F.col("abstracts")["en"].alias("abstract"))
 
 
+PAGE = 20
+
+
+def _written(rows: DataFrame, name: str) -> str:
+    """Rows (path, text) as files in a new folder."""
+    path = shared_path(rows.sparkSession, name)
+    formats.write_text_files(rows, path)
+    return path
+
+
+def _number(col: str = "file") -> F.Column:
+    return F.regexp_extract(col, r"([0-9]+)\.[a-z]+$", 1).cast("bigint")
+
+
+def _pages(t: T) -> DataFrame:
+    """Search responses of twenty publications."""
+    each = _xml(t).groupBy(F.floor(F.col("id") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", "xml"))).alias("x"))
+    text = F.concat(F.lit('<s total-result-count="'), F.size("x").cast("string"), F.lit('">'), F.array_join("x.xml", ""), F.lit("</s>"))
+    return each.select(F.concat(F.col("page").cast("string"), F.lit(".xml")).alias("path"), text.alias("text"))
+
+
+@query(
+    rf"""SELECT doc_id // {PAGE} AS page, concat(country, '.', number, '.', kind) AS docdb_id, application_number, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title,
+    regexp_replace(coalesce(abstract, ''), '^\s+|\s+$', '', 'g') AS abstract FROM a_documents""",
+    "a_documents",
+)
+def publication_files(spark, sf_dir):
+    """Publications of written response files, read by the data source."""
+    p = formats.read_publications(spark, _written(_pages(T(spark, sf_dir)), "publications"))
+    return p.select(_number().alias("page"), "docdb_id", "application_number", F.col("titles")["en"].alias("title"), F.col("abstracts")["en"].alias("abstract"))
+
+
+@query(f"SELECT doc_id // {PAGE} AS page, count(*) AS total FROM a_documents GROUP BY ALL", "a_documents")
+def search_page_files(spark, sf_dir):
+    totals, _ = formats.read_search_pages(spark, _written(_pages(T(spark, sf_dir)), "pages"))
+    return totals.where("error IS NULL").select(_number().alias("page"), "total")
+
+
+def _fulltexts(t: T) -> DataFrame:
+    """A response for each document: what there is, its description and claims, and drawings."""
+    d = t.a_documents
+    other = F.when(F.col("doc_id") % 3 == 0, "CLAIMS").otherwise("other")
+    text = F.concat(
+        F.lit('<f><fulltext-instance lang="en" desc="Description"/><fulltext-instance lang="de" desc="'), other, F.lit('"/><document-instance desc="Drawing" link="d/'),
+        F.col("doc_id").cast("string"), F.lit('" number-of-pages="'), (F.col("doc_id") % 7).cast("string"),
+        F.lit('"/><document-instance desc="Drawing" link="x"/><document-instance desc="Other"/><description lang="EN"><heading>'), escaped("title"),
+        F.lit("</heading><p>"), escaped("abstract"), F.lit('</p><p>a<tables/></p></description><claims lang="en"><claim><claim-text>'), escaped("applicant"),
+        F.lit("</claim-text></claim></claims></f>"),
+    )
+    return d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"), text.alias("text"))
+
+
+@query("SELECT doc_id, 'en' AS lang, 'description' AS part FROM a_documents UNION ALL SELECT doc_id, 'de', 'claims' FROM a_documents WHERE doc_id % 3 = 0", "a_documents")
+def fulltext_part_files(spark, sf_dir):
+    formats.register_formats(spark)
+    path = _written(_fulltexts(T(spark, sf_dir)), "parts")
+    return spark.read.format("fulltext_parts_xml").load(path).select(_number().alias("doc_id"), "lang", "part")
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_filter([trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')), trim(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'))],
+      lambda x: x <> '') || ['[Table 2 not reproduced]'], chr(10)) AS description, trim(regexp_replace(coalesce(applicant, ''), '\s+', ' ', 'g')) AS claims FROM a_documents""",
+    "a_documents",
+)
+def fulltext_text_files(spark, sf_dir):
+    path = _written(_fulltexts(T(spark, sf_dir)), "texts")
+    described, claimed = (formats.read_texts(spark, path, part, "en").select(_number().alias("doc_id"), F.col("text").alias(part)) for part in ("description", "claims"))
+    return described.join(claimed, "doc_id")
+
+
+@query("SELECT doc_id, 'Drawing' AS desc, 'd/' || doc_id AS link, doc_id % 7 AS pages FROM a_documents", "a_documents")
+def drawing_files(spark, sf_dir):
+    formats.register_formats(spark)
+    return spark.read.format("drawings_xml").load(_written(_fulltexts(T(spark, sf_dir)), "drawings")).select(_number().alias("doc_id"), "desc", "link", "pages")
+
+
+@query(
+    "SELECT line_no // 50 AS file_no, line_no % 50 * 2 AS place, trim(input_raw) AS input_raw FROM a_number_lines WHERE trim(input_raw) <> ''", "a_number_lines"
+)
+def number_list_files(spark, sf_dir):
+    """Lines of written lists of fifty numbers, with Windows line ends and a blank line after each."""
+    lists = T(spark, sf_dir).a_number_lines.groupBy(F.floor(F.col("line_no") / 50).alias("n")).agg(F.array_sort(F.collect_list(F.struct("line_no", "input_raw"))).alias("x"))
+    text = F.array_join(F.col("x.input_raw"), "\r\n \r\n")
+    path = _written(lists.select(F.concat(F.col("n").cast("string"), F.lit(".txt")).alias("path"), text.alias("text")), "lists")
+    formats.register_formats(spark)
+    rows = spark.read.format("number_list").load(path)
+    return rows.select(_number().alias("file_no"), F.col("line_no").bitwiseAND((1 << 33) - 1).alias("place"), "input_raw")
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'skipped' ELSE review_state END AS review_state FROM a_documents""", "a_documents"
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
 from ..operators import automation, exports, labels, library, tags
+from ..operators.kept import shared_path
 from ..sources.tables import with_clause
 from .learning_queries import T
 
@@ -184,6 +185,29 @@ def document_layout(spark, sf_dir):
     return exports.document_layout(t.a_documents, t.a_doc_labels, t.a_tags)
 
 
+@query(
+    """WITH n AS (SELECT l.doc_id, t.name AS folder FROM a_doc_labels l JOIN a_tags t ON t.tag_id = l.tag_id WHERE state = 'pos' AND NOT archived GROUP BY ALL)
+    SELECT concat_ws('/', coalesce(n.folder, '_untagged'), d.pub_key, d.pub_key || '.txt') AS path, d.text FROM (SELECT min(doc_id) AS doc_id, pub_key, pub_key || ': ' || min(doc_id) AS text
+      FROM a_documents GROUP BY pub_key) d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    *_EXPORT,
+)
+def written_layout(spark, sf_dir):
+    """The tree of documents as it lies in files: written, and read back from their paths."""
+    t = T(spark, sf_dir)
+    docs = t.a_documents.groupBy("pub_key").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select("doc_id", F.concat("pub_key", F.lit(": "), F.col("doc_id").cast("string")).alias("text"))
+    path = shared_path(spark, "layout")
+    exports.write_layout(exports.document_layout(docs, t.a_doc_labels, t.a_tags), texts, path)
+
+    def read(place: str) -> DataFrame:
+        return spark.read.text(place, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    # a reader takes a folder that begins like this for hidden, unless it is named
+    rows = read(path).unionByName(read(f"{path}/{exports.UNTAGGED}"))
+    return rows.select(F.array_join(F.slice(F.split("file", "/"), -3, 3), "/").alias("path"), F.col("value").alias("text"))
+
+
+
 @query(
     r"""WITH a AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', '_', 'g')), '[. ]+$', '') AS c FROM documents),
     b AS (SELECT *, upper(rtrim(split_part(c, '.', 1))) AS stem FROM a)

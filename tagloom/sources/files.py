@@ -107,40 +107,39 @@ def parse_publications(raw: DataFrame, xml: str = "xml") -> DataFrame:
     return raw.select("id", xml).mapInPandas(_rows(lambda root: [publication(d) for d in _all(root, "exchange-document")], _COLUMNS), _PUBLICATION)
 
 
+def search_total(root: ET.Element) -> int:
+    for e in root.iter():
+        if e.get("total-result-count"):
+            return int(e.get("total-result-count"))
+    raise ValueError("a search page without a total")
+
+
 def parse_search_pages(raw: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame]:
     """(id, total, error; publications): a page without a total is an error."""
+    totals = raw.select("id", xml).mapInPandas(_rows(lambda root: [{"total": search_total(root)}], ["id", "total", "error"]), "id bigint, total bigint, error string")
+    return totals, parse_publications(raw, xml)
 
-    def total(root: ET.Element) -> list[dict]:
-        for e in root.iter():
-            if e.get("total-result-count"):
-                return [{"total": int(e.get("total-result-count"))}]
-        raise ValueError("a search page without a total")
 
-    totals = raw.select("id", xml).mapInPandas(_rows(total, ["id", "total", "error"]), "id bigint, total bigint, error string")
-    return totals, parse_publications(raw, xml)
+def fulltext_parts(root: ET.Element) -> list[dict]:
+    kept = ("description", "claims")
+    return [{"lang": e.get("lang"), "part": e.get("desc").lower()} for e in _all(root, "fulltext-instance") if (e.get("desc") or "").lower() in kept]
 
 
 def parse_fulltext_inquiry(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """id, lang, part: which descriptions and claims there are."""
+    return raw.select("id", xml).mapInPandas(_rows(fulltext_parts, ["id", "lang", "part"]), "id bigint, lang string, part string")
 
-    def parts(root: ET.Element) -> list[dict]:
-        return [
-            {"lang": e.get("lang"), "part": e.get("desc").lower()} for e in _all(root, "fulltext-instance") if (e.get("desc") or "").lower() in ("description", "claims")
-        ]
 
-    return raw.select("id", xml).mapInPandas(_rows(parts, ["id", "lang", "part"]), "id bigint, lang string, part string")
+def images(root: ET.Element) -> list[dict]:
+    first: dict[str, dict] = {}
+    for e in _all(root, "document-instance"):
+        if e.get("desc") in ("Drawing", "FirstPageClipping"):
+            first.setdefault(e.get("desc"), {"desc": e.get("desc"), "link": e.get("link"), "pages": int(e.get("number-of-pages") or 0)})
+    return list(first.values())
 
 
 def parse_image_inquiry(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """id, desc, link, pages: the first drawing and the first clipping."""
-
-    def images(root: ET.Element) -> list[dict]:
-        first: dict[str, dict] = {}
-        for e in _all(root, "document-instance"):
-            if e.get("desc") in ("Drawing", "FirstPageClipping"):
-                first.setdefault(e.get("desc"), {"desc": e.get("desc"), "link": e.get("link"), "pages": int(e.get("number-of-pages") or 0)})
-        return list(first.values())
-
     return raw.select("id", xml).mapInPandas(_rows(images, ["id", "desc", "link", "pages"]), "id bigint, desc string, link string, pages bigint")
 
 
