@@ -25,11 +25,14 @@ def audit_window(pairs: DataFrame, n: int = WINDOW) -> DataFrame:
     return pairs.withColumn("rn", rank).where(F.col("rn") <= n).drop("rn")
 
 
-def audited_precision(history: DataFrame) -> DataFrame:
-    """tag_id, precision, n over the last 50 audited positives."""
-    return audit_window(audited_pairs(history, ("pos",))).groupBy("tag_id").agg(
+def audited_precision(history: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """tag_id, precision, n over the last 50 audited positives; of all ``tags`` if given: null and 0 without an audit."""
+    found = audit_window(audited_pairs(history, ("pos",))).groupBy("tag_id").agg(
         F.avg((F.col("human_state") == "pos").cast("double")).alias("precision"), F.count(F.lit(1)).alias("n")
     )
+    if tags is None:
+        return found
+    return tags.select("tag_id").join(found, "tag_id", "left").select("tag_id", "precision", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def auto_completion_audit(history: DataFrame) -> DataFrame:

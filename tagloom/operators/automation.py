@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,25 @@ class EngineConfig:
     full_automation: bool = False
     fulltext_policy: str = "after_tagging_all"
     drawings_policy: str = "on_demand"
-    policy_tags: tuple[int, ...] = ()
+    fulltext_policy_tags: tuple[int, ...] = ()
+    drawings_policy_tags: tuple[int, ...] = ()
+
+
+POLICIES = ("on_demand", "after_tagging_all", "after_tagging_selected_tags")
+
+
+def changed_settings(config: EngineConfig, tags: DataFrame, **changes) -> EngineConfig:
+    """The settings after a change, or an error: full automation needs an active tag in automatic mode, rates and targets are shares."""
+    new = replace(config, **changes)
+    for name in ("target_precision", "target_recall", "audit_rate"):
+        if not 0 <= getattr(new, name) <= 1:
+            raise ValueError(f"{name} must lie between 0 and 1")
+    for name in ("fulltext_policy", "drawings_policy"):
+        if getattr(new, name) not in POLICIES:
+            raise ValueError(f"{name} must be one of {', '.join(POLICIES)}")
+    if new.full_automation and tags.where("auto_enabled AND NOT archived").isEmpty():
+        raise ValueError("full automation needs a tag in automatic mode")
+    return new
 
 
 def decision() -> Column:
@@ -183,6 +201,6 @@ def retrieval_candidates(
 def retrieval_jobs(docs: DataFrame, pos_tags: DataFrame, fulltext: DataFrame, drawings: DataFrame, config: EngineConfig) -> DataFrame:
     """doc_id, kind (fulltext, drawings) to retrieve under the two policies, less what is there."""
     have = {"fulltext": fulltext.where("status IN ('fetched', 'non_english_only')"), "drawings": drawings.where("status = 'fetched'")}
-    policies = {"fulltext": config.fulltext_policy, "drawings": config.drawings_policy}
-    parts = [retrieval_candidates(docs, pos_tags, have[kind], policies[kind], config.policy_tags).withColumn("kind", F.lit(kind)) for kind in have]
+    policies = {"fulltext": (config.fulltext_policy, config.fulltext_policy_tags), "drawings": (config.drawings_policy, config.drawings_policy_tags)}
+    parts = [retrieval_candidates(docs, pos_tags, have[kind], *policies[kind]).withColumn("kind", F.lit(kind)) for kind in have]
     return parts[0].unionByName(parts[1])

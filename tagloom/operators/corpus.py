@@ -23,6 +23,16 @@ def import_report(results: DataFrame) -> DataFrame:
     return results.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
 
 
+def import_outcomes(outcomes: DataFrame, completed: DataFrame, audited: DataFrame) -> DataFrame:
+    """fetched, auto_completed, audited_samples, errors (also those not found) of an import: one row.
+
+    ``outcomes`` has doc_id, fetch_status; ``completed`` and ``audited`` are those of the pass after it (``full_automation``).
+    """
+    counts = outcomes.agg(F.count_if(F.col("fetch_status") == "fetched").alias("fetched"), F.count_if(F.col("fetch_status").isin("error", "not_found")).alias("errors"))
+    done = completed.agg(F.count(F.lit(1)).alias("auto_completed"))
+    return counts.join(done).join(audited.agg(F.count(F.lit(1)).alias("audited_samples"))).select("fetched", "auto_completed", "audited_samples", "errors")
+
+
 def add_pending(documents: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, pub_key of documents to insert: unknown keys, ids after the greatest one by (batch, line) order.
 

@@ -23,22 +23,32 @@ def evaluation_window(scored: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def _grid(scored: DataFrame, steps: int, size: float) -> DataFrame:
-    """Counts at each grid threshold: a row per tag and step, from the (bounded) windows."""
-    t = (F.col("step").cast("float") * F.lit(size).cast("float")).cast("float")
-    at = F.col("score").cast("float") >= t
-    grid = scored.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("step"))
-    return (
-        scored.join(F.broadcast(grid))  # fixed: 21 or 101 rows
-        .groupBy("tag_id", "step")
-        .agg(
-            F.count_if(at & F.col("is_pos")).alias("tp"),
-            F.count_if(at & ~F.col("is_pos")).alias("fp"),
-            F.count_if(F.col("is_pos")).alias("pos"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .select(
-            "tag_id", "step", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "pos").alias("recall"), "n", "pos",
-        )
+    """Precision, recall, n, pos at each grid threshold: a row per tag and step.
+
+    A score counts once, at the highest step that it reaches (-1: none); the counts at a threshold are those of its step
+    and all above, summed from the tag's histogram of ``steps`` + 2 places at most.
+    """
+
+    def threshold(step):
+        return (step.cast("float") * F.lit(size).cast("float")).cast("float")
+
+    score = F.col("score").cast("float")
+    # the quotient is off by one step at most: the tests are those of the thresholds themselves
+    guess = F.when(score.isNull(), -2).when(F.isnan(score), steps).otherwise(F.greatest(F.lit(-2.0), F.least(F.lit(float(steps)), F.floor(score / F.lit(size)))))
+    near = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: (guess + d).cast("int"))
+    reached = F.filter(near, lambda k: (k >= 0) & (k <= steps) & (score >= threshold(k)))
+    own = F.coalesce(F.array_max(reached), F.lit(-1))
+    pos = F.col("is_pos")
+    places = scored.groupBy("tag_id", own.alias("at")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"), F.count(F.lit(1)).alias("n"))
+    tags = places.groupBy("tag_id").agg(F.collect_list(F.struct("at", "p", "q")).alias("h"), F.sum("p").alias("pos"), F.sum("n").alias("n"))
+
+    def above(step, what: str):
+        return F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["at"] >= step, x[what]).otherwise(0))
+
+    rows = tags.select("tag_id", "h", "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    rows = rows.select("tag_id", "step", above(F.col("step"), "p").alias("tp"), above(F.col("step"), "q").alias("fp"), "pos", "n")
+    return rows.select(
+        "tag_id", "step", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "pos").alias("recall"), "n", "pos",
     )
 
 

@@ -10,11 +10,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions import structure
 from .kept import kept
+from .outline import SECTIONS
 
 AVAILABLE = ("fetched", "non_english_only")
 
@@ -181,14 +183,26 @@ def library_search(
 
 
 def find_in_documents(sections: DataFrame, query: str) -> DataFrame:
-    """doc_id, section, n, start, stop: non-overlapping places of a query of two characters or more, case ignored."""
-    if len(query) < 2:
+    """doc_id, section, n, start, stop: non-overlapping places of a query of two characters or more, case and blanks around it ignored.
+
+    Offsets are UTF-16 units, as those of highlights; n counts a document's places on, in the order of its sections.
+    """
+    q = query.strip().lower()
+    size = structure.units(q)
+    if size < 2:
         raise ValueError("the query is too short")
-    q = query.lower()
+    pattern = re.compile(re.escape(q))
 
     @pandas_udf("array<int>")
     def places(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [m.start() for m in re.finditer(re.escape(q), t)])
+        def of(text: str | None) -> list[int]:
+            low = (text or "").lower()
+            where = structure.places(low)
+            return [where(m.start()) for m in pattern.finditer(low)]
+
+        return texts.map(of)
 
-    found = sections.where(F.contains(F.lower("text"), F.lit(q))).select("doc_id", "section", F.posexplode(places(F.lower("text"))).alias("n", "start"))
-    return found.select("doc_id", "section", (F.col("n") + 1).alias("n"), "start", (F.col("start") + len(q)).alias("stop"))
+    found = sections.where("text IS NOT NULL").select("doc_id", "section", F.explode(places("text")).alias("start"))
+    # a window holds one document's places
+    order = Window.partitionBy("doc_id").orderBy(F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")), "section", "start")
+    return found.select("doc_id", "section", F.row_number().over(order).alias("n"), "start", (F.col("start") + size).alias("stop"))

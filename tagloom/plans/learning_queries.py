@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled, audit_unit
-from ..operators import audit, automation, cells, evaluation, labels, neighbours, retraining, scoring
+from ..operators import audit, automation, cells, corpus, evaluation, labels, neighbours, retraining, scoring
 from ..sources.tables import spark_table, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,12 +378,13 @@ def audited_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PAIRS} SELECT tag_id, round(avg((human_state = 'pos')::INT), 6) AS precision, count(*) AS n
-    FROM (SELECT * FROM pairs WHERE auto_state = 'pos' QUALIFY row_number() OVER (PARTITION BY tag_id ORDER BY id DESC) <= 50) GROUP BY tag_id""",
-    "a_history",
+    f"""WITH {_PAIRS} SELECT t.tag_id, round(avg((human_state = 'pos')::INT), 6) AS precision, count(p.id) AS n FROM a_tags t
+    LEFT JOIN (SELECT * FROM pairs WHERE auto_state = 'pos' QUALIFY row_number() OVER (PARTITION BY tag_id ORDER BY id DESC) <= 50) p ON p.tag_id = t.tag_id GROUP BY t.tag_id""",
+    "a_history", "a_tags",
 )
 def audited_precision(spark, sf_dir):
-    return audit.audited_precision(T(spark, sf_dir).a_history).withColumn("precision", r6("precision"))
+    t = T(spark, sf_dir)
+    return audit.audited_precision(t.a_history, t.a_tags).withColumn("precision", r6("precision"))
 
 
 _FULL_AUDIT = """
@@ -560,6 +561,18 @@ def automated_predictions(spark, sf_dir):
     return _automated(spark, sf_dir, True)["predictions"].withColumn("score", r6("score"))
 
 
+@query(
+    f"""WITH {_decided('true')}, sampling AS (WITH {_SAMPLED}), done AS (SELECT doc_id FROM decided GROUP BY doc_id HAVING bool_and(decision IN ('pos', 'neg')))
+    SELECT (SELECT count(*) FILTER (WHERE fetch_status = 'fetched') FROM a_documents) AS fetched, (SELECT count(*) FROM done JOIN sampling USING (doc_id) WHERE NOT sampled) AS auto_completed,
+      (SELECT count(*) FROM done JOIN sampling USING (doc_id) WHERE sampled) AS audited_samples, (SELECT count(*) FILTER (WHERE fetch_status IN ('error', 'not_found')) FROM a_documents) AS errors""",
+    *_AUTOMATED,
+)
+def import_outcomes(spark, sf_dir):
+    """What an import came to: fetched and failed documents, and what the pass after it decided."""
+    out = _automated(spark, sf_dir, True)
+    return corpus.import_outcomes(T(spark, sf_dir).a_documents, out["completed"], out["audited"])
+
+
 @query(
     """WITH n AS (SELECT doc_id, count(DISTINCT tag_id) AS n FROM a_labels WHERE source = 'auto' AND tag_id IN (SELECT tag_id FROM a_tags WHERE NOT archived) GROUP BY doc_id),
     k AS (SELECT count(*) AS n_tags FROM a_tags WHERE NOT archived)

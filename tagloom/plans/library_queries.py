@@ -81,13 +81,17 @@ def library_search(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS p FROM documents WHERE contains(lower(text), 'tion')),
-    h AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p)
-    SELECT doc_id, 'text' AS section, i::INT AS n, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 4)::INT AS start, (list_sum(list_transform(p[1:i], lambda x: length(x))) + i * 4)::INT AS stop FROM h"""
+    r"""WITH s AS (SELECT doc_id, 1 AS place, 'title' AS section, '𝛼 ' || split_part(text, chr(10), 1) AS text FROM documents UNION ALL SELECT doc_id, 3, 'description', text FROM documents),
+    p AS (SELECT doc_id, place, section, string_split(lower(text), 'tion') AS p FROM s WHERE contains(lower(text), 'tion')),
+    h AS (SELECT doc_id, place, section, p, unnest(range(1, len(p))) AS i FROM p),
+    u AS (SELECT *, list_sum(list_transform(p[1:i], lambda x: length(x) + length(regexp_replace(x, '[^\x{10000}-\x{10FFFF}]', '', 'g')))) + (i - 1) * 4 AS start FROM h)
+    SELECT doc_id, section, (row_number() OVER (PARTITION BY doc_id ORDER BY place, start))::INT AS n, start::INT AS start, (start + 4)::INT AS stop FROM u"""
 )
 def places_in_documents(spark, sf_dir):
-    d = T(spark, sf_dir).documents.select("doc_id", F.lit("text").alias("section"), "text")
-    return library.find_in_documents(d, "TION")
+    """Two sections a document, one with a letter of two UTF-16 units."""
+    d = T(spark, sf_dir).documents
+    title = d.select("doc_id", F.lit("title").alias("section"), F.concat(F.lit("𝛼 "), F.split_part("text", F.lit("\n"), F.lit(1))).alias("text"))
+    return library.find_in_documents(title.unionByName(d.select("doc_id", F.lit("description").alias("section"), "text")), " TION ")
 
 
 _ROWS = """
@@ -347,14 +351,15 @@ def retrieval_candidates(spark, sf_dir):
 @query(
     """SELECT doc_id, 'fulltext' AS kind FROM a_documents d WHERE fetch_status = 'fetched' AND EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos' AND tag_id IN (1, 2))
       AND NOT EXISTS (SELECT 1 FROM a_fulltext f WHERE f.doc_id = d.doc_id AND status IN ('fetched', 'non_english_only'))
-    UNION ALL SELECT doc_id, 'drawings' FROM a_documents d WHERE fetch_status = 'fetched' AND NOT EXISTS (SELECT 1 FROM a_drawings r WHERE r.doc_id = d.doc_id AND status = 'fetched')""",
+    UNION ALL SELECT doc_id, 'drawings' FROM a_documents d WHERE fetch_status = 'fetched' AND EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos' AND tag_id = 0)
+      AND NOT EXISTS (SELECT 1 FROM a_drawings r WHERE r.doc_id = d.doc_id AND status = 'fetched')""",
     "a_documents", "a_doc_labels", "a_fulltext", "a_drawings",
 )
 def retrieval_jobs(spark, sf_dir):
-    """Full text of documents of chosen tags, drawings of all."""
+    """Full text of documents of some tags, drawings of those of another."""
     t = T(spark, sf_dir)
     pos = labels.label_sets(t.a_doc_labels).select("doc_id", F.col("pos").alias("tags"))
-    config = automation.EngineConfig(fulltext_policy="after_tagging_selected_tags", drawings_policy="after_tagging_all", policy_tags=(1, 2))
+    config = automation.EngineConfig(fulltext_policy="after_tagging_selected_tags", drawings_policy="after_tagging_selected_tags", fulltext_policy_tags=(1, 2), drawings_policy_tags=(0,))
     return automation.retrieval_jobs(t.a_documents.where("fetch_status = 'fetched'"), pos, t.a_fulltext, t.a_drawings, config)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import numbers, sampling, structure, text, vectors
-from tagloom.operators import audit, evaluation, exports, outline, scoring, tags
+from tagloom.operators import audit, automation, evaluation, exports, library, outline, scoring, tags
 from tagloom.sources import files
 
 
@@ -42,30 +44,82 @@ def test_audit_sampling(spark):
     assert 0.04 < sum(r.s for r in rows) / len(rows) < 0.06 and not any(r.z for r in rows)
 
 
-def _scored(spark, rows):
-    return spark.createDataFrame([(i, i, t, float(s), p) for i, (t, s, p) in enumerate(rows)], "id bigint, doc_id bigint, tag_id bigint, score float, is_pos boolean")
+def _share(hits, of):
+    return sum(hits) / sum(of) if sum(of) else None
 
 
 def test_precision_and_thresholds(spark):
-    r = evaluation.precision_recall(_scored(spark, [(1, 0.9, True), (1, 0.8, False), (1, 0.3, True), (1, 0.1, False)])).first()
-    assert (r.precision, r.recall) == (0.5, 0.5)
-    rows = [(1, 0.8, True)] * 9 + [(1, 0.7, False), (1, 0.2, False)]
-    assert abs(evaluation.calibrate_threshold(_scored(spark, rows), 0.9).first().threshold - 0.21) < 1e-6
-    assert evaluation.calibrate_threshold(_scored(spark, [(1, 0.5, False)]), 0.9).first().threshold is None
-    assert evaluation.calibrate_neg_threshold(_scored(spark, [(1, 0.5, False)])).first().neg_threshold is None
-    assert evaluation.evaluation_window(_scored(spark, [(1, 0.5, True)] * 305)).count() == 300
+    """Random scores, many of them exactly on a threshold, against the definitions at every threshold."""
+    r = random.Random(11)
+    rows, thresholds = [], [np.float32(np.float32(k) * np.float32(0.01)) for k in range(101)]
+    for tag in range(12):
+        for _ in range(r.randint(0, 40)):
+            s = float(r.choice(thresholds)) if r.random() < 0.6 else r.uniform(-0.2, 1.2)
+            rows.append((len(rows), len(rows), tag, s if r.random() < 0.95 else None, r.random() < tag / 11))
+    frame = spark.createDataFrame(rows, "id bigint, doc_id bigint, tag_id bigint, score float, is_pos boolean")
+    low, high = ({x.tag_id: x[1] for x in f(frame).collect()} for f in (lambda f: evaluation.calibrate_threshold(f, 0.7), lambda f: evaluation.calibrate_neg_threshold(f, 0.6)))
+    half = {x.tag_id: x for x in evaluation.precision_recall(frame).collect()}
+    curve = {(x.tag_id, x.step): (x.precision, x.recall) for x in evaluation.pr_curve(frame).collect()}
+    for tag in {t for _, _, t, _, _ in rows}:
+        own = [(None if s is None else np.float32(s), p) for _, _, t, s, p in rows if t == tag]
+
+        def at(x, own=own):
+            taken = [s is not None and s >= x for s, _ in own]
+            hits = [a and p for a, (_, p) in zip(taken, own, strict=True)]
+            return _share(hits, taken), _share(hits, [p for _, p in own])
+
+        grid = [at(x) for x in thresholds]
+        precise = [x for x, (p, _) in zip(thresholds, grid, strict=True) if p is not None and p >= 0.7]
+        recalled = [x for x, (_, q) in zip(thresholds, grid, strict=True) if q is not None and q >= 0.6]
+        assert low[tag] == (min(precise) if precise else None) and high[tag] == (max(recalled) if recalled else None)
+        assert (half[tag].precision, half[tag].recall) == at(np.float32(0.5)) and half[tag].n == len(own)
+        assert all(curve[tag, k] == at(np.float32(np.float32(k) * np.float32(0.05))) for k in range(21))
+    newest = evaluation.evaluation_window(frame, 9).collect()
+    assert {x.id for x in newest} == {i for t in range(12) for i in sorted(i for i, _, u, _, _ in rows if u == t)[-9:]}
 
 
 def test_audits(spark):
-    rows, n = [], 0
-    for auto, human, times in (("pos", "pos", 8), ("pos", "neg", 2), ("neg", "neg", 15), ("neg", "pos", 2)):
-        for _ in range(times):
-            rows += [(2 * n, n, 1, "auto", auto), (2 * n + 1, n, 1, "human", human)]
-            n += 1
-    history = spark.createDataFrame(rows, "id bigint, doc_id bigint, tag_id bigint, source string, state string")
-    r = audit.auto_completion_audit(history).first()
-    assert (r.precision, r.recall, r.n) == (0.8, 0.8, 27)
-    assert audit.audited_precision(history).first().precision == 0.8
+    """Random histories against a walk through each: an automatic row is audited by the first human one after it."""
+    r = random.Random(12)
+    rows = [(i, r.randint(0, 60), r.randint(0, 4), r.choice(("auto", "auto", "human")), r.choice(("pos", "neg"))) for i in range(1500)]
+    history = spark.createDataFrame(rows, "id bigint, doc_id bigint, tag_id bigint, source string, state string").repartition(3)
+    pairs = []
+    for i, d, t, source, state in rows:
+        later = [s for j, e, u, by, s in rows if source == "auto" and j > i and (e, u, by) == (d, t, "human")]
+        pairs += [(t, state, later[0])] if later else []
+    tags = spark.range(7).select(F.col("id").alias("tag_id"))
+    single = {x.tag_id: (x.precision, x.n) for x in audit.audited_precision(history, tags).collect()}
+    full = {x.tag_id: (x.precision, x.recall, x.n) for x in audit.auto_completion_audit(history).collect()}
+    for t in range(5):
+        own = [(a == "pos", h == "pos") for u, a, h in pairs if u == t]
+        positive = [x for x in own if x[0]][-50:]
+        assert single[t] == (_share([h for _, h in positive], [a for a, _ in positive]), len(positive))
+        last = own[-50:]
+        both = [a and h for a, h in last]
+        assert full[t] == (_share(both, [a for a, _ in last]), _share(both, [h for _, h in last]), len(last))
+    assert single[5] == single[6] == (None, 0)
+
+
+def test_settings(spark):
+    tags = spark.createDataFrame([(1, False, False), (2, True, True)], "tag_id bigint, auto_enabled boolean, archived boolean")
+    config = automation.EngineConfig()
+    with pytest.raises(ValueError, match="automatic mode"):
+        automation.changed_settings(config, tags, full_automation=True)
+    assert automation.changed_settings(config, tags.withColumn("auto_enabled", F.lit(True)), full_automation=True).full_automation
+    assert automation.changed_settings(config, tags, audit_rate=0.2, drawings_policy_tags=(3,)).drawings_policy_tags == (3,)
+    for bad in ({"audit_rate": 1.5}, {"fulltext_policy": "never"}):
+        with pytest.raises(ValueError):
+            automation.changed_settings(config, tags, **bad)
+
+
+def test_places_are_utf16_units(spark):
+    rows = [(1, "claims", "aXab Ab"), (1, "title", "𝛼 AB ab"), (1, "abstract", None), (2, "description", "İab")]
+    got = library.find_in_documents(spark.createDataFrame(rows, "doc_id bigint, section string, text string"), " Ab ").collect()
+    assert sorted((x.doc_id, x.n, x.section, x.start, x.stop) for x in got) == [
+        (1, 1, "title", 3, 5), (1, 2, "title", 6, 8), (1, 3, "claims", 2, 4), (1, 4, "claims", 5, 7), (2, 1, "description", 2, 4),
+    ]
+    with pytest.raises(ValueError):
+        library.find_in_documents(spark.createDataFrame(rows, "doc_id bigint, section string, text string"), " a ")
 
 
 def test_classifier_against_numpy(spark):
