@@ -18,6 +18,9 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_220_703_125
+_PRIME_PIECE = 1 << 24  # bytes of a piece up to which its sum of products stays below 2**64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,20 +29,29 @@ _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    out, n = np.ones(size, np.uint64), 1
+    while n < size:
+        step = np.uint64(pow(base, n, int(_PRIME)))
+        out[n : 2 * n] = out[: min(n, size - n)] * step % _PRIME
+        n *= 2
+    return out
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2**64 and modulo a prime, grown on demand."""
     global _powers
-    if len(_powers[0]) < n:
+    if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         out = []
         for base in (_BASE, _BASE_INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
-        _powers = (out[0], out[1])
+        _powers = [*out, _prime_powers(_PRIME_BASE, size), _prime_powers(pow(_PRIME_BASE, -1, int(_PRIME)), size)]
     return _powers
 
 
@@ -104,10 +116,18 @@ class Pieces:
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power_tables(len(data) + 1)
+    """A hash of each piece: a polynomial modulo 2**64 next to one modulo a prime, as the former alone
+    is equal for some pairs of words by their pattern."""
+    up, down, prime_up, prime_down = _power_tables(len(data) + 1)
+    own = data.astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(own * up[: len(data)], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts]
+    np.cumsum(own * prime_up[: len(data)], out=total[1:])
+    other = (total[ends] - total[starts]) % _PRIME * prime_down[starts] % _PRIME
+    size = ends - starts
+    other[size > _PRIME_PIECE] = 0
+    return mix(h + mix(other) + size.astype(np.uint64))
 
 
 def words(chunk: Chunk, lower: bool, bare: bool = False) -> Pieces:
