@@ -85,12 +85,6 @@ def build_term_index(docs: DataFrame, sections: tuple[str, ...] = ("title", "abs
     return rows.mapInArrow(_positions, "token string, section string, doc_id bigint, positions array<int>")
 
 
-def write_term_index(index: DataFrame, path: str, parts: int = 64) -> None:
-    """The index as files by a hash of the token, sorted by it, so that a look-up reads one part and few of its row groups."""
-    part = F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int")
-    index.withColumn("part", part).repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(path)
-
-
 def text_match(
     index: DataFrame,
     all_of: tuple[str, ...] = (),
@@ -152,13 +146,20 @@ def find_documents(documents: DataFrame, query: str, limit: int = 50) -> DataFra
 
 
 def library_search(
-    documents: DataFrame, labels: DataFrame, fulltext: DataFrame, drawings: DataFrame, filters: LibraryFilters, index: DataFrame | None = None
+    documents: DataFrame, labels: DataFrame, fulltext: DataFrame, drawings: DataFrame, filters: LibraryFilters, index=None
 ) -> DataFrame:
-    """doc_id, pub_key, title, review_state, tags, has_drawings of fetched documents, as semi and anti joins."""
+    """doc_id, pub_key, title, review_state, tags, has_drawings of fetched documents, as semi and anti joins.
+
+    ``index`` is a stored one (``StoredIndex``, which reads the words' parts only) or a frame of postings; without it
+    the documents' texts are read.
+    """
     out = documents.where("fetch_status = 'fetched'")
     if filters.text:
-        index = index if index is not None else build_term_index(documents, filters.sections)
-        out = out.join(text_match(index, all_of=filters.text), "doc_id", "left_semi")
+        if isinstance(index, DataFrame) or index is None:
+            found = text_match(build_term_index(documents, filters.sections) if index is None else index, all_of=filters.text)
+        else:
+            found = index.match(all_of=filters.text, sections=filters.sections)
+        out = out.join(found, "doc_id", "left_semi")
     if filters.label_source is not None:
         source = "auto" if filters.label_source == "auto" else "human"
         out = out.join(labels.where(F.col("source") == source), "doc_id", "left_semi")

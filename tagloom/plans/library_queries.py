@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
-from ..operators import automation, exports, labels, library, tags
+from ..operators import automation, exports, labels, library, stored_index, tags
 from ..operators.kept import shared_path
 from ..sources.tables import with_clause
 from .learning_queries import T
@@ -80,6 +80,40 @@ def library_search(spark, sf_dir):
     return library.library_search(t.a_documents, t.a_doc_labels, t.a_fulltext, t.a_drawings, f)
 
 
+@query(
+    f"""WITH {_TOKENS} SELECT doc_id FROM idx GROUP BY doc_id HAVING bool_or(token = 'the') AND bool_or(token = 'of') AND bool_or(starts_with(token, 'th'))
+    AND NOT bool_or(token = 'license') AND doc_id IN (SELECT a.doc_id FROM idx a JOIN idx b ON a.doc_id = b.doc_id AND a.section = b.section AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the')""",
+    "a_documents",
+)
+def stored_text_matches(spark, sf_dir):
+    """The same over a stored index: made of a part of the documents with older titles, then brought up to date."""
+    d = T(spark, sf_dir).a_documents.select("doc_id", "title", "abstract")
+    old = d.where("doc_id % 3 <> 1").withColumn("title", F.when(F.col("doc_id") % 4 == 0, "of the license and their").otherwise(F.col("title")))
+    index = stored_index.StoredIndex.create(old, shared_path(spark, "index"))
+    index.upsert(d.where("doc_id % 3 = 1 OR doc_id % 4 = 0"))
+    return index.match(all_of=("the", "of"), none_of=("license",), phrases=(("of", "the"),), prefixes=("th",))
+
+
+@query(
+    f"""WITH {_TOKENS} SELECT d.doc_id, d.pub_key, d.title, d.review_state,
+    coalesce((SELECT list(DISTINCT tag_id ORDER BY tag_id) FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos'), []) AS tags,
+    EXISTS (SELECT 1 FROM a_drawings r WHERE r.doc_id = d.doc_id AND r.status = 'fetched') AS has_drawings
+    FROM a_documents d WHERE fetch_status = 'fetched' AND review_state = 'validated'
+    AND EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND source = 'human')
+    AND EXISTS (SELECT 1 FROM a_fulltext f WHERE f.doc_id = d.doc_id AND f.status IN ('fetched', 'non_english_only'))
+    AND EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos' AND tag_id = 0)
+    AND NOT EXISTS (SELECT 1 FROM a_doc_labels l WHERE l.doc_id = d.doc_id AND state = 'pos' AND tag_id = 1)
+    AND EXISTS (SELECT 1 FROM idx WHERE idx.doc_id = d.doc_id AND token = 'the' AND section = 'abstract') AND EXISTS (SELECT 1 FROM idx WHERE idx.doc_id = d.doc_id AND token = 'that' AND section = 'abstract')""",
+    "a_documents", "a_doc_labels", "a_fulltext", "a_drawings",
+)
+def library_search_text(spark, sf_dir):
+    """The library search with words of the abstract, looked up in a stored index."""
+    t = T(spark, sf_dir)
+    index = stored_index.StoredIndex.create(t.a_documents, shared_path(spark, "index"))
+    f = library.LibraryFilters(text=("the", "that"), sections=("abstract",), include_tags=(0,), exclude_tags=(1,), label_source="human", review_state="validated", has_fulltext=True)
+    return library.library_search(t.a_documents, t.a_doc_labels, t.a_fulltext, t.a_drawings, f, index)
+
+
 @query(
     r"""WITH s AS (SELECT doc_id, 1 AS place, 'title' AS section, '𝛼 ' || split_part(text, chr(10), 1) AS text FROM documents UNION ALL SELECT doc_id, 3, 'description', text FROM documents),
     p AS (SELECT doc_id, place, section, string_split(lower(text), 'tion') AS p FROM s WHERE contains(lower(text), 'tion')),

@@ -167,8 +167,6 @@ def test_terms_without_marks(spark, tmp_path):
     assert {(r.token, r.section): r.positions for r in index.collect()} == {
         ("cestina", "title"): [0], ("skoda", "title"): [1], ("orult", "title"): [2], ("ete", "abstract"): [0, 1]
     }
-    library.write_term_index(index, str(tmp_path / "i"), 4)
-    assert spark.read.parquet(str(tmp_path / "i")).count() == 4
     assert [r.doc_id for r in library.text_match(index, phrases=(("ete", "ete"),), sections=("abstract",)).collect()] == [1]
     assert library.text_match(index, all_of=("skoda",), sections=("abstract",)).isEmpty()
 
