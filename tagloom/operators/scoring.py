@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automation import doc_tag_grid, review_flags, with_decision
+from .kept import kept
 from .neighbours import _vectors, nearest_neighbours
 
 MIN_PER_CLASS = 5
@@ -19,7 +20,7 @@ RATE = 0.5
 L2 = 1e-3
 ZERO_SHOT_BELOW = 3
 BLEND_HALF = 20
-MAX_WEIGHTS = 4_000_000  # numbers of all tags' vectors that every task may hold
+MAX_TAGS = 4096  # whose weights every task holds at a time
 
 
 def validated_pool(vectors: DataFrame, documents: DataFrame, model_id: str = "m1") -> DataFrame:
@@ -74,21 +75,8 @@ def tag_centroids(samples: DataFrame) -> DataFrame:
     )
 
 
-def products(vectors: DataFrame, tags: DataFrame, weights: str, bias: str | None = None) -> DataFrame:
-    """doc_id, tag_id, z: dot product of every vector with every tag's weights, plus the tag's bias.
-
-    One matrix product a batch, with the tags' weights in every task while they are at most ``MAX_WEIGHTS``
-    numbers; more tags are joined.
-    """
-    own = tags.select("tag_id", F.col(weights).cast("array<double>").alias("w"), (F.col(bias) if bias else F.lit(0.0)).cast("double").alias("b"))
-    some = vectors.where("vector IS NOT NULL").select("doc_id", "vector")
-    first = own.select(F.size("w").alias("d")).first()
-    most = MAX_WEIGHTS // max(1, first.d) if first else 0
-    rows = own.limit(most + 1).collect() if first else []
-    if len(rows) > most:
-        return some.join(own).select("doc_id", "tag_id", (dot(F.col("vector"), F.col("w")) + F.col("b")).alias("z"))
-    ids = np.array([r.tag_id for r in rows], np.int64)
-    w, b = np.array([r.w for r in rows]), np.array([r.b for r in rows])
+def _times(ids: np.ndarray, w: np.ndarray, b: np.ndarray):
+    """Products of a batch of vectors with all of some tags' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +86,31 @@ def products(vectors: DataFrame, tags: DataFrame, weights: str, bias: str | None
                 [batch.column(0).take(at), pa.array(np.tile(ids, batch.num_rows)), pa.array(z.ravel())], names=["doc_id", "tag_id", "z"]
             )
 
-    return some.select(F.col("doc_id").cast("bigint").alias("doc_id"), "vector").mapInArrow(run, "doc_id bigint, tag_id bigint, z double")
+    return run
+
+
+def products(vectors: DataFrame, tags: DataFrame, weights: str, bias: str | None = None) -> DataFrame:
+    """doc_id, tag_id, z: dot product of every vector with every tag's weights, plus the tag's bias.
+
+    One matrix product a batch for every ``MAX_TAGS`` tags, whose weights go to all tasks. ``tags`` is evaluated once, at the call.
+    """
+    own = tags.select(
+        F.col("tag_id").cast("bigint").alias("tag_id"), F.col(weights).cast("array<double>").alias("w"), (F.col(bias) if bias else F.lit(0.0)).cast("double").alias("b")
+    )
+    some = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "vector")
+    tables = [own.limit(MAX_TAGS + 1).toArrow()]
+    if tables[0].num_rows > MAX_TAGS:
+        own = kept(own)
+        cuts = -(-own.count() // MAX_TAGS)
+        turn = F.pmod(F.xxhash64("tag_id"), F.lit(cuts))
+        tables = [own.where(turn == i).toArrow() for i in range(cuts)]
+    out = None
+    for t in tables:
+        t = t.combine_chunks()
+        run = _times(np.asarray(t.column("tag_id")), _vectors(t.column("w")), np.asarray(t.column("b")))
+        part = some.mapInArrow(run, "doc_id bigint, tag_id bigint, z double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def zero_shot_scores(vectors: DataFrame, tag_vectors: DataFrame, n_pos: DataFrame | None = None) -> DataFrame:

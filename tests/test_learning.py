@@ -39,7 +39,7 @@ def test_products_are_the_same_joined(frame, monkeypatch):
     x, df = frame
     own = df.where("doc_id < 4").select(F.col("doc_id").alias("tag_id"), F.col("vector").alias("w"), (F.col("doc_id") / 8).alias("b"))
     a = {(r.doc_id, r.tag_id): r.z for r in scoring.products(df, own, "w", "b").collect()}
-    monkeypatch.setattr(scoring, "MAX_WEIGHTS", 10)
+    monkeypatch.setattr(scoring, "MAX_TAGS", 2)
     b = {(r.doc_id, r.tag_id): r.z for r in scoring.products(df, own, "w", "b").collect()}
     assert a == b == {(i, t): float(x[i] @ x[t]) + t / 8 for i in range(90) for t in range(4)}
     assert scoring.products(df, own.limit(0), "w").count() == 0

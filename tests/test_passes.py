@@ -92,3 +92,25 @@ def test_sampled_documents_stay(spark):
     none = spark.createDataFrame([], "doc_id bigint, tag_id bigint, state string, source string")
     out = automation.full_automation(docs, scores, tags, none)
     assert [r.doc_id for r in out["audited"].collect()] == [ids[0]] and out["completed"].count() == 1
+
+
+def test_products_evaluate_their_tags_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    w, x = rng.normal(size=(23, 4)), rng.normal(size=(9, 4))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            runs.add(len(f))
+            yield f
+
+    tags = spark.createDataFrame([(i, v.tolist(), float(i)) for i, v in enumerate(w)], "tag_id bigint, w array<double>, b double").repartition(3)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "doc_id bigint, vector array<double>")
+    want = {(i, j): v for (i, j), v in np.ndenumerate(x @ w.T + np.arange(23))}
+    for most in (4096, 5):  # tags of all at a time, and in turns
+        monkeypatch.setattr(scoring, "MAX_TAGS", most)
+        before = runs.value
+        got = {(r.doc_id, r.tag_id): r.z for r in scoring.products(docs, tags.mapInPandas(counted, tags.schema), "w", "b").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert runs.value - before == 23 or most == 5
+    assert scoring.products(docs, tags.limit(0), "w").isEmpty()
