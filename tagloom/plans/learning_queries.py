@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import audit_sampled, audit_unit
-from ..operators import audit, automation, cells, corpus, evaluation, labels, neighbours, retraining, scoring
+from ..operators import audit, automation, cells, corpus, evaluation, labels, neighbours, retraining, scoring, sql_functions
 from ..sources.tables import spark_table, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +332,23 @@ def eligibility(spark, sf_dir):
     return evaluation.eligibility(_window(spark, sf_dir), 0.6).withColumn("threshold", r6(F.col("threshold").cast("double")))
 
 
+@query(
+    f"""WITH {_GRID}, half AS (SELECT tag_id, count(*) FILTER (WHERE is_pos AND CAST(score AS FLOAT) >= 0.5) AS tp, count(*) FILTER (WHERE CAST(score AS FLOAT) >= 0.5) AS hit,
+      count(*) FILTER (WHERE is_pos) AS n_pos, count(*) AS n FROM win GROUP BY tag_id)
+    SELECT h.tag_id, round(tp / nullif(hit, 0), 6) AS precision, round(tp / nullif(n_pos, 0), 6) AS recall, n, n_pos, round(lo * 0.01, 6)::DOUBLE AS threshold,
+      round(hi * 0.01, 6)::DOUBLE AS neg_threshold, n_pos >= 30 AND n >= 150 AND lo IS NOT NULL AS eligible FROM half h JOIN thr ON thr.tag_id = h.tag_id""",
+    *_PRED,
+)
+def sql_evaluation(spark, sf_dir):
+    """The whole evaluation of every tag as one SQL statement."""
+    sql_functions.register_learning(spark)
+    rows = spark.sql("SELECT * FROM evaluate_tag(TABLE(SELECT tag_id, score, is_pos FROM {win}) PARTITION BY (tag_id), 0.6D, 0.95D)", win=_window(spark, sf_dir))
+    return rows.select(
+        "tag_id", r6("precision").alias("precision"), r6("recall").alias("recall"), "n", "n_pos", r6(F.col("threshold").cast("double")).alias("threshold"),
+        r6(F.col("neg_threshold").cast("double")).alias("neg_threshold"), "eligible",
+    )
+
+
 _OLD = "SELECT tag_id, 1 AS n_pos, 1 AS n_neg, 'before' AS trained_at FROM a_tags WHERE tag_id IN (3, 9)"
 
 
@@ -502,6 +519,14 @@ def audit_sampling(spark, sf_dir):
     return T(spark, sf_dir).documents.select("doc_id", audit_sampled(F.col("doc_id"), 0.05).alias("sampled"))
 
 
+@query(f"WITH {_SAMPLED}")
+def sql_audit_sampling(spark, sf_dir):
+    """The same by the SQL function."""
+    sql_functions.register_learning(spark)
+    return spark.sql("SELECT doc_id, audit_sampled(doc_id, 0.05D) AS sampled FROM {d}", d=T(spark, sf_dir).documents)
+
+
+
 def _decided(enabled: str) -> str:
     """Every queued document with every active tag: its label's state, else the decision."""
     return f"""{_LATEST}, {_LAB}, decided AS (SELECT d.doc_id, t.tag_id, s.score, t.version, h.state AS have, h.confidence, h.model_version AS had, coalesce(h.state, {_DECISION.replace('auto_enabled', enabled)}) AS decision

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import vectors
-from tagloom.operators import automation, corpus, evaluation, exports, labels, library, neighbours, outline, retraining, scoring, tags
+from tagloom.functions import sampling, vectors
+from tagloom.operators import automation, corpus, evaluation, exports, labels, library, neighbours, outline, retraining, scoring, sql_functions, tags
 from tagloom.streaming import jobs
 
 
@@ -178,6 +178,34 @@ def test_sql_surface(spark):
     assert spark.sql("SELECT l2_normalise(array(3.0D, 4.0D)) AS v, l2_normalise(array(0.0D)) AS z").first().asDict() == {"v": [0.6, 0.8], "z": [0.0]}
 
 
+def test_learning_in_sql(spark):
+    sql_functions.register_learning(spark)
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 3), float(np.float32(round(rng.random(), 2))), bool(rng.random() < 0.5)) for i in range(400)] + [(5, None, True), (5, 0.5, None), (6, float("nan"), True)]
+    frame = spark.createDataFrame(rows, "tag_id bigint, score float, is_pos boolean")
+    frame.createOrReplaceTempView("scored_rows")
+    got = {r.tag_id: r for r in spark.sql("SELECT * FROM evaluate_tag(TABLE(scored_rows) PARTITION BY (tag_id), 0.5D, 0.9D)").collect()}
+    low = {r.tag_id: r.threshold for r in evaluation.calibrate_threshold(frame, 0.5).collect()}
+    high = {r.tag_id: r.neg_threshold for r in evaluation.calibrate_neg_threshold(frame, 0.9).collect()}
+    able = {r.tag_id: (r.n_pos, r.n_evaluated, r.eligible) for r in evaluation.eligibility(frame, 0.5).collect()}
+    half = {r.tag_id: (r.precision, r.recall) for r in evaluation.precision_recall(frame.where("is_pos IS NOT NULL")).collect()}
+    for t in got:
+        assert (got[t].threshold, got[t].neg_threshold, (got[t].n_pos, got[t].n, got[t].eligible)) == (low[t], high[t], able[t])
+        assert (got[t].precision, got[t].recall) == half[t]
+    ids = spark.createDataFrame([(i,) for i in [*range(500), -3, 2**62 + 1, None]], "id bigint")
+    assert ids.selectExpr("audit_unit(id) AS a", "audit_sampled(id, 0.3D) AS s", "id").select(
+        F.bool_and(F.col("a").eqNullSafe(sampling.audit_unit(F.col("id")).cast("float"))), F.bool_and(F.col("s").eqNullSafe(sampling.audit_sampled(F.col("id"), 0.3)))
+    ).first() == (True, True)
+    samples = [(t, float(i % 2), [float(i % 7), float(t), 1.0 * (i % 2)]) for t in (1, 2) for i in range(30)] + [(3, 1.0, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(samples, "tag_id bigint, y double, vector array<double>")
+    frame.createOrReplaceTempView("samples")
+    fitted = {r.tag_id: (r.weights, r.bias, r.n_pos, r.n_neg) for r in spark.sql("SELECT * FROM fit_tag(TABLE(samples) PARTITION BY (tag_id))").collect()}
+    want = {r.tag_id: (r.weights, r.bias, r.n_pos, r.n_neg) for r in scoring.train_classifiers(frame).collect()}
+    assert fitted.keys() == want.keys() == {1, 2}
+    for t in want:
+        assert np.allclose(fitted[t][0], want[t][0], atol=1e-9) and abs(fitted[t][1] - want[t][1]) < 1e-9 and fitted[t][2:] == want[t][2:]
+
+
 def test_json_rows_have_highlights(spark, tmp_path):
     docs = spark.createDataFrame([(1, "EP1", "T", "EP.1.A1", "fetched"), (2, "EP2", None, None, "fetched")], "doc_id bigint, pub_key string, title string, abstract_source string, fetch_status string")
     none = spark.createDataFrame([], "doc_id bigint, tag_id bigint, state string")
