@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from . import structure
+from .terms import hashed_words
 
 
 @pandas_udf(T.ArrayType(T.FloatType()))
@@ -43,11 +43,9 @@ class HashedTerms:
         self.model_id, self.dim = f"hashed-{dim}", dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-                out[i, h % self.dim] += 1 if h >> 16 & 1 else -1
+        row, h = hashed_words(texts)
+        at = row * self.dim + h % self.dim
+        out = np.bincount(at, np.where(h >> 16 & 1, 1.0, -1.0), len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 

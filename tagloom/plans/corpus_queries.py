@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, vectors
-from ..operators import corpus, families, labels, outline
+from ..operators import corpus, embedding, families, labels, outline
 from ..operators.kept import shared_path
 from ..sources import files, formats
 from ..sources.tables import with_clause
@@ -120,6 +120,13 @@ def embedded_documents(spark, sf_dir):
     return vectors.embed(d, "input", vectors.HashedTerms())
 
 
+@query()
+def learned_embeddings(spark, sf_dir):
+    """Documents along the axes learned from all of them."""
+    d = T(spark, sf_dir).a_documents.select("doc_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("input"))
+    return vectors.embed(d, "input", embedding.fit_terms(d, "input"))
+
+
 @query(
     """SELECT doc_id, related_id, list(DISTINCT via ORDER BY via) AS via FROM (
       SELECT a.doc_id, b.doc_id AS related_id, 'application_number' AS via FROM a_documents a JOIN a_documents b ON a.application_number = b.application_number AND a.doc_id <> b.doc_id
