@@ -162,45 +162,83 @@ def train_classifiers(samples: DataFrame, l2: float = L2, iterations: int = ITER
     return fitted.unionByName(train_large(large, l2, iterations, rate))
 
 
+PACK_ROWS = 4096
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples of a task as blocks of one tag: tag_id, y and vectors as bytes."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def emit(tag: int) -> pa.RecordBatch:
+        parts = held.pop(tag)
+        y, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array([tag]), pa.array([y.tobytes()]), pa.array([np.ascontiguousarray(x).tobytes()])], names=["tag_id", "y", "x"])
+
+    for batch in batches:
+        tags, y, x = np.asarray(batch.column(0)), np.asarray(batch.column(1), np.float64), _vectors(batch.column(2))
+        for tag in np.unique(tags).tolist():
+            own = np.flatnonzero(tags == tag)
+            for at in range(0, len(own), PACK_ROWS):
+                part = own[at : at + PACK_ROWS]
+                held.setdefault(tag, []).append((y[part], x[part]))
+                if sum(len(p[0]) for p in held[tag]) >= PACK_ROWS:
+                    yield emit(tag)
+    for tag in list(held):
+        yield emit(tag)
+
+
+def _block_gradients(state: dict, counts: dict):
+    """The gradients of a task's blocks, one row a tag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for tag, y_bytes, x_bytes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                w, b = state[tag]
+                y = np.frombuffer(y_bytes.as_buffer())
+                x = np.frombuffer(x_bytes.as_buffer()).reshape(len(y), -1)
+                pos, neg = counts[tag]
+                e = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y > 0, 0.5 / pos, 0.5 / neg)
+                sums[tag] = sums.get(tag, 0.0) + np.append(e @ x, e.sum())
+        yield _gradient_rows(sums)
+
+    return run
+
+
+def _gradient_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["tag_id", "g"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for tag, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sums[tag] = sums.get(tag, 0.0) + np.asarray(g.values)
+    yield _gradient_rows(sums)
+
+
 def train_large(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS, rate: float = RATE) -> DataFrame:
-    """Full-batch steps for tags of any size: each task sums its samples' gradients to one row a tag, and these are
-    summed per tag before one row of each is collected."""
+    """Full-batch steps for tags of any size, the same as ``fit`` takes.
+
+    Samples are packed once into blocks of a tag, kept in memory where they lie. A step is one job: a task multiplies its blocks,
+    and sends one gradient a tag; these are summed per tag, and one row a tag is collected.
+    """
     spark = samples.sparkSession
-    counts = {r.tag_id: (int(r.p), int(r.n - r.p)) for r in samples.groupBy("tag_id").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
-    counts = {t: c for t, c in counts.items() if min(c) >= MIN_PER_CLASS}
-    first = samples.select(F.size("vector").alias("d")).first()
-    dim = first.d if first else 0
-    state = {t: (np.zeros(dim), 0.0) for t in counts}
-    cached = samples.select("tag_id", "y", "vector").persist()
-    for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(state)
-
-        def partial(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            sums: dict[int, np.ndarray] = {}
-            for pdf in frames:
-                for tag, own in pdf.groupby("tag_id"):
-                    if tag in shared.value:
-                        w, b = shared.value[tag]
-                        x, y = np.stack(own["vector"].to_numpy()).astype(float), own["y"].to_numpy(float)
-                        pos, neg = counts[tag]
-                        e = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y > 0, 0.5 / pos, 0.5 / neg)
-                        sums[tag] = sums.get(tag, 0.0) + np.append(e @ x, e.sum())
-            yield pd.DataFrame({"tag_id": list(sums), "g": list(sums.values())})
-
-        def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, np.ndarray] = {}
-            for pdf in frames:
-                for tag, g in zip(pdf["tag_id"], pdf["g"], strict=True):
-                    sums[tag] = sums.get(tag, 0.0) + g
-            yield pd.DataFrame({"tag_id": list(sums), "g": list(sums.values())})
-
-        packed = "tag_id bigint, g array<double>"
-        grads = {r.tag_id: np.array(r.g) for r in cached.mapInPandas(partial, packed).repartition("tag_id").mapInPandas(total, packed).collect()}
-        state = {t: (w - rate * (grads[t][:dim] + 2 * l2 * w), b - rate * grads[t][dim]) for t, (w, b) in state.items()}
-        shared.unpersist()
-    cached.unpersist()
-    rows = [(int(t), w.tolist(), float(b), *counts[t]) for t, (w, b) in state.items()]
-    return spark.createDataFrame(rows, _CLASSIFIERS)
+    sizes = samples.where("vector IS NOT NULL").groupBy("tag_id").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).collect()
+    counts = {int(r.tag_id): (int(r.p), int(r.n - r.p)) for r in sizes if min(r.p, r.n - r.p) >= MIN_PER_CLASS}
+    dims = {int(r.tag_id): r.d for r in sizes}
+    state = {t: (np.zeros(dims[t]), 0.0) for t in counts}
+    own = samples.where(F.col("tag_id").isin(*counts)).where("vector IS NOT NULL").select(F.col("tag_id").cast("bigint").alias("tag_id"), F.col("y").cast("double").alias("y"), "vector")
+    packed = own.mapInArrow(_packed, "tag_id bigint, y binary, x binary").persist()
+    schema = "tag_id bigint, g array<double>"
+    try:
+        for _ in range(iterations if counts else 0):
+            parts = packed.mapInArrow(_block_gradients(state, counts), schema).repartition("tag_id").mapInArrow(_summed, schema)
+            found = {r.tag_id: np.array(r.g) for r in parts.collect()}
+            state = {t: (w - rate * (found[t][:-1] + 2 * l2 * w), b - rate * found[t][-1]) for t, (w, b) in state.items()}
+    finally:
+        packed.unpersist()
+    return spark.createDataFrame([(t, w.tolist(), float(b), *counts[t]) for t, (w, b) in state.items()], _CLASSIFIERS)
 
 
 def lr_scores(vectors: DataFrame, classifiers: DataFrame) -> DataFrame:
