@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -76,6 +77,25 @@ def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], members: str
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
 
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While jobs run in here, a task and its Python worker hold 8 MB of rows at a time (a longer row goes alone)."""
+    before = spark.conf.get(_BATCH)
+    told = before.rstrip("b")
+    if told.isdigit() and int(told) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 _local: dict[str, str] = {}  # the folder of this process where the session names none
 
 

@@ -132,7 +132,11 @@ def _document_runs(table, short_lengths: list[int], window: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table.value.view(np.uint8), bitorder="little").view(bool)
+        bits = table.value.view(np.uint64)
+
+        def there(at: np.ndarray) -> np.ndarray:
+            return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 w = words(chunk, lower=True, bare=True)
@@ -140,8 +144,8 @@ def _document_runs(table, short_lengths: list[int], window: int):
                 for one in [None, *short_lengths]:
                     t, p, s = _seeds(w) if one is None else _short_seeds(w, one)
                     a, b = _slots(s)
-                    hit = bits[a]
-                    hit[hit] = bits[b[hit]]
+                    hit = there(a)
+                    hit[hit] = there(b[hit])
                     parts.append((t[hit], p[hit], s[hit]))
                 text, pos, seeds = _by_text(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 if not len(text):

@@ -137,7 +137,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
+_GRAM_BYTES = 1 << 18  # of text at a time: a byte becomes an n-gram in some twenty arrays
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, _, texts in _by_language(batch, 0, 1):
-            for chunk in text_chunks(texts):
+            for chunk in text_chunks(texts, _GRAM_BYTES):
                 gram = np.sort(_grams(chunk)[0])
                 if not len(gram):
                     continue
@@ -320,7 +321,7 @@ def _score(grams: list[str], contexts: list[str], places: dict):
             size = np.zeros(batch.num_rows, np.int64)
             copies = np.asarray(batch.column(4), np.int64)
             for lang, rows, texts in _by_language(batch, 1, 2):
-                for chunk in text_chunks(texts):
+                for chunk in text_chunks(texts, _GRAM_BYTES):
                     own = rows[chunk.first : chunk.first + len(chunk)]
                     gram, text = _grams(chunk)
                     if not len(gram):
@@ -387,7 +388,7 @@ def quality_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     verdict = verdict.groupBy("k").agg(F.first("lang").alias("lang"), F.first("log_ppl").alias("log_ppl"), F.bool_and("in_band").alias("in_band"))
     rows = pick(docs, "doc_id", "text", "lang").withColumn("k", F.xxhash64("doc_id", "text", "lang"))
     base = rows.select("k", "text", "doc_id").mapInArrow(
-        _base_with_id,
+        lean(_base_with_id),
         "k bigint, doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
