@@ -6,7 +6,7 @@ reread as the next one's docs. All but the last return the columns of documents
 them a document is a doc_id (null or not) with a text, so rows that share a doc_id but not the text are
 judged apart. Null and empty texts are rejected by the quality rules; texts that become empty by line dedup go on and are
 packed as an end id. Repeated rows: one stays after near dedup. Rows with a null doc_id are near duplicates of nothing.
-Very long texts are read whole. Ties are told in the operators' modules. Empty tables give empty results.
+Very long texts are read whole. Stages that run Python read rows in batches of 8 MB, as workers of several stages share an executor. Ties are told in the operators' modules. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import Workspace, table
+from tagloom.llm.common import Workspace, small_batches, table
 from tagloom.llm.decontaminate import decontaminate
 from tagloom.llm.line_dedup import remove_cross_site_lines
 from tagloom.llm.near_dedup import drop_near_duplicates
@@ -27,7 +27,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_good(docs)
+    with small_batches(spark):
+        return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +38,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return drop_near_duplicates(docs, k=5, threshold=80)
+    with small_batches(spark):
+        return drop_near_duplicates(docs, k=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item of eight words or more."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return pack(docs, vocabulary_path())
+    with small_batches(spark):
+        return pack(docs, vocabulary_path())
 
 
 STAGES = [
