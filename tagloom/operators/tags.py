@@ -67,7 +67,9 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     )
     judged = j.withColumn("reason", reason)
     alone = F.col("reason").isNull()
-    turn = {c: F.row_number().over(Window.partitionBy(alone, F.lower(c) if c == "hotkey" else F.col(c)).orderBy("tag_id")) for c in ("name", "hotkey")}
+    # edits without a hotkey are no group
+    same = {"name": F.col("name"), "hotkey": F.coalesce(F.lower("hotkey"), F.concat(F.lit("\0"), F.col("tag_id").cast("string")))}
+    turn = {c: F.row_number().over(Window.partitionBy(alone, key).orderBy("tag_id")) for c, key in same.items()}
     judged = judged.withColumns({"name_turn": turn["name"], "hotkey_turn": turn["hotkey"]}).withColumn(
         "reason",
         F.when(~alone, F.col("reason")).when(F.col("name_turn") > 1, "duplicate_name").when(F.col("hotkey").isNotNull() & (F.col("hotkey_turn") > 1), "hotkey_in_use"),
