@@ -25,6 +25,17 @@ def norm_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# letters whose upper case is several letters: their titlecase letter, or themselves; the sharp s has a capital of its own
+_LONG = [c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1]
+_ONE = ["\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _LONG]
+
+
+def upper_by_letter(text: Column) -> Column:
+    """Upper case that is as long as the text, as SQL engines without full case mappings have it: no letter becomes two."""
+    letter = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, "".join(_LONG), "".join(_ONE))).otherwise(F.upper(c))
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(F.array_join(F.transform(F.split(text, ""), letter), ""))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

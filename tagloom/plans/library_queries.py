@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_folder_name
+from ..functions.text import safe_folder_name, upper_by_letter
 from ..operators import automation, exports, labels, library, stored_index, tags
 from ..operators.kept import shared_path
 from ..sources.tables import with_clause
@@ -142,7 +142,7 @@ def _rows(t: T) -> DataFrame:
 def _marks(t: T) -> DataFrame:
     """Two highlights of each marked text, the second one told first."""
     own = t.a_highlights.select("id", "doc_id", "section", "start", "quote", F.lit(None).cast("string").alias("comment"), F.lit("green").alias("color"))
-    later = own.select("id", "doc_id", F.lit("claims").alias("section"), F.lit(0).alias("start"), F.upper("quote").alias("quote"), F.lit("a note").alias("comment"), F.lit("blue").alias("color"))
+    later = own.select("id", "doc_id", F.lit("claims").alias("section"), F.lit(0).alias("start"), upper_by_letter(F.col("quote")).alias("quote"), F.lit("a note").alias("comment"), F.lit("blue").alias("color"))
     return later.unionByName(own)
 
 
