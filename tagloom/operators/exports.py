@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_folder_name
 from ..sources.formats import write_text_files
+from .kept import kept
 from .outline import SECTIONS
 
 # fixed values: the folder of untagged documents, and the wording of the document text below
@@ -148,26 +149,70 @@ def render_documents(docs: DataFrame, fulltext: DataFrame, drawings: DataFrame,
     return rows.select("doc_id", "pub_key", text.alias("text"))
 
 
-def _numbered_names(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, out = {UNTAGGED}, []
-    for tag, base in sorted(zip(pdf["tag_id"], pdf["base"], strict=True)):
-        n, name = 2, base
-        while name.lower() in taken:
-            name, n = f"{base} ({n})", n + 1
-        taken.add(name.lower())
-        out.append((tag, name))
-    return pd.DataFrame(out, columns=["tag_id", "folder"])
+_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9]\d{1,8})\)$"
+
+
+def _running(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the sum of ``one`` over the rows of the same key up to each row, from ranges of the order: no task holds a whole key."""
+    ranged = kept(rows.repartitionByRange("key", *order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("key", "part").agg(F.sum("one").alias("ones"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key in each range
+    bases = sizes.select("key", "part", F.coalesce(F.sum("ones").over(before), F.lit(0)).alias("sum_before"))
+    inside = F.sum("one").over(Window.partitionBy("key", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, inside).join(bases, ["key", "part"]).withColumn(name, F.col("sum_before") + F.col(name)).drop("part", "sum_before")
+
+
+def _meet_numbers(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which bases like ``x (2)`` lose their own name to the numbering of ``x``; from what number on each of the others shifts it."""
+    blocked, lost, gap = 0, [], []
+    own = pdf.sort_values("n")
+    for n, m, shift in zip(own["n"], own["m"], own["shift"], strict=True):
+        lost.append(bool(m >= n - blocked - shift))
+        blocked += not lost[-1]
+        gap.append(n - blocked)
+    return pd.DataFrame({"parent": own["parent"], "child": own["child"], "lost": lost, "gap": gap})
 
 
 def tag_folder_names(tags: DataFrame) -> DataFrame:
     """tag_id, folder: names unique without regard to case, in the order of ids; those that clash are numbered (2), (3)…
 
-    Only names that are equal but for case and such numbers at their ends can clash: each group of these is a task's.
+    A tag's number is its rank among those of its name. Where a name is itself like a number of another one (``x (2)`` beside
+    ``x``), the number is the other's if that comes to it before the first tag so named, and is skipped else: a row for each such name tells
+    which. These names go by levels, as many as numbers follow each other in a name.
     """
     base = safe_folder_name(F.col("name"))
-    stem = F.regexp_replace(F.lower(base), r"( \(\d+\))+$", "")
-    named = tags.select(F.col("tag_id").cast("bigint").alias("tag_id"), base.alias("base"), stem.alias("stem"))
-    return named.groupBy("stem").applyInPandas(_numbered_names, "tag_id bigint, folder string")
+    named = tags.select(F.lower(base).alias("key"), F.col("tag_id").cast("bigint").alias("tag_id"), base.alias("base"))
+    keys = named.groupBy("key").agg(F.min("tag_id").alias("tag_id"))
+    numbers = keys.select(
+        F.col("key").alias("child"), "tag_id", F.regexp_extract("key", _NUMBERED, 1).alias("key"), F.regexp_extract("key", _NUMBERED, 2).alias("n")
+    ).where("n <> ''")
+    links = kept(numbers.join(keys.select("key"), "key", "left_semi").select("key", "tag_id", F.col("n").try_cast("bigint").alias("n"), "child"))
+    asked = named.select("key", "tag_id", "base", F.lit(1).alias("one"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("bigint").alias("n"))
+    met = links.select("key", "tag_id", F.lit(None).cast("string").alias("base"), F.lit(0).alias("one"), "child", "n")
+    ranks = _running(asked.unionByName(met), ["tag_id", "base"], "rank")
+    place = F.col("rank") + (F.col("key") == UNTAGGED).cast("int")
+    if links.isEmpty():
+        return ranks.select("tag_id", _numbered(place).alias("folder"))
+    ranks = kept(ranks)
+    known = ranks.where("child IS NOT NULL").select(F.col("key").alias("parent"), "child", "n", F.col("rank").alias("m"))
+    level, found = known.join(links.select(F.col("child").alias("parent")), "parent", "left_anti").withColumn("lost", F.lit(False)), None
+    while not level.isEmpty():
+        shift = (F.col("lost") | (F.col("parent") == UNTAGGED)).cast("int").alias("shift")
+        now = level.select("parent", "child", "n", "m", shift).groupBy("parent").applyInPandas(_meet_numbers, "parent string, child string, lost boolean, gap bigint")
+        now = kept(now)
+        found = now if found is None else found.unionByName(now)
+        level = known.join(now.select(F.col("child").alias("parent"), "lost"), "parent")
+    lost = found.where("lost").select(F.col("child").alias("key"), F.lit(1).alias("lost"))
+    places = ranks.where("one = 1").join(lost, "key", "left").select("key", (place + F.coalesce("lost", F.lit(0))).alias("place"), F.lit(0).alias("one"), "tag_id", "base")
+    none = F.lit(None)
+    skipped = found.where("NOT lost").select(F.col("parent").alias("key"), F.col("gap").alias("place"), F.lit(1).alias("one"), none.cast("bigint").alias("tag_id"), none.cast("string").alias("base"))
+    # a skipped number counts for the places after its gap
+    counted = _running(places.unionByName(skipped), ["place", "one"], "skips").where("one = 0")
+    return counted.select("tag_id", _numbered(F.col("place") + F.col("skips")).alias("folder"))
+
+
+def _numbered(number: Column) -> Column:
+    return F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), number.cast("string"), F.lit(")")))
 
 
 def document_layout(docs: DataFrame, labels: DataFrame, tags: DataFrame) -> DataFrame:

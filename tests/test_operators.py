@@ -227,6 +227,26 @@ def test_folder_names(spark):
     assert {r.tag_id: r.folder for r in exports.tag_folder_names(t).collect()} == want
 
 
+def test_clashing_folder_names(spark):
+    """As one walk over the tags in the order of ids has it, with names that look like numbers of others; no group of equal names is one task's."""
+    rng = random.Random(3)
+    for size in (25, 400):
+        some = ["a", "A", "b", "_untagged", *[f"{x} ({n})" for x in ("a", "_Untagged", "a (2)", "A (3)", "a (2) (2)", "lone") for n in (0, 1, 2, 3, 4, 5, 9, 40, "02")]]
+        rows = [(i, rng.choice(some)) for i in rng.sample(range(10_000), size)]
+        taken, want = {"_untagged"}, {}
+        for tag, base in sorted(rows):
+            n, name = 2, base
+            while name.lower() in taken:
+                name, n = f"{base} ({n})", n + 1
+            taken.add(name.lower())
+            want[tag] = name
+        got = exports.tag_folder_names(spark.createDataFrame(rows, "tag_id bigint, name string"))
+        assert {r.tag_id: r.folder for r in got.collect()} == want
+    hot = exports.tag_folder_names(spark.range(5000, numPartitions=4).select(F.col("id").alias("tag_id"), F.lit("x").alias("name")))
+    assert {r.folder for r in hot.collect()} == {"x", *(f"x ({n})" for n in range(2, 5001))}
+    assert "FlatMapGroupsInPandas" not in hot._jdf.queryExecution().toString()
+
+
 def test_upper_by_letter(spark):
     words = {"straße": "STRAẞE", "ﬁx ŉ": "ﬁX ŉ", "ᾳ𝛼é": "ᾼ𝛼É", "plain": "PLAIN", "": "", None: None}
     df = spark.createDataFrame([(w,) for w in words], "w string")
