@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # a block of vectors in a task, and the table of products that it fills at a time
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 LEAST_ROWS = 1024
-TILE = (512, 16_384)
+TILE = (256, 4096)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -35,9 +35,17 @@ def _top(k: int, earlier: bool, skip_self: bool):
                     s[ids == own] = -np.inf
                 if earlier:
                     s[own_turns >= turns] = -np.inf
-                # all that tie with the k-th stay for now
-                floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf
-                r, c = np.nonzero((s >= floor) & (s > -np.inf))
+                if s.shape[1] > k:
+                    # the columns ascend by id: of those that tie with the k-th, k are enough
+                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k, None]
+                    keep = s >= floor
+                    crowded = np.flatnonzero(keep.sum(1) > k)
+                    if len(crowded):
+                        ties = s[crowded] == floor[crowded]
+                        keep[crowded] &= ~ties | (ties.cumsum(1, dtype=np.int32) <= k)
+                else:
+                    keep = np.ones(s.shape, bool)
+                r, c = np.nonzero(keep & (s > -np.inf))
                 rows.append(r)
                 near.append(own[0, c])
                 sims.append(s[r, c])
