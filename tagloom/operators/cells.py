@@ -24,7 +24,7 @@ from .neighbours import BLOCK_BYTES, _top, _vectors
 
 MAX_CELLS = 4096
 FIT_ROWS = 200_000  # vectors that the centres are fitted on, picked by the hash of their id
-BATCH_ROWS = 2048
+TABLE = 1 << 19  # numbers in a table of queries by cells, or of vectors that are sent on at a time
 SLACK = 1e-9  # relative: products of blocks differ in their last bits
 
 
@@ -65,14 +65,20 @@ def fit_centres(pool: DataFrame, cells: int, fit_rows: int = FIT_ROWS, iteration
     return np.array(model.clusterCenters())
 
 
+def _rows_of(cells: int) -> int:
+    """How many rows are met with all cells at a time."""
+    return max(1, TABLE // max(1, cells))
+
+
 def _deal(centres: np.ndarray):
     """Add each vector's cell and its distance and angle to the centre."""
     lengths = np.linalg.norm(centres, axis=1)
+    step = _rows_of(len(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 v = _vectors(batch.column(2))
                 dots, norms = v @ centres.T, np.linalg.norm(v, axis=1)
                 cell = (dots - lengths**2 / 2).argmax(1)
@@ -119,11 +125,12 @@ _VISIT = "cell int, id bigint, turn bigint, vector array<float>"
 def _choose(index: CellIndex, k: int, probes: int, earlier: bool, further: bool):
     """Visits of a batch of queries: the first cells of each, or (``further``, which also reads each query's floor) the others that can matter."""
     index = replace(index, members=None)  # tasks need the arrays only
+    step, sent = _rows_of(len(index.ids)), max(1, TABLE // max(1, index.centres.shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows if len(index.ids) else 0, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
+            for at in range(0, whole.num_rows if len(index.ids) else 0, step):
+                batch = whole.slice(at, step)
                 turns = np.asarray(batch.column(1))[:, None]
                 bound = index.bounds(_vectors(batch.column(2)))
                 if earlier:
@@ -139,10 +146,12 @@ def _choose(index: CellIndex, k: int, probes: int, earlier: bool, further: bool)
                 else:
                     chosen = first
                 r, c = np.nonzero(chosen & (best > -np.inf))
-                rows = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(index.ids[order[r, c]].astype(np.int32)), *[batch.column(i).take(rows) for i in range(3)]], names=["cell", "id", "turn", "vector"]
-                )
+                for some in range(0, len(r), sent):
+                    rows, own = r[some : some + sent], c[some : some + sent]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(index.ids[order[rows, own]].astype(np.int32)), *[batch.column(i).take(pa.array(rows)) for i in range(3)]],
+                        names=["cell", "id", "turn", "vector"],
+                    )
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,26 @@ def test_recall(spark):
     got = {(r.q_id, r.n_id) for r in neighbours.similar_to(asked, v, index=index, probes=8).collect()}
     assert len(got & want) >= 0.9 * len(want)
     assert {(r.q_id, r.n_id) for r in neighbours.similar_to(asked, v, index=index).collect()} == want
+
+
+def test_what_a_task_holds_is_bounded():
+    """Of pool vectors that tie, a query's best are sent on and no more; visits leave in batches of bounded bytes."""
+    from tagloom.operators import neighbours
+
+    n, k = 9000, 3
+    q = pa.RecordBatch.from_arrays([pa.array([0] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array(range(4)), pa.array([9] * 4), pa.array([[1.0, 0.0]] * 4)], names=["qb", "nb", "side", "id", "turn", "vector"])
+    v = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([0] * n), pa.array([1] * n), pa.array(range(n, 2 * n)), pa.array([0] * n), pa.array([[2.0, 1.0]] * n)], names=q.schema.names)
+    taken = []
+    whole = neighbours.np.nonzero
+    try:
+        neighbours.np.nonzero = lambda x: taken.append(int(x.sum())) or whole(x)
+        (out,) = neighbours._top(k, False, False)(iter([q, v]))
+    finally:
+        neighbours.np.nonzero = whole
+    assert out.column("n_id").to_pylist() == [*range(n, n + k)] * 4 and max(taken) <= 4 * k
+    m = 3000
+    one = np.ones(m)
+    index = cells.CellIndex(None, np.arange(m), np.ones((m, 64)), one, one, one * 9, one.astype(int), one.astype(int) * 0)
+    ask = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([1] * 40), pa.array([[1.0] * 64] * 40, pa.list_(pa.float32()))], names=["id", "turn", "vector"])
+    sizes = [b.num_rows for b in cells._choose(index, 3, m, False, False)(iter([ask]))]
+    assert sum(sizes) == 40 * m and max(sizes) * 64 <= cells.TABLE
