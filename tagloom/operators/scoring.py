@@ -21,6 +21,7 @@ L2 = 1e-3
 ZERO_SHOT_BELOW = 3
 BLEND_HALF = 20
 MAX_TAGS = 4096  # whose weights every task holds at a time
+PRODUCTS = 1 << 19  # that a task holds at a time
 
 
 def validated_pool(vectors: DataFrame, documents: DataFrame, model_id: str = "m1") -> DataFrame:
@@ -79,8 +80,9 @@ def _times(ids: np.ndarray, w: np.ndarray, b: np.ndarray):
     """Products of a batch of vectors with all of some tags' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = _vectors(batch.column(1)) @ w.T + b if batch.num_rows and len(ids) else np.zeros((batch.num_rows, 0))
+        step = max(1, PRODUCTS // max(1, len(ids)))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            z = _vectors(batch.column(1)) @ w.T + b if len(ids) else np.zeros((batch.num_rows, 0))
             at = pa.array(np.repeat(np.arange(batch.num_rows), len(ids)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), pa.array(np.tile(ids, batch.num_rows)), pa.array(z.ravel())], names=["doc_id", "tag_id", "z"]
@@ -140,7 +142,7 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = L2, iterations: int = ITERATIO
 _CLASSIFIERS = "tag_id bigint, weights array<double>, bias double, n_pos bigint, n_neg bigint"
 
 
-def train_classifiers(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS, rate: float = RATE, max_rows: int = 200_000) -> DataFrame:
+def train_classifiers(samples: DataFrame, l2: float = L2, iterations: int = ITERATIONS, rate: float = RATE, max_rows: int = 100_000) -> DataFrame:
     """One classifier per tag with enough samples of both classes.
 
     Tags of up to ``max_rows`` samples fit in parallel, one task each. Larger tags take the same steps
@@ -149,13 +151,14 @@ def train_classifiers(samples: DataFrame, l2: float = L2, iterations: int = ITER
     sizes = samples.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
     small = samples.join(sizes.where(F.col("n") <= max_rows).select("tag_id"), "tag_id", "left_semi")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy(float)
-        got = fit(np.stack(pdf["vector"].to_numpy()).astype(float), y, l2, iterations, rate)
-        rows = [] if got is None else [(key[0], got[0].tolist(), float(got[1]), int(y.sum()), int(len(y) - y.sum()))]
-        return pd.DataFrame(rows, columns=["tag_id", "weights", "bias", "n_pos", "n_neg"])
+    def one(key: tuple[pa.Scalar, ...], samples: pa.Table) -> pa.Table:
+        y = np.asarray(samples.column("y"), np.float64)
+        got = fit(_vectors(samples.column("vector")), y, l2, iterations, rate)
+        row = {} if got is None else {"tag_id": key[0].as_py(), "weights": got[0].tolist(), "bias": float(got[1]), "n_pos": int(y.sum()), "n_neg": int(len(y) - y.sum())}
+        types = {"tag_id": pa.int64(), "weights": pa.list_(pa.float64()), "bias": pa.float64(), "n_pos": pa.int64(), "n_neg": pa.int64()}
+        return pa.Table.from_pylist([row] if row else [], pa.schema(types))
 
-    fitted = small.select(F.col("tag_id").cast("bigint").alias("tag_id"), "y", "vector").groupBy("tag_id").applyInPandas(one, _CLASSIFIERS)
+    fitted = small.select(F.col("tag_id").cast("bigint").alias("tag_id"), "y", "vector").groupBy("tag_id").applyInArrow(one, _CLASSIFIERS)
     large = samples.join(sizes.where(F.col("n") > max_rows).select("tag_id"), "tag_id", "left_semi")
     if large.isEmpty():
         return fitted
