@@ -23,8 +23,10 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -36,9 +38,11 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from ..operators.kept import kept
 from . import files
 
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 16 << 20
+OPEN_BYTES = 16 << 10  # that opening a file counts for
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
@@ -78,11 +82,11 @@ def grouped(found: list[fs.FileInfo], limit: int) -> list[Files]:
     out: list[Files] = []
     held = limit
     for i, f in enumerate(found):
-        if held + f.size > limit:
+        if held + f.size + OPEN_BYTES > limit:
             out.append(Files(i, []))
             held = 0
         out[-1].places.append(f.path)
-        held += f.size
+        held += f.size + OPEN_BYTES
     return out
 
 
@@ -255,7 +259,7 @@ class Staged(WriterCommitMessage):
 
 
 class TextFiles(DataSource):
-    """Rows (path, text): a file at every path under the folder that is saved to."""
+    """Rows (path, text): a file at every path under the folder that is saved to; read back with whole paths."""
 
     @classmethod
     def name(cls) -> str:
@@ -264,6 +268,13 @@ class TextFiles(DataSource):
     def schema(self) -> str:
         return "path string, text string"
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _FileReader(self.options, schema, self.rows)
+
+    @staticmethod
+    def rows(number: int, place: str, source, options: dict) -> Iterator[dict]:
+        yield {"path": place, "text": source.read().decode("utf-8", "surrogatepass")}
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _TextFilesWriter(self.options, schema, overwrite)
 
@@ -293,9 +304,7 @@ class _TextFilesWriter(DataSourceWriter):
         try:
             for row in iterator:
                 path, text = row[self.at[0]], row[self.at[1]]
-                clean = posixpath.normpath(path or "")
-                if clean in (".", "..") or clean.startswith(("/", "../", "_staging-")):
-                    raise ValueError(f"not a path inside the folder: {path}")
+                clean = _clean(path)
                 target = f"{folder}/{clean}"
                 above = posixpath.dirname(target)
                 if above not in made:
@@ -384,8 +393,89 @@ def read_texts(spark: SparkSession, path: str, part: str, lang: str) -> DataFram
     return spark.read.format(f"{part}_xml").option("lang", lang).load(path)
 
 
+def _clean(path: str | None) -> str:
+    """The path inside the folder that is written to."""
+    clean = posixpath.normpath(path or "")
+    if clean in (".", "..") or clean.startswith(("/", "../", "_staging-")):
+        raise ValueError(f"not a path inside the folder: {path}")
+    return clean
+
+
+def _stage(staging: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Write each text to a numbered file of this attempt: path, and where its text lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        system, folder = file_system(f"{staging}/{context.partitionId()}-{context.taskAttemptId()}")
+        n = 0
+        for batch in batches:
+            if not n and batch.num_rows:
+                system.create_dir(folder, recursive=True)
+            paths, places = [], []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                paths.append(_clean(path))
+                places.append(f"{folder}/{n}")
+                n += 1
+                with system.open_output_stream(places[-1]) as out:
+                    if text.is_valid:
+                        out.write(text.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.string())], names=["path", "place"])
+
+    return run
+
+
+def _move(root: str, really: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The paths that can't be made as there is something already, or (``really``) move the texts to theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = file_system(root)
+        made: set[str] = set()
+        for batch in batches:
+            there = []
+            for path, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{folder}/{path}"
+                if not really:
+                    if system.get_file_info(target).type != fs.FileType.NotFound:
+                        there.append(path)
+                    continue
+                above = posixpath.dirname(target)
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made = made if len(made) < 10_000 else set()
+                    made.add(above)
+                try:
+                    system.move(place, target)
+                except FileNotFoundError:
+                    # an attempt before this one has moved it
+                    if system.get_file_info(target).type != fs.FileType.File:
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.string())], names=["path"])
+
+    return run
+
+
 def write_text_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write rows (path, text), each to its own file. Rows of one path meet in one task, which then fails."""
+    """Write rows (path, text), each to its own file, all or none; paths that exist or come twice are an error.
+
+    Tasks write numbered files; once all are there and no path is taken, tasks move them to their paths. The driver handles no file.
+    """
     register_formats(rows.sparkSession)
-    dealt = rows.select("path", "text").repartition("path")
-    dealt.write.format("text_files").mode("overwrite" if overwrite else "append").save(path)
+    system, root = file_system(path)
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    try:
+        staged = kept(rows.select("path", "text").repartition("path").mapInArrow(_stage(staging), "path string, place string"))
+        taken = staged.groupBy("path").count().where("count > 1").select("path")
+        if not overwrite and system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            taken = taken.unionByName(staged.mapInArrow(_move(path, False), "path string"))
+        bad = taken.first()
+        if bad is not None:
+            raise PySparkException(f"{bad.path} is there already, or comes twice")
+        if overwrite:
+            for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if posixpath.basename(info.path) != posixpath.basename(staging):
+                    (system.delete_dir if info.type == fs.FileType.Directory else system.delete_file)(info.path)
+        staged.mapInArrow(_move(path, True), "path string").foreach(lambda row: None)
+    finally:
+        _, place = file_system(staging)
+        if system.get_file_info(place).type != fs.FileType.NotFound:
+            system.delete_dir(place)

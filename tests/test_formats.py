@@ -153,3 +153,15 @@ def test_layout_and_lists_as_files(spark, tmp_path):
     exports.write_tag_lists(exports.tag_lists(labels, docs), str(tmp_path / "lists"))
     back = spark.read.text(str(tmp_path / "lists"))
     assert sorted((r.tag_id, r.value) for r in back.collect()) == [(1, "EP1"), (1, "EP2"), (2, "EP1"), (3, "EP3")]
+
+
+def test_many_small_files(spark, tmp_path):
+    """Small files are read some hundred a task, and moved by tasks, not by the driver's commit."""
+    path = str(tmp_path / "t")
+    rows = spark.range(3000, numPartitions=3).select(F.format_string("%d/x.txt", F.col("id") % 3000).alias("path"), F.col("id").cast("string").alias("text"))
+    formats.write_text_files(rows, path)
+    read = spark.read.format("text_files").load(path)
+    assert 2 <= read.rdd.getNumPartitions() <= 30
+    assert read.select(F.regexp_extract("path", "([0-9]+)/x.txt$", 1).alias("n"), "text").where("n = text").distinct().count() == 3000
+    sizes = [len(g.places) for g in formats.grouped(formats.listed(path), formats.PARTITION_BYTES)]
+    assert sum(sizes) == 3000 and max(sizes) <= formats.PARTITION_BYTES // formats.OPEN_BYTES
