@@ -54,11 +54,23 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
+WORDS = 1 << 17  # whose positions a task holds at a time, in whole texts
+
+
+def _few_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of texts of about ``WORDS`` words, a longer text alone."""
+    for batch in batches:
+        words = np.asarray(batch.column(2).offsets)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(words, words[at] + WORDS, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token, section, doc_id, positions from doc_id, section, tokens of a text."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _few_words(batches):
         tokens = batch.column(2)
         flat = tokens.flatten().dictionary_encode()
         sizes = np.diff(np.asarray(tokens.offsets))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,17 @@ def test_streamed_evaluation_and_scoring(spark, tmp_path):
     want = scoring.score_rows(v.where("doc_id >= 20"), *(state[k] for k in ("pool", "tags", "labels", "classifiers", "tag_vectors"))).collect()
     assert len(out) == 20 and {(r.doc_id, r.tag_id): (r.source, r.model_version, r.suggested) for r in out} == {(r.doc_id, r.tag_id): (r.source, r.model_version, r.suggested) for r in want}
     assert {r.decision for r in out if r.tag_id == 1} == {"not_automatic"} and {r.model_version for r in out if r.tag_id == 0} == {"m1+lr@t1"}
+
+
+def test_terms_of_few_texts_at_a_time(monkeypatch):
+    """A task takes as many texts as have about ``WORDS`` words, with the same postings."""
+    rows = [["a", "b", "a"], [], ["c"] * 30, None, ["a"] * 4, ["b", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["title"] * 6), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "section", "tokens"])
+
+    def postings() -> list[dict]:
+        return sorted((r for b in library._positions(iter([batch.slice(1), batch.slice(0, 1)])) for r in b.to_pylist()), key=repr)
+
+    want = postings()
+    monkeypatch.setattr(library, "WORDS", 6)
+    parts = [b.num_rows for b in library._few_words(iter([batch]))]
+    assert parts == [2, 1, 3] and postings() == want and len(want) == 6
