@@ -81,21 +81,24 @@ class StoredIndex:
         rows = self.spark.read.schema(_DOCUMENTS).parquet(f"{self.path}/documents")
         return sorted(r.segment for r in rows.select("segment").distinct().collect())
 
+    def _next(self) -> int:
+        return max(self._segments(), default=0) + 1
+
     def upsert(self, docs: DataFrame) -> None:
         """Index new documents, and known ones anew: what earlier segments have of them counts no more."""
-        self._write(build_term_index(docs, self.sections), docs.select("doc_id"), self._segments()[-1] + 1, False)
+        self._write(build_term_index(docs, self.sections), docs.select("doc_id"), self._next(), False)
 
     def remove(self, ids: DataFrame) -> None:
         """Forget documents."""
         none = self.spark.createDataFrame([], "token string, section string, doc_id bigint, positions array<int>")
-        self._write(none, ids.select("doc_id"), self._segments()[-1] + 1, False)
+        self._write(none, ids.select("doc_id"), self._next(), False)
 
     def merge(self) -> None:
         """Rewrite what counts as one segment; the older ones are not read any more, and are deleted."""
         segments = self._segments()
         live = self.postings()
         ids = self._documents().join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-        self._write(live, ids, segments[-1] + 1, True)
+        self._write(live, ids, self._next(), True)
         context = self.spark.sparkContext
         for kind in ("documents", "postings"):
             for s in segments:
