@@ -21,9 +21,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder and read back."""
+def kept(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """The frame, written to the shared folder and read back; in files of at most ``file_rows`` rows, if given."""
     spark = df.sparkSession
     path = shared_path(spark, "kept")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

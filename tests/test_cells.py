@@ -111,3 +111,58 @@ def test_what_a_task_holds_is_bounded():
     ask = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([1] * 40), pa.array([[1.0] * 64] * 40, pa.list_(pa.float32()))], names=["id", "turn", "vector"])
     sizes = [b.num_rows for b in cells._choose(index, 3, m, False, False)(iter([ask]))]
     assert sum(sizes) == 40 * m and max(sizes) * 64 <= cells.TABLE
+
+
+def files(spark) -> dict[str, int]:
+    """What Spark has on disk in its local and its shared folder."""
+    found = {}
+    for top in (spark.sparkContext.getConf().get("spark.local.dir"), spark.sparkContext.getCheckpointDir().removeprefix("file:")):
+        for folder, _, names in os.walk(top):
+            for name in names:
+                path = os.path.join(folder, name)
+                if name.startswith(("shuffle_", "part-")) and os.path.exists(path):
+                    found[path] = os.path.getsize(path)
+    return found
+
+
+def test_disk_goes_with_the_vectors(spark):
+    """Without clusters the bounds rule out little: what a search shuffles and writes is a few times the vectors, not the visits."""
+    for n in (1000, 4000):
+        df = frame(spark, np.random.default_rng(n).normal(size=(n, 32)).astype(np.float32)).withColumn("turn", F.col("doc_id"))
+        index = cells.cell_index(df, order_col="turn")
+        before = files(spark)
+        found = cells.cell_neighbours(df, index, 5, "turn")
+        assert found.count() == sum(min(i, 5) for i in range(n))
+        assert sum(size for path, size in files(spark).items() if path not in before) < 5 * n * 32 * 4
+
+
+@pytest.mark.parametrize("order_col", [None, "turn"])
+def test_equal_vectors_tie(spark, order_col):
+    """Copies all over the pool and in one crowd, turns against the ids: as a plain sum of every pair ranks them, to the last bit."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(700, 64)).astype(np.float32)
+    x[r.permutation(700)[:300]] = x[7]
+    for i in range(40):
+        x[r.integers(0, 700, 3)] = x[i]
+    turn = r.integers(0, 90, 700)
+    df = spark.createDataFrame([(i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(turn, x, strict=True))], "doc_id bigint, turn bigint, vector array<float>").repartition(5)
+    df = df.unionByName(spark.createDataFrame([(900, None, x[7].tolist())], df.schema)) if order_col else df
+    want = []
+    for i, v in enumerate(x.astype(float)):
+        sims = np.add.accumulate(x.astype(float) * v, axis=1)[:, -1]
+        can = np.flatnonzero((turn < turn[i]) if order_col else np.arange(700) != i)
+        best = can[np.lexsort((can, -sims[can]))][:6]
+        want += [(i, rank, int(j), float(sims[j])) for rank, j in enumerate(best, 1)]
+    for block in (None, 50):
+        got = cells.cell_neighbours(df, cells.cell_index(df, 9, order_col), 6, order_col, skip_self=True, block=block).collect()
+        assert sorted((g.q_id, g["rank"], g.n_id, g.sim) for g in got) == want
+
+
+def test_what_a_file_gives_of_copies():
+    """Of equal vectors only those stay that some query can have among its k best."""
+    v = np.array([[1.0, 2.0]] * 6 + [[3.0, 4.0]] * 2)
+    cell, ids = np.array([0] * 8), np.array([9, 3, 5, 1, 7, 2, 10, 11])
+    keep = cells._without_copies(cell, ids, np.array([1, 2, 3, 4, 5, 6, 1, 1]), v, 2)
+    assert ids[keep].tolist() == [9, 3, 5, 1, 2, 10, 11]
+    assert cells._without_copies(cell, np.arange(8), np.zeros(8, int), v, 2).tolist() == [True, True, *[False] * 4, True, True]
+    assert cells._without_copies(np.arange(8), np.arange(8), np.zeros(8, int), v, 2).all()
